@@ -1,9 +1,8 @@
-"""Mixed-format date text -> timestamp, as one normalising expression and one cast."""
+"""Mixed-format date text -> timestamp: the text is rewritten to ISO order, then cast once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tablewright.functions.sql import text
 
 # Prefixes that make text look like a date. The profile's list is
 # stricter than the cleaner's (no dots, comma required after `Aug 15`).
@@ -19,82 +18,70 @@ CLEAN_DATE_PATTERNS = (
     r"^[a-zA-Z]{3,9}\s+\d{1,2},?\s+\d{4}",
     r"^\d{1,2}\s+[a-zA-Z]{3,9}\s+\d{4}",
 )
-# English month names by number.
+# English month names; the first three letters also stand for the month.
 MONTHS = (
     "january", "february", "march", "april", "may", "june", "july",
     "august", "september", "october", "november", "december",
 )
+# Two-digit years below this fall into the 2000s.
+CENTURY_PIVOT = 76
 
-_TIME = r"([ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:\s*(?:Z|[+-]\d{2}:?\d{2}))?)?$"
-_MM = r"(0?[1-9]|1[0-2])"
-_DD = r"(0?[1-9]|[12]\d|3[01])"
+_BLANK = r"[\s\xa0]*"
+_TIME = r"([ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:\s*(?:Z|[+-]\d{2}:?\d{2}))?)?"
+_MONTH = r"(0?[1-9]|1[0-2])"
+_DAY = r"(0?[1-9]|[12]\d|3[01])"
 _SEP = r"[-/.]"
-_NAME = r"([A-Za-z]{3,9})\.?"
-_AMPM = r"(?i)\d\s*[ap]m$"
+_NAME = "((?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + r"|sept))\.?"
+_AM_PM = r"(?i)\d\s*[ap]m" + _BLANK + "$"
+_AM_PM_FORMATS = ("yyyy-M-d h:mm[:ss] a", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a")
 
 
-def looks_like_date(trimmed: Column, patterns=CLEAN_DATE_PATTERNS) -> Column:
+def looks_like_date(trimmed: str, patterns=CLEAN_DATE_PATTERNS) -> str:
     either = "|".join(f"(?:{p})" for p in patterns)
-    return (F.length(trimmed) >= 6) & trimmed.rlike(either)
+    return f"(length({trimmed}) >= 6 and {trimmed} rlike {text(either)})"
 
 
-def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("string")
-    for i, month in reversed(list(enumerate(MONTHS, start=1))):
-        names = [month, month[:3]] + (["sept"] if i == 9 else [])
-        out = F.when(low.isin(names), str(i)).otherwise(out)
-    return out
-
-
-def _century(two_digits: Column, pivot: int) -> Column:
-    return F.concat(F.when(two_digits.cast("int") < pivot, "20").otherwise("19"), two_digits)
-
-
-def parse_timestamp(text: Column, day_first: bool = False, pivot: int = 76) -> Column:
+def parse_timestamp(x: str, day_first: bool = False, pivot: int = CENTURY_PIVOT) -> str:
     """Timestamp without time zone, or NULL.
 
     Year-first text reads as y-m-d. Text such as `5/8/2026` reads month-first and,
-    where that cannot be, day-first (`day_first` swaps the two). Two-digit years
-    below `pivot` fall into the 2000s. A zone suffix is dropped, keeping wall-clock.
+    where that cannot be, day-first (`day_first` swaps the two). A zone suffix is
+    dropped, keeping wall-clock.
     """
-    x = F.regexp_replace(text, "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
+    def whole(body: str) -> str:
+        return text(f"^{_BLANK}{body}{_TIME}{_BLANK}$")
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(x, pattern, group)
+    def when(pattern: str, value: str) -> str:
+        return f"when {x} rlike {pattern} then {value}"
 
-    year_first = rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}}){_TIME}"
-    orders = [
-        (rf"^{_MM}{_SEP}{_DD}{_SEP}", r"$3-$1-$2$4"),
-        (rf"^{_DD}{_SEP}{_MM}{_SEP}", r"$3-$2-$1$4"),
-    ]
+    cases = []
+    iso = whole(rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})")
+    cases.append(when(iso, f"regexp_replace({x}, {iso}, '$1-$2-$3$4')"))
+    orders = [(f"{_MONTH}{_SEP}{_DAY}{_SEP}", "$1-$2$4"), (f"{_DAY}{_SEP}{_MONTH}{_SEP}", "$2-$1$4")]
     if day_first:
         orders.reverse()
-    iso = F.when(x.rlike(year_first), F.regexp_replace(x, year_first, "$1-$2-$3$4"))
-    for head, layout in orders:
-        pattern = rf"{head}(\d{{4}}){_TIME}"
-        iso = iso.when(x.rlike(pattern), F.regexp_replace(x, pattern, layout))
-    for head, layout in orders:
-        pattern = rf"{head}(\d{{2}}){_TIME}"
-        month, day = (2, 1) if layout.startswith("$3-$2") else (1, 2)
-        iso = iso.when(
-            x.rlike(pattern),
-            F.concat(_century(part(pattern, 3), pivot), F.lit("-"), part(pattern, month),
-                     F.lit("-"), part(pattern, day), part(pattern, 4)),
-        )
-    name_day_year = rf"^{_NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_TIME}"
-    day_name_year = rf"^(\d{{1,2}})[\s-]+{_NAME}[\s,-]+(\d{{4}}){_TIME}"
-    for pattern, name, day in ((name_day_year, 1, 2), (day_name_year, 2, 1)):
-        iso = iso.when(
-            x.rlike(pattern),
-            F.concat(part(pattern, 3), F.lit("-"), _month_number(part(pattern, name)),
-                     F.lit("-"), part(pattern, day), part(pattern, 4)),
-        )
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-    iso = iso.when(x.rlike(compact), F.regexp_replace(x, compact, "$1-$2-$3"))
-
-    twelve_hour = [F.try_to_timestamp(F.upper(x), F.lit(f)).cast("timestamp_ntz")
-                   for f in ("yyyy-M-d h:mm[:ss] a", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a")]
-    return F.when(x.rlike(_AMPM), F.coalesce(*twelve_hour)).otherwise(
-        F.regexp_replace(iso, " {2,}", " ").try_cast("timestamp_ntz")
+    for head, rest in orders:
+        pattern = whole(rf"{head}(\d{{4}})")
+        cases.append(when(pattern, f"regexp_replace({x}, {pattern}, '$3-{rest}')"))
+    for head, rest in orders:
+        pattern = whole(rf"{head}(\d{{2}})")
+        century = f"if(cast(regexp_extract({x}, {pattern}, 3) as int) < {pivot}, '20', '19')"
+        cases.append(when(pattern, f"concat({century}, regexp_replace({x}, {pattern}, '$3-{rest}'))"))
+    months = "array(" + ", ".join(text(m[:3]) for m in MONTHS) + ")"
+    for body, name, day in (
+        (rf"(?i){_NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", 1, 2),
+        (rf"(?i)(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{_NAME}[\s,-]+(\d{{4}})", 2, 1),
+    ):
+        pattern = whole(body)
+        month = f"array_position({months}, lower(left(regexp_extract({x}, {pattern}, {name}), 3)))"
+        cases.append(when(pattern, (
+            f"concat(regexp_extract({x}, {pattern}, 3), '-', {month}, "
+            f"regexp_replace({x}, {pattern}, '-${day}$4'))")))
+    compact = text(rf"^{_BLANK}(\d{{4}})(\d{{2}})(\d{{2}}){_BLANK}$")
+    cases.append(when(compact, f"regexp_replace({x}, {compact}, '$1-$2-$3')"))
+    twelve_hour = ", ".join(
+        f"cast(try_to_timestamp(upper(trim({x})), {text(f)}) as timestamp_ntz)" for f in _AM_PM_FORMATS)
+    return (
+        f"case when {x} rlike {text(_AM_PM)} then coalesce({twelve_hour}) "
+        f"else try_cast(case {' '.join(cases)} end as timestamp_ntz) end"
     )

@@ -4,73 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tablewright.functions.names import quoted
+from tablewright.functions.sql import number, q, text
 
 # What a plain number looks like (Spark's own cast also takes `1d`, `1f`).
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Money signs, thousands separators and blanks removed before parsing.
-MONEY_PATTERN = "[$₹€£¥,\\s\u00a0]"
-MONEY_PERCENT_PATTERN = "[$₹€£¥,%\\s\u00a0]"
+# White space as Unicode defines it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Money signs and thousands separators removed before parsing.
+MONEY_SIGNS = "$₹€£¥,"
 # Everything but digits, dot and minus.
 NOT_NUMERIC_CHARS = r"[^\d.-]"
 
 
-def is_numeric(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-
+def as_double(name: str) -> str:
+    return f"cast({q(name)} as double)"
 
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
+def strip_money(x: str) -> str:
+    return f"translate({x}, {text(MONEY_SIGNS + WHITE_SPACE)}, '')"
 
-def timestamp_columns(df: DataFrame) -> list[str]:
-    kinds = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
+def strip_money_percent(x: str) -> str:
+    return f"translate({x}, {text(MONEY_SIGNS + '%' + WHITE_SPACE)}, '')"
 
-def col(name: str) -> Column:
-    return F.col(quoted(name))
 
+def looks_numeric(x: str) -> str:
+    return f"{x} rlike {text(NUMBER_PATTERN)}"
 
-def as_double(name: str) -> Column:
-    return col(name).cast("double")
 
-
-def parse_number(text: Column) -> Column:
+def parse_number(x: str) -> str:
     """Double, or NULL when the text is not a plain number."""
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-
-
-def parse_money(text: Column) -> Column:
-    return parse_number(F.regexp_replace(text, MONEY_PATTERN, ""))
+    return f"try_cast(regexp_extract({x}, {text(NUMBER_PATTERN)}, 0) as double)"
 
 
-def parse_money_percent(text: Column) -> Column:
-    return parse_number(F.regexp_replace(text, MONEY_PERCENT_PATTERN, ""))
+def round2(x: str) -> str:
+    """Two decimals, half to even, on the scaled binary value."""
+    return f"rint(({x}) * 100) / 100"
 
 
-def round2(x: Column) -> Column:
-    """Two decimals, half to even, on the scaled binary value."""
-    return F.rint(x * 100) / 100
+def round1(x: str) -> str:
+    return f"rint(({x}) * 10) / 10"
 
 
-def pct2(part: Column, whole: Column) -> Column:
-    return round2(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)))
+def pct2(part: str, whole: str) -> str:
+    return round2(f"coalesce(try_divide(({part}) * 100D, {whole}), 0D)")
 
 
-def bin_right(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
+def bin_right(x: str, edges: Sequence[float], labels: Sequence[str]) -> str:
     """Label of the right-closed bin `(edge[i-1], edge[i]]`; the last bin is open above."""
     if len(labels) != len(edges) + 1:
         raise ValueError("need one label more than inner edges")
-    out = F.when(x.isNull(), F.lit(None).cast("string"))
-    for edge, label in zip(edges, labels):
-        out = out.when(x <= edge, label)
-    return out.otherwise(labels[-1])
+    cases = " ".join(f"when {x} <= {number(e)} then {text(t)}" for e, t in zip(edges, labels))
+    return f"case when {x} is null then null {cases} else {text(labels[-1])} end"
+
+
+def money(x: str) -> str:
+    return f"concat('$', format_number({x}, 2))"
+
+
+def one_decimal(x: str) -> str:
+    return f"replace(format_number({x}, 1), ',', '')"

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tablewright.functions.names import name_key
+from tablewright.functions.numbers import WHITE_SPACE
+from tablewright.functions.sql import any_of, sql_map, text
 
 # Text that means "missing" once trimmed and lower-cased.
 NULL_TOKENS = ("nan", "none", "null", "n/a", "", "undefined", "<na>")
@@ -52,27 +51,23 @@ DOMAINS: dict[str, dict[str, str]] = {
     },
 }
 
-_LETTERS = r"\p{Lu}\p{Ll}\p{Lt}"
-
-
-def trim_text(x: Column) -> Column:
-    return F.regexp_replace(x, "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
-def null_tokens_to_null(trimmed: Column) -> Column:
-    return F.when(~F.lower(trimmed).isin(list(NULL_TOKENS)), trimmed)
+def trim_text(x: str) -> str:
+    return f"trim(both {text(WHITE_SPACE)} from {x})"
 
 
-def clean_text(x: Column) -> Column:
-    return null_tokens_to_null(trim_text(x))
+def null_tokens_to_null(trimmed: str) -> str:
+    return f"case when lower({trimmed}) not in {any_of(NULL_TOKENS)} then {trimmed} end"
 
 
-def title_case(x: Column) -> Column:
+def title_case(x: str) -> str:
     """First letter of every letter run upper, the rest lower (`usb-c 4k` -> `Usb-C 4K`)."""
-    runs = F.regexp_extract_all(x, F.lit(f"([{_LETTERS}]+|[^{_LETTERS}]+)"), 1)
-    by_run = F.array_join(F.transform(runs, F.initcap), "")
+    runs = text(f"([{_CASED}]+|[^{_CASED}]+)")
+    by_run = f"array_join(transform(regexp_extract_all({x}, {runs}, 1), r -> initcap(r)), '')"
     # Plain words need no run splitting, and initcap stays inside generated code.
-    return F.when(x.rlike("^[A-Za-z ]*$"), F.initcap(x)).otherwise(by_run)
+    return f"case when {x} rlike '^[A-Za-z ]*$' then initcap({x}) else {by_run} end"
 
 
 def domain_for(column: str, domains: Mapping[str, Mapping[str, str]]) -> str | None:
@@ -85,14 +80,11 @@ def keeps_case(column: str) -> bool:
     return any(kw in name_key(column) for kw in KEEP_CASE_KEYWORDS)
 
 
-def map_values(x: Column, mapping: Mapping[str, str]) -> Column:
+def map_values(x: str, mapping: Mapping[str, str]) -> str:
     """Dictionary lookup on lower-cased text, else title case."""
-    if not mapping:
-        return title_case(x)
-    entries = [F.lit(v) for pair in mapping.items() for v in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), F.lower(x)), title_case(x))
+    return f"coalesce(try_element_at({sql_map(mapping.items())}, lower({x})), {title_case(x)})"
 
 
-def parse_boolean(x: Column) -> Column:
-    token = F.lower(trim_text(x))
-    return F.when(token.isin(list(TRUE_TOKENS)), True).when(token.isin(list(FALSE_TOKENS)), False)
+def parse_boolean(x: str) -> str:
+    token = f"lower({trim_text(x)})"
+    return f"case when {token} in {any_of(TRUE_TOKENS)} then true when {token} in {any_of(FALSE_TOKENS)} then false end"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.names import find_column
-from tablewright.functions.numbers import as_double, col, is_numeric, numeric_columns, round2
-from tablewright.operators.quantiles import guard_columns, quantile_aggregates
+from tablewright.functions.numbers import as_double, money, one_decimal, round2
+from tablewright.functions.sql import is_numeric, numeric_columns, q, rows_of, text
+from tablewright.operators.quantiles import quantile_aggregates
 
 # Keyword lists by priority.
 REVENUE_KEYS = ("calculated_revenue", "net_revenue", "revenue", "gross_revenue", "total_amount", "sales", "amount")
@@ -26,7 +27,6 @@ REGION_KEYS = ("region", "location", "city", "country", "territory", "branch")
 PERIOD_KEYS = ("month_year", "quarter", "order_month_year", "fiscal_quarter")
 STATUS_KEYS = ("status", "account_status", "order_status", "payment_status")
 
-KPI_COLUMNS = ("seq", "key", "label", "value", "raw", "description")
 
 
 def numeric_column(df: DataFrame, keywords: Sequence[str]) -> str | None:
@@ -35,25 +35,15 @@ def numeric_column(df: DataFrame, keywords: Sequence[str]) -> str | None:
     return name if name and is_numeric(df.schema[name].dataType) else None
 
 
-def total(x: Column) -> Column:
+def total(x: str) -> str:
     """Sum that is 0 when there is nothing to add."""
-    return F.coalesce(F.sum(x), F.lit(0.0))
+    return f"coalesce(sum({x}), 0D)"
 
 
-def money(x: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(x, 2))
-
-
-def one_decimal(x: Column) -> Column:
-    return F.regexp_replace(F.format_number(x, 1), ",", "")
-
-
-def _kpi(seq: int, key: str, label: Column | str, value: Column, raw: Column, description: str) -> Column:
-    label = F.lit(label) if isinstance(label, str) else label
-    return F.struct(
-        F.lit(seq).alias("seq"), F.lit(key).alias("key"), label.alias("label"), value.alias("value"),
-        raw.cast("double").alias("raw"), F.lit(description).alias("description"),
-    )
+def _kpi(seq: int, key: str, label: str, value: str, raw: str, description: str) -> str:
+    """One KPI row as a struct; `label`, `value` and `raw` are expressions."""
+    return (f"struct({seq} as seq, '{key}' as key, {label} as label, {value} as value, "
+            f"cast({raw} as double) as raw, {text(description)} as description)")
 
 
 def scalar_kpis(df: DataFrame) -> DataFrame:
@@ -61,47 +51,45 @@ def scalar_kpis(df: DataFrame) -> DataFrame:
     revenue, quantity = numeric_column(df, REVENUE_KEYS), numeric_column(df, QUANTITY_KEYS)
     profit, margin = numeric_column(df, PROFIT_KEYS), numeric_column(df, MARGIN_KEYS)
     entity, salary = find_column(df.columns, ENTITY_KEYS), numeric_column(df, SALARY_KEYS)
-    aggregates = {"n": F.count(F.lit(1))}
-    rows = [_kpi(1, "total_records", "Total Records", F.format_number("n", 0), F.col("n"),
+    sums = {"n": "count(1)"}
+    # Labels and descriptions of the KPIs.
+    rows = [_kpi(1, "total_records", "'Total Records'", "format_number(n, 0)", "n",
                  "Total active rows in processed dataset")]
     if revenue:
         x = as_double(revenue)
-        aggregates |= {"rev": total(x), "rev_avg": F.avg(x), "rev_max": F.max(x)}
+        sums |= {"rev": total(x), "rev_avg": f"avg({x})", "rev_max": f"max({x})"}
         rows += [
-            _kpi(2, "total_revenue", "Total Revenue / Sales",
-                 F.when(F.col("rev") > 0, money(F.col("rev"))).otherwise(F.format_number("rev", 2)),
-                 F.col("rev"), f"Cumulative sum of '{revenue}'"),
-            _kpi(3, "average_order_value", "Average Order Value", money(F.col("rev_avg")), F.col("rev_avg"),
+            _kpi(2, "total_revenue", "'Total Revenue / Sales'", f"if(rev > 0, {money('rev')}, format_number(rev, 2))",
+                 "rev", f"Cumulative sum of '{revenue}'"),
+            _kpi(3, "average_order_value", "'Average Order Value'", money("rev_avg"), "rev_avg",
                  f"Average ticket size from '{revenue}'"),
-            _kpi(4, "max_transaction", "Max Transaction", money(F.col("rev_max")), F.col("rev_max"),
+            _kpi(4, "max_transaction", "'Max Transaction'", money("rev_max"), "rev_max",
                  f"Highest recorded value in '{revenue}'"),
         ]
     if quantity:
-        aggregates["qty"] = total(as_double(quantity))
-        rows.append(_kpi(5, "total_quantity", "Total Units Sold", F.format_number(F.col("qty").cast("bigint"), 0),
-                         F.col("qty"), f"Total volume from '{quantity}'"))
+        sums["qty"] = total(as_double(quantity))
+        rows.append(_kpi(5, "total_quantity", "'Total Units Sold'", "format_number(cast(qty as bigint), 0)", "qty",
+                         f"Total volume from '{quantity}'"))
     if profit:
-        aggregates["profit"] = total(as_double(profit))
-        rows.append(_kpi(6, "total_profit", "Total Gross Profit", money(F.col("profit")), F.col("profit"),
+        sums["profit"] = total(as_double(profit))
+        rows.append(_kpi(6, "total_profit", "'Total Gross Profit'", money("profit"), "profit",
                          f"Gross profit calculated from '{profit}'"))
         if margin:
-            aggregates["margin"] = F.avg(as_double(margin))
-            rows.append(_kpi(7, "average_margin", "Average Margin", F.concat(one_decimal(F.col("margin")), F.lit("%")),
-                             F.col("margin"), "Mean profit margin percentage"))
+            sums["margin"] = f"avg({as_double(margin)})"
+            rows.append(_kpi(7, "average_margin", "'Average Margin'", f"concat({one_decimal('margin')}, '%')", "margin",
+                             "Mean profit margin percentage"))
     if entity:
-        aggregates["entities"] = F.count_distinct(col(entity))
-        rows.append(_kpi(8, "unique_entities", "Unique Customers / Accounts", F.format_number("entities", 0),
-                         F.col("entities"), f"Distinct entities in '{entity}'"))
+        sums["entities"] = f"count(distinct {q(entity)})"
+        rows.append(_kpi(8, "unique_entities", "'Unique Customers / Accounts'", "format_number(entities, 0)", "entities",
+                         f"Distinct entities in '{entity}'"))
     if salary:
-        aggregates["payroll"] = total(as_double(salary))
-        aggregates["median"] = quantile_aggregates(df, {salary: [0.5]})[salary]
+        sums |= {"payroll": total(as_double(salary)), "median": quantile_aggregates(df, {salary: [0.5]})[salary]}
         rows += [
-            _kpi(9, "total_payroll", "Total Payroll / Spend", money(F.col("payroll")), F.col("payroll"), f"Sum of '{salary}'"),
-            _kpi(10, "median_salary", "Median Salary", money(F.col("median")[0]), F.col("median")[0],
+            _kpi(9, "total_payroll", "'Total Payroll / Spend'", money("payroll"), "payroll", f"Sum of '{salary}'"),
+            _kpi(10, "median_salary", "'Median Salary'", money("median[0]"), "median[0]",
                  f"50th percentile of '{salary}'"),
         ]
-    one = df.agg(*[a.alias(n) for n, a in aggregates.items()]).filter(F.col("n") > 0)
-    return one.select(F.explode(F.array(*rows)).alias("k")).select("k.*")
+    return df.selectExpr(*[f"{e} as {n}" for n, e in sums.items()]).filter("n > 0").selectExpr(rows_of(rows))
 
 
 def top_category(df: DataFrame) -> DataFrame | None:
@@ -109,21 +97,20 @@ def top_category(df: DataFrame) -> DataFrame | None:
     category, revenue = find_column(df.columns, CATEGORY_KEYS), numeric_column(df, REVENUE_KEYS)
     if not category:
         return None
-    known = df.filter(col(category).isNotNull())
-    if revenue:
-        groups = known.groupBy(col(category).cast("string").alias("g")).agg(total(as_double(revenue)).alias("v"))
-        # Rows without a category still belong to the total.
-        whole = df.agg(total(as_double(revenue)).alias("whole")).scalar()
-        share = F.coalesce(F.when(whole > 0, F.try_divide(F.col("v"), whole) * 100), F.lit(0.0))
-        kpi = _kpi(11, "top_category", F.concat(F.lit("Top Category ("), F.col("g"), F.lit(")")),
-                   F.concat(money(F.col("v")), F.lit(" ("), one_decimal(share), F.lit("%)")), F.col("v"),
-                   f"Leading contributor from '{category}'")
-    else:
-        groups = known.groupBy(col(category).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("v"))
-        kpi = _kpi(11, "top_category", F.concat(F.lit("Top Segment ("), F.col("g"), F.lit(")")),
-                   F.concat(F.format_number("v", 0), F.lit(" records")), F.col("v"),
-                   f"Most frequent group in '{category}'")
-    return groups.orderBy(F.desc("v"), "g").limit(1).select(kpi.alias("k")).select("k.*")
+    measure = total(as_double(revenue)) if revenue else "count(1)"
+    groups = df.filter(f"{q(category)} is not null").groupBy(F.expr(f"cast({q(category)} as string) as g")).agg(
+        F.expr(f"{measure} as v"))
+    top = groups.orderBy(F.desc("v"), "g").limit(1)
+    if not revenue:
+        return top.selectExpr(rows_of([_kpi(
+            11, "top_category", "concat('Top Segment (', g, ')')", "concat(format_number(v, 0), ' records')", "v",
+            f"Most frequent group in '{category}'")]))
+    # Rows without a category still belong to the total.
+    whole = df.selectExpr(total(as_double(revenue))).scalar()
+    share = "if(whole > 0, v / whole * 100, 0D)"
+    return top.withColumn("whole", whole).selectExpr(rows_of([_kpi(
+        11, "top_category", "concat('Top Category (', g, ')')",
+        f"concat({money('v')}, ' (', {one_decimal(share)}, '%)')", "v", f"Leading contributor from '{category}'")]))
 
 
 def period_growth(df: DataFrame) -> DataFrame | None:
@@ -131,16 +118,12 @@ def period_growth(df: DataFrame) -> DataFrame | None:
     date, revenue = find_column(df.columns, GROWTH_DATE_KEYS), numeric_column(df, REVENUE_KEYS)
     if not date or not revenue:
         return None
-    sums = df.filter(col(date).isNotNull()).groupBy(col(date).alias("p")).agg(total(as_double(revenue)).alias("v"))
-    last_two = sums.orderBy(F.desc("p")).limit(2).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("v", "p").alias("prev"), F.max_by("v", "p").alias("curr"))
-    growth = F.col("growth")
-    kpi = _kpi(12, "period_growth", "Latest Period Growth",
-               F.concat(F.when(growth >= 0, "+").otherwise(""), one_decimal(growth), F.lit("%")),
-               round2(growth), f"Growth between last two periods in '{date}'")
-    return last_two.filter((F.col("n") == 2) & (F.col("prev") > 0)).select(
-        (F.try_divide(F.col("curr") - F.col("prev"), F.col("prev")) * 100).alias("growth")
-    ).select(kpi.alias("k")).select("k.*")
+    sums = df.filter(f"{q(date)} is not null").groupBy(F.expr(f"{q(date)} as p")).agg(
+        F.expr(f"{total(as_double(revenue))} as v"))
+    last_two = sums.orderBy(F.desc("p")).limit(2).selectExpr("count(1) as n", "min_by(v, p) as prev", "max_by(v, p) as curr")
+    return last_two.filter("n = 2 and prev > 0").selectExpr("(curr - prev) / prev * 100 as growth").selectExpr(rows_of([_kpi(
+        12, "period_growth", "'Latest Period Growth'", f"concat(if(growth >= 0, '+', ''), {one_decimal('growth')}, '%')",
+        round2("growth"), f"Growth between last two periods in '{date}'")]))
 
 
 def kpi_table(df: DataFrame) -> DataFrame:
@@ -153,11 +136,10 @@ def kpi_table(df: DataFrame) -> DataFrame:
 
 # --- statistics --------------------------------------------------------------------
 
-def skewness(x: Column) -> Column:
+def skewness(x: str) -> str:
     """Bias-adjusted skewness; 0 for at most two values or no spread."""
-    n = F.count(x).cast("double")
-    adjusted = F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(n > 2, F.coalesce(adjusted, F.lit(0.0))).otherwise(0.0)
+    n = f"cast(count({x}) as double)"
+    return f"if(count({x}) > 2, coalesce(skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2), 0D), 0D)"
 
 
 def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -166,54 +148,52 @@ def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], "seq int, column string")
     if approx:
-        quantiles = {c: F.percentile_approx(as_double(c), [0.25, 0.5, 0.75], 10000) for c in names}
+        quantiles = {c: f"percentile_approx({as_double(c)}, array(0.25D, 0.5D, 0.75D), 10000)" for c in names}
     else:
-        quantiles = quantile_aggregates(df, {c: [0.25, 0.5, 0.75] for c in names}, guard_columns(df, names))
-    row = df.agg(*[
-        F.struct(
-            F.count(col(c)).alias("count"), F.avg(as_double(c)).alias("mean"), F.stddev_samp(as_double(c)).alias("std_dev"),
-            F.min(as_double(c)).alias("min"), quantiles[c].alias("q"), F.max(as_double(c)).alias("max"),
-            skewness(as_double(c)).alias("skewness"), F.count_if(col(c).isNull()).alias("null_count"),
-        ).alias(f"s{i}") for i, c in enumerate(names)
+        quantiles = quantile_aggregates(df, {c: [0.25, 0.5, 0.75] for c in names})
+    row = df.selectExpr(*[
+        f"struct(count({x}) as count, avg({x}) as mean, stddev_samp({x}) as std_dev, min({x}) as min, {quantiles[c]} as quart, "
+        f"max({x}) as max, {skewness(x)} as skewness, count_if({x} is null) as null_count) as s{i}"
+        for i, c in enumerate(names) for x in [as_double(c)]
     ])
-    long = row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("seq"), F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(names)
-    ])).alias("p")).select("p.seq", "p.column", "p.s.*").filter(F.col("count") > 0)
-    q = F.col("q")
-    return long.select(
-        "seq", "column", "count", round2(F.col("mean")).alias("mean"), round2(F.col("std_dev")).alias("std_dev"),
-        round2(F.col("min")).alias("min"), round2(q[0]).alias("q1"), round2(q[1]).alias("median"),
-        round2(q[2]).alias("q3"), round2(F.col("max")).alias("max"), round2(q[2] - q[0]).alias("iqr"),
-        round2(F.col("skewness")).alias("skewness"), "null_count",
-    )
+    long = row.selectExpr(rows_of(f"struct({i} as seq, {text(c)} as column, s{i} as s)" for i, c in enumerate(names)))
+    rounded = {
+        "mean": "s.mean", "std_dev": "s.std_dev", "min": "s.min", "q1": "s.quart[0]", "median": "s.quart[1]",
+        "q3": "s.quart[2]", "max": "s.max", "iqr": "s.quart[2] - s.quart[0]", "skewness": "s.skewness",
+    }
+    return long.filter("s.count > 0").selectExpr(
+        "seq", "column", "s.count as count", *[f"{round2(e)} as {n}" for n, e in rounded.items()],
+        "s.null_count as null_count")
 
 
 # --- breakdowns --------------------------------------------------------------------
 
+def _grouped(df: DataFrame, key: str, *aggregates: str) -> DataFrame:
+    return df.filter(f"{q(key)} is not null").groupBy(q(key)).agg(*[F.expr(a) for a in aggregates])
+
+
+def _measures(value: str) -> tuple[str, ...]:
+    x = as_double(value)
+    return "count(1) as record_count", f"{total(x)} as total_value", f"avg({x}) as average_value"
+
+
 def breakdown(df: DataFrame, dimension: str, value: str) -> DataFrame:
     """Count, sum, mean and share of the grand total per group, largest first."""
-    groups = df.filter(col(dimension).isNotNull()).groupBy(col(dimension)).agg(
-        F.count(F.lit(1)).alias("record_count"), total(as_double(value)).alias("total_value"),
-        F.avg(as_double(value)).alias("average_value"),
-    )
+    groups = _grouped(df, dimension, *_measures(value))
     # A scalar subquery, not a window: a window over all groups would be one task.
-    grand = groups.agg(F.sum("total_value")).scalar()
-    return groups.select(
-        col(dimension), "record_count", "total_value", "average_value",
-        round2(F.try_divide(F.col("total_value"), grand) * 100).alias("share_pct"),
-    ).orderBy(F.desc("total_value"), col(dimension))
+    grand = groups.selectExpr("sum(total_value)").scalar()
+    return groups.withColumn("grand", grand).selectExpr(
+        q(dimension), "record_count", "total_value", "average_value",
+        f"{round2('try_divide(total_value, grand) * 100')} as share_pct",
+    ).orderBy(F.desc("total_value"), q(dimension))
 
 
 def count_breakdown(df: DataFrame, dimension: str) -> DataFrame:
-    return df.filter(col(dimension).isNotNull()).groupBy(col(dimension)).agg(
-        F.count(F.lit(1)).alias("record_count")).orderBy(F.desc("record_count"), col(dimension))
+    return _grouped(df, dimension, "count(1) as record_count").orderBy(F.desc("record_count"), q(dimension))
 
 
 def period_breakdown(df: DataFrame, period: str, value: str) -> DataFrame:
-    return df.filter(col(period).isNotNull()).groupBy(col(period)).agg(
-        F.count(F.lit(1)).alias("record_count"), total(as_double(value)).alias("total_value"),
-        F.avg(as_double(value)).alias("average_value"),
-    ).orderBy(col(period))
+    return _grouped(df, period, *_measures(value)).orderBy(q(period))
 
 
 def value_column(df: DataFrame) -> str | None:
@@ -238,15 +218,11 @@ def breakdowns(df: DataFrame) -> dict[str, DataFrame]:
 
 def all_breakdowns(df: DataFrame) -> DataFrame:
     """The breakdowns stacked into one long table."""
-    parts = []
+    out = None
     for name, part in breakdowns(df).items():
-        have = set(part.columns)
-        parts.append(part.select(
-            F.lit(name).alias("breakdown"), col(part.columns[0]).cast("string").alias("group"), "record_count",
-            *[(F.col(c) if c in have else F.lit(None).cast("double")).alias(c)
-              for c in ("total_value", "average_value", "share_pct")],
-        ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        measures = [c if c in part.columns else f"cast(null as double) as {c}"
+                    for c in ("total_value", "average_value", "share_pct")]
+        rows = part.selectExpr(
+            f"'{name}' as breakdown", f"cast({q(part.columns[0])} as string) as group_key", "record_count", *measures)
+        out = rows if out is None else out.unionByName(rows)
     return out

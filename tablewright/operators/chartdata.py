@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.numbers import as_double, col, is_numeric, numeric_columns, round2
+from tablewright.functions.numbers import as_double, round2
+from tablewright.functions.sql import is_numeric, number, numeric_columns, q, rows_of, sql_map, text
 from tablewright.operators.analytics import total
 from tablewright.operators.profile import column_counts
 from tablewright.operators.quantiles import quantile_aggregates
@@ -37,76 +38,76 @@ def chart_value_column(df: DataFrame) -> str | None:
 
 def missing_chart(raw: DataFrame, clean: DataFrame, top: int = 10) -> DataFrame:
     """Raw columns with most missing values beside the matching clean column's count."""
-    clean_names = clean.columns
     match = {}
     for name in raw.columns:
         key = name.strip().lower().replace(" ", "_")
-        match[name] = next((c for c in clean_names if key in c), "")
-    matched = F.create_map(*[F.lit(x) for pair in match.items() for x in pair])
-    worst = column_counts(raw).filter("missing_count > 0").orderBy(F.desc("missing_count"), "seq").limit(top)
-    after = column_counts(clean).select(F.col("column").alias("clean_column"), F.col("missing_count").alias("clean_missing"))
-    return worst.withColumn("clean_column", F.element_at(matched, F.col("column"))).join(after, "clean_column", "left").select(
-        "column", F.col("missing_count").alias("raw_missing"), F.coalesce("clean_missing", F.lit(0)).cast("bigint").alias("clean_missing"),
-    ).orderBy(F.desc("raw_missing"), "column")
+        match[name] = next((c for c in clean.columns if key in c), "")
+    worst = column_counts(raw).filter("missing_count > 0").orderBy(F.desc("missing_count"), "seq").limit(top).selectExpr(
+        "column", "missing_count as raw_missing", f"element_at({sql_map(match.items())}, column) as clean_column")
+    after = column_counts(clean).selectExpr("column as clean_column", "missing_count as clean_missing")
+    return worst.join(after, "clean_column", "left").selectExpr(
+        "column", "raw_missing", "coalesce(clean_missing, 0L) as clean_missing").orderBy(F.desc("raw_missing"), "column")
 
 
 def _sums(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.filter(col(key).isNotNull()).groupBy(col(key)).agg(total(as_double(value)).alias(value))
+    return df.filter(f"{q(key)} is not null").groupBy(q(key)).agg(F.expr(f"{total(as_double(value))} as {q(value)}"))
 
 
 def trend(df: DataFrame, date: str, value: str) -> DataFrame:
-    return _sums(df, date, value).orderBy(col(date))
+    return _sums(df, date, value).orderBy(q(date))
 
 
 def category_bars(df: DataFrame, category: str, value: str) -> DataFrame:
-    return _sums(df, category, value).orderBy(col(value), col(category))
+    return _sums(df, category, value).orderBy(q(value), q(category))
 
 
 def top_categories(df: DataFrame, category: str, value: str, top: int = 8) -> DataFrame:
-    return _sums(df, category, value).orderBy(col(value).desc(), col(category)).limit(top)
+    return _sums(df, category, value).orderBy(F.desc(q(value)), q(category)).limit(top)
 
 
 def donut(df: DataFrame, category: str, value: str | None = None) -> DataFrame:
     """Sum (or row count) per category and its share of the whole."""
-    numeric = value is not None and value in df.columns and is_numeric(df.schema[value].dataType)
-    known = df.filter(col(category).isNotNull()).groupBy(col(category))
-    name = value if numeric else "count"
-    groups = known.agg((total(as_double(value)) if numeric else F.count(F.lit(1))).alias(name))
-    whole = groups.agg(F.sum(col(name)).cast("double")).scalar()
-    return groups.select(col(category), col(name), round2(F.try_divide(col(name) * 100.0, whole)).alias("share_pct"))
+    if value is not None and value in df.columns and is_numeric(df.schema[value].dataType):
+        groups, name = _sums(df, category, value), value
+    else:
+        groups, name = df.filter(f"{q(category)} is not null").groupBy(q(category)).count(), "count"
+    whole = groups.selectExpr(f"cast(sum({q(name)}) as double)").scalar()
+    return groups.withColumn("__whole", whole).selectExpr(
+        q(category), q(name), f"{round2(f'try_divide({q(name)} * 100D, __whole)')} as share_pct")
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins between least and greatest value; empty bins are not listed."""
     x = as_double(column)
-    low, high = df.agg(F.min(x)).scalar(), df.agg(F.max(x)).scalar()
-    width = (high - low) / bins
-    at = F.least(F.coalesce(F.floor(F.try_divide(x - low, width)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    binned = df.filter(x.isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return binned.select(
-        "bin", round2(low + width * F.col("bin")).alias("bin_start"),
-        round2(low + width * (F.col("bin") + 1)).alias("bin_end"), "count",
-    ).orderBy("bin")
+    ends = df.selectExpr(f"struct(min({x}) as low, max({x}) as high)").scalar()
+    width = f"((e.high - e.low) / {bins})"
+    at = f"cast(least(coalesce(floor(try_divide(x - e.low, {width})), 0), {bins - 1}) as int)"
+    values = df.selectExpr(f"{x} as x").filter("x is not null")
+    binned = values.withColumn("e", ends).groupBy(F.expr(f"{at} as bin")).agg(F.expr("count(1) as count"))
+    return binned.withColumn("e", ends).selectExpr(
+        "bin", f"{round2(f'e.low + {width} * bin')} as bin_start",
+        f"{round2(f'e.low + {width} * (bin + 1)')} as bin_end", "count").orderBy("bin")
 
 
 def box(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Five numbers, fences and how many values lie beyond them."""
     x = as_double(column)
     quartiles = quantile_aggregates(df, {column: [0.25, 0.5, 0.75]})[column]
-    five = df.agg(F.min(x).alias("min"), quartiles.alias("q"), F.max(x).alias("max"))
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    fences = five.select(
-        "min", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), "max",
-        round2(q1 - (q3 - q1) * reach).alias("lower_fence"), round2(q3 + (q3 - q1) * reach).alias("upper_fence"),
-    )
-    lower, upper = fences.select("lower_fence").scalar(), fences.select("upper_fence").scalar()
-    points = df.agg(F.count_if((x < lower) | (x > upper))).scalar()
+    five = df.selectExpr(f"min({x}) as min", f"{quartiles} as quart", f"max({x}) as max").selectExpr(
+        "min", "quart[0] as q1", "quart[1] as median", "quart[2] as q3", "max")
+    fences = five.selectExpr(
+        "*", f"{round2(f'q1 - (q3 - q1) * {number(reach)}')} as lower_fence",
+        f"{round2(f'q3 + (q3 - q1) * {number(reach)}')} as upper_fence")
+    ends = fences.selectExpr("struct(lower_fence, upper_fence)").scalar()
+    points = df.selectExpr(f"{x} as x").withColumn("e", ends).selectExpr(
+        "count_if(x < e.lower_fence or x > e.upper_fence)").scalar()
     return fences.withColumn("outlier_points", points)
 
 
 def box_points(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
     """The values drawn as single points beyond the fences."""
-    return df.select(as_double(column).alias(column)).filter(~F.col(column).between(lower, upper))
+    x = as_double(column)
+    return df.filter(f"not ({x} between {number(float(lower))} and {number(float(upper))})").selectExpr(f"{x} as {q(column)}")
 
 
 def correlation(df: DataFrame) -> DataFrame:
@@ -115,31 +116,28 @@ def correlation(df: DataFrame) -> DataFrame:
     Built from moments: `corr` fails on a constant column, here such a pair is NULL.
     """
     names = numeric_columns(df)
-    schema = "col_a string, col_b string, r double"
     if len(names) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    spread = df.agg(*[F.var_pop(as_double(c)).alias(f"v{i}") for i, c in enumerate(names)])
-    diagonal = spread.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"v{i}") > 0, F.lit(1.0)).alias("r"))
-        for i, c in enumerate(names)
-    ])).alias("p")).select("p.*")
-    out, pairs = diagonal, list(combinations(names, 2))
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    pairs = [(a, a) for a in names] + list(combinations(names, 2))
+    out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[_pair_correlation(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        both = [F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"r{i}").alias("r"))
-                for i, (a, b) in enumerate(chunk) for x, y in ((a, b), (b, a))]
-        out = out.unionByName(row.select(F.explode(F.array(*both)).alias("p")).select("p.*"))
+        row = df.selectExpr(*[f"{_pair_correlation(a, b)} as r{i}" for i, (a, b) in enumerate(chunk)])
+        part = row.selectExpr(rows_of(
+            f"struct({text(x)} as col_a, {text(y)} as col_b, r{i} as r)"
+            for i, (a, b) in enumerate(chunk) for x, y in dict.fromkeys([(a, b), (b, a)])))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _pair_correlation(a: Column, b: Column) -> Column:
-    a_known, b_known = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return round2(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_known) * F.stddev_pop(b_known)))
+def _pair_correlation(a: str, b: str) -> str:
+    x, y = as_double(a), as_double(b)
+    if a == b:
+        return f"if(var_pop({x}) > 0, 1D, null)"
+    spread = f"stddev_pop(if({y} is null, null, {x})) * stddev_pop(if({x} is null, null, {y}))"
+    return round2(f"try_divide(covar_pop({x}, {y}), {spread})")
 
 
-def gauge_band(score: Column) -> Column:
-    out = None
-    for floor, band in GAUGE_BANDS:
-        out = F.when(score >= floor, band) if out is None else out.when(score >= floor, band)
-    return out.otherwise(LOWEST_BAND)
+def gauge_band(score: str) -> str:
+    cases = " ".join(f"when {score} >= {floor} then '{band}'" for floor, band in GAUGE_BANDS)
+    return f"case {cases} else '{LOWEST_BAND}' end"

@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.numbers import col, pct2
+from tablewright.functions.numbers import pct2
+from tablewright.functions.sql import q
 
 _HASH = "__row_hash"
 # A broadcast of this many 8-byte hashes stays well under 100 MB on every executor.
@@ -35,29 +36,30 @@ class RepeatedHashes:
         return self.repeated <= MAX_BROADCAST_HASHES
 
 
-def row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[col(c) for c in df.columns])
+def row_hash(df: DataFrame) -> str:
+    return f"xxhash64({', '.join(q(c) for c in df.columns)})"
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.selectExpr("*", f"{row_hash(df)} as {_HASH}")
 
 
 def repeated_hashes(df: DataFrame) -> RepeatedHashes:
-    per_hash = df.select(row_hash(df).alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
-    seen = per_hash.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated")
-    ).first()
-    return RepeatedHashes(seen["rows"], seen["repeated"], per_hash.filter("n > 1").select(_HASH))
+    per_hash = df.selectExpr(f"{row_hash(df)} as {_HASH}").groupBy(_HASH).agg(F.expr("count(1) as n"))
+    seen = per_hash.selectExpr("coalesce(sum(n), 0) as total", "count_if(n > 1) as repeated").first()
+    return RepeatedHashes(seen["total"], seen["repeated"], per_hash.filter("n > 1").select(_HASH))
 
 
 def _suspects(df: DataFrame, found: RepeatedHashes) -> DataFrame:
     """Rows that may have a copy."""
     if not found.broadcastable:
         return df
-    hashed = df.withColumn(_HASH, row_hash(df))
-    return hashed.join(F.broadcast(found.hashes), _HASH, "left_semi").drop(_HASH)
+    return _hashed(df).join(F.broadcast(found.hashes), _HASH, "left_semi").drop(_HASH)
 
 
 def _copies(df: DataFrame, found: RepeatedHashes) -> DataFrame:
-    groups = _suspects(df, found).groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_count"))
+    groups = _suspects(df, found).groupBy(*[q(c) for c in df.columns]).agg(F.expr("count(1) as __n"))
+    return groups.selectExpr("cast(coalesce(sum(__n - 1), 0) as bigint) as duplicate_count")
 
 
 def duplicate_count(df: DataFrame) -> int:
@@ -71,10 +73,9 @@ def duplicate_count(df: DataFrame) -> int:
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """One row: total_rows, duplicate_count, duplicate_pct."""
     found = repeated_hashes(df)
-    return _copies(df, found).select(
-        F.lit(found.rows).cast("bigint").alias("total_rows"),
-        "duplicate_count",
-        pct2(F.col("duplicate_count"), F.lit(found.rows)).alias("duplicate_pct"),
+    return _copies(df, found).selectExpr(
+        f"cast({found.rows} as bigint) as total_rows", "duplicate_count",
+        f"{pct2('duplicate_count', str(found.rows))} as duplicate_pct",
     )
 
 
@@ -87,34 +88,25 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
         return df
     if not found.broadcastable:
         return df.dropDuplicates()
-    unique = df.withColumn(_HASH, row_hash(df)).join(F.broadcast(found.hashes), _HASH, "left_anti").drop(_HASH)
+    unique = _hashed(df).join(F.broadcast(found.hashes), _HASH, "left_anti").drop(_HASH)
     return unique.unionByName(_suspects(df, found).dropDuplicates())
 
 
 def keep_first(df: DataFrame, subset: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """First row in `order_by` of every group equal on `subset`.
 
-    `min_by` keeps one row per group while it scans, so a group that holds a large
-    share of the table is reduced before the shuffle.
+    The row number is compared with one, so Spark cuts every task's rows to one per
+    group before the shuffle: a group that holds a third of the table sends one row
+    per task.
     """
     if not order_by:
         raise ValueError("keep_first needs order_by: rows have no inherent order")
-    whole = F.struct(*[col(c) for c in df.columns])
-    first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(subset)]).agg(
-        F.min_by(whole, F.struct(*[col(c) for c in order_by])).alias("__row")
-    )
-    return first.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+    groups, order = ", ".join(q(c) for c in subset), ", ".join(q(c) for c in order_by)
+    ranked = df.selectExpr("*", f"row_number() over (partition by {groups} order by {order}) as __rank")
+    return ranked.filter("__rank = 1").drop("__rank")
 
 
 def removal_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows removed and rows remaining."""
-    n_before = before.agg(F.count(F.lit(1)))
-    return after.agg(F.count(F.lit(1)).alias("remaining")).select(
-        (n_before.scalar() - F.col("remaining")).alias("removed"), "remaining"
-    )
-
-
-__all__ = [
-    "RepeatedHashes", "duplicate_count", "duplicate_summary", "keep_first",
-    "remove_duplicates", "removal_summary", "repeated_hashes",
-]
+    n_before = before.selectExpr("count(1)").scalar()
+    return after.selectExpr("count(1) as remaining").select((n_before - F.col("remaining")).alias("removed"), "remaining")

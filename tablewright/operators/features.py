@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tablewright.functions.names import date_prefix, find_column
-from tablewright.functions.numbers import as_double, bin_right, col, is_numeric, round2, timestamp_columns
+from tablewright.functions.numbers import as_double, bin_right, round2
+from tablewright.functions.sql import is_numeric, q, time_columns
 
 # Keyword lists by priority.
 QUANTITY_KEYS = ("quantity", "qty", "units_sold", "volume")
@@ -25,17 +25,16 @@ EXPERIENCE_EDGES = (2, 5, 10)
 EXPERIENCE_LABELS = ("Junior (0-2 yrs)", "Mid-Level (3-5 yrs)", "Senior (6-10 yrs)", "Lead/Principal (10+ yrs)")
 
 
-def calendar_parts(column: str, keep_null_weekend: bool = False) -> dict[str, Column]:
+def calendar_parts(column: str, keep_null_weekend: bool = False) -> dict[str, str]:
     """Part name -> expression. A missing date counts as no weekend unless asked otherwise."""
-    d = col(column)
-    weekend = F.weekday(d) >= 5
+    d = q(column)
     return {
-        "year": F.year(d),
-        "month": F.month(d),
-        "quarter": F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")),
-        "month_year": F.date_format(d, "yyyy-MM"),
-        "day_name": F.date_format(d, "EEEE"),
-        "is_weekend": weekend if keep_null_weekend else F.coalesce(weekend, F.lit(False)),
+        "year": f"year({d})",
+        "month": f"month({d})",
+        "quarter": f"concat(year({d}), 'Q', quarter({d}))",
+        "month_year": f"date_format({d}, 'yyyy-MM')",
+        "day_name": f"date_format({d}, 'EEEE')",
+        "is_weekend": f"weekday({d}) >= 5" if keep_null_weekend else f"coalesce(weekday({d}) >= 5, false)",
     }
 
 
@@ -47,77 +46,88 @@ _PART_NOTES = {
 }
 
 
-def discount_rate(x: Column) -> Column:
+def revenue(quantity: str, price: str) -> str:
+    return round2(f"{quantity} * {price}")
+
+
+def discount_rate(x: str) -> str:
     """Percentages above 1 are divided by 100; smaller (and negative) values are taken as rates."""
-    return F.when(x > 1, x / 100).otherwise(x)
+    return f"if({x} > 1, {x} / 100, {x})"
 
 
-def margin_pct(profit: Column, revenue: Column) -> Column:
+def margin_pct(profit: str, revenue: str) -> str:
     """0.0 where revenue is missing or not positive."""
-    return F.when(revenue > 0, round2(F.try_divide(profit, revenue) * 100)).otherwise(0.0)
+    return f"case when {revenue} > 0 then {round2(f'{profit} / {revenue} * 100')} else 0D end"
 
 
-def full_name(first: Column, last: Column) -> Column:
-    return F.trim(F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit(""))))
+def full_name(first: str, last: str) -> str:
+    return f"trim(concat(coalesce({first}, ''), ' ', coalesce({last}, '')))"
 
 
-def credit_tier(x: Column) -> Column:
+def credit_tier(x: str) -> str:
     return bin_right(x, CREDIT_EDGES, CREDIT_LABELS)
 
 
-def experience_level(x: Column) -> Column:
+def experience_level(x: str) -> str:
     return bin_right(x, EXPERIENCE_EDGES, EXPERIENCE_LABELS)
 
 
-def derive_features(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Every feature the columns allow, and a note per feature. Existing columns are not overwritten."""
-    notes: dict[str, str] = {}
+class _Builder:
+    """Adds columns one projection at a time and keeps a note about each."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.notes = df, {}
 
-    def numeric(*names: str | None) -> bool:
-        return all(n is not None and is_numeric(df.schema[n].dataType) for n in names)
+    def find(self, keywords: tuple[str, ...], numeric: bool = False) -> str | None:
+        name = find_column(self.df.columns, keywords)
+        return name if name and (not numeric or is_numeric(self.df.schema[name].dataType)) else None
 
-    for date in timestamp_columns(df):
+    def missing(self, *names: str) -> bool:
+        return not set(names) & set(self.df.columns)
+
+    def add(self, new: dict[str, str], notes: dict[str, str]) -> None:
+        named = {**{c: q(c) for c in self.df.columns}, **new}
+        self.df = self.df.selectExpr(*[f"{e} as {q(n)}" for n, e in named.items()])
+        self.notes |= notes
+
+
+def derive_features(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Every feature the columns allow, and a note per feature. Existing columns are not overwritten."""
+    b = _Builder(df)
+    for date in time_columns(df):
         prefix = date_prefix(date)
-        added = {}
-        for part, value in calendar_parts(date).items():
-            name = f"{prefix}{part}"
-            if name not in df.columns:
-                added[name] = value
-                notes[name] = f"{_PART_NOTES[part]} '{date}'"
-        if added:
-            df = df.withColumns(added)
-
-    qty, price = find_column(df.columns, QUANTITY_KEYS), find_column(df.columns, PRICE_KEYS)
-    if numeric(qty, price):
-        taken = {"revenue", "total_amount"} & set(df.columns)
-        revenue = "calculated_revenue" if taken else "revenue"
-        df = df.withColumn(revenue, round2(as_double(qty) * as_double(price)))
-        notes[revenue] = f"Calculated Revenue = ({qty} × {price})"
-        discount = find_column(df.columns, DISCOUNT_KEYS)
-        if numeric(discount):
-            df = df.withColumn("discount_amount", round2(col(revenue) * discount_rate(as_double(discount))))
-            df = df.withColumn("net_revenue", round2(col(revenue) - F.col("discount_amount")))
-            notes["net_revenue"] = f"Calculated Net Revenue after {discount}"
-
-    revenue, cost = find_column(df.columns, REVENUE_KEYS), find_column(df.columns, COST_KEYS)
-    if numeric(revenue, cost) and not {"profit", "net_profit"} & set(df.columns):
-        df = df.withColumn("gross_profit", round2(as_double(revenue) - as_double(cost)))
-        df = df.withColumn("profit_margin_pct", margin_pct(F.col("gross_profit"), as_double(revenue)))
-        notes["gross_profit"] = f"Calculated Gross Profit = ({revenue} - {cost})"
-        notes["profit_margin_pct"] = f"Calculated Profit Margin % = (Profit / {revenue} × 100)"
-
-    first, last = find_column(df.columns, FIRST_NAME_KEYS), find_column(df.columns, LAST_NAME_KEYS)
-    if first and last and "full_name" not in df.columns:
-        df = df.withColumn("full_name", full_name(col(first), col(last)))
-        notes["full_name"] = f"Combined '{first}' and '{last}' into 'full_name'"
-
-    credit = find_column(df.columns, CREDIT_KEYS)
-    if numeric(credit) and "credit_tier" not in df.columns:
-        df = df.withColumn("credit_tier", credit_tier(as_double(credit)))
-        notes["credit_tier"] = f"Binned '{credit}' into standardized credit rating tiers"
-
-    experience = find_column(df.columns, EXPERIENCE_KEYS)
-    if numeric(experience) and "experience_level" not in df.columns:
-        df = df.withColumn("experience_level", experience_level(as_double(experience)))
-        notes["experience_level"] = f"Binned '{experience}' into professional experience levels"
-    return df, notes
+        parts = {p: e for p, e in calendar_parts(date).items() if b.missing(prefix + p)}
+        if parts:
+            b.add({prefix + p: e for p, e in parts.items()},
+                  {prefix + p: f"{_PART_NOTES[p]} '{date}'" for p in parts})
+
+    qty, price = b.find(QUANTITY_KEYS, numeric=True), b.find(PRICE_KEYS, numeric=True)
+    if qty and price:
+        name = "revenue" if b.missing("revenue", "total_amount") else "calculated_revenue"
+        b.add({name: revenue(as_double(qty), as_double(price))}, {name: f"Calculated Revenue = ({qty} × {price})"})
+        discount = b.find(DISCOUNT_KEYS, numeric=True)
+        if discount:
+            b.add({"discount_amount": round2(f"{q(name)} * {discount_rate(as_double(discount))}")}, {})
+            b.add({"net_revenue": round2(f"{q(name)} - discount_amount")},
+                  {"net_revenue": f"Calculated Net Revenue after {discount}"})
+
+    gross, cost = b.find(REVENUE_KEYS, numeric=True), b.find(COST_KEYS, numeric=True)
+    if gross and cost and b.missing("profit", "net_profit"):
+        b.add({"gross_profit": round2(f"{as_double(gross)} - {as_double(cost)}")},
+              {"gross_profit": f"Calculated Gross Profit = ({gross} - {cost})"})
+        b.add({"profit_margin_pct": margin_pct("gross_profit", as_double(gross))},
+              {"profit_margin_pct": f"Calculated Profit Margin % = (Profit / {gross} × 100)"})
+
+    first, last = b.find(FIRST_NAME_KEYS), b.find(LAST_NAME_KEYS)
+    if first and last and b.missing("full_name"):
+        b.add({"full_name": full_name(q(first), q(last))}, {"full_name": f"Combined '{first}' and '{last}' into 'full_name'"})
+
+    credit = b.find(CREDIT_KEYS, numeric=True)
+    if credit and b.missing("credit_tier"):
+        b.add({"credit_tier": credit_tier(as_double(credit))},
+              {"credit_tier": f"Binned '{credit}' into standardized credit rating tiers"})
+    experience = b.find(EXPERIENCE_KEYS, numeric=True)
+    if experience and b.missing("experience_level"):
+        b.add({"experience_level": experience_level(as_double(experience))},
+              {"experience_level": f"Binned '{experience}' into professional experience levels"})
+    return b.df, b.notes

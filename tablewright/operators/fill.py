@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.numbers import col
+from tablewright.functions.sql import q
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 _SAMPLES_PER_BUCKET = 40
-_KEY, _BUCKET = "__fill_key", "__fill_bucket"
+_KEY, _BUCKET, _GROUP = "__fill_key", "__fill_bucket", "__fill_group"
 
 
 def _borders(keyed: DataFrame, rows: int, rows_per_bucket: int) -> list:
@@ -26,8 +26,8 @@ def _borders(keyed: DataFrame, rows: int, rows_per_bucket: int) -> list:
     buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
     if buckets <= 1:
         return []
-    wanted = buckets * _SAMPLES_PER_BUCKET
     sample = keyed.select(_KEY)
+    wanted = buckets * _SAMPLES_PER_BUCKET
     if rows > wanted:
         sample = sample.sample(fraction=min(1.0, wanted / rows), seed=7)
     ranked = [r[0] for r in sample.orderBy(_KEY).collect()]
@@ -42,16 +42,11 @@ def _bucket_of(borders: list, key_type: str) -> Column:
     size = 1
     while size <= len(borders):
         size *= 2
-    pad = [F.lit(None).cast(key_type)] * (size - len(borders))
-    table = F.array(*[
-        F.struct(*[F.lit(v).alias(n) for n, v in b.asDict().items()]).cast(key_type) for b in borders
-    ], *pad)
-    steps = []
-    while size > 1:
-        size //= 2
-        steps.append(F.lit(size))
+    cells = [F.struct(*[F.lit(v) for v in border]).cast(key_type) for border in borders]
+    table = F.array(*cells, *[F.lit(None).cast(key_type)] * (size - len(borders)))
+    steps = [size >> k for k in range(1, size.bit_length())]
     return F.aggregate(
-        F.array(*steps), F.lit(0),
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, step: F.when(F.element_at(table, at + step) <= F.col(_KEY), at + step).otherwise(at),
     )
 
@@ -63,61 +58,56 @@ def fill_ordered(
     """Forward fill `columns`, then backward fill what is left at the start of each group."""
     if not order_by:
         raise ValueError("forward_fill needs order_by: rows have no inherent order")
-    names = df.columns
-    groups = [col(c) for c in partition_by]
-    group = F.struct(*groups, F.lit(0).alias("__all"))
-    keyed = df.withColumn(_KEY, F.struct(*[
-        col(c).alias(f"k{i}") for i, c in enumerate([*partition_by, *order_by])
-    ]))
-    rows = df.count()
+    group = "struct(" + ", ".join([*(q(c) for c in partition_by), "0 as all_rows"]) + ")"
+    key = "struct(" + ", ".join(f"{q(c)} as k{i}" for i, c in enumerate([*partition_by, *order_by])) + ")"
+    keyed = df.selectExpr("*", f"{key} as {_KEY}", f"{group} as {_GROUP}")
     key_type = keyed.schema[_KEY].dataType.simpleString()
-    bucketed = keyed.withColumn(_BUCKET, _bucket_of(_borders(keyed, rows, rows_per_bucket), key_type))
+    borders = _borders(keyed, df.count(), rows_per_bucket)
+    bucketed = keyed.withColumn(_BUCKET, _bucket_of(borders, key_type))
 
-    # One row per bucket: its first and last fill group, and the edge values of those groups.
-    edge_groups = bucketed.groupBy(_BUCKET).agg(
-        F.min_by(group, F.col(_KEY)).alias("__first"), F.max_by(group, F.col(_KEY)).alias("__last"),
-    )
-    at_edges = bucketed.withColumn("__group", group).select(
-        _BUCKET, "__group", _KEY, *[col(c) for c in columns]
-    ).join(F.broadcast(edge_groups), _BUCKET)  # at most MAX_BUCKETS + 1 rows
-    edges = at_edges.groupBy(_BUCKET, "__first", "__last").agg(*[
+    local = f"partition by {_BUCKET}, {_GROUP} order by {_KEY} rows between"
+    filled = bucketed.selectExpr("*", *[
         e for i, c in enumerate(columns) for e in (
-            F.max_by(col(c), F.when(col(c).isNotNull() & (F.col("__group") == F.col("__last")), F.col(_KEY))).alias(f"__tail{i}"),
-            F.min_by(col(c), F.when(col(c).isNotNull() & (F.col("__group") == F.col("__first")), F.col(_KEY))).alias(f"__head{i}"),
-        )
+            f"last_value({q(c)}) ignore nulls over ({local} unbounded preceding and current row) as __last{i}",
+            f"first_value({q(c)}) ignore nulls over ({local} current row and unbounded following) as __next{i}")
     ])
-    # A value carries across buckets as long as they touch the same group: the last
-    # known value before this bucket, and the next known one after it.
-    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing)
-    carries = edges.select(
-        _BUCKET, "__first", "__last",
-        *[e for i, c in enumerate(columns) for e in (
-            F.last(F.when(F.col(f"__tail{i}").isNotNull(), F.struct("__last", f"__tail{i}")), True).over(before).alias(f"__b{i}"),
-            F.first(F.when(F.col(f"__head{i}").isNotNull(), F.struct("__first", f"__head{i}")), True).over(after).alias(f"__a{i}"),
-        )],
-    ).select(
-        F.col(_BUCKET).alias("__at"), "__first", "__last",
-        *[e for i, c in enumerate(columns) for e in (
-            F.when(F.col(f"__b{i}.__last") == F.col("__first"), F.col(f"__b{i}.__tail{i}")).alias(f"__carry_f{i}"),
-            F.when(F.col(f"__a{i}.__first") == F.col("__last"), F.col(f"__a{i}.__head{i}")).alias(f"__carry_b{i}"),
-        )],
-    )
-    ordered = Window.partitionBy(F.col(_BUCKET), *groups).orderBy(F.col(_KEY))
-    local = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    back = ordered.rowsBetween(0, Window.unboundedFollowing)
-    joined = bucketed.withColumn("__group", group)
-    for i, c in enumerate(columns):
-        joined = joined.withColumn(f"__f{i}", F.last(col(c), True).over(local)).withColumn(
-            f"__n{i}", F.first(col(c), True).over(back))
-    joined = joined.join(F.broadcast(carries), F.col(_BUCKET) == F.col("__at"), "left")
-    filled = {
-        c: F.coalesce(
-            F.col(f"__f{i}"),
-            F.when(F.col("__group") == F.col("__first"), F.col(f"__carry_f{i}")),
-            F.col(f"__n{i}"),
-            F.when(F.col("__group") == F.col("__last"), F.col(f"__carry_b{i}")),
-        )
-        for i, c in enumerate(columns)
+    if borders:
+        # One row per bucket, at most MAX_BUCKETS of them.
+        filled = filled.join(F.broadcast(_carries(bucketed, columns)), _BUCKET, "left")
+        across = [
+            (f"if({_GROUP} = __first, __back{i}, null)", f"if({_GROUP} = __final, __ahead{i}, null)")
+            for i in range(len(columns))
+        ]
+    else:
+        across = [("null", "null")] * len(columns)
+    new = {
+        c: f"coalesce(__last{i}, {across[i][0]}, __next{i}, {across[i][1]})" for i, c in enumerate(columns)
     }
-    return joined.select(*[filled[c].alias(c) if c in filled else col(c) for c in names])
+    return filled.selectExpr(*[f"{new.get(c, q(c))} as {q(c)}" for c in df.columns])
+
+
+def _carries(bucketed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per bucket the last known value before it and the next one after it, within the same group.
+
+    A value crosses borders only for the group that touches them, so the edge groups of
+    each bucket are all there is to look at.
+    """
+    edge_groups = bucketed.groupBy(_BUCKET).agg(
+        F.expr(f"min_by({_GROUP}, {_KEY}) as __first"), F.expr(f"max_by({_GROUP}, {_KEY}) as __final"))
+    at_edges = bucketed.select(_BUCKET, _GROUP, _KEY, *[q(c) for c in columns]).join(F.broadcast(edge_groups), _BUCKET)
+    edges = at_edges.groupBy(_BUCKET, "__first", "__final").agg(*[
+        F.expr(e) for i, c in enumerate(columns) for e in (
+            f"max_by({q(c)}, {_KEY}) filter (where {q(c)} is not null and {_GROUP} = __final) as __tail{i}",
+            f"min_by({q(c)}, {_KEY}) filter (where {q(c)} is not null and {_GROUP} = __first) as __head{i}")
+    ])
+    before = f"over (order by {_BUCKET} rows between unbounded preceding and 1 preceding)"
+    after = f"over (order by {_BUCKET} rows between 1 following and unbounded following)"
+    nearest = edges.selectExpr(_BUCKET, "__first", "__final", *[
+        e for i in range(len(columns)) for e in (
+            f"last_value(if(__tail{i} is null, null, struct(__final as g, __tail{i} as v))) ignore nulls {before} as b{i}",
+            f"first_value(if(__head{i} is null, null, struct(__first as g, __head{i} as v))) ignore nulls {after} as a{i}")
+    ])
+    return nearest.selectExpr(_BUCKET, "__first", "__final", *[
+        e for i in range(len(columns)) for e in (
+            f"if(b{i}.g = __first, b{i}.v, null) as __back{i}", f"if(a{i}.g = __final, a{i}.v, null) as __ahead{i}")
+    ])

@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.numbers import col
+from tablewright.functions.sql import literal, q, replace_columns
 from tablewright.operators.fill import fill_ordered
 from tablewright.operators.profile import dtype_family, value_counts
-from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.quantiles import GUARD_ERROR, exact_quantiles
 
 UNKNOWN = "Unknown"
 NUMERIC_STRATEGIES = ("median", "mean", "zero", "forward_fill", "drop_row")
 # Below this many distinct values the mode stands in for missing text.
 MODE_DISTINCT_LIMIT = 20
-# A sketch over this few values is exact up to hash ties, so a larger estimate proves the limit is passed.
+# With so few values the distinct sketch counts near exactly: twice the limit proves it is passed.
 _MODE_SKETCH_LIMIT = 2 * MODE_DISTINCT_LIMIT
 
 
@@ -37,8 +37,7 @@ class Fill:
 
 
 def _strategy(family: str, name: str, numeric: str, categorical: str, date: str, custom: Mapping[str, str]) -> str:
-    default = {"numeric": numeric, "datetime": date}.get(family, categorical)
-    chosen = custom.get(name, default)
+    chosen = custom.get(name, {"numeric": numeric, "datetime": date}.get(family, categorical))
     if family == "numeric" and chosen not in NUMERIC_STRATEGIES:
         raise ValueError(f"unknown numeric strategy {chosen!r} for column {name!r}")
     return chosen
@@ -53,69 +52,62 @@ def fit_missing(
     Rows dropped for an earlier column do not count for later ones; that is a condition
     inside the aggregates, not another pass.
     """
-    fields = [f for f in df.schema.fields]
-    chosen = {f.name: _strategy(dtype_family(f.dataType), f.name, numeric, categorical, date, custom or {}) for f in fields}
+    fields = list(df.schema.fields)
+    family = {f.name: dtype_family(f.dataType) for f in fields}
+    chosen = {f.name: _strategy(family[f.name], f.name, numeric, categorical, date, custom or {}) for f in fields}
     dropped: list[str] = []
-    alive: dict[str, Column] = {}
+    alive: dict[str, str] = {}
     for f in fields:
-        alive[f.name] = F.lit(True)
-        for earlier in dropped:
-            alive[f.name] = alive[f.name] & col(earlier).isNotNull()
+        alive[f.name] = " and ".join(f"{q(c)} is not null" for c in dropped) or "true"
         if chosen[f.name] == "drop_row":
             dropped.append(f.name)
 
-    def kept(name: str) -> Column:
-        return F.when(alive[name], col(name)) if dropped else col(name)
+    def kept(name: str) -> str:
+        return q(name) if alive[name] == "true" else f"case when {alive[name]} then {q(name)} end"
 
     aggregates = []
     for i, f in enumerate(fields):
-        x, family = kept(f.name), dtype_family(f.dataType)
-        aggregates.append(F.count_if(alive[f.name] & col(f.name).isNull()).alias(f"z{i}"))
-        if family == "numeric":
-            aggregates += [F.avg(x.cast("double")).alias(f"m{i}"), F.count(x).alias(f"n{i}"),
-                           F.approx_count_distinct(x, 0.05).alias(f"d{i}")]
-        elif family == "boolean":
-            aggregates += [F.count_if(x).alias(f"t{i}"), F.count_if(~x).alias(f"f{i}")]
-        else:
-            aggregates.append(F.approx_count_distinct(x.cast("string") if family == "text" else F.lit(1), 0.05).alias(f"d{i}"))
-    seen = df.agg(*aggregates).first()
+        x = kept(f.name)
+        aggregates.append(f"count_if({alive[f.name]} and {q(f.name)} is null) as z{i}")
+        if family[f.name] == "numeric":
+            aggregates += [f"avg(cast({x} as double)) as m{i}", f"count({x}) as n{i}",
+                           f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}"]
+        elif family[f.name] == "boolean":
+            aggregates += [f"count_if({x}) as t{i}", f"count_if(not {x}) as f{i}"]
+        elif family[f.name] == "text":
+            aggregates.append(f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}")
+    seen = df.selectExpr(*aggregates).first()
     missing = [(i, f) for i, f in enumerate(fields) if seen[f"z{i}"] > 0]
 
-    for_median = [(i, f) for i, f in missing if dtype_family(f.dataType) == "numeric" and chosen[f.name] == "median"]
+    for_median = [(i, f.name) for i, f in missing if family[f.name] == "numeric" and chosen[f.name] == "median"]
     medians = exact_quantiles(
-        df.select(*[kept(f.name).alias(f.name) for _, f in for_median]),
-        {f.name: [0.5] for _, f in for_median}, {f.name: (seen[f"n{i}"], seen[f"d{i}"]) for i, f in for_median},
+        df.selectExpr(*[f"{kept(c)} as {q(c)}" for _, c in for_median]), {c: [0.5] for _, c in for_median},
+        {c: (seen[f"n{i}"], seen[f"d{i}"]) for i, c in for_median},
     ) if for_median else {}
     for_mode = [
-        f.name for i, f in missing
-        if dtype_family(f.dataType) == "text" and (
+        f.name for i, f in missing if family[f.name] == "text" and (
             chosen[f.name] == "mode" or (chosen[f.name] == "mode_or_unknown" and seen[f"d{i}"] <= _MODE_SKETCH_LIMIT))
     ]
-    modes = text_modes(df.select(*[kept(c).alias(c) for c in for_mode])) if for_mode else {}
+    modes = text_modes(df.selectExpr(*[f"{kept(c)} as {q(c)}" for c in for_mode])) if for_mode else {}
 
     fills = []
     for i, f in missing:
-        name, strategy, count = f.name, chosen[f.name], seen[f"z{i}"]
-        family = dtype_family(f.dataType)
-        whole = isinstance(f.dataType, T.IntegralType)
+        name, strategy, count, kind = f.name, chosen[f.name], seen[f"z{i}"], family[f.name]
         if strategy == "drop_row":
             fills.append(Fill(name, "drop", "dropped_rows", count))
-        elif family == "boolean":
+        elif strategy == "forward_fill" and kind in ("numeric", "datetime"):
+            fills.append(Fill(name, "forward_fill", "forward_fill", count))
+        elif kind == "boolean":
             fills.append(Fill(name, "fill", "boolean_mode", count, seen[f"t{i}"] > seen[f"f{i}"]))
-        elif family == "numeric":
-            if strategy == "forward_fill":
-                fills.append(Fill(name, "forward_fill", "forward_fill", count))
-                continue
+        elif kind == "numeric":
             value = {"median": medians.get(name, [None])[0], "mean": seen[f"m{i}"], "zero": 0.0}[strategy]
             value = 0.0 if value is None else round(value, 2)
-            label = "constant (0)" if strategy == "zero" else strategy
-            fills.append(Fill(name, "fill", label, count, int(round(value)) if whole else value))
-        elif family == "datetime":
-            if strategy == "forward_fill":
-                fills.append(Fill(name, "forward_fill", "forward_fill", count))
-            else:
-                fills.append(Fill(name, "keep", "retained NaT (safe date handling)", count))
-        elif family == "text":
+            if isinstance(f.dataType, T.IntegralType):
+                value = int(round(value))
+            fills.append(Fill(name, "fill", "constant (0)" if strategy == "zero" else strategy, count, value))
+        elif kind == "datetime":
+            fills.append(Fill(name, "keep", "retained NaT (safe date handling)", count))
+        elif kind == "text":
             mode, distinct = modes.get(name, (None, 0))
             use_mode = mode is not None and (strategy == "mode" or distinct < MODE_DISTINCT_LIMIT)
             fills.append(Fill(name, "fill", strategy, count, mode if use_mode else UNKNOWN))
@@ -125,17 +117,14 @@ def fit_missing(
 def text_modes(df: DataFrame) -> dict[str, tuple[str, int]]:
     """Most frequent value (smallest on ties) and distinct count of each text column."""
     rows = value_counts(df, df.columns).groupBy("column").agg(
-        F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("mode"),
-        F.count(F.lit(1)).alias("distinct"),
-    ).collect()
-    return {r["column"]: (r["mode"], r["distinct"]) for r in rows}
+        F.expr("min_by(value, struct(-n, value)) as mode"), F.expr("count(1) as distinct_values")).collect()
+    return {r["column"]: (r["mode"], r["distinct_values"]) for r in rows}
 
 
 def apply_missing(
     df: DataFrame, fills: Sequence[Fill], order_by: Sequence[str] = (), partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Constants go into one projection; drops and ordered fills keep their column order."""
-    constants = {f.column: f.value for f in fills if f.action == "fill"}
     pending: list[str] = []
     for step in fills:
         if step.action == "forward_fill":
@@ -143,16 +132,14 @@ def apply_missing(
         elif step.action == "drop":
             if pending:  # an ordered fill still sees the rows dropped after it
                 df, pending = fill_ordered(df, pending, order_by, partition_by), []
-            df = df.filter(col(step.column).isNotNull())
+            df = df.filter(f"{q(step.column)} is not null")
     if pending:
         df = fill_ordered(df, pending, order_by, partition_by)
-    if not constants:
-        return df
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(*[
-        (F.coalesce(col(c), F.lit(constants[c]).cast(types[c])) if c in constants else col(c)).alias(c)
-        for c in df.columns
-    ])
+    constants = {
+        f.column: f"coalesce({q(f.column)}, {literal(f.value, df.schema[f.column].dataType.simpleString())})"
+        for f in fills if f.action == "fill"
+    }
+    return replace_columns(df, constants) if constants else df
 
 
 FILL_SCHEMA = "seq int, column string, strategy string, affected bigint, fill_value string"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tablewright.functions.numbers import as_double, col, numeric_columns
-from tablewright.operators.quantiles import exact_quantiles
+from tablewright.functions.numbers import as_double
+from tablewright.functions.sql import number, numeric_columns, q, replace_columns
+from tablewright.operators.quantiles import GUARD_ERROR, exact_quantiles
 
 # Columns with fewer values, or at most two distinct ones, are skipped.
 MIN_VALUES = 5
@@ -32,10 +32,20 @@ class Bounds:
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def within(self) -> str:
+        return f"({q(self.column)} is null or {self.inside()})"
+
+    def inside(self) -> str:
+        return f"{as_double(self.column)} between {number(self.lower)} and {number(self.upper)}"
+
+    def clipped(self) -> str:
+        # greatest/least skip NULL, so NULL needs its own branch.
+        x = as_double(self.column)
+        return f"if({x} is null, null, greatest(least({x}, {number(self.upper)}), {number(self.lower)}))"
+
 
 def detect_outliers(
-    df: DataFrame, method: str = "iqr", threshold: float = DEFAULT_THRESHOLD,
-    columns: Sequence[str] | None = None, guards: Mapping[str, tuple[int, int]] | None = None,
+    df: DataFrame, method: str = "iqr", threshold: float = DEFAULT_THRESHOLD, columns: Sequence[str] | None = None,
 ) -> list[Bounds]:
     """Three column-pruned passes: spread, quartiles, counts. Only per-column numbers reach the driver."""
     if method not in ("iqr", "zscore"):
@@ -43,38 +53,34 @@ def detect_outliers(
     names = numeric_columns(df) if columns is None else list(columns)
     if not names:
         return []
-    spread = df.agg(*[
-        e for i, c in enumerate(names) for e in (
-            F.count(col(c)).alias(f"n{i}"), F.min(as_double(c)).alias(f"lo{i}"), F.max(as_double(c)).alias(f"hi{i}"),
-            F.avg(as_double(c)).alias(f"m{i}"), F.stddev_samp(as_double(c)).alias(f"s{i}"),
-            F.approx_count_distinct(as_double(c), 0.05).alias(f"d{i}"),
-        )
+    spread = df.selectExpr(*[
+        e for i, c in enumerate(names) for x in [as_double(c)] for e in (
+            f"count({x}) as n{i}", f"min({x}) as lo{i}", f"max({x}) as hi{i}", f"avg({x}) as m{i}",
+            f"stddev_samp({x}) as s{i}", f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}")
     ]).first()
     usable = [(i, c) for i, c in enumerate(names) if spread[f"n{i}"] >= MIN_VALUES]
-    limits: dict[str, tuple[float, float, Column]] = {}
+    limits: dict[str, tuple[float, float, str]] = {}
     if method == "iqr":
-        known = {c: (spread[f"n{i}"], spread[f"d{i}"]) for i, c in usable} if guards is None else guards
-        quartiles = exact_quantiles(df, {c: [0.25, 0.75] for _, c in usable}, known)
-        for _, c in usable:
-            q1, q3 = quartiles[c]
-            if q3 - q1 != 0:
+        guards = {c: (spread[f"n{i}"], spread[f"d{i}"]) for i, c in usable}
+        for c, (q1, q3) in exact_quantiles(df, {c: [0.25, 0.75] for _, c in usable}, guards).items():
+            if q3 != q1:
                 lower, upper = round(q1 - threshold * (q3 - q1), 2), round(q3 + threshold * (q3 - q1), 2)
-                limits[c] = (lower, upper, (as_double(c) < lower) | (as_double(c) > upper))
+                x = as_double(c)
+                limits[c] = (lower, upper, f"{x} < {number(lower)} or {x} > {number(upper)}")
     else:
         for i, c in usable:
             mean, std = spread[f"m{i}"], spread[f"s{i}"]
             if std:
-                outside = F.abs((as_double(c) - mean) / std) > threshold
+                outside = f"abs(({as_double(c)} - {number(mean)}) / {number(std)}) > {number(float(threshold))}"
                 limits[c] = (round(mean - threshold * std, 2), round(mean + threshold * std, 2), outside)
     if not limits:
         return []
     at = {c: i for i, c in usable}
-    counted = df.agg(*[
+    counted = df.selectExpr(*[
         e for j, (c, (_, _, outside)) in enumerate(limits.items()) for e in (
-            F.count_if(outside).alias(f"o{j}"),
+            f"count_if({outside}) as o{j}",
             # More than two distinct values: something lies strictly between least and greatest.
-            F.count_if((as_double(c) > spread[f"lo{at[c]}"]) & (as_double(c) < spread[f"hi{at[c]}"])).alias(f"b{j}"),
-        )
+            f"count_if({as_double(c)} > {number(spread[f'lo{at[c]}'])} and {as_double(c)} < {number(spread[f'hi{at[c]}'])}) as b{j}")
     ]).first()
     found = []
     for j, (c, (lower, upper, _)) in enumerate(limits.items()):
@@ -89,27 +95,15 @@ def outlier_table(df: DataFrame, bounds: Sequence[Bounds]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, OUTLIER_SCHEMA)
 
 
-def _clipped(b: Bounds) -> Column:
-    x = as_double(b.column)
-    # greatest/least skip NULL, so NULL needs its own branch.
-    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(b.upper)), F.lit(b.lower)))
-
-
-def _within(b: Bounds) -> Column:
-    return col(b.column).isNull() | as_double(b.column).between(b.lower, b.upper)
-
-
 def handle_outliers(df: DataFrame, bounds: Sequence[Bounds], action: str = "keep") -> DataFrame:
     """`keep` as is, `cap` to the bounds, or `remove` the rows outside them."""
     if action not in ("keep", "cap", "remove"):
         raise ValueError(f"unknown outlier action: {action}")
+    if action == "keep" or not bounds:
+        return df
     if action == "cap":
-        by_name = {b.column: b for b in bounds}
-        return df.select(*[(_clipped(by_name[c]) if c in by_name else col(c)).alias(c) for c in df.columns])
-    if action == "remove":
-        for b in bounds:
-            df = df.filter(_within(b))
-    return df
+        return replace_columns(df, {b.column: b.clipped() for b in bounds})
+    return df.filter(" and ".join(b.within() for b in bounds))
 
 
 def outlier_action_counts(
@@ -118,13 +112,12 @@ def outlier_action_counts(
     """Values capped, or rows removed, per column in order; one pass."""
     if not bounds or action == "keep":
         return {}
-    tests, alive = [], F.lit(True)
+    tests, alive = [], "true"
     for b in bounds:
         if action == "cap":
-            changed = ~as_double(b.column).between(b.lower, b.upper)
-            tests.append(F.coalesce(changed, F.lit(null_is_change)))
+            tests.append(f"coalesce(not ({b.inside()}), {str(null_is_change).lower()})")
         else:
-            tests.append(alive & ~_within(b))
-            alive = alive & _within(b)
-    row = df.agg(*[F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests)]).first()
-    return {b.column: row[i] for i, b in enumerate(bounds)}
+            tests.append(f"{alive} and not {b.within()}")
+            alive = f"{alive} and {b.within()}"
+    row = df.selectExpr(*[f"count_if({t})" for t in tests]).first()
+    return {b.column: n for b, n in zip(bounds, row)}

@@ -2,22 +2,23 @@
 
 All per-column counts of a table come from ONE aggregate. Distinct counts and sample
 values come from a second one over (column, value) pairs, which combines map-side;
-many `count_distinct` in one aggregate would instead copy every row once per column.
+many `count(distinct)` in one aggregate would instead copy every row once per column.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import PROFILE_DATE_PATTERNS, looks_like_date
 from tablewright.functions.names import expects_positive, is_nonstandard
 from tablewright.functions.numbers import (
-    MONEY_PERCENT_PATTERN, NOT_NUMERIC_CHARS, NUMBER_PATTERN, col, is_numeric, parse_number, pct2,
+    NOT_NUMERIC_CHARS, looks_numeric, parse_number, pct2, round1, strip_money_percent,
 )
+from tablewright.functions.sql import any_of, is_nested, is_numeric, is_text, is_time, q, rows_of, sql_map, text
 from tablewright.functions.text import PROFILE_BOOL_TOKENS, trim_text
 from tablewright.operators.dedup import duplicate_count
 
@@ -30,13 +31,17 @@ GRADES = (
     (90, "A+ (Excellent)"), (80, "A (Good)"), (70, "B (Acceptable)"), (50, "C (Needs Attention)"),
 )
 LOWEST_GRADE = "D (Critical Data Quality Issues)"
+# Dimension weights of the health score.
+WEIGHTS = {"c": 0.35, "u": 0.25, "v": 0.25, "k": 0.15}
 NO_ISSUES = "No major data quality issues detected."
 EMPTY_ISSUE = "Dataset is empty."
 SAMPLE_SIZE = 5
 
-
-def is_text(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.StringType)
+PROFILE_SCHEMA = (
+    "total_rows bigint, total_columns bigint, total_cells bigint, total_missing bigint, total_missing_pct double, "
+    "duplicate_count bigint, duplicate_pct double, completeness double, uniqueness double, validity double, "
+    "consistency double, quality_score double, quality_grade string, is_empty boolean"
+)
 
 
 def dtype_family(dtype: T.DataType) -> str:
@@ -46,9 +51,7 @@ def dtype_family(dtype: T.DataType) -> str:
         return "numeric"
     if is_text(dtype):
         return "text"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "datetime"
-    return "other"
+    return "datetime" if is_time(dtype) else "other"
 
 
 def dtype_table(df: DataFrame) -> DataFrame:
@@ -60,104 +63,79 @@ def dtype_table(df: DataFrame) -> DataFrame:
 
 # --- per-column counts -------------------------------------------------------------
 
-def _column_counts(field: T.StructField) -> Column:
-    """All counts of one column as a struct of aggregates."""
-    c, text = col(field.name), is_text(field.dataType)
-    none = F.lit(0).cast("bigint")
-    numeric = dates = bools = blanks = text_negatives = negatives = none
-    if text:
-        trimmed = trim_text(c)
-        numeric = F.count_if(F.regexp_replace(trimmed, MONEY_PERCENT_PATTERN, "").rlike(NUMBER_PATTERN))
-        dates = F.count_if(looks_like_date(trimmed, PROFILE_DATE_PATTERNS))
-        bools = F.count_if(F.lower(trimmed).isin(list(PROFILE_BOOL_TOKENS)))
-        blanks = F.count_if(trimmed == "")
-        if expects_positive(field.name):
-            text_negatives = F.count_if(parse_number(F.regexp_replace(c, NOT_NUMERIC_CHARS, "")) < 0)
-    elif is_numeric(field.dataType) and expects_positive(field.name):
-        negatives = F.count_if(c < 0)
-    return F.struct(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(c.isNull()).alias("missing_count"),
-        numeric.alias("numeric_like"), dates.alias("date_like"), bools.alias("bool_like"),
-        blanks.alias("blank_count"), text_negatives.alias("text_negatives"), negatives.alias("negatives"),
-    )
+def _counts(field: T.StructField, i: int) -> str:
+    """All counts of one column as a struct of aggregates over raw `x{i}` and trimmed `t{i}`."""
+    x, t, checked = f"x{i}", f"t{i}", expects_positive(field.name)
+    tests = dict.fromkeys(("numeric_like", "date_like", "bool_like", "blank_count", "text_negatives", "negatives"), "0L")
+    if is_text(field.dataType):
+        tests["numeric_like"] = f"count_if({looks_numeric(strip_money_percent(t))})"
+        tests["date_like"] = f"count_if({looks_like_date(t, PROFILE_DATE_PATTERNS)})"
+        tests["bool_like"] = f"count_if(lower({t}) in {any_of(PROFILE_BOOL_TOKENS)})"
+        tests["blank_count"] = f"count_if({t} = '')"
+        if checked:
+            digits = f"regexp_replace({x}, {text(NOT_NUMERIC_CHARS)}, '')"
+            tests["text_negatives"] = f"count_if({parse_number(digits)} < 0)"
+    elif checked and is_numeric(field.dataType):
+        tests["negatives"] = f"count_if({x} < 0)"
+    listed = ", ".join(f"{e} as {n}" for n, e in tests.items())
+    return f"struct(count(1) as rows, count_if({x} is null) as missing_count, {listed}) as s{i}"
 
 
 def column_counts(df: DataFrame) -> DataFrame:
     """One row per column, from one pass over the table."""
     fields = df.schema.fields
-    row = df.agg(*[_column_counts(f).alias(f"s{i}") for i, f in enumerate(fields)])
-    per_column = [
-        F.struct(
-            F.lit(i).alias("seq"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.lit(is_text(f.dataType)).alias("is_text"), F.lit(is_nonstandard(f.name)).alias("nonstandard_name"),
-            F.col(f"s{i}").alias("s"),
-        )
+    inputs = [f"{q(f.name)} as x{i}" for i, f in enumerate(fields)]
+    inputs += [f"{trim_text(q(f.name))} as t{i}" for i, f in enumerate(fields) if is_text(f.dataType)]
+    row = df.selectExpr(*inputs).selectExpr(*[_counts(f, i) for i, f in enumerate(fields)])
+    long = row.selectExpr(rows_of(
+        f"struct({i} as seq, {text(f.name)} as column, {text(f.dataType.simpleString())} as dtype, "
+        f"{str(is_text(f.dataType)).lower()} as is_text, {str(is_nonstandard(f.name)).lower()} as nonstandard_name, s{i} as s)"
         for i, f in enumerate(fields)
-    ]
-    flat = row.select(F.explode(F.array(*per_column)).alias("p")).select("p.*").select("*", "s.*").drop("s")
-    return flat.select(
+    )).selectExpr("* except (s)", "s.*")
+    typed = long.selectExpr("*", f"""case
+        when not is_text then null
+        when rows = missing_count then '{EMPTY_TEXT}'
+        when numeric_like / (rows - missing_count) >= {NUMERIC_SHARE}D then '{NUMERIC_TEXT}'
+        when date_like / (rows - missing_count) >= {DATE_SHARE}D then '{DATE_TEXT}'
+        when bool_like / (rows - missing_count) >= {BOOL_SHARE}D then '{BOOL_TEXT}'
+        else '{PLAIN_TEXT}' end as inferred_type""")
+    return typed.selectExpr(
         "seq", "column", "dtype", "is_text", "nonstandard_name", "rows", "missing_count",
-        pct2(F.col("missing_count"), F.col("rows")).alias("missing_pct"),
-        "numeric_like", "date_like", "bool_like", "blank_count",
-        _inferred_type().alias("inferred_type"),
+        f"{pct2('missing_count', 'rows')} as missing_pct", "numeric_like", "date_like", "bool_like", "blank_count",
+        "inferred_type",
         # Text negatives count only where the column reads as numbers.
-        F.when(F.col("is_text"), F.when(_inferred_type() == NUMERIC_TEXT, F.col("text_negatives")).otherwise(0))
-        .otherwise(F.col("negatives")).cast("bigint").alias("negative_count"),
+        f"if(inferred_type = '{NUMERIC_TEXT}', text_negatives, negatives) as negative_count",
     )
 
 
-def _inferred_type() -> Column:
-    known = F.col("rows") - F.col("missing_count")
-
-    def share(name: str) -> Column:
-        return F.try_divide(F.col(name).cast("double"), known)
-
-    return (
-        F.when(~F.col("is_text"), F.lit(None).cast("string"))
-        .when(known == 0, EMPTY_TEXT)
-        .when(share("numeric_like") >= NUMERIC_SHARE, NUMERIC_TEXT)
-        .when(share("date_like") >= DATE_SHARE, DATE_TEXT)
-        .when(share("bool_like") >= BOOL_SHARE, BOOL_TEXT)
-        .otherwise(PLAIN_TEXT)
-    )
+# --- distinct values ---------------------------------------------------------------
 
+def _value_kind(dtype: T.DataType) -> str:
+    """Columns of one kind can share one typed value column."""
+    family = dtype_family(dtype)
+    if family == "numeric":
+        return "bigint" if isinstance(dtype, T.IntegralType) else "double"
+    return family
 
-# --- distinct values ---------------------------------------------------------------
 
-def _value_families(df: DataFrame) -> list[list[str]]:
-    """Columns that can share one typed value column."""
-    families: dict[str, list[str]] = {}
-    for f in df.schema.fields:
-        kind = dtype_family(f.dataType)
-        if kind == "numeric":
-            kind = "bigint" if isinstance(f.dataType, T.IntegralType) else "double"
-        families.setdefault(kind, []).append(f.name)
-    return list(families.values())
-
-
-def _typed(df: DataFrame, name: str) -> Column:
-    field = df.schema[name]
-    kind = dtype_family(field.dataType)
-    if kind == "numeric":
-        # Adding zero folds -0.0 into 0.0.
-        return col(name).cast("bigint") if isinstance(field.dataType, T.IntegralType) else col(name).cast("double") + 0.0
+def _value(field: T.StructField) -> str:
+    x, kind = q(field.name), _value_kind(field.dataType)
+    if kind == "double":
+        return f"cast({x} as double) + 0D"  # folds -0.0 into 0.0
     if kind == "datetime":
-        return col(name).cast("timestamp_ntz")
+        return f"cast({x} as timestamp_ntz)"
     if kind == "other":
-        return F.to_json(col(name)) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else col(name).cast("string")
-    return col(name)
+        return f"to_json({x})" if is_nested(field.dataType) else f"cast({x} as string)"
+    return f"cast({x} as bigint)" if kind == "bigint" else x
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) of non-null values; `columns` must share one typed value column."""
-    named = df.select(*[_typed(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    long = named.unpivot([], [F.col(f"v{i}") for i in range(len(columns))], "at", "value")
-    labels = F.array(*[F.lit(c) for c in columns])
-    return (
-        long.filter(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.element_at(labels, F.substring("at", 2, 9).cast("int") + 1).alias("column"), "value", "n")
-    )
+    """(column, value, n) of non-null values; `columns` must be of one kind."""
+    named = df.selectExpr(*[f"{_value(df.schema[c])} as v{i}" for i, c in enumerate(columns)])
+    long = named.unpivot([], [f"v{i}" for i in range(len(columns))], "at", "value")
+    names = sql_map((f"v{i}", c) for i, c in enumerate(columns))
+    counted = long.filter("value is not null").groupBy("at", "value").agg(F.expr("count(1) as n"))
+    return counted.selectExpr(f"element_at({names}, at) as column", "value", "n")
 
 
 def cardinality(df: DataFrame, samples: bool = True) -> DataFrame:
@@ -166,18 +144,19 @@ def cardinality(df: DataFrame, samples: bool = True) -> DataFrame:
     The sample comes from a limited ranking: Spark cuts every task's rows to five per
     column before they are shuffled.
     """
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        kinds.setdefault(_value_kind(f.dataType), []).append(f.name)
     parts = []
-    for family in _value_families(df):
-        counts = value_counts(df, family)
-        part = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    for columns in kinds.values():
+        counts = value_counts(df, columns)
+        part = counts.groupBy("column").agg(F.expr("count(1) as unique_count"))
         if samples:
-            ranked = counts.withColumn(
-                "rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))
-            ).filter(F.col("rank") <= SAMPLE_SIZE)
-            firsts = ranked.groupBy("column").agg(
-                F.sort_array(F.collect_list(F.struct("rank", F.col("value").cast("string").alias("v"))))["v"].alias("sample_values")
-            )
-            part = part.join(firsts, "column")
+            ranked = counts.selectExpr(
+                "column", "cast(value as string) as v", "row_number() over (partition by column order by value) as rank")
+            smallest = ranked.filter(f"rank <= {SAMPLE_SIZE}").groupBy("column").agg(
+                F.expr("sort_array(collect_list(struct(rank, v))).v as sample_values"))
+            part = part.join(smallest, "column")
         parts.append(part)
     out = parts[0]
     for part in parts[1:]:
@@ -186,49 +165,31 @@ def cardinality(df: DataFrame, samples: bool = True) -> DataFrame:
 
 
 def column_profile(df: DataFrame, samples: bool = True) -> DataFrame:
-    counts = column_counts(df)
-    distinct = cardinality(df, samples)
-    joined = counts.join(distinct, "column", "left")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0))
-    return joined.select(
-        "seq", "column", "dtype", "inferred_type", "missing_count", "missing_pct",
-        unique.alias("unique_count"), pct2(unique, F.col("rows")).alias("unique_pct"),
-        *([F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values")] if samples else []),
-        ((unique <= 1) & (F.col("rows") > 1)).alias("is_constant"),
-        "negative_count", "blank_count", "nonstandard_name", "rows",
+    joined = column_counts(df).join(cardinality(df, samples), "column", "left")
+    sample = ["coalesce(sample_values, cast(array() as array<string>)) as sample_values"] if samples else []
+    return joined.selectExpr("* except (unique_count)", "coalesce(unique_count, 0L) as unique_count").selectExpr(
+        "seq", "column", "dtype", "inferred_type", "missing_count", "missing_pct", "unique_count",
+        f"{pct2('unique_count', 'rows')} as unique_pct", *sample,
+        "unique_count <= 1 and rows > 1 as is_constant", "negative_count", "blank_count", "nonstandard_name", "rows",
     )
 
 
 def approx_cardinality(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
-    """HyperLogLog distinct counts: one pass, no shuffle of values."""
-    row = df.agg(*[F.approx_count_distinct(col(c), relative_error).alias(f"u{i}") for i, c in enumerate(df.columns)])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_count")) for i, c in enumerate(df.columns)
-    ])).alias("p")).select("p.*")
+    """Sketched distinct counts: one pass, no shuffle of values."""
+    row = df.selectExpr(*[f"approx_count_distinct({q(c)}, {relative_error}) as u{i}" for i, c in enumerate(df.columns)])
+    return row.selectExpr(rows_of(f"struct({text(c)} as column, u{i} as unique_count)" for i, c in enumerate(df.columns)))
 
 
 # --- table profile -----------------------------------------------------------------
 
-def compat_blank(blank: Column, missing: Column) -> Column:
+def _blank(compat: bool) -> str:
     """Blank cells as the score counts them: NULLs are subtracted although never counted."""
-    return F.greatest(blank - missing, F.lit(0))
-
-
-@dataclass(frozen=True)
-class Weights:
-    """Dimension weights and penalties of the health score."""
-
-    completeness: float = 0.35
-    uniqueness: float = 0.25
-    validity: float = 0.25
-    consistency: float = 0.15
+    return "greatest(blank_count - missing_count, 0L)" if compat else "blank_count"
 
 
-def grade_of(score: Column) -> Column:
-    out = None
-    for floor, label in GRADES:
-        out = F.when(score >= floor, label) if out is None else out.when(score >= floor, label)
-    return out.otherwise(LOWEST_GRADE)
+def grade_of(score: str) -> str:
+    cases = " ".join(f"when {score} >= {floor} then {text(label)}" for floor, label in GRADES)
+    return f"case {cases} else {text(LOWEST_GRADE)} end"
 
 
 def dataset_profile(
@@ -236,77 +197,47 @@ def dataset_profile(
 ) -> DataFrame:
     """One row: shape, missing, duplicates, four dimensions, score and grade."""
     if not df.columns:
-        return _empty_profile(df)
+        row = (0, 0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "N/A", True)
+        return df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
     counts = column_counts(df) if counts is None else counts
     duplicates = duplicate_count(df) if duplicates is None else duplicates
-    blank = compat_blank(F.col("blank_count"), F.col("missing_count")) if blank_compat else F.col("blank_count")
-    unparsed = F.col("inferred_type").isin(NUMERIC_TEXT, DATE_TEXT)
-    sums = counts.agg(
-        F.max("rows").alias("total_rows"), F.count(F.lit(1)).alias("total_columns"),
-        F.sum("missing_count").alias("total_missing"),
-        F.sum(F.col("negative_count") + blank).alias("invalid"),
-        F.count_if("nonstandard_name").alias("nonstandard"), F.count_if(unparsed).alias("unparsed"),
+    sums = counts.selectExpr(
+        "max(rows) as total_rows", "count(1) as total_columns", "sum(missing_count) as total_missing",
+        f"sum(negative_count + {_blank(blank_compat)}) as invalid", "count_if(nonstandard_name) as nonstandard",
+        f"count_if(inferred_type in ('{NUMERIC_TEXT}', '{DATE_TEXT}')) as unparsed",
+        f"cast({duplicates} as bigint) as duplicate_count",
+    ).selectExpr(
+        "*", "total_rows * total_columns as total_cells",
+        f"{pct2('total_missing', 'total_rows * total_columns')} as total_missing_pct",
+        f"{pct2('duplicate_count', 'total_rows')} as duplicate_pct",
     )
-    cells = F.col("total_rows") * F.col("total_columns")
-    known = sums.select(
-        "*", cells.alias("total_cells"), pct2(F.col("total_missing"), cells).alias("total_missing_pct"),
-        F.lit(duplicates).cast("bigint").alias("duplicate_count"),
-        pct2(F.lit(duplicates), F.col("total_rows")).alias("duplicate_pct"),
-    )
-    zero = F.lit(0.0)
-    dims = known.select(
+    dims = sums.selectExpr(
         "*",
-        F.greatest(zero, 100 - F.col("total_missing_pct") * 2).alias("c"),
-        F.greatest(zero, 100 - F.col("duplicate_pct") * 3).alias("u"),
-        F.greatest(zero, 100 - F.coalesce(F.try_divide(F.col("invalid") * 100.0, F.col("total_cells")), zero) * 10).alias("v"),
-        F.greatest(zero, 100 - (F.try_divide(F.col("nonstandard") * 30.0, F.col("total_columns")) + F.col("unparsed") * 15)).alias("k"),
+        "greatest(0D, 100D - total_missing_pct * 2) as c",
+        "greatest(0D, 100D - duplicate_pct * 3) as u",
+        "greatest(0D, 100D - coalesce(try_divide(invalid * 100D, total_cells), 0D) * 10) as v",
+        "greatest(0D, 100D - (nonstandard * 30D / total_columns + unparsed * 15)) as k",
     )
-    w = Weights()
-    mix = F.col("c") * w.completeness + F.col("u") * w.uniqueness + F.col("v") * w.validity + F.col("k") * w.consistency
-    score = F.greatest(zero, F.least(F.lit(100.0), F.rint(mix * 10) / 10))
-    empty = F.col("total_rows") == 0
-
-    def unless_empty(value: Column, instead: Column) -> Column:
-        return F.when(empty, instead).otherwise(value)
-
-    return dims.select(
-        "total_rows",
-        unless_empty(F.col("total_columns"), F.lit(0)).cast("bigint").alias("total_columns"),
-        "total_cells", "total_missing", "total_missing_pct", "duplicate_count", "duplicate_pct",
-        *[unless_empty(F.rint(F.col(d) * 10) / 10, zero).alias(n)
-          for d, n in (("c", "completeness"), ("u", "uniqueness"), ("v", "validity"), ("k", "consistency"))],
-        unless_empty(score, zero).alias("quality_score"),
-        unless_empty(grade_of(score), F.lit("N/A")).alias("quality_grade"),
-        empty.alias("is_empty"),
+    mix = " + ".join(f"{d} * {w}D" for d, w in WEIGHTS.items())
+    scored = dims.selectExpr("*", "total_rows = 0 as is_empty", f"greatest(0D, least(100D, {round1(mix)})) as score")
+    shown = {"c": "completeness", "u": "uniqueness", "v": "validity", "k": "consistency"}
+    return scored.selectExpr(
+        "total_rows", "if(is_empty, 0L, total_columns) as total_columns", "total_cells", "total_missing",
+        "total_missing_pct", "duplicate_count", "duplicate_pct",
+        *[f"if(is_empty, 0D, {round1(d)}) as {name}" for d, name in shown.items()],
+        "if(is_empty, 0D, score) as quality_score", f"if(is_empty, 'N/A', {grade_of('score')}) as quality_grade", "is_empty",
     )
 
 
-PROFILE_SCHEMA = (
-    "total_rows bigint, total_columns bigint, total_cells bigint, total_missing bigint, total_missing_pct double, "
-    "duplicate_count bigint, duplicate_pct double, completeness double, uniqueness double, validity double, "
-    "consistency double, quality_score double, quality_grade string, is_empty boolean"
-)
-
-
-def _empty_profile(df: DataFrame) -> DataFrame:
-    row = (0, 0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "N/A", True)
-    return df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
-
-
-def _joined(items: Column) -> Column:
-    return F.array_join(items, ", ")
-
-
-def _names_where(test: Column) -> Column:
+def _names_where(test: str) -> str:
     """Column names that pass a test, in table order."""
-    return F.sort_array(F.collect_list(F.when(test, F.struct("seq", "column"))))["column"]
+    return f"array_join(sort_array(collect_list(struct(seq, column)) filter (where {test})).column, ', ')"
 
 
-def _counts_text(test: Column, count: Column) -> Column:
+def _counts_where(test: str, count: str) -> str:
     """`{'a': 1, 'b': 2}` over the columns that pass a test, in table order."""
-    pairs = F.sort_array(F.collect_list(F.when(test, F.struct(
-        "seq", F.concat(F.lit("'"), F.col("column"), F.lit("': "), count.cast("string")).alias("t")))))["t"]
-    return F.concat(F.lit("{"), _joined(pairs), F.lit("}"))
+    pair = f"concat('\\'', column, '\\': ', cast({count} as string))"
+    return f"concat('{{', array_join(sort_array(collect_list(struct(seq, {pair} as t)) filter (where {test})).t, ', '), '}}')"
 
 
 def issues(
@@ -317,113 +248,86 @@ def issues(
         return df.sparkSession.createDataFrame([(1, EMPTY_ISSUE)], "seq int, issue string")
     profile = column_profile(df, samples=False) if profile is None else profile
     duplicates = duplicate_count(df) if duplicates is None else duplicates
-    blank = compat_blank(F.col("blank_count"), F.col("missing_count")) if blank_compat else F.col("blank_count")
-    inferred = F.col("inferred_type")
-    facts = profile.agg(
-        F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("missing_count").alias("missing"),
-        F.count_if(F.col("missing_count") > 0).alias("with_missing"),
-        _names_where(inferred == NUMERIC_TEXT).alias("money"), _names_where(inferred == DATE_TEXT).alias("dates"),
-        _names_where(F.col("is_constant")).alias("constants"),
-        F.sum("negative_count").alias("negatives"), _counts_text(F.col("negative_count") > 0, F.col("negative_count")).alias("negative_text"),
-        F.sum(blank).alias("blanks"), _counts_text(blank > 0, blank).alias("blank_text"),
-        F.count_if("nonstandard_name").alias("odd_names"),
+    facts = profile.selectExpr("*", f"{_blank(blank_compat)} as blanks").selectExpr(
+        "max(rows) as rows", "count(1) as width", "sum(missing_count) as missing",
+        "count_if(missing_count > 0) as with_missing", f"cast({duplicates} as bigint) as copies",
+        f"{_names_where(f"inferred_type = '{NUMERIC_TEXT}'")} as money",
+        f"{_names_where(f"inferred_type = '{DATE_TEXT}'")} as dates",
+        f"{_names_where('is_constant')} as constants",
+        "sum(negative_count) as negatives", f"{_counts_where('negative_count > 0', 'negative_count')} as negative_text",
+        "sum(blanks) as blanks", f"{_counts_where('blanks > 0', 'blanks')} as blank_text",
+        "count_if(nonstandard_name) as odd_names",
     )
-    missing_pct = pct2(F.col("missing"), F.col("rows") * F.col("columns"))
-    dup = F.lit(duplicates).cast("bigint")
     # The issue sentences.
     sentences = [
-        (F.col("missing") > 0, F.concat(
-            F.lit("Found "), F.format_number("missing", 0), F.lit(" missing values across "),
-            F.col("with_missing").cast("string"), F.lit(" columns ("), missing_pct.cast("string"), F.lit("% of total cells)."))),
-        (dup > 0, F.concat(
-            F.lit("Found "), F.format_number(dup, 0), F.lit(" exact duplicate rows ("),
-            pct2(dup, F.col("rows")).cast("string"), F.lit("% of dataset)."))),
-        (F.size("money") > 0, F.concat(F.lit("Columns formatted as text with currency/symbols: "), _joined(F.col("money")))),
-        (F.size("dates") > 0, F.concat(F.lit("Unparsed date columns: "), _joined(F.col("dates")))),
-        (F.size("constants") > 0, F.concat(
-            F.lit("Constant/Zero-variance columns (single unique value): "), _joined(F.col("constants")))),
-        (F.col("negatives") > 0, F.concat(
-            F.lit("Found negative values in strictly positive fields: "), F.col("negative_text"))),
-        (F.col("blanks") > 0, F.concat(F.lit("Found blank/whitespace-only text strings in: "), F.col("blank_text"))),
-        (F.col("odd_names") > 0, F.concat(
-            F.col("odd_names").cast("string"),
-            F.lit(" columns have non-standard naming (spaces, mixed-case, or special characters)."))),
+        ("missing > 0", "'Found ', format_number(missing, 0), ' missing values across ', with_missing, ' columns (', "
+         f"{pct2('missing', 'rows * width')}, '% of total cells).'"),
+        ("copies > 0", "'Found ', format_number(copies, 0), ' exact duplicate rows (', "
+         f"{pct2('copies', 'rows')}, '% of dataset).'"),
+        ("money <> ''", "'Columns formatted as text with currency/symbols: ', money"),
+        ("dates <> ''", "'Unparsed date columns: ', dates"),
+        ("constants <> ''", "'Constant/Zero-variance columns (single unique value): ', constants"),
+        ("negatives > 0", "'Found negative values in strictly positive fields: ', negative_text"),
+        ("blanks > 0", "'Found blank/whitespace-only text strings in: ', blank_text"),
+        ("odd_names > 0", "odd_names, ' columns have non-standard naming (spaces, mixed-case, or special characters).'"),
     ]
-    listed = F.array_compact(F.array(*[F.when(test, text) for test, text in sentences]))
-    listed = F.when(F.col("rows") == 0, F.array(F.lit(EMPTY_ISSUE))).when(
-        F.size(listed) == 0, F.array(F.lit(NO_ISSUES))).otherwise(listed)
-    return facts.select(F.posexplode(listed).alias("at", "issue")).select((F.col("at") + 1).alias("seq"), "issue")
+    found = ", ".join(f"if({test}, concat({parts}), null)" for test, parts in sentences)
+    listed = facts.selectExpr("rows", f"array_compact(array({found})) as found")
+    return listed.selectExpr(f"""posexplode(case
+        when rows = 0 then array('{EMPTY_ISSUE}')
+        when size(found) = 0 then array('{NO_ISSUES}') else found end) as (at, issue)""").selectExpr("at + 1 as seq", "issue")
 
 
 def diagnostics(profile: DataFrame) -> DataFrame:
     """Per-column diagnostic table of the raw input."""
-    return profile.select(
-        "seq", F.col("column").alias("column_name"), F.col("missing_count").alias("raw_missing_count"),
-        F.concat(F.col("missing_pct").cast("string"), F.lit("%")).alias("missing_pct"),
-        F.col("unique_count").alias("unique_values"),
-        F.coalesce(F.col("inferred_type"), F.lit("standard")).alias("inferred_semantic_type"),
-        F.col("dtype").alias("original_data_type"),
+    return profile.selectExpr(
+        "seq", "column as column_name", "missing_count as raw_missing_count", "concat(missing_pct, '%') as missing_pct",
+        "unique_count as unique_values", "coalesce(inferred_type, 'standard') as inferred_semantic_type",
+        "dtype as original_data_type",
     )
 
 
-def raw_vs_clean(raw: DataFrame, clean: DataFrame, renames: dict[str, str]) -> DataFrame:
+def raw_vs_clean(raw: DataFrame, clean: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     """Raw against clean column facts, matched through the rename map (new name -> raw name).
 
     Both sides hold one row per column, so the join is between two tiny tables.
     """
-    raw_counts = column_counts(raw).select(
-        F.col("column").alias("raw_column"), F.col("missing_count").alias("raw_missing_count"),
-        F.col("missing_pct").alias("raw_missing_pct"), "inferred_type",
-    )
-    origin = F.create_map(*[F.lit(x) for pair in renames.items() for x in pair]) if renames else F.create_map().cast("map<string,string>")
-    clean_counts = column_counts(clean).select(
-        "seq", "column", F.col("missing_count").alias("clean_missing_count"), F.col("dtype").alias("clean_data_type"),
-        F.coalesce(F.try_element_at(origin, F.col("column")), F.col("column")).alias("raw_column"),
-    )
-    return clean_counts.join(raw_counts, "raw_column", "left").select(
-        "seq", F.col("column").alias("column_name"),
-        F.coalesce("raw_missing_count", F.lit(0)).cast("bigint").alias("raw_missing_count"),
-        F.concat(F.coalesce("raw_missing_pct", F.lit(0.0)).cast("string"), F.lit("%")).alias("raw_missing_pct"),
-        "clean_missing_count", F.coalesce("inferred_type", F.lit("standard")).alias("inferred_type"), "clean_data_type",
+    before = column_counts(raw).selectExpr(
+        "column as raw_column", "missing_count as raw_missing", "missing_pct as raw_pct", "inferred_type")
+    after = column_counts(clean).selectExpr(
+        "seq", "column as column_name", "missing_count as clean_missing_count", "dtype as clean_data_type",
+        f"coalesce(try_element_at({sql_map(renames.items())}, column), column) as raw_column")
+    return after.join(before, "raw_column", "left").selectExpr(
+        "seq", "column_name", "coalesce(raw_missing, 0L) as raw_missing_count",
+        "concat(coalesce(raw_pct, 0D), '%') as raw_missing_pct", "clean_missing_count",
+        "coalesce(inferred_type, 'standard') as inferred_type", "clean_data_type",
     )
 
 
 def before_after(raw: DataFrame, clean: DataFrame, duplicates_removed: int) -> DataFrame:
     """Scorecard rows from two one-row profiles."""
-    def side(profile: DataFrame, label: str) -> DataFrame:
-        health = F.concat(F.col("quality_score").cast("string"), F.lit("/100 ["), F.col("quality_grade"), F.lit("]"))
-        metrics = [
-            ("Total Rows", F.col("total_rows").cast("string"), F.col("total_rows").cast("double")),
-            ("Total Columns", F.col("total_columns").cast("string"), F.col("total_columns").cast("double")),
-            ("Missing Values", F.col("total_missing").cast("string"), F.col("total_missing").cast("double")),
-            ("Duplicate Rows", F.col("duplicate_count").cast("string"), F.col("duplicate_count").cast("double")),
-            ("Health Score", health, F.col("quality_score")),
-        ]
-        rows = [F.struct(F.lit(i).alias("seq"), F.lit(m).alias("metric"), t.alias("text"), v.alias("v"))
-                for i, (m, t, v) in enumerate(metrics, start=1)]
-        return profile.select(F.explode(F.array(*rows)).alias("r")).select(
-            F.col("r.seq").alias("seq"), F.col("r.metric").alias("metric"), F.lit(label).alias("side"),
-            F.col("r.text").alias("text"), F.col("r.v").alias("v"))
-
-    stacked = side(raw, "before").unionByName(side(clean, "after"))
-    per_metric = stacked.groupBy("seq", "metric").agg(
-        F.max(F.when(F.col("side") == "before", F.col("text"))).alias("before"),
-        F.max(F.when(F.col("side") == "after", F.col("text"))).alias("after"),
-        (F.max(F.when(F.col("side") == "after", F.col("v"))) - F.max(F.when(F.col("side") == "before", F.col("v")))).alias("delta"),
-    )
-    sign = F.when(F.col("delta") >= 0, "+").otherwise("-")
-    # The wording of the change column.
-    change = (
-        F.when(F.col("seq") == 1, F.lit(f"-{duplicates_removed} dups"))
-        .when(F.col("seq") == 2, F.concat(sign, F.abs("delta").cast("bigint").cast("string"), F.lit(" cols")))
-        .when(F.col("seq") == 3, F.lit("Resolved 100%"))
-        .when(F.col("seq") == 4, F.lit("0 Duplicates Remaining"))
-        .otherwise(F.concat(F.lit("+"), F.regexp_replace(F.format_number("delta", 1), ",", ""), F.lit(" pts")))
-    )
-    return per_metric.select("seq", "metric", "before", "after", change.alias("change"))
+    health = "concat(quality_score, '/100 [', quality_grade, ']')"
+    # Metric names, and the wording of the change column below.
+    metrics = [
+        ("Total Rows", "cast(total_rows as string)", "total_rows"),
+        ("Total Columns", "cast(total_columns as string)", "total_columns"),
+        ("Missing Values", "cast(total_missing as string)", "total_missing"),
+        ("Duplicate Rows", "cast(duplicate_count as string)", "duplicate_count"),
+        ("Health Score", health, "quality_score"),
+    ]
 
+    def side(profile: DataFrame, name: str) -> DataFrame:
+        return profile.selectExpr(rows_of(
+            f"struct({i} as seq, {text(m)} as metric, '{name}' as side, {shown} as shown, cast({v} as double) as v)"
+            for i, (m, shown, v) in enumerate(metrics, start=1)))
 
-__all__ = [
-    "approx_cardinality", "before_after", "cardinality", "column_counts", "column_profile", "dataset_profile",
-    "diagnostics", "dtype_table", "issues", "raw_vs_clean", "value_counts",
-]
+    stacked = side(raw, "raw").unionByName(side(clean, "clean"))
+    per_metric = stacked.groupBy("seq", "metric").agg(
+        F.expr("max(shown) filter (where side = 'raw') as before"), F.expr("max(shown) filter (where side = 'clean') as after"),
+        F.expr("max(v) filter (where side = 'clean') - max(v) filter (where side = 'raw') as delta"))
+    return per_metric.selectExpr("seq", "metric", "before", "after", f"""case seq
+        when 1 then '-{duplicates_removed} dups'
+        when 2 then concat(if(delta >= 0, '+', '-'), cast(abs(delta) as bigint), ' cols')
+        when 3 then 'Resolved 100%'
+        when 4 then '0 Duplicates Remaining'
+        else concat('+', replace(format_number(delta, 1), ',', ''), ' pts') end as change""")

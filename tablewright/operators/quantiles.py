@@ -2,7 +2,7 @@
 
 Spark's `percentile` keeps every distinct value of a column in one buffer. That is
 right for columns with a bounded number of distinct values, which one guard pass
-proves. For other columns the wanted order statistics are bracketed: a bounded sketch
+checks. For other columns the wanted order statistics are bracketed: a bounded sketch
 (`percentile_approx`) proposes two data values around the target rank, one counting
 pass tells on which side of them the rank lies, and the open interval between shrinks
 by about the sketch's accuracy per round until it holds few enough rows for an exact
@@ -16,15 +16,17 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tablewright.functions.numbers import as_double
+from tablewright.functions.sql import number
 
 MAX_DISTINCT_IN_BUFFER = 500_000
 SKETCH_ACCURACY = 10_000
-# HyperLogLog is allowed this relative error when it guards a buffer.
-_HLL_ERROR = 0.05
+# Relative error the guard's distinct sketch may have.
+GUARD_ERROR = 0.05
+
+Guards = Mapping[str, tuple[int, int]]
 
 
 @dataclass
@@ -33,147 +35,123 @@ class _Search:
 
     column: str
     rank: int
-    total: int
+    inside: int  # rows strictly between low and high
+    below: int = 0  # rows at or below low
     low: float | None = None
     high: float | None = None
-    below: int = 0
     value: float | None = None
 
-    @property
-    def inside(self) -> int:
-        return self._inside if hasattr(self, "_inside") else self.total
-
-    def window(self) -> Column:
+    def window(self) -> str:
         x = as_double(self.column)
-        keep = x.isNotNull()
-        if self.low is not None:
-            keep = keep & (x > self.low)
-        if self.high is not None:
-            keep = keep & (x < self.high)
-        return F.when(keep, x)
-
-    def narrow(self, a: float, b: float, counts) -> None:
-        below_a, upto_a, below_b, upto_b = counts
-        inside_end = self.below + self.inside
-        if self.rank < below_a:
-            self.high, end = a, below_a
-        elif self.rank < upto_a:
+        tests = [f"{x} > {number(self.low)}"] if self.low is not None else []
+        tests += [f"{x} < {number(self.high)}"] if self.high is not None else []
+        return f"case when {' and '.join(tests)} then {x} end" if tests else x
+
+    def narrow(self, a: float, b: float, below_a: int, upto_a: int, below_b: int, upto_b: int) -> None:
+        end = self.below + self.inside
+        if below_a <= self.rank < upto_a:
             self.value = a
-            return
-        elif self.rank < below_b:
-            self.low, self.high, self.below, end = a, b, upto_a, below_b
-        elif self.rank < upto_b:
+        elif below_b <= self.rank < upto_b:
             self.value = b
-            return
+        elif self.rank < below_a:
+            self.high, self.inside = a, below_a - self.below
+        elif self.rank < below_b:
+            self.low, self.high, self.below, self.inside = a, b, upto_a, below_b - upto_a
         else:
-            self.low, self.below, end = b, upto_b, inside_end
-        self._inside = end - self.below
+            self.low, self.below, self.inside = b, upto_b, end - upto_b
 
 
 def guard_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
     """Per column: non-null count and approximate distinct count, in one pass."""
     if not columns:
         return {}
-    row = df.agg(*[
-        e for i, c in enumerate(columns)
-        for e in (F.count(as_double(c)).alias(f"n{i}"),
-                  F.approx_count_distinct(as_double(c), _HLL_ERROR).alias(f"d{i}"))
+    row = df.selectExpr(*[
+        e for c in columns
+        for e in (f"count({as_double(c)})", f"approx_count_distinct({as_double(c)}, {GUARD_ERROR})")
     ]).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
-
-
-def fits_in_buffer(approx_distinct: int, limit: int | None = None) -> bool:
-    return approx_distinct <= (MAX_DISTINCT_IN_BUFFER if limit is None else limit)
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
 def search_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], totals: Mapping[str, int],
-    buffer_rows: int | None = None, accuracy: int = SKETCH_ACCURACY,
+    buffer_rows: int = MAX_DISTINCT_IN_BUFFER, accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles by bracketing; every round is two plain aggregates."""
-    buffer_rows = MAX_DISTINCT_IN_BUFFER if buffer_rows is None else buffer_rows
     searches: dict[tuple[str, int], _Search] = {}
     for c, probs in wanted.items():
         for p in probs:
             position = p * (totals[c] - 1)
             for rank in {math.floor(position), math.ceil(position)} if totals[c] else ():
-                searches[(c, rank)] = _Search(c, rank, totals[c])
+                searches[c, rank] = _Search(c, rank, totals[c])
     while open_ones := [s for s in searches.values() if s.value is None]:
         small = [s for s in open_ones if s.inside <= buffer_rows]
         if small:
-            row = df.agg(*[
-                F.percentile(s.window(), F.lit((s.rank - s.below) / max(s.inside - 1, 1))).alias(f"v{i}")
-                for i, s in enumerate(small)
+            row = df.selectExpr(*[
+                f"percentile({s.window()}, {number((s.rank - s.below) / max(s.inside - 1, 1))})" for s in small
             ]).first()
-            for i, s in enumerate(small):
-                s.value = row[i]
+            for s, value in zip(small, row):
+                s.value = value
         large = [s for s in open_ones if s.inside > buffer_rows]
         if large:
-            slack = 2.0 / accuracy
-            aims = [(s.rank - s.below) / (s.inside - 1) for s in large]
-            ends = df.agg(*[
-                F.percentile_approx(
-                    s.window(), [max(0.0, aim - slack), min(1.0, aim + slack)], accuracy
-                ).alias(f"e{i}")
-                for i, (s, aim) in enumerate(zip(large, aims))
-            ]).first()
-            counts = df.agg(*[
-                F.count_if(test).alias(f"c{i}_{j}")
-                for i, s in enumerate(large)
-                for j, test in enumerate((
-                    as_double(s.column) < ends[i][0], as_double(s.column) <= ends[i][0],
-                    as_double(s.column) < ends[i][1], as_double(s.column) <= ends[i][1],
-                ))
-            ]).first()
-            for i, s in enumerate(large):
-                s.narrow(ends[i][0], ends[i][1], counts[4 * i: 4 * i + 4])
-    out: dict[str, list[float | None]] = {}
-    for c, probs in wanted.items():
-        out[c] = []
-        for p in probs:
-            if not totals[c]:
-                out[c].append(None)
-                continue
-            position = p * (totals[c] - 1)
-            lo, hi = math.floor(position), math.ceil(position)
-            a, b = searches[(c, lo)].value, searches[(c, hi)].value
-            out[c].append(a if lo == hi else (hi - position) * a + (position - lo) * b)
-    return out
+            _bracket(df, large, accuracy)
+    return {
+        c: [_interpolate(searches, c, p * (totals[c] - 1)) if totals[c] else None for p in probs]
+        for c, probs in wanted.items()
+    }
+
+
+def _bracket(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
+    slack = 2.0 / accuracy
+    sketches = []
+    for s in searches:
+        aim = (s.rank - s.below) / (s.inside - 1)
+        ends = f"array({number(max(0.0, aim - slack))}, {number(min(1.0, aim + slack))})"
+        sketches.append(f"percentile_approx({s.window()}, {ends}, {accuracy})")
+    proposed = df.selectExpr(*sketches).first()
+    tests = []
+    for s, (a, b) in zip(searches, proposed):
+        x = as_double(s.column)
+        tests += [f"count_if({x} {op} {number(end)})" for end in (a, b) for op in ("<", "<=")]
+    counts = df.selectExpr(*tests).first()
+    for i, (s, (a, b)) in enumerate(zip(searches, proposed)):
+        s.narrow(a, b, *counts[4 * i: 4 * i + 4])
+
+
+def _interpolate(searches: Mapping[tuple[str, int], _Search], column: str, position: float) -> float:
+    low, high = math.floor(position), math.ceil(position)
+    a, b = searches[column, low].value, searches[column, high].value
+    return a if low == high else (high - position) * a + (position - low) * b
 
 
 def quantile_aggregates(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]],
-    guards: Mapping[str, tuple[int, int]] | None = None, max_distinct: int | None = None,
-) -> dict[str, Column]:
-    """Per column an array-valued aggregate of its quantiles, ready for one `df.agg`.
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], guards: Guards | None = None,
+    max_distinct: int | None = None,
+) -> dict[str, str]:
+    """Per column an array-valued aggregate of its quantiles, to use in one `selectExpr` or `agg`.
 
-    Columns the guard proves small stay lazy; the others are searched now and enter
-    as literals.
+    Columns the guard finds small stay lazy; the others are searched now and enter as
+    literals.
     """
+    limit = MAX_DISTINCT_IN_BUFFER if max_distinct is None else max_distinct
     guards = guard_columns(df, list(wanted)) if guards is None else guards
-    big = [c for c in wanted if not fits_in_buffer(guards[c][1], max_distinct)]
-    found = search_quantiles(
-        df, {c: wanted[c] for c in big}, {c: guards[c][0] for c in big}, buffer_rows=max_distinct
-    ) if big else {}
+    big = {c: p for c, p in wanted.items() if guards[c][1] > limit}
+    found = search_quantiles(df, big, {c: guards[c][0] for c in big}, buffer_rows=limit)
     out = {}
     for c, probs in wanted.items():
         if c in found:
-            out[c] = F.array(*[F.lit(v).cast("double") for v in found[c]])
+            out[c] = "array(" + ", ".join(number(v) for v in found[c]) + ")"
         else:
-            out[c] = F.percentile(as_double(c), F.array(*[F.lit(float(p)) for p in probs]))
+            out[c] = f"percentile({as_double(c)}, array({', '.join(number(float(p)) for p in probs)}))"
     return out
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]],
-    guards: Mapping[str, tuple[int, int]] | None = None, max_distinct: int | None = None,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], guards: Guards | None = None,
+    max_distinct: int | None = None,
 ) -> dict[str, list[float | None]]:
     """The same quantiles as driver-side numbers (a few per column)."""
     if not wanted:
         return {}
     aggregates = quantile_aggregates(df, wanted, guards, max_distinct)
-    row = df.agg(*[a.alias(f"q{i}") for i, a in enumerate(aggregates.values())]).first()
-    return {
-        c: (list(row[i]) if row[i] is not None else [None] * len(wanted[c]))
-        for i, c in enumerate(aggregates)
-    }
+    row = df.selectExpr("count(1)", *aggregates.values()).first()[1:]
+    return {c: list(v) if v is not None else [None] * len(wanted[c]) for (c, v) in zip(aggregates, row)}

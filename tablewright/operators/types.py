@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablewright.functions.dates import CLEAN_DATE_PATTERNS, looks_like_date, parse_timestamp
-from tablewright.functions.numbers import (
-    MONEY_PATTERN, MONEY_PERCENT_PATTERN, NUMBER_PATTERN, col, parse_money_percent, text_columns,
-)
+from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, looks_like_date, parse_timestamp
+from tablewright.functions.numbers import looks_numeric, parse_number, strip_money, strip_money_percent
+from tablewright.functions.sql import any_of, q, replace_columns, rows_of, sql_map, text, text_columns
 from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS, parse_boolean, trim_text
 
 # Shares of non-null values that make a column change type.
@@ -28,70 +26,62 @@ CONVERSION_LABELS = {
 @dataclass(frozen=True)
 class DateReading:
     day_first: bool = False
-    pivot: int = 76
+    pivot: int = CENTURY_PIVOT
 
 
 def type_shares(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> DataFrame:
     """One row per text column: how many values read as numbers, dates, booleans, and the target type."""
     texts = [c for c in text_columns(df) if c not in keep_text]
-    per_column = []
-    for name in texts:
-        raw = col(name)
-        x = trim_text(raw)
-        plain = F.regexp_replace(x, MONEY_PATTERN, "").rlike(NUMBER_PATTERN)
-        unsigned = F.regexp_replace(x, MONEY_PERCENT_PATTERN, "").rlike(NUMBER_PATTERN)
-        per_column.append(F.struct(
-            F.count(raw).alias("known"), F.count_if(x.endswith("%")).alias("percent"),
-            F.count_if(plain).alias("plain_numbers"), F.count_if(unsigned).alias("numbers"),
-            F.count_if(looks_like_date(x, CLEAN_DATE_PATTERNS)).alias("date_like"),
-            F.count(parse_timestamp(raw, dates.day_first, dates.pivot)).alias("dates"),
-            F.count_if(F.lower(x).isin([*TRUE_TOKENS, *FALSE_TOKENS])).alias("booleans"),
-        ))
     if not texts:
         return df.sparkSession.createDataFrame([], "seq int, column string, target string")
-    row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(per_column)])
-    long = row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("seq"), F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(texts)
-    ])).alias("p")).select("p.seq", "p.column", "p.s.*")
-
-    def share(count: Column) -> Column:
-        return F.try_divide(count.cast("double"), F.col("known"))
-
-    numbers = F.when(share(F.col("percent")) > PERCENT_SHARE, F.col("numbers")).otherwise(F.col("plain_numbers"))
-    target = (
-        F.when(F.col("known") == 0, F.lit(None).cast("string"))
-        .when(share(numbers) >= NUMBER_SHARE, "number")
-        .when((share(F.col("date_like")) >= DATE_LIKE_SHARE) & (share(F.col("dates")) >= DATE_PARSED_SHARE), "timestamp")
-        .when(share(F.col("booleans")) >= BOOL_SHARE, "boolean")
-    )
-    return long.withColumn("target", target)
+    inputs, counts = [], []
+    for i, name in enumerate(texts):
+        t, m = f"t{i}", f"m{i}"
+        inputs += [f"{trim_text(q(name))} as {t}", f"{strip_money(q(name))} as {m}"]
+        counts.append(f"""struct(
+            count({t}) as known, count_if(endswith({t}, '%')) as percent,
+            count_if({looks_numeric(m)}) as plain_numbers,
+            count_if({looks_numeric(f"replace({m}, '%', '')")}) as numbers,
+            count_if({looks_like_date(t, CLEAN_DATE_PATTERNS)}) as date_like,
+            count({parse_timestamp(t, dates.day_first, dates.pivot)}) as dates,
+            count_if(lower({t}) in {any_of((*TRUE_TOKENS, *FALSE_TOKENS))}) as booleans) as s{i}""")
+    long = df.selectExpr(*inputs).selectExpr(*counts).selectExpr(rows_of(
+        f"struct({i} as seq, {text(c)} as column, s{i}.known as known, s{i}.percent as percent, "
+        f"s{i}.plain_numbers as plain_numbers, s{i}.numbers as numbers, s{i}.date_like as date_like, "
+        f"s{i}.dates as dates, s{i}.booleans as booleans)"
+        for i, c in enumerate(texts)
+    ))
+    return long.selectExpr("*", f"""case
+        when known = 0 then null
+        when if(percent / known > {PERCENT_SHARE}D, numbers, plain_numbers) / known >= {NUMBER_SHARE}D then 'number'
+        when date_like / known >= {DATE_LIKE_SHARE}D and dates / known >= {DATE_PARSED_SHARE}D then 'timestamp'
+        when booleans / known >= {BOOL_SHARE}D then 'boolean' end as target""")
 
 
 def fit_types(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> dict[str, str]:
     """Column -> target type, for the columns that change."""
-    return {r["column"]: r["target"] for r in type_shares(df, keep_text, dates).orderBy("seq").collect() if r["target"]}
+    rows = type_shares(df, keep_text, dates).select("seq", "column", "target").collect()
+    return {r["column"]: r["target"] for r in sorted(rows) if r["target"]}
 
 
 def conversions(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> DataFrame:
     """Column and description of every conversion."""
-    label = F.create_map(*[F.lit(x) for pair in CONVERSION_LABELS.items() for x in pair])
-    shares = type_shares(df, keep_text, dates).filter(F.col("target").isNotNull())
-    return shares.select("seq", "column", F.try_element_at(label, F.col("target")).alias("conversion"))
+    return type_shares(df, keep_text, dates).filter("target is not null").selectExpr(
+        "seq", "column", f"try_element_at({sql_map(CONVERSION_LABELS.items())}, target) as conversion")
 
 
 def convert(df: DataFrame, kinds: Mapping[str, str], dates: DateReading = DateReading()) -> DataFrame:
     """Apply fitted conversions; zoned timestamps lose their zone and keep wall-clock."""
-    out = []
+    new = {}
     for field in df.schema.fields:
-        c = col(field.name)
+        x = q(field.name)
         kind = kinds.get(field.name)
         if kind == "number":
-            c = parse_money_percent(c)
+            new[field.name] = parse_number(strip_money_percent(x))
         elif kind == "timestamp":
-            c = parse_timestamp(c, dates.day_first, dates.pivot)
+            new[field.name] = parse_timestamp(x, dates.day_first, dates.pivot)
         elif kind == "boolean":
-            c = parse_boolean(c)
+            new[field.name] = parse_boolean(x)
         elif isinstance(field.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        out.append(c.alias(field.name))
-    return df.select(*out)
+            new[field.name] = f"cast({x} as timestamp_ntz)"
+    return replace_columns(df, new) if new else df

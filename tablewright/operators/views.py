@@ -3,47 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tablewright.functions.numbers import col
+from tablewright.functions.sql import literal, q, text
 
 HEAD_ROWS = 20
 PAGE_ROWS = 15
 
 
 def head(df: DataFrame, order_by: Sequence[str], rows: int = HEAD_ROWS) -> DataFrame:
-    return df.orderBy(*[col(c) for c in order_by]).limit(rows)
+    return df.orderBy(*[q(c) for c in order_by]).limit(rows)
 
 
-def search(df: DataFrame, text: str) -> DataFrame:
+def search(df: DataFrame, pattern: str) -> DataFrame:
     """Rows where any column, as text, matches the case-blind regular expression."""
-    if not text:
+    if not pattern:
         return df
-    hits = [F.coalesce(col(c).cast("string").rlike(f"(?i){text}"), F.lit(False)) for c in df.columns]
-    return df.filter(reduce(lambda a, b: a | b, hits))
+    regex = text(f"(?i){pattern}")
+    return df.filter(" or ".join(f"coalesce(cast({q(c)} as string) rlike {regex}, false)" for c in df.columns))
 
 
 def page(df: DataFrame, number: int, order_by: Sequence[str], size: int = PAGE_ROWS) -> DataFrame:
     """Rows of one page in an explicit order."""
-    return df.orderBy(*[col(c) for c in order_by]).offset((number - 1) * size).limit(size)
+    return df.orderBy(*[q(c) for c in order_by]).offset((number - 1) * size).limit(size)
 
 
 def page_after(df: DataFrame, last: Mapping[str, object], order_by: Sequence[str], size: int = PAGE_ROWS) -> DataFrame:
     """The page that follows a known last row: deep pages without sorting what precedes them."""
-    key = F.struct(*[col(c) for c in order_by])
-    seen = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order_by])
-    return df.filter(key > seen).orderBy(*[col(c) for c in order_by]).limit(size)
+    key = ", ".join(f"{q(c)} as k{i}" for i, c in enumerate(order_by))
+    seen = ", ".join(
+        f"{literal(last[c], df.schema[c].dataType.simpleString())} as k{i}" for i, c in enumerate(order_by))
+    return df.filter(f"struct({key}) > struct({seen})").orderBy(*[q(c) for c in order_by]).limit(size)
 
 
 def page_info(df: DataFrame, number: int, size: int = PAGE_ROWS) -> DataFrame:
     """Row count, page count and the row range label."""
-    n = F.col("rows")
-    pages = F.greatest(F.lit(1), F.floor((n - 1) / size) + 1).cast("bigint")
-    label = F.concat(
-        F.lit(f"Showing rows {(number - 1) * size + 1} to "), F.least(F.lit(number * size).cast("bigint"), n).cast("string"),
-        F.lit(" of "), F.format_number(n, 0), F.lit(" rows"),
-    )
-    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", pages.alias("pages"), label.alias("label"))
+    first, last = (number - 1) * size + 1, number * size
+    return df.selectExpr("count(1) as rows").selectExpr(
+        "rows", f"greatest(1L, floor((rows - 1) / {size}) + 1) as pages",
+        f"concat('Showing rows {first} to ', least({last}L, rows), ' of ', format_number(rows, 0), ' rows') as label")

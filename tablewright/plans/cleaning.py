@@ -16,7 +16,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.operators.dedup import remove_duplicates
@@ -26,7 +26,8 @@ from tablewright.operators.outliers import (
     DEFAULT_THRESHOLD, Bounds, detect_outliers, handle_outliers, outlier_action_counts, outlier_table,
 )
 from tablewright.operators.standardize import (
-    absolute_values, change_aggregates, clean_names, negative_aggregates, standardize_categories,
+    absolute_values, change_aggregates, clean_names, negative_aggregates, standardize_categories, take_standard_values,
+    with_standard_values,
 )
 from tablewright.operators.types import CONVERSION_LABELS, DateReading, convert, fit_types
 from tablewright.sources.staging import stage
@@ -152,19 +153,7 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
         plan.kinds = fit_types(rows, opts.keep_text, DateReading(opts.day_first))
 
     typed = convert(rows, plan.kinds, DateReading(opts.day_first)) if opts.convert_types else rows
-    negatives = negative_aggregates(typed) if opts.fix_negatives else {}
-    changes = change_aggregates(typed, opts.custom_mappings) if opts.standardize_cats else {}
-    counters: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    counters |= {f"neg{i}": c for i, c in enumerate(negatives.values())}
-    counters |= {f"chg{i}": c for i, c in enumerate(changes.values())}
-    seen = Observation()
-    watched = typed.observe(seen, *[c.alias(n) for n, c in counters.items()])
-    if opts.fix_negatives:
-        watched = absolute_values(watched)
-    if opts.standardize_cats:
-        watched = standardize_categories(watched, opts.custom_mappings)
-    staged = stage(watched, "standardized")
-    counted = seen.get
+    staged, negatives, changes, n_kept = _stage_standardized(typed, opts)
 
     if opts.handle_missing:
         plan.fills = fit_missing(
@@ -174,19 +163,40 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
     plan.bounds = detect_outliers(filled, opts.outlier_method, opts.outlier_threshold)
     table = handle_outliers(filled, plan.bounds, opts.outlier_action)
 
-    n_kept = counted["rows"]
     n_before = df.count() if opts.remove_dups else n_kept
     lost = any(f.action == "drop" for f in plan.fills) or (opts.outlier_action == "remove" and plan.bounds)
     return CleaningResult(
         table, plan, initial_shape=(n_before, len(df.columns)),
         final_shape=(table.count() if lost else n_kept, len(table.columns)),
         duplicates_removed=n_before - n_kept,
-        negatives_fixed={c: n for i, c in enumerate(negatives) if (n := counted[f"neg{i}"])},
-        category_changes={c: n for i, c in enumerate(changes) if (n := counted[f"chg{i}"])},
+        negatives_fixed=negatives, category_changes=changes,
         outlier_actions=outlier_action_counts(filled, plan.bounds, opts.outlier_action),
     )
 
 
+def _stage_standardized(typed: DataFrame, opts: CleanOptions) -> tuple[DataFrame, dict[str, int], dict[str, int], int]:
+    """Fix signs and categories and write the result; what changed is counted during the write."""
+    negatives = negative_aggregates(typed) if opts.fix_negatives else {}
+    both = with_standard_values(typed, opts.custom_mappings) if opts.standardize_cats else typed
+    changes = change_aggregates(both) if opts.standardize_cats else {}
+    counters = [*negatives.values(), *changes.values()]
+    seen = Observation()
+    out = both.observe(seen, F.expr("count(1) as rows"), *[F.expr(f"{c} as n{i}") for i, c in enumerate(counters)])
+    if opts.standardize_cats:
+        out = take_standard_values(out)
+    if opts.fix_negatives:
+        out = absolute_values(out)
+    staged = stage(out, "standardized")
+    counted = seen.get
+    found = [counted[f"n{i}"] for i in range(len(counters))]
+    return (
+        staged,
+        {c: n for c, n in zip(negatives, found) if n},
+        {c: n for c, n in zip(changes, found[len(negatives):]) if n},
+        counted["rows"],
+    )
+
+
 def refit(plan: CleaningPlan, **changes) -> CleaningPlan:
     """The same fitted values under changed options (for instance another outlier action)."""
     return replace(plan, options=replace(plan.options, **changes))

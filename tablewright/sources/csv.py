@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.numbers import NUMBER_PATTERN, col, round2, text_columns
+from tablewright.functions.numbers import looks_numeric, round2
+from tablewright.functions.sql import any_of, q, replace_columns, text, text_columns
 from tablewright.operators.dedup import duplicate_count
 
 # Text a delimited file uses for "missing".
@@ -29,12 +29,9 @@ class SourceError(Exception):
 
 def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 200) -> str:
     """Separator with the same non-zero count on the most sampled lines; `,` if none."""
-    lines = spark.read.text(path).filter(F.length("value") > 0).limit(sample_lines)
-    outside_quotes = F.regexp_replace("value", '"[^"]*"', "")
-    per_line = lines.select(*[
-        (F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(s), F.lit("")))).alias(f"n{i}")
-        for i, s in enumerate(SEPARATORS)
-    ]).collect()
+    lines = spark.read.text(path).filter("length(value) > 0").limit(sample_lines)
+    unquoted = lines.selectExpr("""regexp_replace(value, '"[^"]*"', '') as x""")
+    per_line = unquoted.selectExpr(*[f"length(x) - length(replace(x, {text(s)}, ''))" for s in SEPARATORS]).collect()
     scored = []
     for i, separator in enumerate(SEPARATORS):
         (usual, lines_agreeing), = Counter(row[i] for row in per_line).most_common(1) or [(0, 0)]
@@ -45,7 +42,7 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 200) ->
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless its decoding leaves replacement characters, then ISO-8859-1."""
-    bad = spark.read.text(path).filter(F.contains(F.col("value"), F.lit("�"))).limit(1).count()
+    bad = spark.read.text(path).filter("contains(value, '\ufffd')").limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
@@ -75,15 +72,14 @@ def read_delimited(
 
 def na_tokens_to_null(df: DataFrame) -> DataFrame:
     """File null tokens and floating NaN both become NULL; other columns pass through."""
-    out = []
+    new = {}
     for field in df.schema.fields:
-        c = col(field.name)
+        x = q(field.name)
         if isinstance(field.dataType, T.StringType):
-            c = F.when(~c.isin(list(NA_TOKENS)), c)
+            new[field.name] = f"case when {x} not in {any_of(NA_TOKENS)} then {x} end"
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c)
-        out.append(c.alias(field.name))
-    return df.select(*out)
+            new[field.name] = f"case when not isnan({x}) then {x} end"
+    return replace_columns(df, new)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -91,30 +87,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = text_columns(df)
     if not texts:
         return df
-    checks = []
-    for i, name in enumerate(texts):
-        c = F.trim(col(name))
-        checks += [
-            F.count(c).alias(f"n{i}"),
-            F.count_if(col(name).isNull()).alias(f"z{i}"),
-            F.count_if(c.rlike(_INTEGER)).alias(f"i{i}"),
-            F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
-            F.count_if(F.lower(c).isin("true", "false")).alias(f"b{i}"),
-        ]
-    seen = df.agg(*checks).first()
+    seen = df.selectExpr(*[f"trim({q(c)}) as x{i}" for i, c in enumerate(texts)]).selectExpr("count(1) as total", *[
+        e for i in range(len(texts)) for e in (
+            f"count(x{i}) as n{i}", f"count_if(x{i} rlike {text(_INTEGER)}) as i{i}",
+            f"count_if({looks_numeric(f'x{i}')}) as d{i}", f"count_if(lower(x{i}) in ('true', 'false')) as b{i}")
+    ]).first()
     kinds: dict[str, str] = {}
     for i, name in enumerate(texts):
-        n = seen[f"n{i}"]
-        if not n:
-            continue
-        if seen[f"d{i}"] == n:
-            whole = seen[f"i{i}"] == n and seen[f"z{i}"] == 0
-            kinds[name] = "bigint" if whole else "double"
-        elif seen[f"b{i}"] == n and seen[f"z{i}"] == 0:
+        known, complete = seen[f"n{i}"], seen[f"n{i}"] == seen["total"]
+        if known and seen[f"d{i}"] == known:
+            kinds[name] = "bigint" if complete and seen[f"i{i}"] == known else "double"
+        elif known and complete and seen[f"b{i}"] == known:
             kinds[name] = "boolean"
-    return df.select(*[
-        F.trim(col(c)).cast(kinds[c]).alias(c) if c in kinds else col(c) for c in df.columns
-    ])
+    return replace_columns(df, {c: f"cast(trim({q(c)}) as {k})" for c, k in kinds.items()})
 
 
 def load_table(
@@ -140,15 +125,14 @@ def load_status(df: DataFrame) -> DataFrame:
 
 def load_metadata(df: DataFrame, path: str) -> DataFrame:
     """File size, shape, names, missing cells and duplicate rows as one row."""
-    spark = df.sparkSession
     # Only the listing is read: without `content` no file is opened.
-    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)))
-    missing = sum((F.count_if(col(c).isNull()) for c in df.columns), F.lit(0))
-    return df.agg(F.count(F.lit(1)).alias("rows"), missing.cast("bigint").alias("initial_missing_count")).select(
-        round2(size.scalar() / 1024).alias("file_size_kb"),
-        "rows",
-        F.lit(len(df.columns)).alias("columns"),
-        F.array(*[F.lit(c) for c in df.columns]).alias("column_names"),
-        "initial_missing_count",
-        F.lit(duplicate_count(df)).cast("bigint").alias("initial_duplicate_count"),
+    listing = df.sparkSession.read.format("binaryFile").load(path)
+    size = listing.selectExpr(f"{round2('coalesce(sum(length), 0) / 1024')} as kb").scalar()
+    missing = " + ".join(f"count_if({q(c)} is null)" for c in df.columns) or "0"
+    names = ", ".join(text(c) for c in df.columns)
+    facts = df.selectExpr(
+        "count(1) as rows", f"{len(df.columns)} as columns", f"array({names}) as column_names",
+        f"cast({missing} as bigint) as initial_missing_count",
+        f"cast({duplicate_count(df)} as bigint) as initial_duplicate_count",
     )
+    return facts.select(size.alias("file_size_kb"), "*")
