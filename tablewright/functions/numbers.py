@@ -13,6 +13,8 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# White space inside numbers, as part of a character class: kept short, it is tested per character.
+NUMBER_BLANKS = r"\s\xa0\u2000-\u200a\u202f"
 # Money signs and thousands separators removed before parsing.
 MONEY_SIGNS = "$₹€£¥,"
 # Everything but digits, dot and minus.
@@ -23,21 +25,34 @@ def as_double(name: str) -> str:
     return f"cast({q(name)} as double)"
 
 
-def strip_money(x: str) -> str:
-    return f"translate({x}, {text(MONEY_SIGNS + WHITE_SPACE)}, '')"
+def looks_numeric(x: str) -> str:
+    return f"{x} rlike {text(NUMBER_PATTERN)}"
 
 
-def strip_money_percent(x: str) -> str:
-    return f"translate({x}, {text(MONEY_SIGNS + '%' + WHITE_SPACE)}, '')"
+def _with_signs(signs: str) -> str:
+    """The number pattern with any of the signs allowed between its characters.
 
+    One match decides what would otherwise take a replacement per value; text that is
+    no number fails at its first character. Possessive runs keep it linear.
+    """
+    s = f"[{signs}{NUMBER_BLANKS}]*+"
+    digits = rf"(?:\d{s})++"
+    return rf"^{s}(?:[+-]{s})?(?:{digits}(?:\.{s}(?:{digits})?)?|\.{s}{digits})(?:[eE]{s}(?:[+-]{s})?{digits})?$"
 
-def looks_numeric(x: str) -> str:
-    return f"{x} rlike {text(NUMBER_PATTERN)}"
+
+def looks_money(x: str) -> str:
+    """Does the text read as a number once money signs and blanks are gone?"""
+    return f"{x} rlike {text(_with_signs(MONEY_SIGNS))}"
+
+
+def looks_money_percent(x: str) -> str:
+    return f"{x} rlike {text(_with_signs(MONEY_SIGNS + '%'))}"
 
 
-def parse_number(x: str) -> str:
-    """Double, or NULL when the text is not a plain number."""
-    return f"try_cast(regexp_extract({x}, {text(NUMBER_PATTERN)}, 0) as double)"
+def parse_money_percent(x: str) -> str:
+    """Double, or NULL when the text is no number after removing signs; strips only what matched."""
+    stripped = f"translate({x}, {text(MONEY_SIGNS + '%' + WHITE_SPACE)}, '')"
+    return f"case when {looks_money_percent(x)} then cast({stripped} as double) end"
 
 
 def round2(x: str) -> str:

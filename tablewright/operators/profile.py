@@ -15,9 +15,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import PROFILE_DATE_PATTERNS, looks_like_date
 from tablewright.functions.names import expects_positive, is_nonstandard
-from tablewright.functions.numbers import (
-    NOT_NUMERIC_CHARS, looks_numeric, parse_number, pct2, round1, strip_money_percent,
-)
+from tablewright.functions.numbers import NOT_NUMERIC_CHARS, looks_money_percent, pct2, round1
 from tablewright.functions.sql import any_of, is_nested, is_numeric, is_text, is_time, q, rows_of, sql_map, text
 from tablewright.functions.text import PROFILE_BOOL_TOKENS, trim_text
 from tablewright.operators.dedup import duplicate_count
@@ -33,6 +31,8 @@ GRADES = (
 LOWEST_GRADE = "D (Critical Data Quality Issues)"
 # Dimension weights of the health score.
 WEIGHTS = {"c": 0.35, "u": 0.25, "v": 0.25, "k": 0.15}
+# Digits that read as a negative number.
+NEGATIVE_PATTERN = r"^-(\d+\.?\d*|\.\d+)$"
 NO_ISSUES = "No major data quality issues detected."
 EMPTY_ISSUE = "Dataset is empty."
 SAMPLE_SIZE = 5
@@ -64,17 +64,16 @@ def dtype_table(df: DataFrame) -> DataFrame:
 # --- per-column counts -------------------------------------------------------------
 
 def _counts(field: T.StructField, i: int) -> str:
-    """All counts of one column as a struct of aggregates over raw `x{i}` and trimmed `t{i}`."""
+    """All counts of one column: aggregates over raw `x{i}`, trimmed `t{i}` and, for checked text, digits `d{i}`."""
     x, t, checked = f"x{i}", f"t{i}", expects_positive(field.name)
     tests = dict.fromkeys(("numeric_like", "date_like", "bool_like", "blank_count", "text_negatives", "negatives"), "0L")
     if is_text(field.dataType):
-        tests["numeric_like"] = f"count_if({looks_numeric(strip_money_percent(t))})"
+        tests["numeric_like"] = f"count_if({looks_money_percent(t)})"
         tests["date_like"] = f"count_if({looks_like_date(t, PROFILE_DATE_PATTERNS)})"
         tests["bool_like"] = f"count_if(lower({t}) in {any_of(PROFILE_BOOL_TOKENS)})"
         tests["blank_count"] = f"count_if({t} = '')"
         if checked:
-            digits = f"regexp_replace({x}, {text(NOT_NUMERIC_CHARS)}, '')"
-            tests["text_negatives"] = f"count_if({parse_number(digits)} < 0)"
+            tests["text_negatives"] = f"count_if(d{i} rlike {text(NEGATIVE_PATTERN)} and d{i} rlike '[1-9]')"
     elif checked and is_numeric(field.dataType):
         tests["negatives"] = f"count_if({x} < 0)"
     listed = ", ".join(f"{e} as {n}" for n, e in tests.items())
@@ -86,6 +85,10 @@ def column_counts(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     inputs = [f"{q(f.name)} as x{i}" for i, f in enumerate(fields)]
     inputs += [f"{trim_text(q(f.name))} as t{i}" for i, f in enumerate(fields) if is_text(f.dataType)]
+    inputs += [
+        f"regexp_replace({q(f.name)}, {text(NOT_NUMERIC_CHARS)}, '') as d{i}"
+        for i, f in enumerate(fields) if is_text(f.dataType) and expects_positive(f.name)
+    ]
     row = df.selectExpr(*inputs).selectExpr(*[_counts(f, i) for i, f in enumerate(fields)])
     long = row.selectExpr(rows_of(
         f"struct({i} as seq, {text(f.name)} as column, {text(f.dataType.simpleString())} as dtype, "

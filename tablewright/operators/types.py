@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, looks_like_date, parse_timestamp
-from tablewright.functions.numbers import looks_numeric, parse_number, strip_money, strip_money_percent
-from tablewright.functions.sql import any_of, q, replace_columns, rows_of, sql_map, text, text_columns
+from tablewright.functions.numbers import looks_money, looks_money_percent, parse_money_percent
+from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS, parse_boolean, trim_text
 
 # Shares of non-null values that make a column change type.
@@ -29,45 +29,61 @@ class DateReading:
     pivot: int = CENTURY_PIVOT
 
 
-def type_shares(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> DataFrame:
-    """One row per text column: how many values read as numbers, dates, booleans, and the target type."""
+def type_shares(df: DataFrame, keep_text: Collection[str] = ()) -> DataFrame:
+    """One row per text column: how many values read as numbers, look like dates, read as booleans."""
     texts = [c for c in text_columns(df) if c not in keep_text]
     if not texts:
-        return df.sparkSession.createDataFrame([], "seq int, column string, target string")
-    inputs, counts = [], []
-    for i, name in enumerate(texts):
-        t, m = f"t{i}", f"m{i}"
-        inputs += [f"{trim_text(q(name))} as {t}", f"{strip_money(q(name))} as {m}"]
-        counts.append(f"""struct(
-            count({t}) as known, count_if(endswith({t}, '%')) as percent,
-            count_if({looks_numeric(m)}) as plain_numbers,
-            count_if({looks_numeric(f"replace({m}, '%', '')")}) as numbers,
-            count_if({looks_like_date(t, CLEAN_DATE_PATTERNS)}) as date_like,
-            count({parse_timestamp(t, dates.day_first, dates.pivot)}) as dates,
-            count_if(lower({t}) in {any_of((*TRUE_TOKENS, *FALSE_TOKENS))}) as booleans) as s{i}""")
-    long = df.selectExpr(*inputs).selectExpr(*counts).selectExpr(rows_of(
-        f"struct({i} as seq, {text(c)} as column, s{i}.known as known, s{i}.percent as percent, "
-        f"s{i}.plain_numbers as plain_numbers, s{i}.numbers as numbers, s{i}.date_like as date_like, "
-        f"s{i}.dates as dates, s{i}.booleans as booleans)"
-        for i, c in enumerate(texts)
-    ))
-    return long.selectExpr("*", f"""case
-        when known = 0 then null
-        when if(percent / known > {PERCENT_SHARE}D, numbers, plain_numbers) / known >= {NUMBER_SHARE}D then 'number'
-        when date_like / known >= {DATE_LIKE_SHARE}D and dates / known >= {DATE_PARSED_SHARE}D then 'timestamp'
-        when booleans / known >= {BOOL_SHARE}D then 'boolean' end as target""")
+        return df.sparkSession.createDataFrame([], "seq int, column string")
+    names = ("known", "percent", "plain_numbers", "numbers", "date_like", "booleans")
+    counts = []
+    for i in range(len(texts)):
+        x = f"t{i}"
+        tests = (
+            f"count({x})", f"count_if(endswith({x}, '%'))", f"count_if({looks_money(x)})",
+            f"count_if({looks_money_percent(x)})", f"count_if({looks_like_date(x, CLEAN_DATE_PATTERNS)})",
+            f"count_if(lower({x}) in {any_of((*TRUE_TOKENS, *FALSE_TOKENS))})",
+        )
+        counts.append("struct(" + ", ".join(f"{t} as {n}" for t, n in zip(tests, names)) + f") as s{i}")
+    trimmed = df.selectExpr(*[f"{trim_text(q(c))} as t{i}" for i, c in enumerate(texts)])
+    return trimmed.selectExpr(*counts).selectExpr(rows_of(
+        f"struct({i} as seq, {text(c)} as column, {', '.join(f's{i}.{n} as {n}' for n in names)})"
+        for i, c in enumerate(texts)))
+
+
+def date_shares(df: DataFrame, columns: Collection[str], dates: DateReading = DateReading()) -> dict[str, float]:
+    """Share of known values that parse as dates."""
+    row = df.selectExpr(*[
+        f"count({parse_timestamp(q(c), dates.day_first, dates.pivot)}) / count({q(c)})" for c in columns]).first()
+    return dict(zip(columns, row))
 
 
 def fit_types(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> dict[str, str]:
-    """Column -> target type, for the columns that change."""
-    rows = type_shares(df, keep_text, dates).select("seq", "column", "target").collect()
-    return {r["column"]: r["target"] for r in sorted(rows) if r["target"]}
+    """Column -> target type, for the columns that change.
+
+    One pass over all text columns; only columns that look like dates are then parsed.
+    """
+    seen = sorted(r for r in type_shares(df, keep_text).collect() if r["known"])
+    kinds, candidates = {}, []
+    for r in seen:
+        numbers = r["numbers"] if r["percent"] / r["known"] > PERCENT_SHARE else r["plain_numbers"]
+        if numbers / r["known"] >= NUMBER_SHARE:
+            kinds[r["column"]] = "number"
+        elif r["date_like"] / r["known"] >= DATE_LIKE_SHARE:
+            candidates.append(r["column"])
+    parsed = date_shares(df, candidates, dates) if candidates else {}
+    for r in seen:
+        name = r["column"]
+        if parsed.get(name, 0) >= DATE_PARSED_SHARE:
+            kinds[name] = "timestamp"
+        elif name not in kinds and r["booleans"] / r["known"] >= BOOL_SHARE:
+            kinds[name] = "boolean"
+    return {r["column"]: kinds[r["column"]] for r in seen if r["column"] in kinds}
 
 
-def conversions(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> DataFrame:
-    """Column and description of every conversion."""
-    return type_shares(df, keep_text, dates).filter("target is not null").selectExpr(
-        "seq", "column", f"try_element_at({sql_map(CONVERSION_LABELS.items())}, target) as conversion")
+def conversions(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Column and description of every fitted conversion."""
+    rows = [(i, c, CONVERSION_LABELS[k]) for i, (c, k) in enumerate(kinds.items(), 1)]
+    return df.sparkSession.createDataFrame(rows, "seq int, column string, conversion string")
 
 
 def convert(df: DataFrame, kinds: Mapping[str, str], dates: DateReading = DateReading()) -> DataFrame:
@@ -77,7 +93,7 @@ def convert(df: DataFrame, kinds: Mapping[str, str], dates: DateReading = DateRe
         x = q(field.name)
         kind = kinds.get(field.name)
         if kind == "number":
-            new[field.name] = parse_number(strip_money_percent(x))
+            new[field.name] = parse_money_percent(x)
         elif kind == "timestamp":
             new[field.name] = parse_timestamp(x, dates.day_first, dates.pivot)
         elif kind == "boolean":

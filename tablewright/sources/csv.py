@@ -41,9 +41,8 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 200) ->
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless its decoding leaves replacement characters, then ISO-8859-1."""
-    bad = spark.read.text(path).filter("contains(value, '\ufffd')").limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    """UTF-8 unless some line is no valid UTF-8, then ISO-8859-1."""
+    return "UTF-8" if spark.read.text(path).filter("not is_valid_utf8(value)").isEmpty() else "ISO-8859-1"
 
 
 def read_delimited(

@@ -31,3 +31,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(
         df.toDF(*[f"c{i}" for i in range(len(names))]).schema
     ).parquet(path).toDF(*names)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the source splits into fewer parts than there are cores.
+
+    Parsing text costs far more than moving it once. A large source has more splits than
+    cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
