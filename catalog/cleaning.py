@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.dirty import table
-from catalog.duck import account, boolean, date, gender, mode_of, nulled, number, r2, region, title, trim, with_tables
+from catalog.duck import account, boolean, date, gender, mode_of, nulled, number, r2, region, rs, title, trim, with_tables
 from catalog.registry import query
 from catalog.shared import cleaned
 from tablewright.operators.dedup import keep_first, remove_duplicates, removal_summary
@@ -346,7 +346,7 @@ def _bounds(source: str, columns: tuple[str, ...], zscore: bool = False) -> str:
             out, wide = f"{c} < lower_bound or {c} > upper_bound", "q3 > q1"
         extra = "m, s," if zscore else ""
         parts.append(f"""select '{c}' as "column", '{'zscore' if zscore else 'iqr'}' as method, count(*) filter (where {out}) as outlier_count,
- {r2(f'count(*) filter (where {out}) * 100.0 / count({c})')} as outlier_pct, any_value(lower_bound) as lower_bound, any_value(upper_bound) as upper_bound
+ {rs(f'count(*) filter (where {out}) / count({c}) * 100')} as outlier_pct, any_value(lower_bound) as lower_bound, any_value(upper_bound) as upper_bound
  from {source}, (select {extra} {low} as lower_bound, {high} as upper_bound from (select {limits} from {source}) where {wide})
  having count(*) filter (where {out}) > 0 and count({c}) >= 5 and count(distinct {c}) > 2""")
     return " union all ".join(parts)

@@ -35,6 +35,11 @@ def r2(x: str) -> str:
     return f"round_even(({x}) * 100, 0) / 100"
 
 
+def rs(x: str, digits: int = 2) -> str:
+    """Rounding of single figures: of the exact binary value."""
+    return f"cast(format('{{:.{digits}f}}', {x}) as double)"
+
+
 def trim(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
@@ -144,7 +149,7 @@ def column_counts(table: str) -> str:
             f"count(distinct {x}) as unique_count from {table}")
     stacked = "\nunion all ".join(parts)
     return f"""
-select *, {r2('missing_count * 100.0 / n')} as missing_pct, {r2('unique_count * 100.0 / n')} as unique_pct,
+select *, {rs('missing_count / n * 100')} as missing_pct, {rs('unique_count / n * 100')} as unique_pct,
  case when not is_text then null when n = missing_count then 'empty_text'
   when numeric_like / (n - missing_count) >= 0.7 then 'numeric_string (currency/formatted)'
   when date_like / (n - missing_count) >= 0.7 then 'datetime_string'
@@ -158,12 +163,12 @@ def scores(table: str) -> str:
     """One row: the dimensions, score and grade of a table."""
     columns = ", ".join(quoted(c) for c in COLUMNS[table])
     return f"""
-select *, round_even((c * 0.35 + u * 0.25 + v * 0.25 + k * 0.15) * 10, 0) / 10 as score from (
+select *, {rs('c * 0.35::double + u * 0.25::double + v * 0.25::double + k * 0.15::double', 1)} as score from (
  select *, greatest(0.0, 100 - total_missing_pct * 2) as c, greatest(0.0, 100 - duplicate_pct * 3) as u,
-  greatest(0.0, 100 - invalid * 100.0 / (total_rows * total_columns) * 10) as v,
-  greatest(0.0, 100 - (odd * 30.0 / total_columns + unparsed * 15)) as k from (
-  select *, {r2('total_missing * 100.0 / (total_rows * total_columns)')} as total_missing_pct,
-   {r2('duplicate_count * 100.0 / total_rows')} as duplicate_pct from (
+  greatest(0.0, 100 - invalid / (total_rows * total_columns) * 100 * 10) as v,
+  greatest(0.0, 100 - (odd / total_columns * 30 + unparsed * 15)) as k from (
+  select *, {rs('total_missing / (total_rows * total_columns) * 100')} as total_missing_pct,
+   {rs('duplicate_count / total_rows * 100')} as duplicate_pct from (
    select max(n) as total_rows, count(*) as total_columns, cast(sum(missing_count) as bigint) as total_missing,
     sum(negative_count + greatest(blank_count - missing_count, 0)) as invalid, count(*) filter (where odd) as odd,
     count(*) filter (where inferred_type in ('numeric_string (currency/formatted)', 'datetime_string')) as unparsed,

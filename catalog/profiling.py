@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.dirty import table
-from catalog.duck import GRADE, column_counts, r2, scores, with_tables
+from catalog.duck import GRADE, column_counts, rs, scores, with_tables
 from catalog.registry import query
 from catalog.shared import cleaned
 from tablewright.functions.names import is_nonstandard
@@ -36,7 +36,7 @@ def prof_misstot(spark, folder):
     return P.dataset_profile(table(spark, folder, "d_sales"), duplicates=0).select("total_missing", "total_missing_pct")
 
 
-@query("prof_dup", f"""select n as total_rows, n - d as duplicate_count, {r2('(n - d) * 100.0 / n')} as duplicate_pct from (
+@query("prof_dup", f"""select n as total_rows, n - d as duplicate_count, {rs('(n - d) / n * 100')} as duplicate_pct from (
  select (select count(*) from documents) as n, (select count(*) from (select distinct text, lang, source from documents)) as d)""")
 def prof_dup(spark, folder):
     return duplicate_summary(table(spark, folder, "documents").select("text", "lang", "source"))
@@ -147,10 +147,10 @@ def _score_query(name: str, columns: dict[str, str]):
     return run
 
 
-_score_query("dq_complete", {"total_missing_pct": "total_missing_pct", "completeness": "round_even(c * 10, 0) / 10"})
-_score_query("dq_unique", {"duplicate_pct": "duplicate_pct", "uniqueness": "round_even(u * 10, 0) / 10"})
-_score_query("dq_valid", {"validity": "round_even(v * 10, 0) / 10"})
-_score_query("dq_consist", {"consistency": "round_even(k * 10, 0) / 10"})
+_score_query("dq_complete", {"total_missing_pct": "total_missing_pct", "completeness": rs("c", 1)})
+_score_query("dq_unique", {"duplicate_pct": "duplicate_pct", "uniqueness": rs("u", 1)})
+_score_query("dq_valid", {"validity": rs("v", 1)})
+_score_query("dq_consist", {"consistency": rs("k", 1)})
 _score_query("dq_score", {
     "total_rows": "total_rows", "total_columns": "total_columns", "total_missing": "total_missing",
     "duplicate_count": "duplicate_count", "quality_score": "score"})

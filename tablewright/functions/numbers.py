@@ -56,16 +56,20 @@ def parse_money_percent(x: str) -> str:
 
 
 def round2(x: str) -> str:
-    """Two decimals, half to even, on the scaled binary value."""
+    """Two decimals of a column, half to even, on the scaled binary value."""
     return f"rint(({x}) * 100) / 100"
 
 
-def round1(x: str) -> str:
-    return f"rint(({x}) * 10) / 10"
+def round_scalar(x: str, digits: int) -> str:
+    """Rounds the exact binary value, half to even, as figures in reports are rounded.
+
+    `format_number` does that; `round` would decide on the printed decimal digits.
+    """
+    return f"cast(replace(format_number({x}, {digits}), ',', '') as double)"
 
 
 def pct2(part: str, whole: str) -> str:
-    return round2(f"coalesce(try_divide(({part}) * 100D, {whole}), 0D)")
+    return round_scalar(f"coalesce(try_divide({part}, {whole}) * 100, 0D)", 2)
 
 
 def bin_right(x: str, edges: Sequence[float], labels: Sequence[str]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.names import find_column
-from tablewright.functions.numbers import as_double, money, one_decimal, round2
+from tablewright.functions.numbers import as_double, money, one_decimal, round2, round_scalar
 from tablewright.functions.sql import is_numeric, numeric_columns, q, rows_of, text
 from tablewright.operators.quantiles import quantile_aggregates
 
@@ -123,7 +123,7 @@ def period_growth(df: DataFrame) -> DataFrame | None:
     last_two = sums.orderBy(F.desc("p")).limit(2).selectExpr("count(1) as n", "min_by(v, p) as prev", "max_by(v, p) as curr")
     return last_two.filter("n = 2 and prev > 0").selectExpr("(curr - prev) / prev * 100 as growth").selectExpr(rows_of([_kpi(
         12, "period_growth", "'Latest Period Growth'", f"concat(if(growth >= 0, '+', ''), {one_decimal('growth')}, '%')",
-        round2("growth"), f"Growth between last two periods in '{date}'")]))
+        round_scalar("growth", 2), f"Growth between last two periods in '{date}'")]))
 
 
 def kpi_table(df: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
         "q3": "s.quart[2]", "max": "s.max", "iqr": "s.quart[2] - s.quart[0]", "skewness": "s.skewness",
     }
     return long.filter("s.count > 0").selectExpr(
-        "seq", "column", "s.count as count", *[f"{round2(e)} as {n}" for n, e in rounded.items()],
+        "seq", "column", "s.count as count", *[f"{round_scalar(e, 2)} as {n}" for n, e in rounded.items()],
         "s.null_count as null_count")
 
 

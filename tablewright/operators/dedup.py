@@ -79,11 +79,11 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def remove_duplicates(df: DataFrame) -> DataFrame:
+def remove_duplicates(df: DataFrame, found: RepeatedHashes | None = None) -> DataFrame:
     """One row of every group of equal rows."""
     if not df.columns:
         return df
-    found = repeated_hashes(df)
+    found = repeated_hashes(df) if found is None else found
     if not found.repeated:
         return df
     if not found.broadcastable:

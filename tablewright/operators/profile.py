@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import PROFILE_DATE_PATTERNS, looks_like_date
 from tablewright.functions.names import expects_positive, is_nonstandard
-from tablewright.functions.numbers import NOT_NUMERIC_CHARS, looks_money_percent, pct2, round1
+from tablewright.functions.numbers import NOT_NUMERIC_CHARS, looks_money_percent, pct2, round_scalar
 from tablewright.functions.sql import any_of, is_nested, is_numeric, is_text, is_time, q, rows_of, sql_map, text
 from tablewright.functions.text import PROFILE_BOOL_TOKENS, trim_text
 from tablewright.operators.dedup import duplicate_count
@@ -218,16 +218,16 @@ def dataset_profile(
         "*",
         "greatest(0D, 100D - total_missing_pct * 2) as c",
         "greatest(0D, 100D - duplicate_pct * 3) as u",
-        "greatest(0D, 100D - coalesce(try_divide(invalid * 100D, total_cells), 0D) * 10) as v",
-        "greatest(0D, 100D - (nonstandard * 30D / total_columns + unparsed * 15)) as k",
+        "greatest(0D, 100D - coalesce(try_divide(invalid, total_cells) * 100, 0D) * 10) as v",
+        "greatest(0D, 100D - (nonstandard / total_columns * 30 + unparsed * 15)) as k",
     )
     mix = " + ".join(f"{d} * {w}D" for d, w in WEIGHTS.items())
-    scored = dims.selectExpr("*", "total_rows = 0 as is_empty", f"greatest(0D, least(100D, {round1(mix)})) as score")
+    scored = dims.selectExpr("*", "total_rows = 0 as is_empty", f"greatest(0D, least(100D, {round_scalar(mix, 1)})) as score")
     shown = {"c": "completeness", "u": "uniqueness", "v": "validity", "k": "consistency"}
     return scored.selectExpr(
         "total_rows", "if(is_empty, 0L, total_columns) as total_columns", "total_cells", "total_missing",
         "total_missing_pct", "duplicate_count", "duplicate_pct",
-        *[f"if(is_empty, 0D, {round1(d)}) as {name}" for d, name in shown.items()],
+        *[f"if(is_empty, 0D, {round_scalar(d, 1)}) as {name}" for d, name in shown.items()],
         "if(is_empty, 0D, score) as quality_score", f"if(is_empty, 'N/A', {grade_of('score')}) as quality_grade", "is_empty",
     )
 

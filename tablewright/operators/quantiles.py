@@ -1,13 +1,13 @@
 """Exact quantiles with bounded memory at any table size.
 
-Spark's `percentile` keeps every distinct value of a column in one buffer. That is
-right for columns with a bounded number of distinct values, which one guard pass
-checks. For other columns the wanted order statistics are bracketed: a bounded sketch
-(`percentile_approx`) proposes two data values around the target rank, one counting
-pass tells on which side of them the rank lies, and the open interval between shrinks
-by about the sketch's accuracy per round until it holds few enough rows for an exact
-`percentile`. No row is shuffled, sorted or collected, and a value that makes up a
-third of the column cannot stall the search because interval ends are excluded.
+Spark's `percentile` keeps every distinct value of a column, and one task merges what
+all tasks kept. That is right for columns with few distinct values, which one guard
+pass checks. For other columns the wanted order statistics are bracketed: a small
+sketch (`percentile_approx`) proposes two data values around the target rank, one
+counting pass tells on which side of them the rank lies, and the open interval between
+shrinks by about the sketch's accuracy per round until it holds few enough rows for an
+exact `percentile`. No row is shuffled, sorted or collected, and a value that makes up
+a third of the column cannot stall the search because interval ends are excluded.
 """
 
 from __future__ import annotations
@@ -21,15 +21,19 @@ from pyspark.sql import DataFrame
 from tablewright.functions.numbers import as_double
 from tablewright.functions.sql import number
 
-MAX_DISTINCT_IN_BUFFER = 500_000
-SKETCH_ACCURACY = 10_000
+# Distinct values a column may have for a direct `percentile`: every task sends that many.
+MAX_DISTINCT_IN_BUFFER = 10_000
+# Rows of an interval that are small enough to finish the search with `percentile`.
+MAX_ROWS_IN_BUFFER = 100_000
+# Small sketches, since one task merges those of all tasks; a search of 10^12 rows takes three rounds.
+SKETCH_ACCURACY = 1_000
 # Relative error the guard's distinct sketch may have.
 GUARD_ERROR = 0.05
 
 Guards = Mapping[str, tuple[int, int]]
 
 
-@dataclass
+@dataclass(eq=False)
 class _Search:
     """One order statistic: the `rank`-th smallest (from 0) of a column."""
 
@@ -40,6 +44,7 @@ class _Search:
     low: float | None = None
     high: float | None = None
     value: float | None = None
+    aims: tuple[float, float] = (0.0, 1.0)
 
     def window(self) -> str:
         x = as_double(self.column)
@@ -74,7 +79,7 @@ def guard_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
 
 def search_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], totals: Mapping[str, int],
-    buffer_rows: int = MAX_DISTINCT_IN_BUFFER, accuracy: int = SKETCH_ACCURACY,
+    buffer_rows: int = MAX_ROWS_IN_BUFFER, accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles by bracketing; every round is two plain aggregates."""
     searches: dict[tuple[str, int], _Search] = {}
@@ -101,20 +106,25 @@ def search_quantiles(
 
 
 def _bracket(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
+    """One round: searches in the same interval share a sketch, equal proposals share their counts."""
     slack = 2.0 / accuracy
-    sketches = []
+    aims: dict[str, set[float]] = {}
     for s in searches:
         aim = (s.rank - s.below) / (s.inside - 1)
-        ends = f"array({number(max(0.0, aim - slack))}, {number(min(1.0, aim + slack))})"
-        sketches.append(f"percentile_approx({s.window()}, {ends}, {accuracy})")
-    proposed = df.selectExpr(*sketches).first()
-    tests = []
-    for s, (a, b) in zip(searches, proposed):
-        x = as_double(s.column)
-        tests += [f"count_if({x} {op} {number(end)})" for end in (a, b) for op in ("<", "<=")]
-    counts = df.selectExpr(*tests).first()
-    for i, (s, (a, b)) in enumerate(zip(searches, proposed)):
-        s.narrow(a, b, *counts[4 * i: 4 * i + 4])
+        s.aims = max(0.0, aim - slack), min(1.0, aim + slack)
+        aims.setdefault(s.window(), set()).update(s.aims)
+    shares = {w: sorted(found) for w, found in aims.items()}
+    row = df.selectExpr(*[
+        f"percentile_approx({w}, array({', '.join(number(p) for p in found)}), {accuracy})" for w, found in shares.items()
+    ]).first()
+    proposed = {(w, p): v for (w, found), values in zip(shares.items(), row) for p, v in zip(found, values)}
+    ends = {s: tuple(proposed[s.window(), p] for p in s.aims) for s in searches}
+    tests = list(dict.fromkeys((s.column, op, end) for s in searches for end in ends[s] for op in ("<", "<=")))
+    counted = dict(zip(tests, df.selectExpr(*[
+        f"count(if({as_double(c)} {op} {number(end)}, 1, null))" for c, op, end in tests]).first()))
+    for s in searches:
+        a, b = ends[s]
+        s.narrow(a, b, *[counted[s.column, op, end] for end in (a, b) for op in ("<", "<=")])
 
 
 def _interpolate(searches: Mapping[tuple[str, int], _Search], column: str, position: float) -> float:
@@ -135,7 +145,7 @@ def quantile_aggregates(
     limit = MAX_DISTINCT_IN_BUFFER if max_distinct is None else max_distinct
     guards = guard_columns(df, list(wanted)) if guards is None else guards
     big = {c: p for c, p in wanted.items() if guards[c][1] > limit}
-    found = search_quantiles(df, big, {c: guards[c][0] for c in big}, buffer_rows=limit)
+    found = search_quantiles(df, big, {c: guards[c][0] for c in big})
     out = {}
     for c, probs in wanted.items():
         if c in found:

@@ -4,9 +4,9 @@
 that say what happens to each column. `apply` turns a plan into one lazy projection,
 so a plan fitted on one batch can clean the next one, batch or stream.
 
-Passes of a run over the source: row hashes, type shares, and one write of the
-deduplicated, typed and standardised table to the shared folder. The counters of the
-audit are observed during that write. What follows (medians, modes, outlier bounds)
+Passes of a run over the source: row hashes, type shares, and one write of the typed
+and standardised table to the shared folder; where copies were found, the rows without
+them are written first. The counters of the audit are observed during the write. What follows (medians, modes, outlier bounds)
 reads single columns of the staged table.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewright.operators.dedup import remove_duplicates
+from tablewright.operators.dedup import remove_duplicates, repeated_hashes
 from tablewright.operators.impute import Fill, apply_missing, fit_missing
 from tablewright.operators.insights import CleaningFacts
 from tablewright.operators.outliers import (
@@ -148,7 +148,12 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
     named = df
     if opts.standardize_names:
         named, plan.renames = clean_names(df, opts.symbol_words)
-    rows = remove_duplicates(named) if opts.remove_dups else named
+    rows, n_before = named, None
+    if opts.remove_dups:
+        found = repeated_hashes(named)
+        n_before = found.rows
+        if found.repeated:  # later passes should not repeat the comparison of copies
+            rows = stage(remove_duplicates(named, found), "deduplicated")
     if opts.convert_types:
         plan.kinds = fit_types(rows, opts.keep_text, DateReading(opts.day_first))
 
@@ -163,7 +168,7 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
     plan.bounds = detect_outliers(filled, opts.outlier_method, opts.outlier_threshold)
     table = handle_outliers(filled, plan.bounds, opts.outlier_action)
 
-    n_before = df.count() if opts.remove_dups else n_kept
+    n_before = n_kept if n_before is None else n_before
     lost = any(f.action == "drop" for f in plan.fills) or (opts.outlier_action == "remove" and plan.bounds)
     return CleaningResult(
         table, plan, initial_shape=(n_before, len(df.columns)),

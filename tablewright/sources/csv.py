@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tablewright.functions.numbers import looks_numeric, round2
+from tablewright.functions.numbers import looks_numeric, round_scalar
 from tablewright.functions.sql import any_of, q, replace_columns, text, text_columns
 from tablewright.operators.dedup import duplicate_count
 
@@ -126,7 +126,7 @@ def load_metadata(df: DataFrame, path: str) -> DataFrame:
     """File size, shape, names, missing cells and duplicate rows as one row."""
     # Only the listing is read: without `content` no file is opened.
     listing = df.sparkSession.read.format("binaryFile").load(path)
-    size = listing.selectExpr(f"{round2('coalesce(sum(length), 0) / 1024')} as kb").scalar()
+    size = listing.selectExpr(f"{round_scalar('coalesce(sum(length), 0) / 1024', 2)} as kb").scalar()
     missing = " + ".join(f"count_if({q(c)} is null)" for c in df.columns) or "0"
     names = ", ".join(text(c) for c in df.columns)
     facts = df.selectExpr(
