@@ -57,10 +57,10 @@ class CleanOptions:
     outlier_action: str = "keep"
     outlier_threshold: float = DEFAULT_THRESHOLD
     symbol_words: bool = False
-    keep_text: Sequence[str] = ()
+    keep_text: Sequence[str] = field(default_factory=list)
     day_first: bool = False
-    order_by: Sequence[str] = ()
-    partition_by: Sequence[str] = ()
+    order_by: Sequence[str] = field(default_factory=list)
+    partition_by: Sequence[str] = field(default_factory=list)
 
 
 @dataclass
