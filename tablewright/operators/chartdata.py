@@ -113,29 +113,51 @@ def box_points(df: DataFrame, column: str, lower: float, upper: float) -> DataFr
 def correlation(df: DataFrame) -> DataFrame:
     """Pearson r of every pair of numeric columns over rows where both are known.
 
-    Built from moments: `corr` fails on a constant column, here such a pair is NULL.
+    Sums of products of values shifted by their column's least value: a constant column
+    shifts to exact zeros, and its pairs come out NULL (`corr` would fail on them). A
+    pair of columns without gaps needs one sum of its own, the rest is shared.
     """
     names = numeric_columns(df)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    facts = df.selectExpr("count(1)", *[
+        e for c in names for e in (f"count({q(c)})", f"min({as_double(c)})")]).first()
+    full = {c for i, c in enumerate(names) if facts[1 + 2 * i] == facts[0]}
+    shifted = df.selectExpr(*[
+        f"{as_double(c)} - {number(facts[2 + 2 * i])} as x{i}" for i, c in enumerate(names)])
+    at = {c: f"x{i}" for i, c in enumerate(names)}
     pairs = [(a, a) for a in names] + list(combinations(names, 2))
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.selectExpr(*[f"{_pair_correlation(a, b)} as r{i}" for i, (a, b) in enumerate(chunk)])
+        sums: dict[str, str] = {}  # aggregate -> its name, each computed once
+
+        def total_of(expression: str) -> str:
+            return sums.setdefault(f"sum({expression})", f"s{len(sums)}")
+
+        structs = []
+        for a, b in chunk:
+            x, y = at[a], at[b]
+            both = "" if {a, b} <= full else f" * if({x} is null or {y} is null, null, 1D)"
+            n = total_of(f"1D{both}")
+            sx, sy = total_of(f"{x}{both}"), total_of(f"{y}{both}")
+            sxx, syy, sxy = (total_of(f"{u} * {v}{both}") for u, v in ((x, x), (y, y), (x, y)))
+            if a == b:
+                r = f"if({_spread(n, sx, sxx)} is null, null, 1D)"
+            else:
+                r = round2(f"({sxy} - {sx} * {sy} / {n}) / sqrt({_spread(n, sx, sxx)} * {_spread(n, sy, syy)})")
+            structs += [(u, v, r) for u, v in dict.fromkeys([(a, b), (b, a)])]
+        row = shifted.selectExpr(*[f"{e} as {n}" for e, n in sums.items()])
         part = row.selectExpr(rows_of(
-            f"struct({text(x)} as col_a, {text(y)} as col_b, r{i} as r)"
-            for i, (a, b) in enumerate(chunk) for x, y in dict.fromkeys([(a, b), (b, a)])))
+            f"struct({text(u)} as col_a, {text(v)} as col_b, {r} as r)" for u, v, r in structs))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _pair_correlation(a: str, b: str) -> str:
-    x, y = as_double(a), as_double(b)
-    if a == b:
-        return f"if(var_pop({x}) > 0, 1D, null)"
-    spread = f"stddev_pop(if({y} is null, null, {x})) * stddev_pop(if({x} is null, null, {y}))"
-    return round2(f"try_divide(covar_pop({x}, {y}), {spread})")
+def _spread(n: str, s: str, ss: str) -> str:
+    """Sum of squared deviations; what is left of rounding counts as none."""
+    left = f"({ss} - {s} * {s} / {n})"
+    return f"if({left} > {ss} * 1e-13D, {left}, null)"
 
 
 def gauge_band(score: str) -> str:

@@ -65,11 +65,14 @@ def fill_ordered(
     borders = _borders(keyed, df.count(), rows_per_bucket)
     bucketed = keyed.withColumn(_BUCKET, _bucket_of(borders, key_type))
 
-    local = f"partition by {_BUCKET}, {_GROUP} order by {_KEY} rows between"
+    # What a row still misses after the forward fill lies before the first known value of its
+    # group, so the backward fill is that value: a frame over the whole group, computed once,
+    # where a frame from each row to the end would be quadratic.
+    local = f"partition by {_BUCKET}, {_GROUP} order by {_KEY} rows between unbounded preceding"
     filled = bucketed.selectExpr("*", *[
         e for i, c in enumerate(columns) for e in (
-            f"last_value({q(c)}) ignore nulls over ({local} unbounded preceding and current row) as __last{i}",
-            f"first_value({q(c)}) ignore nulls over ({local} current row and unbounded following) as __next{i}")
+            f"last_value({q(c)}) ignore nulls over ({local} and current row) as __last{i}",
+            f"first_value({q(c)}) ignore nulls over ({local} and unbounded following) as __next{i}")
     ])
     if borders:
         # One row per bucket, at most MAX_BUCKETS of them.
@@ -101,11 +104,11 @@ def _carries(bucketed: DataFrame, columns: Sequence[str]) -> DataFrame:
             f"min_by({q(c)}, {_KEY}) filter (where {q(c)} is not null and {_GROUP} = __first) as __head{i}")
     ])
     before = f"over (order by {_BUCKET} rows between unbounded preceding and 1 preceding)"
-    after = f"over (order by {_BUCKET} rows between 1 following and unbounded following)"
+    after = f"over (order by {_BUCKET} desc rows between unbounded preceding and 1 preceding)"
     nearest = edges.selectExpr(_BUCKET, "__first", "__final", *[
         e for i in range(len(columns)) for e in (
             f"last_value(if(__tail{i} is null, null, struct(__final as g, __tail{i} as v))) ignore nulls {before} as b{i}",
-            f"first_value(if(__head{i} is null, null, struct(__first as g, __head{i} as v))) ignore nulls {after} as a{i}")
+            f"last_value(if(__head{i} is null, null, struct(__first as g, __head{i} as v))) ignore nulls {after} as a{i}")
     ])
     return nearest.selectExpr(_BUCKET, "__first", "__final", *[
         e for i in range(len(columns)) for e in (
