@@ -115,8 +115,8 @@ def stat_summary(spark, folder):
 
 @query("stat_skew", "select " + ", ".join(f"{rs(f'skewness({c})', 4)} as {c}" for c in _NUMBERS) + " from lineitem")
 def stat_skew(spark, folder):
-    row = table(spark, folder, "lineitem").selectExpr(*[f"{A.skewness(f'cast({c} as double)')} as {c}" for c in _NUMBERS])
-    return row.selectExpr(*[f"{round_scalar(c, 4)} as {c}" for c in _NUMBERS])
+    row = table(spark, folder, "lineitem").selectExpr("count(1) as n", *[f"skewness(cast({c} as double)) as {c}" for c in _NUMBERS])
+    return row.selectExpr(*[f"{round_scalar(A.adjusted_skewness('n', c), 4)} as {c}" for c in _NUMBERS])
 
 
 _PROBS = (0.05, 0.25, 0.5, 0.75, 0.99)

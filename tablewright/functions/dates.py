@@ -82,6 +82,6 @@ def parse_timestamp(x: str, day_first: bool = False, pivot: int = CENTURY_PIVOT)
     twelve_hour = ", ".join(
         f"cast(try_to_timestamp(upper(trim({x})), {text(f)}) as timestamp_ntz)" for f in _AM_PM_FORMATS)
     return (
-        f"case when {x} rlike {text(_AM_PM)} then coalesce({twelve_hour}) "
-        f"else try_cast(case {' '.join(cases)} end as timestamp_ntz) end"
+        f"coalesce(try_cast(case {' '.join(cases)} end as timestamp_ntz), "
+        f"case when {x} rlike {text(_AM_PM)} then coalesce({twelve_hour}) end)"
     )

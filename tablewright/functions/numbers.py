@@ -40,12 +40,8 @@ def _with_signs(signs: str) -> str:
     return rf"^{s}(?:[+-]{s})?(?:{digits}(?:\.{s}(?:{digits})?)?|\.{s}{digits})(?:[eE]{s}(?:[+-]{s})?{digits})?$"
 
 
-def looks_money(x: str) -> str:
-    """Does the text read as a number once money signs and blanks are gone?"""
-    return f"{x} rlike {text(_with_signs(MONEY_SIGNS))}"
-
-
 def looks_money_percent(x: str) -> str:
+    """Does the text read as a number once money signs, percent signs and blanks are gone?"""
     return f"{x} rlike {text(_with_signs(MONEY_SIGNS + '%'))}"
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.names import find_column
 from tablewright.functions.numbers import as_double, money, one_decimal, round2, round_scalar
-from tablewright.functions.sql import is_numeric, numeric_columns, q, rows_of, text
-from tablewright.operators.quantiles import quantile_aggregates
+from tablewright.functions.sql import is_numeric, number, numeric_columns, q, rows_of, text
+from tablewright.operators.quantiles import exact_quantiles, quantile_aggregates
 
 # Keyword lists by priority.
 REVENUE_KEYS = ("calculated_revenue", "net_revenue", "revenue", "gross_revenue", "total_amount", "sales", "amount")
@@ -136,10 +136,9 @@ def kpi_table(df: DataFrame) -> DataFrame:
 
 # --- statistics --------------------------------------------------------------------
 
-def skewness(x: str) -> str:
-    """Bias-adjusted skewness; 0 for at most two values or no spread."""
-    n = f"cast(count({x}) as double)"
-    return f"if(count({x}) > 2, coalesce(skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2), 0D), 0D)"
+def adjusted_skewness(n: str, plain: str) -> str:
+    """Bias-adjusted skewness from the plain one; 0 for at most two values or no spread."""
+    return f"if({n} > 2, coalesce({plain} * sqrt({n} * ({n} - 1D)) / ({n} - 2), 0D), 0D)"
 
 
 def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -150,20 +149,25 @@ def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         quantiles = {c: f"percentile_approx({as_double(c)}, array(0.25D, 0.5D, 0.75D), 10000)" for c in names}
     else:
-        quantiles = quantile_aggregates(df, {c: [0.25, 0.5, 0.75] for c in names})
-    row = df.selectExpr(*[
-        f"struct(count({x}) as count, avg({x}) as mean, stddev_samp({x}) as std_dev, min({x}) as min, {quantiles[c]} as quart, "
-        f"max({x}) as max, {skewness(x)} as skewness, count_if({x} is null) as null_count) as s{i}"
-        for i, c in enumerate(names) for x in [as_double(c)]
+        # Known before the moments are summed: `percentile` beside them would keep Spark from
+        # generating code for the whole aggregate.
+        found = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in names})
+        quantiles = {c: f"array({', '.join(number(v) for v in values)})" for c, values in found.items()}
+    moments = ("count", "avg", "stddev_samp", "min", "max", "skewness")
+    row = df.selectExpr("count(1) as total", *[
+        e for i, c in enumerate(names) for e in (
+            *(f"{m}({as_double(c)}) as {m}{i}" for m in moments), f"{quantiles[c]} as quart{i}")
     ])
-    long = row.selectExpr(rows_of(f"struct({i} as seq, {text(c)} as column, s{i} as s)" for i, c in enumerate(names)))
+    long = row.selectExpr("total", rows_of(
+        f"struct({i} as seq, {text(c)} as column, {', '.join(f'{m}{i} as {m}' for m in moments)}, quart{i} as quart)"
+        for i, c in enumerate(names)))
     rounded = {
-        "mean": "s.mean", "std_dev": "s.std_dev", "min": "s.min", "q1": "s.quart[0]", "median": "s.quart[1]",
-        "q3": "s.quart[2]", "max": "s.max", "iqr": "s.quart[2] - s.quart[0]", "skewness": "s.skewness",
+        "mean": "avg", "std_dev": "stddev_samp", "min": "min", "q1": "quart[0]", "median": "quart[1]", "q3": "quart[2]",
+        "max": "max", "iqr": "quart[2] - quart[0]", "skewness": adjusted_skewness("count", "skewness"),
     }
-    return long.filter("s.count > 0").selectExpr(
-        "seq", "column", "s.count as count", *[f"{round_scalar(e, 2)} as {n}" for n, e in rounded.items()],
-        "s.null_count as null_count")
+    return long.filter("count > 0").selectExpr(
+        "seq", "column", "count", *[f"{round_scalar(e, 2)} as {n}" for n, e in rounded.items()],
+        "total - count as null_count")
 
 
 # --- breakdowns --------------------------------------------------------------------

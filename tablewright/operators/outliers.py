@@ -47,17 +47,16 @@ class Bounds:
 def detect_outliers(
     df: DataFrame, method: str = "iqr", threshold: float = DEFAULT_THRESHOLD, columns: Sequence[str] | None = None,
 ) -> list[Bounds]:
-    """Three column-pruned passes: spread, quartiles, counts. Only per-column numbers reach the driver."""
+    """Column-pruned passes for spread, quartiles and counts. Only per-column numbers reach the driver."""
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown outlier method: {method}")
     names = numeric_columns(df) if columns is None else list(columns)
     if not names:
         return []
-    spread = df.selectExpr(*[
-        e for i, c in enumerate(names) for x in [as_double(c)] for e in (
-            f"count({x}) as n{i}", f"min({x}) as lo{i}", f"max({x}) as hi{i}", f"avg({x}) as m{i}",
-            f"stddev_samp({x}) as s{i}", f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}")
-    ]).first()
+    rule = {"iqr": [f"approx_count_distinct({{0}}, {GUARD_ERROR}) as d{{1}}"],
+            "zscore": ["avg({0}) as m{1}", "stddev_samp({0}) as s{1}"]}[method]
+    wanted = ["count({0}) as n{1}", "min({0}) as lo{1}", "max({0}) as hi{1}", *rule]
+    spread = df.selectExpr(*[e.format(as_double(c), i) for i, c in enumerate(names) for e in wanted]).first()
     usable = [(i, c) for i, c in enumerate(names) if spread[f"n{i}"] >= MIN_VALUES]
     limits: dict[str, tuple[float, float, str]] = {}
     if method == "iqr":

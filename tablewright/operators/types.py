@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, looks_like_date, parse_timestamp
-from tablewright.functions.numbers import looks_money, looks_money_percent, parse_money_percent
+from tablewright.functions.numbers import looks_money_percent, parse_money_percent
 from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS, parse_boolean, trim_text
 
@@ -38,9 +38,10 @@ def type_shares(df: DataFrame, keep_text: Collection[str] = ()) -> DataFrame:
     counts = []
     for i in range(len(texts)):
         x = f"t{i}"
+        numeric = looks_money_percent(x)
         tests = (
-            f"count({x})", f"count_if(endswith({x}, '%'))", f"count_if({looks_money(x)})",
-            f"count_if({looks_money_percent(x)})", f"count_if({looks_like_date(x, CLEAN_DATE_PATTERNS)})",
+            f"count({x})", f"count_if(endswith({x}, '%'))", f"count_if({numeric} and not contains({x}, '%'))",
+            f"count_if({numeric})", f"count_if({looks_like_date(x, CLEAN_DATE_PATTERNS)})",
             f"count_if(lower({x}) in {any_of((*TRUE_TOKENS, *FALSE_TOKENS))})",
         )
         counts.append("struct(" + ", ".join(f"{t} as {n}" for t, n in zip(tests, names)) + f") as s{i}")

@@ -4,7 +4,7 @@ import pytest
 
 from tablewright.functions.dates import looks_like_date, parse_timestamp
 from tablewright.functions.names import date_prefix, find_column, is_nonstandard, snake_names
-from tablewright.functions.numbers import bin_right, looks_money, parse_money_percent, round2, round_scalar
+from tablewright.functions.numbers import bin_right, looks_money_percent, parse_money_percent, round2, round_scalar
 from tablewright.functions.text import map_values, null_tokens_to_null, parse_boolean, title_case, trim_text
 
 
@@ -53,7 +53,7 @@ def test_money_and_percent_parse(spark):
     values = ["$1,200.50", "₹ 14,50,000", " 95 000 ", "-5%", "1e3", ".5", "1d", "abc", "", "1.2.3", None, "5 %", "--1"]
     assert column(spark, values, parse_money_percent("x")) == [
         1200.5, 1450000.0, 95000.0, -5.0, 1000.0, 0.5, None, None, None, None, None, 5.0, None]
-    assert column(spark, ["5%", "5"], looks_money("x")) == [False, True]
+    assert column(spark, ["5%", "5", "a5"], looks_money_percent("x")) == [True, True, False]
 
 
 def test_booleans(spark):
