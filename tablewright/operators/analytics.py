@@ -185,7 +185,7 @@ def breakdown(df: DataFrame, dimension: str, value: str) -> DataFrame:
     """Count, sum, mean and share of the grand total per group, largest first."""
     groups = _grouped(df, dimension, *_measures(value))
     # A scalar subquery, not a window: a window over all groups would be one task.
-    grand = groups.selectExpr("sum(total_value)").scalar()
+    grand = df.filter(f"{q(dimension)} is not null").selectExpr(f"sum({as_double(value)})").scalar()
     return groups.withColumn("grand", grand).selectExpr(
         q(dimension), "record_count", "total_value", "average_value",
         f"{round2('try_divide(total_value, grand) * 100')} as share_pct",
