@@ -142,16 +142,16 @@ def correlation(df: DataFrame) -> DataFrame:
             n = total_of(f"1D{both}")
             sx, sy = total_of(f"{x}{both}"), total_of(f"{y}{both}")
             sxx, syy, sxy = (total_of(f"{u} * {v}{both}") for u, v in ((x, x), (y, y), (x, y)))
-            if a == b:
-                r = f"if({_spread(n, sx, sxx)} is null, null, 1D)"
-            else:
-                r = round2(f"({sxy} - {sx} * {sy} / {n}) / sqrt({_spread(n, sx, sxx)} * {_spread(n, sy, syy)})")
-            structs += [(u, v, r) for u, v in dict.fromkeys([(a, b), (b, a)])]
+            for u, v in dict.fromkeys([(a, b), (b, a)]):
+                structs.append(
+                    f"struct({text(u)} as col_a, {text(v)} as col_b, {n} as n, {sx} as sx, {sy} as sy, "
+                    f"{sxx} as sxx, {syy} as syy, {sxy} as sxy)")
         row = shifted.selectExpr(*[f"{e} as {n}" for e, n in sums.items()])
-        part = row.selectExpr(rows_of(
-            f"struct({text(u)} as col_a, {text(v)} as col_b, {r} as r)" for u, v, r in structs))
+        part = row.selectExpr(rows_of(structs))
         out = part if out is None else out.unionByName(part)
-    return out
+    r = round2(f"(sxy - sx * sy / n) / sqrt({_spread('n', 'sx', 'sxx')} * {_spread('n', 'sy', 'syy')})")
+    same = f"if({_spread('n', 'sx', 'sxx')} is null, null, 1D)"
+    return out.selectExpr("col_a", "col_b", f"if(col_a = col_b, {same}, {r}) as r")
 
 
 def _spread(n: str, s: str, ss: str) -> str:
