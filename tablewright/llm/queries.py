@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from tablewright.llm.decontamination import OP3_SQL, op3_decontamination
+from tablewright.llm.language import op9_language_mixture
+from tablewright.llm.neighbours import op5_nearest_neighbours
 from tablewright.llm.packing import op6_best_fit_packing
+from tablewright.llm.toxicity import op1_toxicity_segments
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_toxicity_segments": op1_toxicity_segments,
+    "op3_decontamination": op3_decontamination,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_language_mixture": op9_language_mixture,
+}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
