@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from tablewright.llm.decontamination import OP3_SQL, op3_decontamination
+from tablewright.llm.jaccard_join import OP10_SQL, op10_ngram_jaccard
 from tablewright.llm.language import op9_language_mixture
+from tablewright.llm.line_dedup import op2_fuzzy_lines
 from tablewright.llm.neighbours import op5_nearest_neighbours
 from tablewright.llm.packing import op6_best_fit_packing
 from tablewright.llm.toxicity import op1_toxicity_segments
 
 QUERIES = {
     "op1_toxicity_segments": op1_toxicity_segments,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_decontamination": op3_decontamination,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_language_mixture": op9_language_mixture,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_ngram_jaccard": OP10_SQL}
