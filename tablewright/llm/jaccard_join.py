@@ -23,11 +23,13 @@ PERCENT = 85
 FREQUENT = 64
 #: Sets of one trie at most; a probe with more candidates meets several tries.
 TRIE_SETS = 512
+#: Ids that are broadcast at most when texts are read again; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles; words are ASCII-lower-cased runs of non-blank bytes."""
+    """Sorted distinct 63-bit hashes of a text's word shingles; words are ASCII-lower-cased runs of non-blank bytes."""
 
     def __init__(self, width: int):
         self.width, self.known = width, {}
@@ -35,7 +37,7 @@ class Shingler:
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
-            return np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.int64)
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
@@ -49,8 +51,7 @@ class Shingler:
             value = (value ^ at[i:i + runs]) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
         value *= np.uint64(0xBF58476D1CE4E5B9)
-        value ^= value >> np.uint64(32)
-        return np.unique(value)
+        return np.unique(value >> np.uint64(1)).view(np.int64)
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -71,7 +72,7 @@ def sketch(documents: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes.append(len(found))
                 s1.append(int(digest[0]))
                 s2.append(int(digest[1]))
-                pools.append(found[:prefix_length(len(found), percent) * 5 // 4 + 8].view(np.int64) if len(found) else found.view(np.int64))
+                pools.append(found[:prefix_length(len(found), percent) * 9 // 8 + 4])
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
                  pa.array(pools, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "pool"])
@@ -89,7 +90,7 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [column(rows, "id"), pa.array([own(x.as_py() or "").view(np.int64) for x in column(rows, "text")], pa.list_(pa.int64()))],
+                    [column(rows, "id"), pa.array([own(x.as_py() or "") for x in column(rows, "text")], pa.list_(pa.int64()))],
                     names=["id", "shingles"])
 
     return documents.select("id", "text").mapInArrow(whole, "id long, shingles array<long>")
@@ -105,7 +106,7 @@ def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     ranked = stage(shared.withColumn("place", F.col("at") - F.coalesce(before, F.lit(0))), "jaccard-ranked")
     hits = ranked.where("frequent").groupBy("id", "n").agg(F.count("*").alias("hits"))
     prefix = F.expr(f"n - cast(ceil({percent} * n / 100) as long) + 1")
-    pool = F.least(F.col("n"), F.floor(prefix * 5 / 4) + 8)
+    pool = F.least(F.col("n"), F.floor(prefix * 9 / 8) + 4)
     short = hits.where(pool - F.col("hits") < prefix).select("id")
     return ranked.where(~F.col("frequent") & (F.col("place") < prefix)).select("id", "bucket"), short
 
@@ -160,24 +161,39 @@ class Trie:
         return found
 
 
-def trie_test(shingles: DataFrame, percent: int):
+def hopeful(pairs: DataFrame, pools: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose pools do not rule a link out, with a's number of them left.
+
+    Up to the smaller of both pools' last shingles the sets are known whole; beyond, they share no more
+    than the smaller rest. Most pairs that meet only in a common passage end here, without their sets.
+    """
+    left, right = pools.toDF("a", "a_n", "a_pool"), pools.toDF("b", "b_n", "b_pool")
+    both = pairs.join(left, "a").join(right, "b")
+    last = F.least(F.element_at("a_pool", -1), F.element_at("b_pool", -1))
+    rest = F.least(F.col("a_n") - F.size(F.filter("a_pool", lambda x: x <= F.col("last"))),
+                   F.col("b_n") - F.size(F.filter("b_pool", lambda x: x <= F.col("last"))))
+    most = both.withColumn("last", last).withColumn("most", F.size(F.array_intersect("a_pool", "b_pool")) + rest)
+    return most.where(100 * F.col("most") >= percent * (F.col("a_n") + F.col("b_n") - F.col("most"))).select("a", "b")
+
+
+def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     """The linked ones among pairs (a, b): each a probes tries of its b's."""
 
     def search(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(probes) and len(members):
-            probe = probes["probe"].iloc[0].view(np.uint64)
-            trie = Trie([(i, s.view(np.uint64)) for i, s in zip(members["b"], members["shingles"])])
+            probe = probes["probe"].iloc[0]
+            trie = Trie(list(zip(members["b"], members["shingles"])))
             found = [(int(probes["a"].iloc[0]), int(b)) for b in trie.search(probe, percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def test(pairs: DataFrame) -> DataFrame:
-        sized = stage(pairs.join(shingles.select(F.col("id").alias("a"), F.size("shingles").alias("a_size")), "a"), "jaccard-a")
-        # Sets of too different size cannot be linked; the others are dealt to tries by id.
-        near = sized.join(shingles.toDF("b", "shingles"), "b").where(
-            (100 * F.least("a_size", F.size("shingles")) >= percent * F.greatest("a_size", F.size("shingles"))))
-        counts = sized.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).alias("tries"))
-        counts = stage(counts, "jaccard-counts")
+        left = stage(hopeful(pairs, pools, percent), "jaccard-hopeful")
+        ids = stage(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "jaccard-ids")
+        sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        shingles = stage(sets(texts.join(sought, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
+        counts = stage(left.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).alias("tries")), "jaccard-counts")
+        near = left.join(shingles.toDF("b", "shingles"), "b")
         members = near.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tries")).alias("trie"), "shingles")
         probes = counts.join(shingles.toDF("a", "probe"), "a").select(
             "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("trie"), "probe")
@@ -193,19 +209,22 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     Documents are linked if 100 * intersection >= percent * union of their sets of `width`-word
     shingles; with fewer words, the whole sequence is the one shingle; without words, or with a NULL
     text, the set is empty and linked with nothing. A NULL doc_id takes no part in links and stays NULL
-    with a NULL component; rows that repeat a doc_id share a component, as do equal sets, which
-    are compared once. No rows give no rows.
+    with a NULL component. Rows that repeat a doc_id are one document, linked by the largest of
+    their sets; equal sets are compared once. No rows give no rows.
     """
     signed = stage(sketch(documents, width, percent), "jaccard-sketch")
-    usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stage(usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    # A repeated doc_id with several texts joins its texts' classes.
-    one = usable.join(classes.withColumnRenamed("id", "first_id").select("first_id", F.col("n_shingles").alias("k0"), F.col("s1").alias("k1"), F.col("s2").alias("k2")),
-                      (F.col("n_shingles") == F.col("k0")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")))
-    member = stage(one.select("doc_id", "first_id"), "jaccard-member")
-    leads = signed.join(classes.select("id", F.col("n_shingles").alias("k0"), F.col("s1").alias("k1"), F.col("s2").alias("k2")),
-                        (F.col("doc_id") == F.col("id")) & (F.col("n_shingles") == F.col("k0")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")))
-    pools = leads.select("id", F.col("n_shingles").alias("n"), F.posexplode("pool").alias("at", "bucket"))
+    key = F.struct("n_shingles", "s1", "s2")
+    usable = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "s1", "s2")
+    chosen = stage(usable.groupBy("doc_id").agg(F.max(key).alias("k")).select("doc_id", "k.*"), "jaccard-chosen")
+    classes = stage(chosen.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
+    member = stage(chosen.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "first_id"), "jaccard-member")
+    copies = member.where("doc_id <> first_id").select("doc_id")
+    rows = signed.where("doc_id is not null and n_shingles > 0")
+    if usable.count() > chosen.count():
+        rows = rows.withColumn("k", key).groupBy("doc_id").agg(F.max_by("pool", "k").alias("pool"), F.max("k").alias("k")).select("doc_id", "k.*", "pool")
+    leads = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    leads = leads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "pool")
+    pools = leads.select("id", "n", F.posexplode("pool").alias("at", "bucket"))
     counts = stage(pools.groupBy("bucket").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
                    .select("bucket", (F.col("n_sets") > FREQUENT).alias("frequent")), "jaccard-counts")
     shared = stage(pools.join(counts, "bucket"), "jaccard-shared")
@@ -220,9 +239,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
         rest = ordered.withColumn("rank", rank).where(F.expr(f"rank <= n - cast(ceil({percent} * n / 100) as long) + 1")).select("id", "bucket")
         prefix = prefix.join(few, "id", "left_anti").unionByName(rest)
     buckets = shared_buckets(prefix, "jaccard")
-    involved = buckets.select("id").distinct()
-    shingles = stage(sets(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
-    linked, _ = link(buckets, trie_test(shingles, percent), "jaccard")
+    linked, _ = link(buckets, trie_test(texts, leads, width, percent), "jaccard")
     linked = stage(linked, "jaccard-linked")
     place = member.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component_id"))
     place = stage(place.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "jaccard-place")
