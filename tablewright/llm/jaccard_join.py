@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import column, read
-from tablewright.llm.linkage import link, shared_buckets
+from tablewright.llm.linkage import blocks, link, shared_buckets
 from tablewright.sources.staging import stage
 
 WIDTH = 4
 #: Similarity as a fraction of whole numbers, so that the comparison is exact.
 PERCENT = 85
 #: A shingle in the prefix pools of more texts than this goes to the end of the global order.
-FREQUENT = 64
+FREQUENT = 24
 #: Sets of one trie at most; a probe with more candidates meets several tries.
-TRIE_SETS = 512
+TRIE_SETS = 256
 #: Ids that are broadcast at most when texts are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
@@ -112,28 +112,39 @@ def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
 
 
 class Trie:
-    """Sets as paths of ascending shingles; a node holds a run of shingles and the sizes of the sets below."""
+    """Sets as paths of ascending shingles; a node holds a run of shingles and the sizes of the sets below.
+
+    Nodes are numbered parents first and their runs lie in one array, so that a probe is compared
+    with all runs at once and the search itself only adds up counts.
+    """
 
     def __init__(self, members: list[tuple[int, np.ndarray]]):
-        members = sorted(members, key=lambda x: tuple(x[1][:64].tolist()))
-        self.root = self._node(members, 0)
-
-    def _node(self, members: list[tuple[int, np.ndarray]], depth: int):
-        """(run, smallest size, largest size, ids ending here, children)."""
-        first = members[0][1]
-        sizes = [len(s) for _, s in members]
-        stop = min(sizes)
-        for _, other in members[1:]:
-            differ = np.flatnonzero(first[depth:stop] != other[depth:stop])
-            if len(differ):
-                stop = depth + int(differ[0])
-        ends, groups = [], {}
-        for member in members:
-            if len(member[1]) == stop:
-                ends.append(member[0])
-            else:
-                groups.setdefault(int(member[1][stop]), []).append(member)
-        return first[depth:stop], depth, min(sizes), max(sizes), ends, [self._node(g, stop) for g in groups.values()]
+        self.parent, self.stop, self.low, self.high, self.ends = [], [], [], [], []
+        runs: list[np.ndarray] = []
+        todo = [(members, 0, -1)]
+        while todo:
+            group, depth, parent = todo.pop()
+            first, sizes = group[0][1], [len(s) for _, s in group]
+            stop = min(sizes)
+            for _, other in group[1:]:
+                differ = np.flatnonzero(first[depth:stop] != other[depth:stop])
+                if len(differ):
+                    stop = depth + int(differ[0])
+            own, below = [], {}
+            for member in group:
+                if len(member[1]) == stop:
+                    own.append(member[0])
+                else:
+                    below.setdefault(int(member[1][stop]), []).append(member)
+            node = len(runs)
+            runs.append(first[depth:stop])
+            for values, value in zip((self.parent, self.stop, self.low, self.high, self.ends), (parent, stop, min(sizes), max(sizes), own)):
+                values.append(value)
+            todo.extend((g, stop, node) for g in below.values())
+        lengths = np.array([len(r) for r in runs])
+        self.flat = np.concatenate(runs)
+        self.bounds = np.concatenate(([0], np.cumsum(lengths)))
+        self.last = np.array([r[-1] if len(r) else -1 for r in runs], dtype=np.int64)
 
     def search(self, probe: np.ndarray, percent: int) -> list[int]:
         """Ids of the sets with 100 * intersection >= percent * union.
@@ -141,23 +152,21 @@ class Trie:
         A branch is left once the shingles matched so far and those that can still match are
         too few for its smallest set.
         """
-        found: list[int] = []
-        todo = [(self.root, 0)]
-        while todo:
-            (run, depth, low, high, ends, children), matched = todo.pop()
-            if len(run):
-                at = np.searchsorted(probe, run)
-                matched += int((probe[np.minimum(at, len(probe) - 1)] == run).sum())
-                left = len(probe) - int(np.searchsorted(probe, run[-1], side="right"))
-            else:
-                left = len(probe)
-            done = depth + len(run)
-            if ends and 100 * matched >= percent * (len(probe) + done - matched):
-                found.extend(ends)
-            if children:
-                need = -(-percent * (len(probe) + max(low, done + 1)) // (100 + percent))
-                if matched + min(left, high - done) >= need:
-                    todo.extend((child, matched) for child in children)
+        at = np.minimum(np.searchsorted(probe, self.flat), len(probe) - 1)
+        sums = np.concatenate(([0], np.cumsum(probe[at] == self.flat)))
+        own = (sums[self.bounds[1:]] - sums[self.bounds[:-1]]).tolist()
+        left = (len(probe) - np.searchsorted(probe, self.last, side="right")).tolist()
+        size, found, matched = len(probe), [], [0] * len(own)
+        for node, (parent, stop, low, high) in enumerate(zip(self.parent, self.stop, self.low, self.high)):
+            before = matched[parent] if parent >= 0 else 0
+            if before < 0:
+                matched[node] = -1
+                continue
+            here = before + own[node]
+            if self.ends[node] and 100 * here >= percent * (size + stop - here):
+                found.extend(self.ends[node])
+            hope = here + min(left[node], high - stop)
+            matched[node] = here if (100 + percent) * hope >= percent * (size + low) else -1
         return found
 
 
@@ -168,7 +177,9 @@ def hopeful(pairs: DataFrame, pools: DataFrame, percent: int) -> DataFrame:
     than the smaller rest. Most pairs that meet only in a common passage end here, without their sets.
     """
     left, right = pools.toDF("a", "a_n", "a_pool"), pools.toDF("b", "b_n", "b_pool")
-    both = pairs.join(left, "a").join(right, "b")
+    near = (pairs.join(pools.select("id", "n").toDF("a", "n_of_a"), "a").join(pools.select("id", "n").toDF("b", "n_of_b"), "b")
+            .where(100 * F.least("n_of_a", "n_of_b") >= percent * F.greatest("n_of_a", "n_of_b")).select("a", "b"))
+    both = near.join(left, "a").join(right, "b")
     last = F.least(F.element_at("a_pool", -1), F.element_at("b_pool", -1))
     rest = F.least(F.col("a_n") - F.size(F.filter("a_pool", lambda x: x <= F.col("last"))),
                    F.col("b_n") - F.size(F.filter("b_pool", lambda x: x <= F.col("last"))))
@@ -203,6 +214,73 @@ def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     return test
 
 
+def united(parts: np.ndarray) -> tuple[dict, callable]:
+    """Union-find over the parts of a block pair."""
+    above = {p: p for p in parts.tolist()}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    return above, top
+
+
+def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
+    """Links that connect what is linked inside groups (hub, id, part).
+
+    A first pass over the blocks, with pools, finds the ids that any other part's id might be linked with; a
+    second one meets their sets in tries and returns links that join parts not joined so far.
+    """
+
+    def hope(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values("n", kind="stable")
+        ids, parts, sizes = group["id"].tolist(), group["part"].tolist(), group["n"].tolist()
+        sides = group["side"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else range(len(ids))
+        ends, pool = [p[-1] for p in group["pool"]], [set(p.tolist()) for p in group["pool"]]
+        arrays, hopeful = group["pool"].tolist(), [False] * len(ids)
+        for x in range(len(ids)):
+            for y in range(x + 1, len(ids)):
+                if 100 * sizes[x] < percent * sizes[y]:
+                    break
+                if parts[x] == parts[y] or sides[x] == sides[y] or (hopeful[x] and hopeful[y]):
+                    continue
+                common = len(pool[x] & pool[y])
+                last = min(ends[x], ends[y])
+                most = common + min(sizes[x] - int(np.searchsorted(arrays[x], last, side="right")), sizes[y] - int(np.searchsorted(arrays[y], last, side="right")))
+                if 100 * most >= percent * (sizes[x] + sizes[y] - most):
+                    hopeful[x] = hopeful[y] = True
+        return pd.DataFrame({"hub": group["hub"].iloc[0], "id": [i for i, h in zip(ids, hopeful) if h], "part": [p for p, h in zip(parts, hopeful) if h]}).astype("int64")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id")
+        alone = group["i"].iloc[0] == group["j"].iloc[0]
+        asked, held = (group, group) if alone else (group[group["side"] == 0], group[group["side"] == 1])
+        if not len(asked) or not len(held):
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        trie = Trie(list(zip(held["id"], held["shingles"])))
+        part = dict(zip(group["id"], group["part"]))
+        above, top = united(group["part"].to_numpy())
+        found = []
+        for a, probe in zip(asked["id"], asked["shingles"]):
+            for b in trie.search(probe, percent):
+                if (x := top(part[a])) != (y := top(part[b])):
+                    above[x] = y
+                    found.append((min(a, b), max(a, b)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def rest(groups: DataFrame) -> DataFrame:
+        first = blocks(groups, "jaccard").join(pools, "id")
+        hopeful = stage(first.groupBy("hub", "i", "j").applyInPandas(hope, "hub long, id long, part long").distinct(), "jaccard-open")
+        ids = stage(hopeful.select("id").distinct(), "jaccard-ids")
+        sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        shingles = stage(sets(texts.join(sought, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
+        return blocks(hopeful, "jaccard").join(shingles, "id").groupBy("hub", "i", "j").applyInPandas(meet, "a long, b long")
+
+    return rest
+
+
 def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id, itself included) of every row of `documents`.
 
@@ -239,7 +317,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
         rest = ordered.withColumn("rank", rank).where(F.expr(f"rank <= n - cast(ceil({percent} * n / 100) as long) + 1")).select("id", "bucket")
         prefix = prefix.join(few, "id", "left_anti").unionByName(rest)
     buckets = shared_buckets(prefix, "jaccard")
-    linked, _ = link(buckets, trie_test(texts, leads, width, percent), "jaccard")
+    linked = link(buckets, trie_test(texts, leads, width, percent), block_test(texts, leads, width, percent), "jaccard")
     linked = stage(linked, "jaccard-linked")
     place = member.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component_id"))
     place = stage(place.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "jaccard-place")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import chunks, column, read, texts_of
-from tablewright.llm.linkage import link, shared_buckets
+from tablewright.llm.linkage import blocks, link, shared_buckets
 from tablewright.sources.staging import stage
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -97,11 +98,25 @@ def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(sought, "id", "left_semi").dropDuplicates(["id"])
 
 
+def shingle_set(text: str, chars: int) -> set[str]:
+    return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
+
+
+def set_sizes(lines: DataFrame, chars: int) -> DataFrame:
+    """id and size of the shingle set of lines (id, content)."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(shingle_set(x, chars)) for x in column(batch, "content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(n, pa.int32())], names=["id", "n"])
+
+    return lines.mapInArrow(size, "id long, n int")
+
+
 def jaccard_test(lines: DataFrame, chars: int, percent: int):
     """The pairs (a, b) of line ids whose shingle sets are similar; texts are compared, not signatures."""
 
-    def shingle_set(text: str) -> set[str]:
-        return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
+    sizes = stage(set_sizes(lines, chars), "lines-sizes")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
@@ -109,21 +124,57 @@ def jaccard_test(lines: DataFrame, chars: int, percent: int):
             kept = []
             for i, (a, b) in enumerate(zip(column(batch, "a_text").to_pylist(), column(batch, "b_text").to_pylist())):
                 if a != last:
-                    last, last_set = a, shingle_set(a)
-                other = shingle_set(b)
-                if 100 * min(len(last_set), len(other)) >= percent * max(len(last_set), len(other)):
-                    common = len(last_set & other)
-                    if 100 * common >= percent * (len(last_set) + len(other) - common):
-                        kept.append(i)
+                    last, last_set = a, shingle_set(a, chars)
+                other = shingle_set(b, chars)
+                common = len(last_set & other)
+                if 100 * common >= percent * (len(last_set) + len(other) - common):
+                    kept.append(i)
             yield pa.RecordBatch.from_arrays([column(batch, n).take(pa.array(kept, pa.int32())) for n in ("a", "b")], names=["a", "b"])
 
     def test(pairs: DataFrame) -> DataFrame:
         left, right = lines.toDF("a", "a_text"), lines.toDF("b", "b_text")
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
+        near = (pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
+                .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b"))
+        return near.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
     return test
 
 
+def block_test(lines: DataFrame, chars: int, percent: int):
+    """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far."""
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id")
+        sets = [shingle_set(x, chars) for x in group["content"]]
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        ids, parts = group["id"].tolist(), group["part"].tolist()
+        sides = group["side"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else list(range(len(ids)))
+        above = {p: p for p in parts}
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        found = []
+        for k, x in enumerate(order):
+            for y in order[k + 1:]:
+                if 100 * len(sets[x]) < percent * len(sets[y]):
+                    break
+                if sides[x] != sides[y] and (p := top(parts[x])) != (q := top(parts[y])):
+                    common = len(sets[x] & sets[y])
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        above[p] = q
+                        found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def rest(groups: DataFrame) -> DataFrame:
+        return blocks(groups, "lines").join(lines, "id").groupBy("hub", "i", "j").applyInPandas(meet, "a long, b long")
+
+    return rest
+
+
 def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All non-blank lines (doc_id, line, id) and those of them to drop, with their component.
 
@@ -131,10 +182,8 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     """
     signed = stage(sign_lines(documents, chars), "lines-signed")
     buckets = shared_buckets(signed.select("id", F.explode("bands").alias("bucket")), "lines")
-    buckets = stage(buckets.distinct(), "lines-buckets-once")
     texts = stage(line_texts(documents, stage(buckets.select("id").distinct(), "lines-involved")), "lines-texts")
-    parts, _ = link(buckets, jaccard_test(texts, chars, percent), "lines")
-    parts = stage(parts, "lines-components")
+    parts = stage(link(buckets, jaccard_test(texts, chars, percent), block_test(texts, chars, percent), "lines"), "lines-components")
     classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     classes = stage(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
                     .select("id", F.coalesce("component", "id").alias("component"), "first"), "lines-classes")

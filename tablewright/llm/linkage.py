@@ -2,8 +2,8 @@
 
 An item is linked with others by an exact test, supplied by the caller, on pairs. All pairs of a
 bucket would be too many where a bucket is large, so items are compared with one hub of each
-bucket first; buckets whose items have become one component are done. A few more hubs later,
-what is left of the buckets is compared across components only.
+bucket first. The buckets of one hub are a group then; groups whose items have become one
+component are done, the others are compared across components, block by block.
 """
 
 from __future__ import annotations
@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 
 from tablewright.sources.staging import stage
 
-#: Rounds in which each bucket's items are compared with one hub.
-HUB_ROUNDS = 2
+#: Items of a block; two blocks meet in one task.
+BLOCK = 256
 
 
 def shared_buckets(keys: DataFrame, label: str) -> DataFrame:
-    """Rows of `keys` (id, bucket) whose bucket has two ids at least, with the smallest as `hub`; staged.
+    """Rows (bucket, id, met, hub) of `keys` (id, bucket) whose bucket has two ids at least; staged.
 
-    Counting combines before the shuffle, and its result is staged, so that a frequent bucket's
+    `met` says how many rows share buckets with the id; a bucket's hub is the one that meets most, as
+    what copies were made from does, so that few items stay unlinked to it. Counting combines before the shuffle, and its result is staged, so that a frequent bucket's
     rows may be split in the join.
     """
-    several = stage(keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-                    .where("hub < last").select("bucket", "hub"), f"{label}-buckets")
-    return stage(keys.join(several, "bucket"), f"{label}-shared")
+    several = stage(keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+                    .where("first < last").select("bucket", "n"), f"{label}-buckets")
+    rows = stage(keys.join(several, "bucket").distinct(), f"{label}-rows")
+    met = stage(rows.groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
+    rows = rows.join(met, "id").select("bucket", "id", "met")
+    hubs = stage(rows.groupBy("bucket").agg(F.max(F.struct("met", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub")), f"{label}-hub-of")
+    return stage(rows.join(hubs, "bucket"), f"{label}-shared")
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -53,35 +58,40 @@ def components(links: DataFrame, label: str) -> DataFrame:
         edges = stage(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), f"{label}-edges")
 
 
-def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
-    """Components (node, component) of the items in `shared` (id, bucket, hub), and links (a, b) that span them.
+def blocks(groups: DataFrame, label: str) -> DataFrame:
+    """Rows (hub, i, j, side, id, part) that deal each group of `groups` (hub, id, part) to pairs of blocks of bounded size.
 
-    `test` takes pairs (a, b), a < b, and returns those that are linked; every linked pair that shares
-    a bucket ends in one component, as pairs are left out only if their items are connected already.
+    Every two ids of a group with different parts meet in a pair of blocks; the blocks of a
+    group's largest part do not meet each other.
     """
-    pairs = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = groups.groupBy("hub", "part").agg(F.count("*").alias("n"))
+    sizes = stage(sizes.groupBy("hub").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+                  .where("low < high").select("hub", F.col("top.part").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("minors"),
+                                              F.ceil(F.col("top.n") / BLOCK).alias("majors")), f"{label}-sizes")
+    dealt = groups.join(sizes, "hub").withColumn("all", F.col("minors") + F.col("majors")).withColumn(
+        "block", F.when(F.col("part") == F.col("major"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors"))))
+    small, before = F.col("block") < F.col("minors"), F.least("block", "minors")
+    left = dealt.where(small).select("hub", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"), "id", "part")
+    right = dealt.where(before > 0).select("hub", F.explode(F.sequence(F.lit(0).cast("long"), before - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "part")
+    return left.unionByName(right)
+
+
+def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Components (node, component) of the items in `shared` (bucket, id, met, hub).
+
+    `test` takes pairs (a, b), a < b, and returns those that are linked. `rest` takes groups (hub, id, part)
+    and returns links between different parts that connect what is linked inside a group. Two items that
+    share a bucket share its hub's group, so every linked pair with a bucket in common ends in one
+    component; pairs are left out only where their items are connected already.
+    """
+    pairs = shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     links = stage(test(pairs), f"{label}-links")
-    for round_ in range(1, HUB_ROUNDS + 1):
-        parts = stage(components(links, label), f"{label}-parts")
-        member = shared.select("id", "bucket").join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("part"))
-        member = stage(member, f"{label}-member")
-        # The largest component of a bucket needs no comparison inside; a bucket of one component none at all.
-        sizes = member.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("id").alias("lowest"))
-        mixed = stage(sizes.groupBy("bucket").agg(
-            F.max(F.struct("n", "part")).alias("top"), F.min("part").alias("low"), F.max("part").alias("high"),
-            F.count("*").alias("parts")).where("low < high").select("bucket", F.col("top.part").alias("major"), "parts"), f"{label}-mixed")
-        if mixed.isEmpty():
-            return parts, links
-        open_ = stage(member.join(mixed, "bucket"), f"{label}-open")
-        minor = open_.where("part <> major").select("bucket", F.col("id").alias("x"), F.col("part").alias("x_part"))
-        if round_ < HUB_ROUNDS:
-            # One hub outside the largest component, another each round, against all others of its bucket.
-            hubs = stage(minor.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_)), "x", "x_part")).alias("hub"))
-                         .select("bucket", F.col("hub.x").alias("x"), F.col("hub.x_part").alias("x_part")), f"{label}-hubs")
-        else:
-            hubs = minor
-        across = open_.join(hubs, "bucket").where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("major")) | (F.col("id") < F.col("x")) | F.lit(round_ < HUB_ROUNDS)))
-        pairs = across.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        links = stage(links.unionByName(test(pairs)), f"{label}-links")
-    return stage(components(links, label), f"{label}-parts"), links
+    parts = stage(components(links, label), f"{label}-parts")
+    member = shared.select("hub", "id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select(
+        "hub", "id", F.coalesce("component", "id").alias("part"))
+    member = stage(member, f"{label}-member")
+    mixed = stage(member.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub"), f"{label}-mixed")
+    more = stage(rest(member.join(mixed, "hub")), f"{label}-more")
+    if more.isEmpty():
+        return parts
+    return stage(components(links.unionByName(more), label), f"{label}-parts")
