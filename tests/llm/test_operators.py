@@ -1,0 +1,246 @@
+"""The ten operators on small tables: brute force, round trips, and the cases that tables should not have but do."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+import zlib
+from pyspark.sql import functions as F
+
+from tablewright.llm import decontamination, jaccard_join, language, licences, line_dedup, neighbours, packing, surrogates, token_counts, toxicity
+from tablewright.llm.common import ship
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, id string, part string"
+WORDS = "the quick brown fox jumps over a lazy dog while seven wise owls watch from tall old trees near water".split()
+
+
+def text(seed, n):
+    draw = random.Random(seed)
+    return " ".join(draw.choice(WORDS) + str(draw.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship(spark)
+    long = text(1, 6000)
+    rows = [(1, text(2, 80)), (2, text(2, 80)), (3, text(2, 79) + " changed"), (4, ""), (5, None), (None, text(2, 80)), (6, "   \n\t "), (7, long),
+            (8, "one two"), (9, "one two"), (9, "one two"), (10, "...!"), (11, text(3, 200)), (12, "line a of many\nline a of many\n\nline b, quite another")]
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, docs):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_packing_is_gapless_whole_and_tight(docs, nothing):
+    rows = packing.pack(docs, capacity=64, shard_pieces=1000).collect()
+    tokenizer = packing.encoder(packing.public_tokenizers.path(packing.TOKENIZER)).tokenizer
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == list(itertools.accumulate([0] + [n for _, n in sorted(parts)]))[:-1]
+        assert sum(n for _, n in parts) <= 64
+    for d in docs.where("doc_id in (1, 4, 5, 7)").collect():
+        ids = np.array(tokenizer.encode(d.text or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d.doc_id)
+        assert own == [(k, a, len(ids[a:a + 64]), zlib.crc32(ids[a:a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+    assert len([r for r in rows if r.doc_id == 9]) == 2 and packing.pack(nothing).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    own = packing.encoder(packing.public_tokenizers.path(packing.TOKENIZER))
+    for x in ("It's 12³ ²½ don't", "a\x1cb c\xa0d", "<|endoftext|> x", "İstanbul ΣΑΣ", "été a ́b", "日本語 👍🏽", "Ärger, über__x", ""):
+        assert own.encode(x) == np.array(own.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
+
+
+def test_fit_uses_few_bins():
+    lengths = np.random.default_rng(0).integers(1, 101, 3000)
+    bins, offsets = packing.fit(lengths, 100)
+    assert bins.max() + 1 <= 1.03 * np.ceil(lengths.sum() / 100)
+    for b in range(bins.max() + 1):
+        own = sorted(zip(offsets[bins == b], lengths[bins == b]))
+        assert own[-1][0] + own[-1][1] <= 100 and all(a + n == c for (a, n), (c, _) in zip(own, own[1:]))
+
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        if i is not None:
+            sets[i] = {tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    lead = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                lead[a] = lead[b] = min(lead[a], lead[b])
+    return {i: (len(s), lead[i]) for i, s in sets.items()}
+
+
+def test_jaccard_join_equals_brute_force(spark, docs, nothing):
+    draw = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(160):
+        words = text(k % 12, 60).split()
+        for _ in range(draw.randrange(4)):
+            words[draw.randrange(len(words))] = f"edit{draw.randrange(9)}"
+        rows.append((100 + k, " ".join(words)))
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_components(rows, 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == expected
+    assert len(found) == len(rows) and [r.component_id for r in found if r.doc_id is None] == [None]
+    assert jaccard_join.jaccard_components(nothing).count() == 0
+
+
+def test_jaccard_group_beyond_a_block(spark):
+    """More near copies than a block holds, few of them linked to the hub."""
+    draw, rows = random.Random(3), []
+    base = text(77, 40).split()
+    for k in range(400):
+        words = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            words[draw.randrange(40)] = f"e{draw.randrange(30)}"
+        rows.append((k, " ".join(words)))
+    ship(spark)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_components(rows, 4, 85)
+
+
+def test_trie_search_equals_sets():
+    draw = np.random.default_rng(1)
+    for _ in range(40):
+        base = np.unique(draw.integers(0, 200, 40))
+        sets = [np.unique(np.concatenate([base[draw.random(len(base)) < 0.93], draw.integers(0, 200, 3)])) for _ in range(25)]
+        trie = jaccard_join.Trie(list(enumerate(sets)))
+        for probe in sets:
+            assert set(trie.search(probe, 85)) == {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 85 * len(np.union1d(probe, s))}
+
+
+def test_line_dedup(spark, docs, nothing):
+    line = text(9, 12)
+    more = spark.createDataFrame([(50, line + "\nown words here only", "l", "s", 0, "", "", ""), (51, line.replace("quick", "quack", 1) + "!\nother, longer words there", "l", "s", 0, "", "", "")], DOCS)
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs.unionByName(more)).collect()}
+    assert found[50].text == line + "\nown words here only" and found[51].text == "other, longer words there"
+    assert found[12].text == "line a of many\n\nline b, quite another" and found[12].n_chars == len(found[12].text)
+    assert 2 not in found and 3 not in found and found[4].text == "" and found[5].text is None and found[6].text == "   \n\t "
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_decontamination(spark, docs, nothing):
+    passage = text(2, 80).split()
+    items = spark.createDataFrame([(1, " ".join(passage[10:30]).upper() + "!"), (2, text(99, 30)), (3, "one two"), (4, None), (None, text(2, 80)), (5, "")], "item_id long, text string")
+    pairs = {(r.doc_id, r.item_id): r.containment for r in decontamination.contaminated(docs, items).collect()}
+    assert set(pairs) == {(1, 1), (2, 1), (3, 1)} and pairs[1, 1] == 1.0
+    left = decontamination.decontaminate(docs, items)
+    assert left.columns == docs.columns and left.count() == docs.count() - 3
+    assert decontamination.contaminated(nothing, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_neighbours_equal_brute_force_on_few(spark):
+    ship(spark)
+    draw = np.random.default_rng(2)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(draw.normal(size=(300, 8)).astype(np.float32))]
+    data += [(400 + i, data[7][1]) for i in range(60)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [1.0]), (904, None), (905, [None] + [1.0] * 7)]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    usable = [(i, np.array(v)) for i, v in data if i < 900]
+    assert set(found) == {i for i, _ in usable if i % 20 == 0}
+    for q, rows in found.items():
+        vector = dict(usable)[q]
+        best = sorted(((-float(v @ vector), i) for i, v in usable if i != q))[:20]
+        assert [i for _, i, _ in sorted(rows)] == [i for _, i in best]
+        assert np.allclose([s for _, _, s in sorted(rows)], [-s for s, _ in best])
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_language_mixtures(spark, docs, nothing):
+    samples = {"en": "the house and the garden with water of this river ", "de": "das haus und der garten mit wasser von diesem fluss ", "fr": "la maison et le jardin avec de l'eau de cette rivière "}
+    rows = [(i, " ".join(random.Random(i).sample(samples[k].split(), 9)), k) for i, k in enumerate(itertools.islice(itertools.cycle(samples), 300))]
+    ship(spark)
+    model = language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, samples["de"]), (2, samples["en"] * 3 + samples["fr"] * 3), (3, None), (4, "12 34 !"), (5, ""), (6, samples["fr"] * 5000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in language.identify(asked, model).collect()}
+    assert found[1].lang_pred == "de" and set(found[2].proportions) == {"en", "fr"} and found[6].lang_pred == "fr"
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (3, 4, 5))
+    assert {r.lang_pred for r in language.identify(docs, language.learned(nothing)).collect()} == {"und"}
+    assert language.identify(nothing, model).count() == 0
+
+
+def test_segments_are_the_maximal_ones():
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        scores = draw.normal(size=draw.integers(1, 25))
+        found = toxicity.segments(scores)
+        assert found == sorted(found) and all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+        sums = [(scores[a:b].sum()) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        assert np.isclose(max((s for _, _, s in found), default=0.0), max(0.0, max(sums)))
+
+
+def test_toxicity(spark, docs, nothing):
+    ship(spark)
+    rows = [(i, text(i, 60) + (" you utter numskull nitwit " + text(i + 1, 20) if i % 4 == 0 else "")) for i in range(600)]
+    table = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(None, 1), (901, None)], "doc_id long, toxic int")
+    found = toxicity.score_documents(table, labels).collect()
+    assert len(found) == 603 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    held = [r for r in found if r.held_out and r.doc_id is not None and r.doc_id < 900]
+    assert held and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)
+    assert toxicity.score_documents(docs, labels.limit(0)).count() == docs.count() and toxicity.score_documents(nothing, labels).count() == 0
+
+
+def test_surrogates(spark, docs, nothing):
+    rows = [(1, "a.b@x.example.com, 10.0.0.1 +1 (386) 555-3733"), (2, "Mrs. Ada Miller met Mr. Miller; mail a.b@x.example.com"), (3, None), (3, ""), (4, "4111 1111 1111 1111 password=b7db7aa4a5fcc78305")]
+    found = {(r.doc_id, r.replaced): r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mail = found[1, 3].split(",")[0]
+    assert found[2, 3].endswith(mail) and mail.endswith(".com") and "a.b@" not in mail
+    names = found[2, 3].split(";")[0].replace(".", "").split()
+    assert names[0] == "Mrs" and names[1] in surrogates.FEMALE and names[2] == names[5]
+    digits = [int(c) for c in found[4, 2][:19] if c.isdigit()]
+    assert sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2]) + sum(digits[-1::-2]) == sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2]) and found[4, 2][4] == " "
+    many = spark.createDataFrame([("family", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)], "kind string, value string")
+    assigned = surrogates.assign(many).collect()
+    assert len(assigned) == 300 == len({r.surrogate for r in assigned}) and not {r.surrogate for r in assigned} & {r.value for r in assigned}
+    assert surrogates.replace_entities(docs).count() == docs.count() and surrogates.replace_entities(nothing).count() == 0
+
+
+def test_licences(spark, nothing):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "nothing here"), ("a/b/d/LICENSE", "Licensed under the Apache License, Version 2.0."),
+            ("a/b/d/e.txt", None), ("a/b/d/f.txt", "some words\nLicensed under CC BY-NC 4.0.\nmore words of the file itself"), ("g.txt", "no license to speak of in this plain text"), (None, "x"), ("g.txt", "")]
+    found = {r.path: (r.licence, r.kind, r.inherited_from) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found["a/b/c.txt"] == ("MIT", "inherited", "a/LICENSE") and found["a/b/d/e.txt"] == ("Apache-2.0", "inherited", "a/b/d/LICENSE")
+    assert found["a/b/d/f.txt"] == ("CC-BY-NC-4.0", "notice", None) and found["g.txt"] == (None, None, None) and len(found) == 6
+    assert licences.scan(nothing.select(F.col("id").alias("path"), "text")).count() == 0
+
+
+def test_edited_trees_equal_full_counts():
+    own, draw, letters = token_counts.counter(token_counts.public_tokenizers.path(token_counts.TOKENIZER)), random.Random(3), " \n'srelv a1B.é  "
+    for k in range(600):
+        now = "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 5, 40, 300])))
+        tree = token_counts.Tree(*own.leaves(now))
+        for _ in range(draw.randint(1, 5)):
+            now = tree.edit(now, draw.randint(-2, len(now) + 3), draw.choice([0, 0, 1, 3, 50]), "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 4]))), own)
+            assert tree.tokens == sum(own.leaves(now)[1]) and [n for chars, _ in tree.leaves for n in chars] == own.leaves(now)[0]
+
+
+def test_edits_from_a_table(spark, docs, nothing):
+    edits = spark.createDataFrame([(1, 0, 3, 2, "zz"), (1, 1, 0, 0, "Start "), (5, 0, 0, 0, "new"), (4, 0, 9, 9, None)], "doc_id long, turn int, at int, drop int, put string")
+    found = {r.doc_id: r for r in token_counts.apply_edits(token_counts.count_tokens(token_counts.with_edits(docs.select("doc_id", "text"), edits))).collect()}
+    before = docs.where("doc_id = 1").first().text
+    own = token_counts.counter(token_counts.public_tokenizers.path(token_counts.TOKENIZER))
+    assert found[1].text == "Start " + before[:3] + "zz" + before[5:] and found[1].tokens_after == sum(own.leaves(found[1].text)[1]) and found[1].encoded < 20
+    assert found[5].text == "new" and found[4].text == "" and found[6].tokens_before == found[6].tokens_after
+    assert token_counts.apply_edits(token_counts.count_tokens(nothing)).count() == 0
+
+
+def test_pipeline_stages_take_odd_rows(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(text(3, 200).split()[50:80]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in rows}
+    assert {1, 7, 8, 12} <= kept and not kept & {2, 4, 5, 6, 9, 10, 11}
+    assert [r.doc_id for r in rows if r.doc_id == 7] and {r.length for r in rows if r.doc_id == 8} == {3}
