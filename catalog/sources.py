@@ -97,12 +97,11 @@ def snk_csv(spark, folder):
     return spark.read.option("header", True).schema(rows.schema).csv(path)
 
 
-@query("snk_san", """select * from (select doc_id,
- case when length(text) > 32000 then left(text, 32000) || '... [truncated]' else coalesce(text, '') end as text,
- coalesce(case when lang = 'en' then null else lang end, '') as lang, n_chars from documents order by doc_id limit 1048500)""")
+@query("snk_san", """select doc_id, coalesce(text, '') as text,
+ coalesce(case when lang = 'en' then null else lang end, '') as lang, n_chars from documents""")
 def snk_san(spark, folder):
     docs = table(spark, folder, "documents").selectExpr("doc_id", "text", "if(lang = 'en', null, lang) as lang", "n_chars")
-    return sanitize_for_sheet(docs, ["doc_id"])
+    return sanitize_for_sheet(docs)
 
 
 @query("snk_strfall", """select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus,

@@ -6,6 +6,7 @@ JVM instead of one per operator, and it reads like the query it becomes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ def number(value: float | int | None) -> str:
     """Numeric literal; fractions are doubles, not decimals."""
     if value is None:
         return "cast(null as double)"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"double('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}')"
     return str(value) if isinstance(value, int) else f"{value!r}D"
 
 

@@ -327,10 +327,11 @@ def before_after(raw: DataFrame, clean: DataFrame, duplicates_removed: int) -> D
     stacked = side(raw, "raw").unionByName(side(clean, "clean"))
     per_metric = stacked.groupBy("seq", "metric").agg(
         F.expr("max(shown) filter (where side = 'raw') as before"), F.expr("max(shown) filter (where side = 'clean') as after"),
-        F.expr("max(v) filter (where side = 'clean') - max(v) filter (where side = 'raw') as delta"))
+        F.expr("max(v) filter (where side = 'clean') - max(v) filter (where side = 'raw') as delta"),
+        F.expr("cast(max(v) filter (where side = 'clean') as bigint) as left_over"))
     return per_metric.selectExpr("seq", "metric", "before", "after", f"""case seq
         when 1 then '-{duplicates_removed} dups'
         when 2 then concat(if(delta >= 0, '+', '-'), cast(abs(delta) as bigint), ' cols')
-        when 3 then 'Resolved 100%'
-        when 4 then '0 Duplicates Remaining'
-        else concat('+', replace(format_number(delta, 1), ',', ''), ' pts') end as change""")
+        when 3 then if(left_over = 0, 'Resolved 100%', concat(left_over, ' Remaining'))
+        when 4 then concat(left_over, ' Duplicates Remaining')
+        else concat(if(delta >= 0, '+', '-'), replace(format_number(abs(delta), 1), ',', ''), ' pts') end as change""")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.numbers import looks_numeric, round_scalar
-from tablewright.functions.sql import any_of, q, replace_columns, text, text_columns
+from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.operators.dedup import duplicate_count
 
 # Text a delimited file uses for "missing".
@@ -27,17 +26,13 @@ class SourceError(Exception):
     """The input cannot be read as a table."""
 
 
-def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 200) -> str:
-    """Separator with the same non-zero count on the most sampled lines; `,` if none."""
-    lines = spark.read.text(path).filter("length(value) > 0").limit(sample_lines)
-    unquoted = lines.selectExpr("""regexp_replace(value, '"[^"]*"', '') as x""")
-    per_line = unquoted.selectExpr(*[f"length(x) - length(replace(x, {text(s)}, ''))" for s in SEPARATORS]).collect()
-    scored = []
-    for i, separator in enumerate(SEPARATORS):
-        (usual, lines_agreeing), = Counter(row[i] for row in per_line).most_common(1) or [(0, 0)]
-        if usual:
-            scored.append((lines_agreeing, -i, separator))
-    return max(scored)[2] if scored else ","
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """Separator with the same non-zero count on the most lines of the whole file; `,` if none."""
+    unquoted = spark.read.text(path).filter("length(value) > 0").selectExpr("""regexp_replace(value, '"[^"]*"', '') as x""")
+    counts = unquoted.selectExpr(rows_of(f"struct({i} as place, length(x) - length(replace(x, {text(s)}, '')) as n)" for i, s in enumerate(SEPARATORS)))
+    usual = counts.groupBy("place", "n").count().groupBy("place").agg(F.max(F.struct("count", "n")).alias("top")).select("place", "top.*")
+    scored = [(row["count"], -row["place"]) for row in usual.collect() if row["n"]]
+    return SEPARATORS[-max(scored)[1]] if scored else ","
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:

@@ -63,11 +63,28 @@ def test_csv_round_trip_keeps_blanks_and_quotes(spark, tmp_path):
 
 def test_sheet_projection(spark):
     df = spark.sql("select id, if(id = 0, repeat('x', 32001), null) as t, array(1, 2) as a, timestamp '2026-01-01' as ts from range(3)")
-    rows = sinks.sanitize_for_sheet(df, ["id"], max_rows=2).collect()
+    rows = sinks.sanitize_for_sheet(df, ["id"], max_rows=2, max_chars=sinks.MAX_CELL_CHARS).collect()
     assert len(rows) == 2 and rows[0]["t"] == "x" * 32000 + "... [truncated]" and rows[1]["t"] == "" and rows[0]["a"] == "[1,2]"
     assert sinks.as_text(df).dtypes == [("id", "string"), ("t", "string"), ("a", "string"), ("ts", "string")]
 
 
+def test_sheet_without_limits_loses_nothing(spark):
+    whole = sinks.sanitize_for_sheet(spark.range(5).selectExpr("id", "repeat('x', 40000) as t")).collect()
+    assert sorted(r["id"] for r in whole) == [0, 1, 2, 3, 4] and all(len(r["t"]) == 40000 for r in whole)
+
+
+def test_separator_is_decided_from_the_whole_file(spark, tmp_path):
+    lines = ["id;last,first"] + [f"{i};Doe,Jo" for i in range(250)] + [f"{i};Smith" for i in range(9000)]
+    assert csv.sniff_delimiter(spark, put(tmp_path, "late.csv", "\n".join(lines) + "\n")) == ";"
+
+
+def test_number_literals_that_are_not_finite(spark):
+    from tablewright.functions.sql import number
+
+    row = spark.sql(f"select {number(float('nan'))} as a, {number(float('inf'))} as b, {number(float('-inf'))} as c").first()
+    assert row.a != row.a and row.b == float("inf") and row.c == float("-inf")
+
+
 def test_staging(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string").toDF("odd, name", "it;em")
     again = stage(df)
