@@ -72,10 +72,11 @@ def brute_components(rows, width, percent):
         if i is not None:
             sets[i] = {tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
     lead = {i: i for i in sets}
-    for _ in sets:
-        for a, b in itertools.combinations(sets, 2):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                lead[a] = lead[b] = min(lead[a], lead[b])
+    links = [(a, b) for a, b in itertools.combinations(sets, 2)
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while any(lead[a] != lead[b] for a, b in links):
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
     return {i: (len(s), lead[i]) for i, s in sets.items()}
 
 
