@@ -23,6 +23,8 @@ PERCENT = 85
 FREQUENT = 24
 #: Sets of one trie at most; a probe with more candidates meets several tries.
 TRIE_SETS = 256
+#: Shingles compared at once when a block's pools meet; bounds the array a worker holds.
+DENSE = 4096
 #: Ids that are broadcast at most when texts are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
@@ -214,6 +216,25 @@ def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     return test
 
 
+def most_common(pools: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """For every two different sets the most shingles they can share, as in `hopeful`; `DENSE` shared shingles are multiplied at a time."""
+    values, item = np.concatenate(pools), np.repeat(np.arange(len(pools)), [len(p) for p in pools])
+    known, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    several = times[place] > 1
+    item, place = item[several], (np.cumsum(times > 1) - 1)[place[several]]
+    order = np.argsort(place, kind="stable")
+    item, place = item[order], place[order]
+    common = np.zeros((len(pools), len(pools)), dtype=np.int64)
+    for low in range(0, int((times > 1).sum()), DENSE):
+        lo, hi = np.searchsorted(place, (low, low + DENSE))
+        has = np.zeros((len(pools), min(DENSE, int(place[hi - 1]) - low + 1)), dtype=np.float32)
+        has[item[lo:hi], place[lo:hi] - low] = 1
+        common += (has @ has.T).astype(np.int64)
+    ends = np.array([p[-1] for p in pools])
+    rest = sizes[:, None] - np.array([np.searchsorted(p, np.minimum(p[-1], ends), side="right") for p in pools])
+    return common + np.minimum(rest, rest.T)
+
+
 def united(parts: np.ndarray) -> tuple[dict, callable]:
     """Union-find over the parts of a block pair."""
     above = {p: p for p in parts.tolist()}
@@ -235,23 +256,17 @@ def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     """
 
     def hope(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("n", kind="stable")
-        ids, parts, sizes = group["id"].tolist(), group["part"].tolist(), group["n"].tolist()
-        sides = group["side"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else range(len(ids))
-        ends, pool = [p[-1] for p in group["pool"]], [set(p.tolist()) for p in group["pool"]]
-        arrays, hopeful = group["pool"].tolist(), [False] * len(ids)
-        for x in range(len(ids)):
-            for y in range(x + 1, len(ids)):
-                if 100 * sizes[x] < percent * sizes[y]:
-                    break
-                if parts[x] == parts[y] or sides[x] == sides[y] or (hopeful[x] and hopeful[y]):
-                    continue
-                common = len(pool[x] & pool[y])
-                last = min(ends[x], ends[y])
-                most = common + min(sizes[x] - int(np.searchsorted(arrays[x], last, side="right")), sizes[y] - int(np.searchsorted(arrays[y], last, side="right")))
-                if 100 * most >= percent * (sizes[x] + sizes[y] - most):
-                    hopeful[x] = hopeful[y] = True
-        return pd.DataFrame({"hub": group["hub"].iloc[0], "id": [i for i, h in zip(ids, hopeful) if h], "part": [p for p, h in zip(parts, hopeful) if h]}).astype("int64")
+        group = group.drop_duplicates("id")
+        parts, sizes = group["part"].to_numpy(), group["n"].to_numpy()
+        sides = group["side"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else np.arange(len(group))
+        rule = (parts[:, None] != parts) & (sides[:, None] != sides) & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
+        kept = group[rule.any(axis=1)]
+        if len(kept):
+            rule = rule[np.ix_(rule.any(axis=1), rule.any(axis=1))]
+            most = most_common(kept["pool"].tolist(), kept["n"].to_numpy())
+            sizes = kept["n"].to_numpy()
+            kept = kept[(rule & (100 * most >= percent * (sizes[:, None] + sizes - most))).any(axis=1)]
+        return kept[["hub", "id", "part"]].astype("int64")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id")
