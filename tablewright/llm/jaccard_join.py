@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import column, read
-from tablewright.llm.linkage import blocks, link, shared_buckets
+from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
 from tablewright.sources.staging import stage
 
 WIDTH = 4
@@ -23,6 +23,8 @@ PERCENT = 85
 FREQUENT = 24
 #: Sets of one trie at most; a probe with more candidates meets several tries.
 TRIE_SETS = 256
+#: Rows of small pairs of blocks that one call takes.
+LOT_ROWS = 256
 #: Ids that are broadcast at most when texts are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 400_000
@@ -214,19 +216,6 @@ def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     return test
 
 
-def united(parts: np.ndarray) -> tuple[dict, callable]:
-    """Union-find over the parts of a block pair."""
-    above = {p: p for p in parts.tolist()}
-
-    def top(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    return above, top
-
-
 def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     """Links that connect what is linked inside groups (hub, id, part).
 
@@ -234,49 +223,47 @@ def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     second one meets their sets in tries and returns links that join parts not joined so far.
     """
 
-    def hope(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("n", kind="stable")
-        ids, parts, sizes = group["id"].tolist(), group["part"].tolist(), group["n"].tolist()
-        sides = group["side"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else range(len(ids))
-        ends, pool = [p[-1] for p in group["pool"]], [set(p.tolist()) for p in group["pool"]]
-        arrays, hopeful = group["pool"].tolist(), [False] * len(ids)
+    def hope(group: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.argsort(group["n"], kind="stable")
+        ids, parts, sizes, arrays = (group[c][order].tolist() for c in ("id", "part", "n", "pool"))
+        sides = group["side"][order].tolist() if group["i"][0] != group["j"][0] else range(len(ids))
+        ends, pool, open_to = [p[-1] for p in arrays], [set(p.tolist()) for p in arrays], [False] * len(ids)
         for x in range(len(ids)):
             for y in range(x + 1, len(ids)):
                 if 100 * sizes[x] < percent * sizes[y]:
                     break
-                if parts[x] == parts[y] or sides[x] == sides[y] or (hopeful[x] and hopeful[y]):
+                if parts[x] == parts[y] or sides[x] == sides[y] or (open_to[x] and open_to[y]):
                     continue
                 common = len(pool[x] & pool[y])
                 last = min(ends[x], ends[y])
                 most = common + min(sizes[x] - int(np.searchsorted(arrays[x], last, side="right")), sizes[y] - int(np.searchsorted(arrays[y], last, side="right")))
                 if 100 * most >= percent * (sizes[x] + sizes[y] - most):
-                    hopeful[x] = hopeful[y] = True
-        return pd.DataFrame({"hub": group["hub"].iloc[0], "id": [i for i, h in zip(ids, hopeful) if h], "part": [p for p, h in zip(parts, hopeful) if h]}).astype("int64")
+                    open_to[x] = open_to[y] = True
+        hub = int(group["hub"][0])
+        return [(hub, i, p) for i, p, h in zip(ids, parts, open_to) if h]
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        alone = group["i"].iloc[0] == group["j"].iloc[0]
-        asked, held = (group, group) if alone else (group[group["side"] == 0], group[group["side"] == 1])
+    def meet(group: dict[str, np.ndarray]) -> list[tuple]:
+        side = group["side"]
+        asked, held = (range(len(side)),) * 2 if group["i"][0] == group["j"][0] else (np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist())
         if not len(asked) or not len(held):
-            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
-        trie = Trie(list(zip(held["id"], held["shingles"])))
-        part = dict(zip(group["id"], group["part"]))
-        above, top = united(group["part"].to_numpy())
-        found = []
-        for a, probe in zip(asked["id"], asked["shingles"]):
-            for b in trie.search(probe, percent):
-                if (x := top(part[a])) != (y := top(part[b])):
-                    above[x] = y
-                    found.append((min(a, b), max(a, b)))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            return []
+        ids, parts, shingles = group["id"].tolist(), group["part"].tolist(), group["shingles"]
+        trie, part, found = Trie([(ids[k], shingles[k]) for k in held]), dict(zip(ids, parts)), []
+        top, join = united(parts)
+        for a in asked:
+            for b in trie.search(shingles[a], percent):
+                if top(parts[a]) != top(part[b]):
+                    join(parts[a], part[b])
+                    found.append((min(ids[a], b), max(ids[a], b)))
+        return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        first = blocks(groups, "jaccard").join(pools, "id")
-        hopeful = stage(first.groupBy("hub", "i", "j").applyInPandas(hope, "hub long, id long, part long").distinct(), "jaccard-open")
+        hopeful = per_pair(blocks(groups, "jaccard"), [pools], hope, "hub long, id long, part long", LOT_ROWS, "jaccard")
+        hopeful = stage(hopeful.distinct(), "jaccard-open")
         ids = stage(hopeful.select("id").distinct(), "jaccard-ids")
         sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingles = stage(sets(texts.join(sought, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
-        return blocks(hopeful, "jaccard").join(shingles, "id").groupBy("hub", "i", "j").applyInPandas(meet, "a long, b long")
+        return per_pair(blocks(hopeful, "jaccard"), [shingles], meet, "a long, b long", LOT_ROWS, "jaccard")
 
     return rest
 

@@ -5,63 +5,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import chunks, column, read, texts_of
-from tablewright.llm.linkage import blocks, link, shared_buckets
+from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
 from tablewright.sources.staging import stage
 
 #: Characters of a shingle; a shorter line is one shingle.
 CHARS = 8
 PERCENT = 80
-#: Signature: BANDS bands of ROWS minima each. Lines with a similarity of 0.8 share a band with a chance of 0.998.
-BANDS, ROWS = 9, 3
+#: Signature: BANDS bands of ROWS minima each. Lines with a similarity of 0.8 share a band with a chance of 0.998, of 0.3 with 0.09.
+BANDS, ROWS = 12, 4
 #: Keys that are broadcast at most when lines are read again; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows of small pairs of blocks that one call takes.
+LOT_ROWS = 1024
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(17)
-    return draw.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1, draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(17).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1
 
 
-def shingle_hashes(joined: str, lengths: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all lines' shingles, line by line, and where each line begins; `joined` has no separators."""
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    counts = np.maximum(lengths - chars + 1, 1)
-    value = np.zeros(len(codes), dtype=np.uint64)
-    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    place = np.arange(len(codes), dtype=np.int64) - np.repeat(starts, lengths)
-    left = np.repeat(lengths, lengths) - place
-    for i in range(chars):
-        part = np.zeros(len(codes), dtype=np.uint64)
-        part[:len(codes) - i] = codes[i:] if i else codes
-        part[left <= i] = 0
-        value = (value ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(31)
-    kept = value[place < np.repeat(counts, lengths)]
-    return (kept >> np.uint64(16)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))[:-1]
+def shingle_hashes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all lines' shingles, line by line, and where each line begins.
+
+    Runs of doubled length are hashed from two halves that may overlap; a shorter line is filled up to one shingle.
+    """
+    padded = [x.ljust(chars, "\0") for x in lines]
+    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+    value = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    have = 1
+    while have < chars:
+        step = min(have, chars - have)
+        mixed = value[:-step] * np.uint64(0x9E3779B97F4A7C15)
+        mixed += value[step:]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        value, have = mixed, have + step
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(value) + chars - 1, dtype=bool)
+    for i in range(1, chars):
+        inside[ends - i] = False
+    counts = lengths - (chars - 1)
+    return (value[inside[:len(value)]] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))[:-1]
 
 
 def signatures(lines: list[str], chars: int = CHARS) -> np.ndarray:
     """Band keys (lines x BANDS) of non-empty lines."""
-    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    values, first = shingle_hashes("".join(lines), lengths, chars)
-    factors, terms = _factors()
-    keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
-    for i in range(BANDS * ROWS):
-        mixed = values * factors[i]
-        mixed += terms[i]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= factors[i - 1]
-        low = np.minimum.reduceat(mixed, first).astype(np.uint64)
+    values, first = shingle_hashes(lines, chars)
+    keys = np.zeros((BANDS, len(lines)), dtype=np.uint64)
+    mixed = np.empty_like(values)
+    for i, factor in enumerate(_factors()):
+        np.multiply(values, factor, out=mixed)
         band = i // ROWS
-        keys[:, band] = (keys[:, band] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
-    return keys
+        keys[band] = (keys[band] ^ np.minimum.reduceat(mixed, first)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+    return np.ascontiguousarray(keys.T)
 
 
 def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
@@ -102,21 +103,25 @@ def shingle_set(text: str, chars: int) -> set[str]:
     return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
 
 
-def set_sizes(lines: DataFrame, chars: int) -> DataFrame:
-    """id and size of the shingle set of lines (id, content)."""
+def line_facts(lines: DataFrame, chars: int) -> DataFrame:
+    """id, size of the shingle set and band keys of lines (id, content)."""
 
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(shingle_set(x, chars)) for x in column(batch, "content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(n, pa.int32())], names=["id", "n"])
+            ids, texts = column(batch, "id"), column(batch, "content").to_pylist()
+            for lo, hi in chunks(texts, 400_000):
+                keys = signatures(texts[lo:hi], chars).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo), pa.array([len(shingle_set(x, chars)) for x in texts[lo:hi]], pa.int32()),
+                     pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["id", "n", "bands"])
 
-    return lines.mapInArrow(size, "id long, n int")
+    return lines.mapInArrow(look, "id long, n int, bands array<long>")
 
 
-def jaccard_test(lines: DataFrame, chars: int, percent: int):
+def jaccard_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
     """The pairs (a, b) of line ids whose shingle sets are similar; texts are compared, not signatures."""
 
-    sizes = stage(set_sizes(lines, chars), "lines-sizes")
+    sizes = facts.select("id", "n")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
@@ -140,37 +145,40 @@ def jaccard_test(lines: DataFrame, chars: int, percent: int):
     return test
 
 
-def block_test(lines: DataFrame, chars: int, percent: int):
-    """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far."""
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        sets = [shingle_set(x, chars) for x in group["content"]]
-        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        ids, parts = group["id"].tolist(), group["part"].tolist()
-        sides = group["side"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else list(range(len(ids)))
-        above = {p: p for p in parts}
-
-        def top(x: int) -> int:
-            while above[x] != x:
-                above[x] = above[above[x]]
-                x = above[x]
-            return x
-
-        found = []
-        for k, x in enumerate(order):
-            for y in order[k + 1:]:
-                if 100 * len(sets[x]) < percent * len(sets[y]):
-                    break
-                if sides[x] != sides[y] and (p := top(parts[x])) != (q := top(parts[y])):
-                    common = len(sets[x] & sets[y])
-                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
-                        above[p] = q
-                        found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
+    """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far.
+
+    Of a pair of blocks, lines that share a band and may be similar by their sizes are compared.
+    """
+
+    def meet(group: dict[str, np.ndarray]) -> list[tuple]:
+        side = group["side"]
+        alone = group["i"][0] == group["j"][0]
+        left, right = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        n, part = group["n"].astype(np.int64), group["part"]
+        near = 100 * np.minimum(n[left, None], n[right]) >= percent * np.maximum(n[left, None], n[right])
+        near &= part[left, None] != part[right]
+        if alone:
+            near = np.triu(near, 1)
+        x, y = np.nonzero(near)
+        if not len(x):
+            return []
+        x, y, bands = left[x], right[y], np.stack(group["bands"])
+        share = (bands[x] == bands[y]).any(axis=1)
+        top, join = united(part.tolist())
+        ids, texts, sets, found = group["id"].tolist(), group["content"], {}, []
+        for a, b in zip(x[share].tolist(), y[share].tolist()):
+            if top(int(part[a])) == top(int(part[b])):
+                continue
+            own, other = (sets[k] if k in sets else sets.setdefault(k, shingle_set(texts[k], chars)) for k in (a, b))
+            common = len(own & other)
+            if 100 * common >= percent * (len(own) + len(other) - common):
+                join(int(part[a]), int(part[b]))
+                found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        return blocks(groups, "lines").join(lines, "id").groupBy("hub", "i", "j").applyInPandas(meet, "a long, b long")
+        return per_pair(blocks(groups, "lines"), [facts, lines], meet, "a long, b long", LOT_ROWS, "lines")
 
     return rest
 
@@ -183,7 +191,8 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     signed = stage(sign_lines(documents, chars), "lines-signed")
     buckets = shared_buckets(signed.select("id", F.explode("bands").alias("bucket")), "lines")
     texts = stage(line_texts(documents, stage(buckets.select("id").distinct(), "lines-involved")), "lines-texts")
-    parts = stage(link(buckets, jaccard_test(texts, chars, percent), block_test(texts, chars, percent), "lines"), "lines-components")
+    facts = stage(line_facts(texts, chars), "lines-facts")
+    parts = stage(link(buckets, jaccard_test(texts, facts, chars, percent), block_test(texts, facts, chars, percent), "lines"), "lines-components")
     classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     classes = stage(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
                     .select("id", F.coalesce("component", "id").alias("component"), "first"), "lines-classes")

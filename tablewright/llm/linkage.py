@@ -8,8 +8,10 @@ component are done, the others are compared across components, block by block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,22 @@ def components(links: DataFrame, label: str) -> DataFrame:
         edges = stage(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), f"{label}-edges")
 
 
+def united(parts: Iterable[int]) -> tuple[Callable[[int], int], Callable[[int, int], None]]:
+    """Union-find over the parts of a pair of blocks: the way to the top, and the join of two."""
+    above = {p: p for p in parts}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def join(x: int, y: int) -> None:
+        above[top(x)] = top(y)
+
+    return top, join
+
+
 def blocks(groups: DataFrame, label: str) -> DataFrame:
     """Rows (hub, i, j, side, id, part) that deal each group of `groups` (hub, id, part) to pairs of blocks of bounded size.
 
@@ -76,11 +94,39 @@ def blocks(groups: DataFrame, label: str) -> DataFrame:
     return left.unionByName(right)
 
 
+def per_pair(dealt: DataFrame, facts: list[DataFrame], meet: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str, rows: int, label: str) -> DataFrame:
+    """`meet` on the columns of every pair of blocks (hub, i, j) in `dealt` with its ids' `facts`.
+
+    Pairs are handed over in lots of about `rows` rows: most have a few rows, so that a call for each would
+    cost more than its work.
+    """
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+
+    def lot(frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((frame["j"].to_numpy(), frame["i"].to_numpy(), frame["hub"].to_numpy()))
+        columns = {c: frame[c].to_numpy()[order] for c in frame.columns if c != "lot"}
+        new = np.zeros(len(order), dtype=bool)
+        for c in ("hub", "i", "j"):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        found, bounds = [], [0, *np.flatnonzero(new).tolist(), len(order)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if hi - lo > 1:
+                found.extend(meet({c: v[lo:hi] for c, v in columns.items()}))
+        return pd.DataFrame(found, columns=names, dtype="int64")
+
+    dealt = stage(dealt, f"{label}-dealt")
+    lots = dealt.count() // rows + 1
+    for fact in facts:
+        dealt = dealt.join(fact, "id")
+    return dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(lots))).groupBy("lot").applyInPandas(lot, schema)
+
+
 def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """Components (node, component) of the items in `shared` (bucket, id, met, hub).
 
     `test` takes pairs (a, b), a < b, and returns those that are linked. `rest` takes groups (hub, id, part)
-    and returns links between different parts that connect what is linked inside a group. Two items that
+    and returns links between different parts that connect what is linked inside a group; hubs take no part
+    there, as each has been tested with its whole group. Two items that
     share a bucket share its hub's group, so every linked pair with a bucket in common ends in one
     component; pairs are left out only where their items are connected already.
     """
@@ -89,9 +135,9 @@ def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callab
     parts = stage(components(links, label), f"{label}-parts")
     member = shared.select("hub", "id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "hub", "id", F.coalesce("component", "id").alias("part"))
-    member = stage(member, f"{label}-member")
+    member = stage(member.where("id <> hub"), f"{label}-member")
     mixed = stage(member.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub"), f"{label}-mixed")
     more = stage(rest(member.join(mixed, "hub")), f"{label}-more")
     if more.isEmpty():
         return parts
-    return stage(components(links.unionByName(more), label), f"{label}-parts")
+    return stage(components(parts.toDF("a", "b").unionByName(more), label), f"{label}-parts")
