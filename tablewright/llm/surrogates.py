@@ -18,22 +18,37 @@ MALE = "Adam Alan Boris Carl Daniel David Emil Erik Felix Hugo Ivan Jan John Leo
 FAMILY = ("Abel Adler Bauer Becker Blanc Brown Campos Castro Clark Cruz Dubois Duran Evans Fischer Fontaine Garcia Girard Hill Huber Keller "
           "King Lambert Lopez Marin Martel Moreno Moser Navarro Olsen Parker Perez Reed Renard Rivera Roth Santos Schmidt Silva Stone Vidal Wagner Weber White Wolf").split()
 HONORIFIC_F, HONORIFIC_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа", "Mr|Herr|Monsieur|Señor|Sr|Г-н"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_PERSON = rf"\b(?:{HONORIFIC_F}|{HONORIFIC_M})\.? {_NAME}(?: {_NAME}){{0,2}}|\b(?:{'|'.join(FEMALE + MALE)}) {_NAME}"
+_GIVEN = "|".join(FEMALE + MALE)
+_GAP = r"[ \t\x{A0}]+"
+_NAME = r"\p{Lu}(?:[\p{Ll}\p{M}]+|['’]\p{Lu}[\p{Ll}\p{M}]+)(?:['’-]?\p{Lu}[\p{Ll}\p{M}]+)*"
+#: Small words and initials between the words of a name.
+_LINK = r"(?:de(?: la| las| los| el)?|del|della|da|das|dos|di|du|van(?: der| den| de)?|von(?: der| den)?|vom|zu|zum|ter|bin|ibn|\p{Lu}\.)"
+_NEXT = rf"{_GAP}(?:{_LINK}{_GAP})*{_NAME}"
+_PERSON = rf"\b(?:{HONORIFIC_F}|{HONORIFIC_M})\.?(?:{_NEXT})+|\b(?:{_GIVEN})(?:-{_NAME})?(?:{_NEXT})+"
+#: Words before a secret in any case, also as the end of a longer name, with optional quotes and blanks around the sign.
+_SECRET = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key)"
+_BEFORE = r"""(?i:[_-](?:access[_-])?key)?["']?[ \t]*[=:]{1,2}>?[ \t]*"""
+_BARE = r"""[^\s"'`,;&|<>()\[\]{}]{5,}[\p{L}\p{N}_+/=$-]"""
+_CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}(?!\p{N}|-[0-9])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\p{N}|-[0-9])"
+#: A further group of a phone number; after a blank, not the start of a number with points, a card or an SSN.
+_GROUP = rf"(?:-?| (?![0-9]+\.[0-9]|{_CARD}|{_SSN}))[0-9]{{2,4}}"
 _PARTS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"\b(?:password|passwd|secret|token|api_key)[=:] ?[\p{L}\p{N}_+/-]{6,}",
+    "secret": rf"""(?<![\p{{L}}\p{{N}}]){_SECRET}{_BEFORE}(?:"[^"\n]{{4,}}"|'[^'\n]{{4,}}'|["'`]?{_BARE})""",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "hex": r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{32,}\b",
-    "card": r"(?<![\p{N}.-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\p{N}-])",
+    "hex": r"\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}\b",
+    "card": rf"(?<![\p{{N}}.-]){_CARD}",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,4}(?![\p{N}])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\p{N}])",
-    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
+    "phone": r"\+(?:1[ -]?\(?[0-9]{3}\)?|[0-9]{1,3}[ -]?\([0-9]{3}\))[ -]?[0-9]{3}[ -]?[0-9]{4}(?!\p{N}|-[0-9])"
+             rf"|(?=\+(?:[ ()-]*[0-9]){{7}})\+[0-9]{{1,3}}[ -]?\(?[0-9]{{1,4}}\)?(?:{_GROUP}){{2,4}}(?!\p{{N}})"
+             r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\p{N})",
+    "ssn": rf"(?<![\p{{N}}-]){_SSN}",
     "person": _PERSON,
 }
 PATTERN = "|".join(_PARTS.values())
 #: Every mention has one of these signs or words; texts without them need no closer look.
-HINT = rf"[0-9@]|password|passwd|secret|token|api_key|\b(?:{HONORIFIC_F}|{HONORIFIC_M})\b|\b(?:{'|'.join(FEMALE + MALE)}) "
+HINT = rf"[0-9@]|AKIA|{_SECRET}|\b(?:{HONORIFIC_F}|{HONORIFIC_M})\b|\b(?:{_GIVEN})[ \t\x{{A0}}-]"
 #: Tries with names of the lists; later ones invent a name of the same script and length or longer.
 LISTED_TRIES = 3
 MOST_TRIES = 64
@@ -44,22 +59,30 @@ def mentions(texts: DataFrame) -> DataFrame:
     """k1, k2 (text), at, part, kind, value: what is replaced in each text, in order.
 
     A person's name is taken apart, so that a family name keeps one surrogate with and without the given name;
-    parts of the kind `plain` stay (titles, and the signs before a secret).
+    parts of the kind `plain` stay (titles, initials and small words of names, and the signs around a secret).
     """
     found = texts.select("k1", "k2", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "mention"))
     kind = F.coalesce(*[F.when(F.col("mention").rlike(rf"^(?:{p})$"), k) for k, p in _PARTS.items()])
     found = found.withColumn("kind", kind)
-    words, title = F.split("mention", " "), F.element_at(F.split("mention", " "), 1)
+    words = F.regexp_extract_all("mention", F.lit(rf"{_GAP}|[^ \t\x{{A0}}]+"), F.lit(0))
+    title = F.element_at(words, 1)
     titled = title.rlike(rf"^(?:{HONORIFIC_F}|{HONORIFIC_M})\.?$")
-    female = title.rlike(rf"^(?:{HONORIFIC_F})\.?$") | title.isin(FEMALE)
+    female = title.rlike(rf"^(?:{HONORIFIC_F})\.?$") | F.substring_index(title, "-", 1).isin(FEMALE)
     person = F.transform(words, lambda w, i: F.struct(
-        F.when((i == 0) & titled, "plain").when(i == F.size(words) - 1, "family").when(female, "given_f").otherwise("given_m").alias("kind"), w.alias("value")))
-    prefix = F.regexp_extract("mention", r"^[a-z_]+[=:] ?", 0)
-    secret = F.array(F.struct(F.lit("plain").alias("kind"), prefix.alias("value")),
-                     F.struct(F.lit("secret").alias("kind"), F.expr("substring(mention, length(regexp_extract(mention, '^[a-z_]+[=:] ?', 0)) + 1)").alias("value")))
+        F.when(((i == 0) & titled) | w.rlike(rf"^(?:{_GAP}|{_LINK}|\p{{Ll}}+)$"), "plain").when(i == F.size(words) - 1, "family")
+        .when(w.isin(FEMALE), "given_f").when(w.isin(MALE), "given_m").when(female, "given_f").otherwise("given_m").alias("kind"), w.alias("value")))
+    prefix = F.regexp_extract("mention", rf"""^{_SECRET}{_BEFORE}["'`]?""", 0)
+    rest = F.substr("mention", F.length(prefix) + 1)
+    # Only a quoted secret ends with a quote.
+    closing = F.regexp_extract(rest, "[\"']$", 0)
+    value = F.substr(rest, F.lit(1), F.length(rest) - F.length(closing))
+    # An address or key after such a word gets the surrogate it has elsewhere.
+    inner = F.coalesce(*[F.when(value.rlike(rf"^(?:{p})$"), k) for k, p in _PARTS.items() if k not in ("secret", "person")], F.lit("secret"))
+    secret = F.array(F.struct(F.lit("plain").alias("kind"), prefix.alias("value")), F.struct(inner.alias("kind"), value.alias("value")),
+                     F.struct(F.lit("plain").alias("kind"), closing.alias("value")))
     whole = F.array(F.struct(F.col("kind").alias("kind"), F.col("mention").alias("value")))
     parts = F.when(F.col("kind") == "person", person).when(F.col("kind") == "secret", secret).otherwise(whole)
-    return found.select("k1", "k2", "at", F.col("kind").alias("whole"), F.posexplode(parts).alias("part", "x")).select("k1", "k2", "at", "whole", "part", "x.*")
+    return found.select("k1", "k2", "at", F.posexplode(parts).alias("part", "x")).select("k1", "k2", "at", "part", "x.*")
 
 
 def stream(value: Column, attempt: int, key: str) -> Column:
@@ -97,13 +120,15 @@ def luhn(digits: Column) -> Column:
 def proposal(attempt: int, key: str) -> Column:
     """A surrogate for the row's `kind` and `value`."""
     value, noise = F.col("value"), F.col("noise")
-    made = like(value, noise)
+    # A secret of few letters and digits has few of its format; later tries are longer.
+    made = like(value if attempt < LISTED_TRIES else F.when(F.col("kind") == "secret", F.concat(value, F.lit("abcdefgh"[: attempt // LISTED_TRIES]))).otherwise(value), noise)
     host = F.regexp_extract(value, "@(.*)$", 1)
     # The same host gets the same surrogate in every address; its last label stays.
     host_noise = F.concat(*[F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("host"), F.lower(host), F.lit(i)), 256) for i in range(8)])
     email = F.concat(like(F.regexp_extract(value, "^[^@]*", 0), noise), F.lit("@"), like(F.regexp_extract(host, r"^(.*)\.", 1), host_noise),
                      F.regexp_extract(host, r"\.[^.]*$", 0))
-    hexed = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.substr(noise, i % 512 + 1, F.lit(1))), "")
+    hexed = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-F]"), F.upper(F.substr(noise, i % 512 + 1, F.lit(1)))).otherwise(F.substr(noise, i % 512 + 1, F.lit(1)))), "")
+    hexed = F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(hexed)).otherwise(hexed)
     body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(made, F.lit(2), F.length(made) - 2))
     check = F.pmod(F.lit(10) - luhn(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, F.substr(made, F.length(made), F.lit(1))))
@@ -121,7 +146,7 @@ def proposal(attempt: int, key: str) -> Column:
 
     kind = F.col("kind")
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "key", access)
-            .when((kind == "hex") | ((kind == "secret") & value.rlike("^[0-9a-f]+$")), hexed)
+            .when((kind == "hex") | ((kind == "secret") & value.rlike("^([0-9a-f]+|[0-9A-F]+)$") & F.lit(attempt < LISTED_TRIES)), hexed)
             .when(kind == "given_f", listed(FEMALE)).when(kind == "given_m", listed(MALE)).when(kind == "family", listed(FAMILY)).otherwise(made))
 
 
@@ -161,8 +186,8 @@ def replace_entities(documents: DataFrame, key: str = KEY) -> DataFrame:
     values = stage(found.where("kind <> 'plain'").select("kind", "value").distinct(), "surrogate-values")
     surrogates = stage(assign(values, key), "surrogate-map")
     named = found.join(F.broadcast(surrogates) if surrogates.count() <= BROADCAST_ROWS else surrogates, ["kind", "value"], "left")
-    made = (named.groupBy("k1", "k2", "at").agg(F.array_sort(F.collect_list(F.struct("part", "kind", F.coalesce("surrogate", "value").alias("new"), "whole"))).alias("parts"))
-            .select("k1", "k2", "at", F.when(F.col("parts")[0]["whole"] == "person", F.array_join("parts.new", " ")).otherwise(F.array_join("parts.new", "")).alias("new")))
+    made = (named.groupBy("k1", "k2", "at").agg(F.array_sort(F.collect_list(F.struct("part", "kind", F.coalesce("surrogate", "value").alias("new")))).alias("parts"))
+            .select("k1", "k2", "at", F.array_join("parts.new", "").alias("new")))
     whole = stage(made.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("news")).select("k1", "k2", F.col("news.new").alias("news")), "surrogate-texts")
     gaps = F.split("text", PATTERN, -1)
     # A gap and the surrogate after it, in turn; the last gap has none.

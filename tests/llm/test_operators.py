@@ -207,6 +207,22 @@ def test_surrogates(spark, docs, nothing):
     assert surrogates.replace_entities(docs).count() == docs.count() and surrogates.replace_entities(nothing).count() == 0
 
 
+def test_surrogates_leave_nothing_of_a_mention(spark):
+    rows = ["+1 (826) 555-4081 190.137.223.204", "+1 (843) 555-7672 4111 1111 1111 1111", "+49 30 1234567 123-45-6789", "call +33 6 12 34 56 78 now",
+            'TOKEN = "B7DB7AA4A5FCC78305B7DB7AA4A5FCC783050A1B"!!', 'password = "hunter2x"', """{'Api_Key': 'k3y-w!th.dots'}""", "DB_PASSWORD=S3cret.x9", "B7DB7AA4A5FCC78305B7DB7AA4A5FCC783050A1B",
+            "met Anna Maria Schmidt there", "met Mr. Juan Carlos de la Vega O'Neill there", "Anna-Lena K. McDonald", "token: a.b@x.example.com", "mail a.b@x.example.com"]
+    asked = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r for r in surrogates.replace_entities(asked).collect()}
+    gone = ["4081 190 137 223 204", "843) 7672 4111 1111", "1234567 123-45-6789", "12 34 56 78", "B7DB7AA4", "hunter2x", "k3y w!th dots", "S3cret x9", "B7DB7AA4",
+            "Anna Maria Schmidt", "Juan Carlos Vega O'Neill", "Lena McDonald", "a.b@", "a.b@"]
+    for i, words in enumerate(gone):
+        assert not [w for w in words.split() if w in found[i].text.split("(843")[0]] and found[i].replaced == (2 if i < 3 else 1), (i, found[i].text)
+    assert found[4].text[:9] == 'TOKEN = "' and found[4].text[9:49] == found[8].text == found[8].text.upper() and found[4].text[49:] == '"!!'
+    assert found[9].text.startswith("met ") and found[9].text.endswith(" there") and " de la " in found[10].text and found[12].text[7:] == found[13].text[5:]
+    few = spark.createDataFrame([("secret", f"{chr(97 + i)}!!!!!") for i in range(26)], "kind string, value string")
+    assert len({r.surrogate for r in surrogates.assign(few).collect()}) == 26
+
+
 def test_licences(spark, nothing):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "nothing here"), ("a/b/d/LICENSE", "Licensed under the Apache License, Version 2.0."),
             ("a/b/d/e.txt", None), ("a/b/d/f.txt", "some words\nLicensed under CC BY-NC 4.0.\nmore words of the file itself"), ("g.txt", "no license to speak of in this plain text"), (None, "x"), ("g.txt", "")]
