@@ -232,6 +232,20 @@ def test_licences(spark, nothing):
     assert licences.scan(nothing.select(F.col("id").alias("path"), "text")).count() == 0
 
 
+def test_licences_inline_wrapped_and_whole(spark):
+    mit, filler = licences.TEMPLATES["MIT"][-1], "words of the file itself and nothing else "
+    wrapped = "\n".join(" * " + " ".join(licences.TEMPLATES["Apache-2.0"][2].split()[k:k + 9]) for k in range(0, 90, 9))
+    asked = {"a": ("Copyright 2020 Jane Roe. Released under the MIT License. " + filler, "MIT"), "b": (filler * 9 + "\n/*\n" + wrapped + "\n */\n" + filler * 9, "Apache-2.0"),
+             "c/LICENSE": ("MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + mit.replace(", ", ",\n"), "MIT"), "d": ("Apache License", "Apache"), "e": ("GNU GENERAL PUBLIC LICENSE", "GPL"),
+             "f": ("# SPDX-License-Identifier: EPL-2.0\ncode", "EPL-2.0"), "g": ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+             "h": (filler + "licensed under the\n# GNU Lesser General Public License, version 2.1. " + filler, "LGPL-2.1"), "i": ("Licensed under the Apache License, Version 1.1.", "Apache"),
+             "j": (licences.TEMPLATES["BSD-3-Clause"][-1], "BSD-3-Clause"), "k": (filler + "we ask for permission and a license", None), "c/x.py": (filler, "MIT")}
+    asked = {k if "/" in k else f"{k}/x": x for k, x in asked.items()}
+    rows = [(k, x) for k, (x, _) in asked.items()]
+    found = {r.path: r.licence for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {k: x for k, (_, x) in asked.items()}
+
+
 def test_edited_trees_equal_full_counts():
     own, draw, letters = token_counts.counter(token_counts.public_tokenizers.path(token_counts.TOKENIZER)), random.Random(3), " \n'srelv a1B.é  "
     for k in range(600):
