@@ -24,6 +24,7 @@ MOST_LANGUAGES = 400
 #: Trigrams taken as independent evidence per trigram seen; neighbouring trigrams share letters.
 EVIDENCE = 1 / 3
 FIRST_STEPS, STEPS = 8, 5
+KNOWN_STEPS = 30
 
 
 @lru_cache(maxsize=1)
@@ -137,6 +138,36 @@ def mixtures(doc: np.ndarray, cell: np.ndarray, n: int, table: np.ndarray) -> np
     return shares
 
 
+def known_share(doc: np.ndarray, cell: np.ndarray, n: int, table: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Share of each text that its mixture explains, by EM against a background where all cells are alike; 0 without letters."""
+    ratio = (table[cell] * shares[doc]).sum(axis=1) * CELLS
+    sizes, known = np.maximum(np.bincount(doc, minlength=n), 1), np.full(n, 0.5)
+    for _ in range(KNOWN_STEPS):
+        joint = known[doc] * ratio
+        known = np.bincount(doc, weights=joint / (joint + 1 - known[doc]), minlength=n) / sizes
+    return known
+
+
+def in_known_languages(documents: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+    """Rows of `documents` (text, any others) with a share of `least` or more in languages of the model, one or several.
+
+    Each row is judged by its own text, whatever its other columns are; texts that are NULL or have no letter go.
+    """
+    names, table = model
+    shared = documents.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kept = texts_of(batch), np.zeros(batch.num_rows, dtype=bool)
+            if names:
+                for lo, hi in chunks(texts):
+                    found = trigram_cells(texts[lo:hi])
+                    kept[lo:hi] = known_share(*found, hi - lo, shared.value, mixtures(*found, hi - lo, shared.value)) >= least
+            yield batch.filter(pa.array(kept))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score, n_languages, proportions of every whole text of `documents` (doc_id, text).
 

@@ -170,6 +170,19 @@ def test_language_mixtures(spark, docs, nothing):
     assert language.identify(nothing, model).count() == 0
 
 
+def test_foreign_and_junk_rows_go_one_by_one(spark):
+    samples = {"en": "the house and the garden with water of this river ", "de": "das haus und der garten mit wasser von diesem fluss ", "fr": "la maison et le jardin avec de l'eau de cette rivière "}
+    rows = [(i, " ".join(random.Random(i).sample(samples[k].split(), 9)), k) for i, k in enumerate(itertools.islice(itertools.cycle(samples), 300))]
+    ship(spark)
+    model = language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    draw = random.Random(1)
+    junk = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))
+    asked = [(1, samples["en"]), (1, None), (1, ""), (2, samples["en"] + samples["de"] + samples["fr"]), (3, "今天天气很好我们一起去公园散步"), (4, "Сегодня хорошая погода и мы пошли гулять"), (5, junk), (None, junk),
+             (None, samples["de"]), (6, "12 34 !")]
+    kept = language.in_known_languages(spark.createDataFrame(asked, "doc_id long, text string"), model, 0.4).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, samples["en"]), (2, asked[3][1]), (0, samples["de"])])
+
+
 def test_segments_are_the_maximal_ones():
     draw = np.random.default_rng(4)
     for _ in range(200):
