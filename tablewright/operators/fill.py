@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from tablewright.functions.sql import q
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 _SAMPLES_PER_BUCKET = 40
 _KEY, _BUCKET, _GROUP = "__fill_key", "__fill_bucket", "__fill_group"
 
 
 def _borders(keyed: DataFrame, rows: int, rows_per_bucket: int) -> list:
     """Sort keys that cut the table into about even buckets. They steer work, not results."""
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
+    buckets = -(-rows // rows_per_bucket)
     if buckets <= 1:
         return []
     sample = keyed.select(_KEY)
@@ -75,7 +74,7 @@ def fill_ordered(
             f"first_value({q(c)}) ignore nulls over ({local} and unbounded following) as __next{i}")
     ])
     if borders:
-        # One row per bucket, at most MAX_BUCKETS of them.
+        # One row per bucket.
         filled = filled.join(F.broadcast(_carries(bucketed, columns)), _BUCKET, "left")
         across = [
             (f"if({_GROUP} = __first, __back{i}, null)", f"if({_GROUP} = __final, __ahead{i}, null)")

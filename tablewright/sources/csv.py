@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,24 +46,48 @@ def read_delimited(
     delimiter: str | None = None,
     encoding: str | None = None,
 ) -> DataFrame:
-    """Header row, every column as text, null tokens as NULL."""
+    """Header row, every column as text, null tokens as NULL.
+
+    Rows with more fields than the header, and files of one folder with different headers, are a SourceError;
+    missing fields at a row's end are NULL.
+    """
     if path.lower().endswith(EXCEL_SUFFIXES):
         raise SourceError("spreadsheets are not read; land them as CSV or Parquet first")
     try:
         encoding = encoding or detect_encoding(spark, path)
         delimiter = delimiter or sniff_delimiter(spark, path)
-        raw = (
+        # Where there are several files, the header of each is held against the first's.
+        several = spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
+        reader = (
             spark.read.option("header", True).option("sep", delimiter)
             .option("encoding", encoding).option("quote", '"').option("escape", '"')
             .option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).option("enforceSchema", True)
-            .csv(path)
+            .option("ignoreTrailingWhiteSpace", False).option("enforceSchema", not several)
         )
+        raw = reader.csv(path)
+        surplus = surplus_row(reader, raw, path, delimiter)
     except Exception as error:
         raise SourceError(f"Failed to load dataset: {error}") from error
+    if surplus is not None:
+        raise SourceError(f"a row has more fields than the header's {len(raw.columns)}: {surplus[:200]}")
     return na_tokens_to_null(raw)
 
 
+def surplus_row(reader: DataFrameReader, raw: DataFrame, path: str, delimiter: str) -> str | None:
+    """A row with text in more fields than `raw` has columns, if there is one; one pass over all rows."""
+    if not raw.columns:
+        return None
+    # Only rows whose number of fields is not the header's have their record here; short ones have too few separators.
+    record, mark = "__record", f"\\Q{delimiter}\\E"
+    schema = T.StructType([*raw.schema.fields, T.StructField(record, T.StringType())])
+    odd = (reader.option("columnNameOfCorruptRecord", record).option("columnPruning", False).schema(schema).csv(path)
+           .select(F.col(record), F.xxhash64(*[F.col(q(c)) for c in raw.columns]).alias("row")).where(F.col(record).isNotNull()))
+    bare = F.regexp_replace(record, f'(^|{mark})"(?:[^"]|"")*"', "$1x")
+    kept = F.regexp_replace(bare, f"(?:{mark}[ \\r\\n]*)+$", "")
+    found = odd.where(F.size(F.split(kept, mark, -1)) > len(raw.columns)).select(record, "row").first()
+    return None if found is None else found[0]
+
+
 def na_tokens_to_null(df: DataFrame) -> DataFrame:
     """File null tokens and floating NaN both become NULL; other columns pass through."""
     new = {}

@@ -91,3 +91,19 @@ def test_staging(spark):
     assert again.columns == df.columns and again.collect() == df.collect()
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert spread(spark.range(5).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_surplus_fields_and_other_headers_are_errors(spark, tmp_path):
+    for rows in ("1,2\n3,4,5\n", '1,2\n"x,y",4,,5\n'):
+        with pytest.raises(csv.SourceError):
+            csv.read_delimited(spark, put(tmp_path, "s.csv", "a,b\n" + rows), ",")
+    fine = put(tmp_path, "f.csv", 'a,b\n"x,y","1\n2"\n3\n5,6,\n')
+    assert sorted(map(tuple, csv.read_delimited(spark, fine, ",").collect())) == [("3", None), ("5", "6"), ("x,y", "1\n2")]
+    for name, header in (("same", "a,b"), ("other", "b,a")):
+        folder = tmp_path / name
+        folder.mkdir()
+        put(folder, "1.csv", "a,b\n1,2\n")
+        put(folder, "2.csv", header + "\n3,4\n")
+    assert csv.read_delimited(spark, str(tmp_path / "same"), ",").count() == 2
+    with pytest.raises(csv.SourceError):
+        csv.read_delimited(spark, str(tmp_path / "other"), ",")
