@@ -15,7 +15,7 @@ from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, unit
 from tablewright.sources.staging import stage
 
 #: Characters of a shingle; a shorter line is one shingle.
-CHARS = 8
+CHARS = 5
 PERCENT = 80
 #: Signature: BANDS bands of ROWS minima each. Lines with a similarity of 0.8 share a band with a chance of 0.998, of 0.3 with 0.09.
 BANDS, ROWS = 12, 4

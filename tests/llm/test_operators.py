@@ -129,6 +129,27 @@ def test_line_dedup(spark, docs, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_equals_brute_force(spark):
+    """Short lines with small edits, and a group of more lines than a block holds."""
+    draw, base = random.Random(8), "the watchful owls near the old water tower wait for seven foxes"
+    lines = ["Copyright 2020 Example Corporation. All rights reserved worldwide.", "Copyright 2021 Example Corporation. All rights reserved worldwide."]
+    for k in range(380):
+        line = list(base if k < 300 else text(k // 4, 8))
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            line[draw.randrange(len(line))] = draw.choice("abcdefgh")
+        lines.append("".join(line).strip())
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    lead = list(range(len(lines)))
+    links = [(a, b) for a, b in itertools.combinations(lead, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(lead[a] != lead[b] for a, b in links):
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+    ship(spark)
+    table = spark.createDataFrame([(i, x, "en", "s", len(x), "", "", "") for i, x in enumerate(lines)], DOCS)
+    found = {r.doc_id for r in line_dedup.dedup_lines(table).collect()}
+    assert found == {i for i, k in enumerate(lead) if i == k} and 1 not in found
+
+
 def test_decontamination(spark, docs, nothing):
     passage = text(2, 80).split()
     items = spark.createDataFrame([(1, " ".join(passage[10:30]).upper() + "!"), (2, text(99, 30)), (3, "one two"), (4, None), (None, text(2, 80)), (5, "")], "item_id long, text string")
