@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tablewright.llm.decontamination import OP3_SQL, op3_decontamination
+from tablewright.llm.exact_topk import OP13_SQL, op13_exact_topk
+from tablewright.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tablewright.llm.jaccard_join import OP10_SQL, op10_ngram_jaccard
 from tablewright.llm.language import op9_language_mixture
 from tablewright.llm.licences import op7_licence_scan
@@ -12,6 +14,7 @@ from tablewright.llm.packing import op6_best_fit_packing
 from tablewright.llm.surrogates import op4_surrogates
 from tablewright.llm.token_counts import op8_edit_token_counts
 from tablewright.llm.toxicity import op1_toxicity_segments
+from tablewright.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_toxicity_segments": op1_toxicity_segments,
@@ -24,5 +27,11 @@ QUERIES = {
     "op8_edit_token_counts": op8_edit_token_counts,
     "op9_language_mixture": op9_language_mixture,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_exact_topk": op13_exact_topk,
+}
+SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_filter_audit": OP12_SQL,
+    "op13_exact_topk": OP13_SQL,
 }
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_ngram_jaccard": OP10_SQL}
