@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.names import find_column
 from tablewright.functions.numbers import as_double, money, one_decimal, round2, round_scalar
 from tablewright.functions.sql import is_numeric, number, numeric_columns, q, rows_of, text
-from tablewright.operators.quantiles import exact_quantiles, quantile_aggregates
+from tablewright.operators.entry import finite
+from tablewright.operators.quantiles import exact_quantiles, quartiles
 
 # Keyword lists by priority.
 REVENUE_KEYS = ("calculated_revenue", "net_revenue", "revenue", "gross_revenue", "total_amount", "sales", "amount")
@@ -26,7 +27,8 @@ VALUE_KEYS = ("calculated_revenue", "net_revenue", "revenue", "gross_revenue", "
 REGION_KEYS = ("region", "location", "city", "country", "territory", "branch")
 PERIOD_KEYS = ("month_year", "quarter", "order_month_year", "fiscal_quarter")
 STATUS_KEYS = ("status", "account_status", "order_status", "payment_status")
-
+# Share of the rows an approximate quartile may be off in rank.
+RANK_SLACK = 0.0001
 
 
 def numeric_column(df: DataFrame, keywords: Sequence[str]) -> str | None:
@@ -47,11 +49,16 @@ def _kpi(seq: int, key: str, label: str, value: str, raw: str, description: str)
 
 
 def scalar_kpis(df: DataFrame) -> DataFrame:
-    """Every KPI that is one number over the table, from one aggregate."""
+    """Every KPI that is one number over the table.
+
+    Plain sums are one aggregate; distinct entities and the median are figures of their own
+    beside it, so that no buffer travels under an entity key.
+    """
+    df = finite(df)
     revenue, quantity = numeric_column(df, REVENUE_KEYS), numeric_column(df, QUANTITY_KEYS)
     profit, margin = numeric_column(df, PROFIT_KEYS), numeric_column(df, MARGIN_KEYS)
     entity, salary = find_column(df.columns, ENTITY_KEYS), numeric_column(df, SALARY_KEYS)
-    sums = {"n": "count(1)"}
+    sums, apart = {"n": "count(1)"}, {}
     # Labels and descriptions of the KPIs.
     rows = [_kpi(1, "total_records", "'Total Records'", "format_number(n, 0)", "n",
                  "Total active rows in processed dataset")]
@@ -79,21 +86,25 @@ def scalar_kpis(df: DataFrame) -> DataFrame:
             rows.append(_kpi(7, "average_margin", "'Average Margin'", f"concat({one_decimal('margin')}, '%')", "margin",
                              "Mean profit margin percentage"))
     if entity:
-        sums["entities"] = f"count(distinct {q(entity)})"
+        named = df.selectExpr(f"{q(entity)} as e").filter("e is not null").groupBy("e").agg(F.expr("1 as one"))
+        apart["entities"] = named.selectExpr("count(1)").scalar()
         rows.append(_kpi(8, "unique_entities", "'Unique Customers / Accounts'", "format_number(entities, 0)", "entities",
                          f"Distinct entities in '{entity}'"))
     if salary:
-        sums |= {"payroll": total(as_double(salary)), "median": quantile_aggregates(df, {salary: [0.5]})[salary]}
+        sums["payroll"] = total(as_double(salary))
+        apart["median"] = F.expr(number(exact_quantiles(df, {salary: [0.5]})[salary][0]))
         rows += [
             _kpi(9, "total_payroll", "'Total Payroll / Spend'", money("payroll"), "payroll", f"Sum of '{salary}'"),
-            _kpi(10, "median_salary", "'Median Salary'", money("median[0]"), "median[0]",
+            _kpi(10, "median_salary", "'Median Salary'", money("median"), "median",
                  f"50th percentile of '{salary}'"),
         ]
-    return df.selectExpr(*[f"{e} as {n}" for n, e in sums.items()]).filter("n > 0").selectExpr(rows_of(rows))
+    found = df.selectExpr(*[f"{e} as {n}" for n, e in sums.items()]).filter("n > 0")
+    return found.withColumns(apart).selectExpr(rows_of(rows)) if apart else found.selectExpr(rows_of(rows))
 
 
 def top_category(df: DataFrame) -> DataFrame | None:
     """Leading group by revenue with its share, or by row count when there is no revenue."""
+    df = finite(df)
     category, revenue = find_column(df.columns, CATEGORY_KEYS), numeric_column(df, REVENUE_KEYS)
     if not category:
         return None
@@ -115,6 +126,7 @@ def top_category(df: DataFrame) -> DataFrame | None:
 
 def period_growth(df: DataFrame) -> DataFrame | None:
     """Change between the last two keys of the date column, when the earlier sum is positive."""
+    df = finite(df)
     date, revenue = find_column(df.columns, GROWTH_DATE_KEYS), numeric_column(df, REVENUE_KEYS)
     if not date or not revenue:
         return None
@@ -127,6 +139,7 @@ def period_growth(df: DataFrame) -> DataFrame | None:
 
 
 def kpi_table(df: DataFrame) -> DataFrame:
+    df = finite(df)
     out = scalar_kpis(df)
     for part in (top_category(df), period_growth(df)):
         if part is not None:
@@ -141,33 +154,31 @@ def adjusted_skewness(n: str, plain: str) -> str:
     return f"if({n} > 2, coalesce({plain} * sqrt({n} * ({n} - 1D)) / ({n} - 2), 0D), 0D)"
 
 
-def statistical_summary(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Twelve statistics per numeric column; columns without any value are left out."""
+SUMMARY_FIGURES = ("mean", "std_dev", "min", "q1", "median", "q3", "max", "iqr", "skewness")
+
+
+def statistical_summary(df: DataFrame, approx: bool = False, known: Mapping[str, Sequence[float | None]] | None = None) -> DataFrame:
+    """Twelve statistics per numeric column; columns without any value are left out.
+
+    `known` are quartiles of columns that have been found already; with `approx` those still to
+    be found may be off by `RANK_SLACK` of the rows, which saves passes.
+    """
+    df = finite(df)
     names = numeric_columns(df)
-    if not names:
-        return df.sparkSession.createDataFrame([], "seq int, column string")
-    if approx:
-        quantiles = {c: f"percentile_approx({as_double(c)}, array(0.25D, 0.5D, 0.75D), 10000)" for c in names}
-    else:
-        # Known before the moments are summed: `percentile` beside them would keep Spark from
-        # generating code for the whole aggregate.
-        found = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in names})
-        quantiles = {c: f"array({', '.join(number(v) for v in values)})" for c, values in found.items()}
     moments = ("count", "avg", "stddev_samp", "min", "max", "skewness")
-    row = df.selectExpr("count(1) as total", *[
-        e for i, c in enumerate(names) for e in (
-            *(f"{m}({as_double(c)}) as {m}{i}" for m in moments), f"{quantiles[c]} as quart{i}")
-    ])
-    long = row.selectExpr("total", rows_of(
-        f"struct({i} as seq, {text(c)} as column, {', '.join(f'{m}{i} as {m}' for m in moments)}, quart{i} as quart)"
-        for i, c in enumerate(names)))
-    rounded = {
-        "mean": "avg", "std_dev": "stddev_samp", "min": "min", "q1": "quart[0]", "median": "quart[1]", "q3": "quart[2]",
-        "max": "max", "iqr": "quart[2] - quart[0]", "skewness": adjusted_skewness("count", "skewness"),
-    }
-    return long.filter("count > 0").selectExpr(
-        "seq", "column", "count", *[f"{round_scalar(e, 2)} as {n}" for n, e in rounded.items()],
-        "total - count as null_count")
+    rows = []
+    if names:
+        seen = df.selectExpr("count(1) as total", *[f"cast({m}({as_double(c)}) as double) as {m}{i}" for i, c in enumerate(names) for m in moments]).first()
+        own = {c: [seen[f"{m}{i}"] for m in moments] for i, c in enumerate(names) if seen[f"count{i}"]}
+        ends = {c: (int(v[0]), v[3], v[4]) for c, v in own.items() if c not in (known or {})}
+        found = dict(known or {}) | quartiles(df, list(ends), ends, RANK_SLACK if approx else 0.0)
+        rows = [(i, c, seen["total"], *own[c], *found[c]) for i, c in enumerate(names) if c in own]
+    facts = df.sparkSession.createDataFrame(rows, "seq int, column string, total bigint, " + ", ".join(
+        f"{m} double" for m in (*moments, "lower", "middle", "upper")))
+    figures = ("avg", "stddev_samp", "min", "lower", "middle", "upper", "max", "upper - lower", adjusted_skewness("count", "skewness"))
+    return facts.selectExpr(
+        "seq", "column", "cast(count as bigint) as count", *[f"{round_scalar(e, 2)} as {n}" for n, e in zip(SUMMARY_FIGURES, figures)],
+        "total - cast(count as bigint) as null_count")
 
 
 # --- breakdowns --------------------------------------------------------------------
@@ -183,6 +194,7 @@ def _measures(value: str) -> tuple[str, ...]:
 
 def breakdown(df: DataFrame, dimension: str, value: str) -> DataFrame:
     """Count, sum, mean and share of the grand total per group, largest first."""
+    df = finite(df)
     groups = _grouped(df, dimension, *_measures(value))
     # A scalar subquery, not a window: a window over all groups would be one task.
     grand = df.filter(f"{q(dimension)} is not null").selectExpr(f"sum({as_double(value)})").scalar()
@@ -197,7 +209,7 @@ def count_breakdown(df: DataFrame, dimension: str) -> DataFrame:
 
 
 def period_breakdown(df: DataFrame, period: str, value: str) -> DataFrame:
-    return _grouped(df, period, *_measures(value)).orderBy(q(period))
+    return _grouped(finite(df), period, *_measures(value)).orderBy(q(period))
 
 
 def value_column(df: DataFrame) -> str | None:
@@ -207,6 +219,7 @@ def value_column(df: DataFrame) -> str | None:
 
 def breakdowns(df: DataFrame) -> dict[str, DataFrame]:
     """Every breakdown the columns allow; each stays lazy."""
+    df = finite(df)
     value, out = value_column(df), {}
     for name, keys in (("by_category", CATEGORY_KEYS), ("by_region", REGION_KEYS)):
         dimension = find_column(df.columns, keys)

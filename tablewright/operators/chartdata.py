@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import as_double, round2
-from tablewright.functions.sql import is_numeric, number, numeric_columns, q, rows_of, sql_map, text
+from tablewright.functions.sql import is_numeric, number, numeric_columns, q, sql_map, text
 from tablewright.operators.analytics import total
+from tablewright.operators.entry import finite
 from tablewright.operators.profile import column_counts
-from tablewright.operators.quantiles import quantile_aggregates
+from tablewright.operators.quantiles import quartiles, value_ends
 
 # Column preferences of the charts, first present wins.
 TREND_TIME_COLUMNS = ("order_month_year", "month_year", "order_date", "signup_date", "fiscal_quarter")
@@ -23,8 +28,7 @@ DONUT_COLUMNS = ("region", "location", "city", "gender", "status", "payment_meth
 GAUGE_BANDS = ((90, "green"), (75, "blue"), (50, "amber"))
 LOWEST_BAND = "red"
 HISTOGRAM_BINS = 30
-# Pairs per aggregate: keeps generated code within the JVM's method limits.
-PAIRS_PER_PASS = 60
+CORRELATION_SCHEMA = "col_a string, col_b string, r double"
 
 
 def first_present(df: DataFrame, names: tuple[str, ...], numeric: bool = False) -> str | None:
@@ -50,7 +54,7 @@ def missing_chart(raw: DataFrame, clean: DataFrame, top: int = 10) -> DataFrame:
 
 
 def _sums(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.filter(f"{q(key)} is not null").groupBy(q(key)).agg(F.expr(f"{total(as_double(value))} as {q(value)}"))
+    return finite(df).filter(f"{q(key)} is not null").groupBy(q(key)).agg(F.expr(f"{total(as_double(value))} as {q(value)}"))
 
 
 def trend(df: DataFrame, date: str, value: str) -> DataFrame:
@@ -78,7 +82,7 @@ def donut(df: DataFrame, category: str, value: str | None = None) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins between least and greatest value; empty bins are not listed."""
-    x = as_double(column)
+    df, x = finite(df), as_double(column)
     ends = df.selectExpr(f"struct(min({x}) as low, max({x}) as high)").scalar()
     width = f"((e.high - e.low) / {bins})"
     at = f"cast(least(coalesce(floor(try_divide(x - e.low, {width})), 0), {bins - 1}) as int)"
@@ -89,12 +93,13 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
         f"{round2(f'e.low + {width} * (bin + 1)')} as bin_end", "count").orderBy("bin")
 
 
-def box(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
-    """Five numbers, fences and how many values lie beyond them."""
-    x = as_double(column)
-    quartiles = quantile_aggregates(df, {column: [0.25, 0.5, 0.75]})[column]
-    five = df.selectExpr(f"min({x}) as min", f"{quartiles} as quart", f"max({x}) as max").selectExpr(
-        "min", "quart[0] as q1", "quart[1] as median", "quart[2] as q3", "max")
+def box(df: DataFrame, column: str, reach: float = 1.5, known: Sequence[float | None] | None = None) -> DataFrame:
+    """Five numbers, fences and how many values lie beyond them; `known` are quartiles found already."""
+    df, x = finite(df), as_double(column)
+    ends = value_ends(df, [column])
+    middle = list(known) if known is not None else quartiles(df, [column], ends)[column]
+    five = df.sparkSession.createDataFrame(
+        [(ends[column][1], *middle, ends[column][2])], ", ".join(f"{n} double" for n in ("min", "q1", "median", "q3", "max")))
     fences = five.selectExpr(
         "*", f"{round2(f'q1 - (q3 - q1) * {number(reach)}')} as lower_fence",
         f"{round2(f'q3 + (q3 - q1) * {number(reach)}')} as upper_fence")
@@ -106,58 +111,37 @@ def box(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
 
 def box_points(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
     """The values drawn as single points beyond the fences."""
-    x = as_double(column)
+    df, x = finite(df), as_double(column)
     return df.filter(f"not ({x} between {number(float(lower))} and {number(float(upper))})").selectExpr(f"{x} as {q(column)}")
 
 
 def correlation(df: DataFrame) -> DataFrame:
-    """Pearson r of every pair of numeric columns over rows where both are known.
+    """Pearson r of every pair of numeric columns over rows where both are known; NULL where either does not vary.
 
-    Sums of products of values shifted by their column's least value: a constant column
-    shifts to exact zeros, and its pairs come out NULL (`corr` would fail on them). A
-    pair of columns without gaps needs one sum of its own, the rest is shared.
+    Two passes for any number of columns. The first finds means; the second sums products of one
+    vector per row, which holds for each column whether it is known, its distance from the mean and
+    that distance squared. Every sum a pair needs, over the rows where both are known, is one entry
+    of that matrix of products, whose size depends on the columns alone.
     """
+    df = finite(df)
     names = numeric_columns(df)
     if len(names) < 2:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    facts = df.selectExpr("count(1)", *[
-        e for c in names for e in (f"count({q(c)})", f"min({as_double(c)})")]).first()
-    full = {c for i, c in enumerate(names) if facts[1 + 2 * i] == facts[0]}
-    shifted = df.selectExpr(*[
-        f"{as_double(c)} - {number(facts[2 + 2 * i])} as x{i}" for i, c in enumerate(names)])
-    at = {c: f"x{i}" for i, c in enumerate(names)}
-    pairs = [(a, a) for a in names] + list(combinations(names, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        sums: dict[str, str] = {}  # aggregate -> its name, each computed once
-
-        def total_of(expression: str) -> str:
-            return sums.setdefault(f"sum({expression})", f"s{len(sums)}")
-
-        structs = []
-        for a, b in chunk:
-            x, y = at[a], at[b]
-            both = "" if {a, b} <= full else f" * if({x} is null or {y} is null, null, 1D)"
-            n = total_of(f"1D{both}")
-            sx, sy = total_of(f"{x}{both}"), total_of(f"{y}{both}")
-            sxx, syy, sxy = (total_of(f"{u} * {v}{both}") for u, v in ((x, x), (y, y), (x, y)))
-            for u, v in dict.fromkeys([(a, b), (b, a)]):
-                structs.append(
-                    f"struct({text(u)} as col_a, {text(v)} as col_b, {n} as n, {sx} as sx, {sy} as sy, "
-                    f"{sxx} as sxx, {syy} as syy, {sxy} as sxy)")
-        row = shifted.selectExpr(*[f"{e} as {n}" for e, n in sums.items()])
-        part = row.selectExpr(rows_of(structs))
-        out = part if out is None else out.unionByName(part)
-    r = round2(f"(sxy - sx * sy / n) / sqrt({_spread('n', 'sx', 'sxx')} * {_spread('n', 'sy', 'syy')})")
-    same = f"if({_spread('n', 'sx', 'sxx')} is null, null, 1D)"
-    return out.selectExpr("col_a", "col_b", f"if(col_a = col_b, {same}, {r}) as r")
-
-
-def _spread(n: str, s: str, ss: str) -> str:
-    """Sum of squared deviations; what is left of rounding counts as none."""
-    left = f"({ss} - {s} * {s} / {n})"
-    return f"if({left} > {ss} * 1e-13D, {left}, null)"
+        return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
+    means = df.selectExpr(*[f"avg({as_double(c)})" for c in names]).first()
+    apart = [f"{as_double(c)} - {number(m)}" for c, m in zip(names, means)]
+    parts = [f"if({x} is null, 0D, {y})" for make in ("1D", "{0}", "({0}) * ({0})") for x, y in ((x, make.format(x)) for x in apart)]
+    rows = df.select(array_to_vector(F.expr(f"array({', '.join(parts)})")).alias("v"))
+    p = len(names)
+    sums = np.array(RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"), 0, 3 * p).computeGramianMatrix().toArray()) if df.head(1) else np.zeros((3 * p, 3 * p))
+    known, value, square = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
+    n, sx, sxx = sums[known, known], sums[value, known], sums[square, known]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = sxx - sx * sx / n
+        spread = np.where(left > sxx * 1e-13, left, np.nan)  # what is left of rounding counts as none
+        r = np.rint((sums[value, value] - sx * sx.T / n) / np.sqrt(spread * spread.T) * 100) / 100
+    np.fill_diagonal(r, np.where(np.isnan(np.diag(spread)), np.nan, 1.0))
+    return df.sparkSession.createDataFrame(
+        [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], CORRELATION_SCHEMA)
 
 
 def gauge_band(score: str) -> str:

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.sql import literal, q, replace_columns
+from tablewright.operators.entry import finite
 from tablewright.operators.fill import fill_ordered
 from tablewright.operators.profile import dtype_family, value_counts
-from tablewright.operators.quantiles import GUARD_ERROR, exact_quantiles
+from tablewright.operators.quantiles import exact_quantiles
 
 UNKNOWN = "Unknown"
 NUMERIC_STRATEGIES = ("median", "mean", "zero", "forward_fill", "drop_row")
 # Below this many distinct values the mode stands in for missing text.
 MODE_DISTINCT_LIMIT = 20
 # With so few values the distinct sketch counts near exactly: twice the limit proves it is passed.
-_MODE_SKETCH_LIMIT = 2 * MODE_DISTINCT_LIMIT
+_MODE_SKETCH_LIMIT, _SKETCH_ERROR = 2 * MODE_DISTINCT_LIMIT, 0.05
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,12 @@ def fit_missing(
     df: DataFrame, numeric: str = "median", categorical: str = "mode_or_unknown", date: str = "keep_nat",
     custom: Mapping[str, str] | None = None,
 ) -> list[Fill]:
-    """At most three passes: null counts with means and sketches, medians, text modes.
+    """Null counts with means and sketches, medians, text modes; all columns share each pass.
 
     Rows dropped for an earlier column do not count for later ones; that is a condition
     inside the aggregates, not another pass.
     """
+    df = finite(df)
     fields = list(df.schema.fields)
     family = {f.name: dtype_family(f.dataType) for f in fields}
     chosen = {f.name: _strategy(family[f.name], f.name, numeric, categorical, date, custom or {}) for f in fields}
@@ -70,19 +72,19 @@ def fit_missing(
         x = kept(f.name)
         aggregates.append(f"count_if({alive[f.name]} and {q(f.name)} is null) as z{i}")
         if family[f.name] == "numeric":
-            aggregates += [f"avg(cast({x} as double)) as m{i}", f"count({x}) as n{i}",
-                           f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}"]
+            number = f"cast({x} as double)"
+            aggregates += [f"avg({number}) as m{i}", f"count({number}) as n{i}", f"min({number}) as lo{i}", f"max({number}) as hi{i}"]
         elif family[f.name] == "boolean":
             aggregates += [f"count_if({x}) as t{i}", f"count_if(not {x}) as f{i}"]
         elif family[f.name] == "text":
-            aggregates.append(f"approx_count_distinct({x}, {GUARD_ERROR}) as d{i}")
+            aggregates.append(f"approx_count_distinct({x}, {_SKETCH_ERROR}) as d{i}")
     seen = df.selectExpr(*aggregates).first()
     missing = [(i, f) for i, f in enumerate(fields) if seen[f"z{i}"] > 0]
 
     for_median = [(i, f.name) for i, f in missing if family[f.name] == "numeric" and chosen[f.name] == "median"]
     medians = exact_quantiles(
         df.selectExpr(*[f"{kept(c)} as {q(c)}" for _, c in for_median]), {c: [0.5] for _, c in for_median},
-        {c: (seen[f"n{i}"], seen[f"d{i}"]) for i, c in for_median},
+        {c: (seen[f"n{i}"], seen[f"lo{i}"], seen[f"hi{i}"]) for i, c in for_median},
     ) if for_median else {}
     for_mode = [
         f.name for i, f in missing if family[f.name] == "text" and (
@@ -125,7 +127,7 @@ def apply_missing(
     df: DataFrame, fills: Sequence[Fill], order_by: Sequence[str] = (), partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Constants go into one projection; drops and ordered fills keep their column order."""
-    pending: list[str] = []
+    df, pending = finite(df), []
     for step in fills:
         if step.action == "forward_fill":
             pending.append(step.column)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 
 from tablewright.functions.numbers import as_double
 from tablewright.functions.sql import number, numeric_columns, q, replace_columns
-from tablewright.operators.quantiles import GUARD_ERROR, exact_quantiles
+from tablewright.operators.entry import finite
+from tablewright.operators.quantiles import quartiles
 
 # Columns with fewer values, or at most two distinct ones, are skipped.
 MIN_VALUES = 5
@@ -46,22 +47,29 @@ class Bounds:
 
 def detect_outliers(
     df: DataFrame, method: str = "iqr", threshold: float = DEFAULT_THRESHOLD, columns: Sequence[str] | None = None,
+    known: Mapping[str, Sequence[float | None]] | None = None,
 ) -> list[Bounds]:
-    """Column-pruned passes for spread, quartiles and counts. Only per-column numbers reach the driver."""
+    """Column-pruned passes for spread, quartiles and counts. Only per-column numbers reach the driver.
+
+    `known` are quartiles of columns that have been found already. NaN and infinite values are missing ones.
+    """
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown outlier method: {method}")
+    df = finite(df)
     names = numeric_columns(df) if columns is None else list(columns)
     if not names:
         return []
-    rule = {"iqr": [f"approx_count_distinct({{0}}, {GUARD_ERROR}) as d{{1}}"],
-            "zscore": ["avg({0}) as m{1}", "stddev_samp({0}) as s{1}"]}[method]
+    rule = ["avg({0}) as m{1}", "stddev_samp({0}) as s{1}"] if method == "zscore" else []
     wanted = ["count({0}) as n{1}", "min({0}) as lo{1}", "max({0}) as hi{1}", *rule]
     spread = df.selectExpr(*[e.format(as_double(c), i) for i, c in enumerate(names) for e in wanted]).first()
     usable = [(i, c) for i, c in enumerate(names) if spread[f"n{i}"] >= MIN_VALUES]
     limits: dict[str, tuple[float, float, str]] = {}
     if method == "iqr":
-        guards = {c: (spread[f"n{i}"], spread[f"d{i}"]) for i, c in usable}
-        for c, (q1, q3) in exact_quantiles(df, {c: [0.25, 0.75] for _, c in usable}, guards).items():
+        known = known or {}
+        ends = {c: (spread[f"n{i}"], spread[f"lo{i}"], spread[f"hi{i}"]) for i, c in usable if c not in known}
+        found = quartiles(df, list(ends), ends) | dict(known)
+        for _, c in usable:
+            q1, _, q3 = found[c]
             if q3 != q1:
                 lower, upper = round(q1 - threshold * (q3 - q1), 2), round(q3 + threshold * (q3 - q1), 2)
                 x = as_double(c)

@@ -1,167 +1,146 @@
-"""Exact quantiles with bounded memory at any table size.
-
-Spark's `percentile` keeps every distinct value of a column, and one task merges what
-all tasks kept. That is right for columns with few distinct values, which one guard
-pass checks. For other columns the wanted order statistics are bracketed: a small
-sketch (`percentile_approx`) proposes two data values around the target rank, one
-counting pass tells on which side of them the rank lies, and the open interval between
-shrinks by about the sketch's accuracy per round until it holds few enough rows for an
-exact `percentile`. No row is shuffled, sorted or collected, and a value that makes up
-a third of the column cannot stall the search because interval ends are excluded.
+"""Exact quantiles from counts per interval of values.
+
+`percentile` and sketches let one task merge what every task has kept. Here a span of values
+is cut into intervals, rows are counted per column and interval (combined before the shuffle,
+spread over reducers by interval), and cumulative counts of that bounded table tell which
+interval holds a wanted rank. Its least and greatest value are the next, far shorter span; a
+span with few rows is counted value by value. All columns and ranks share each pass, no row
+is sorted or collected, and a value that makes up a third of a column ends as an interval of
+its own.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import as_double
 from tablewright.functions.sql import number
+from tablewright.operators.entry import finite
 
-# Distinct values a column may have for a direct `percentile`: every task sends that many.
-MAX_DISTINCT_IN_BUFFER = 10_000
-# Rows of an interval that are small enough to finish the search with `percentile`.
-MAX_ROWS_IN_BUFFER = 100_000
-# Small sketches, since one task merges those of all tasks; a search of 10^12 rows takes three rounds.
-SKETCH_ACCURACY = 1_000
-# Relative error the guard's distinct sketch may have.
-GUARD_ERROR = 0.05
+# Intervals a span is cut into by one pass.
+INTERVALS = 1024
+# Rows of a span that are few enough to count each value.
+MAX_VALUES = 4096
+# A pass that leaves more than this share of the rows lets the next one cut by magnitude.
+SLOW_SHARE = 0.125
+QUARTILES = (0.25, 0.5, 0.75)
 
-Guards = Mapping[str, tuple[int, int]]
+#: Per column: known values, least and greatest one.
+Ends = Mapping[str, tuple[int, float | None, float | None]]
 
 
-@dataclass(eq=False)
-class _Search:
-    """One order statistic: the `rank`-th smallest (from 0) of a column."""
+@dataclass(frozen=True)
+class _Span:
+    """Values of a column from `low` to `high`, both of which occur; `below` values are smaller."""
 
     column: str
-    rank: int
-    inside: int  # rows strictly between low and high
-    below: int = 0  # rows at or below low
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-    aims: tuple[float, float] = (0.0, 1.0)
-
-    def window(self) -> str:
-        x = as_double(self.column)
-        tests = [f"{x} > {number(self.low)}"] if self.low is not None else []
-        tests += [f"{x} < {number(self.high)}"] if self.high is not None else []
-        return f"case when {' and '.join(tests)} then {x} end" if tests else x
-
-    def narrow(self, a: float, b: float, below_a: int, upto_a: int, below_b: int, upto_b: int) -> None:
-        end = self.below + self.inside
-        if below_a <= self.rank < upto_a:
-            self.value = a
-        elif below_b <= self.rank < upto_b:
-            self.value = b
-        elif self.rank < below_a:
-            self.high, self.inside = a, below_a - self.below
-        elif self.rank < below_b:
-            self.low, self.high, self.below, self.inside = a, b, upto_a, below_b - upto_a
-        else:
-            self.low, self.below, self.inside = b, upto_b, end - upto_b
+    low: float
+    high: float
+    rows: int
+    below: int = 0
+    by_size: bool = False
+
+    def slot(self, x: str, intervals: int) -> str:
+        """Number of the interval a value of the span falls into; never falls as the value rises."""
+        if self.by_size or math.isinf(self.high - self.low):
+            scale = min(2.0**40 / max(abs(self.low), abs(self.high), 1e-290), 1e300)
 
+            def size(v: float) -> float:
+                return math.copysign(math.log1p(abs(v) * scale), v)
 
-def guard_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """Per column: non-null count and approximate distinct count, in one pass."""
+            at, low, high = f"signum({x}) * ln(1D + abs({x}) * {number(scale)})", size(self.low), size(self.high)
+        else:
+            at, low, high = x, self.low, self.high
+        if not high > low:
+            return "0"
+        place = f"floor(({at} - {number(low)}) / {number(high - low)} * {intervals})"
+        return f"cast(greatest(0, least({intervals - 1}, {place})) as int)"
+
+    def part(self, rows: list[tuple[float, float, int]], rank: int) -> _Span:
+        """The interval that holds a rank, from (least, greatest, rows) of all intervals in order."""
+        below = self.below
+        for low, high, n in rows:
+            if rank < below + n:
+                return _Span(self.column, low, high, n, below, not self.by_size and n > SLOW_SHARE * self.rows)
+            below += n
+        raise ValueError(f"{self.column}: the table has changed between two passes")
+
+
+def value_ends(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, float | None, float | None]]:
+    """Known values, least and greatest one of each column, in one pass."""
     if not columns:
         return {}
-    row = df.selectExpr(*[
-        e for c in columns
-        for e in (f"count({as_double(c)})", f"approx_count_distinct({as_double(c)}, {GUARD_ERROR})")
-    ]).first()
-    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+    row = finite(df).selectExpr(*[
+        e for c in columns for e in (f"count({as_double(c)})", f"min({as_double(c)})", f"max({as_double(c)})")]).first()
+    return {c: tuple(row[3 * i:3 * i + 3]) for i, c in enumerate(columns)}
 
 
-def search_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], totals: Mapping[str, int],
-    buffer_rows: int = MAX_ROWS_IN_BUFFER, accuracy: int = SKETCH_ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles by bracketing; every round is two plain aggregates."""
-    searches: dict[tuple[str, int], _Search] = {}
-    for c, probs in wanted.items():
-        for p in probs:
-            position = p * (totals[c] - 1)
-            for rank in {math.floor(position), math.ceil(position)} if totals[c] else ():
-                searches[c, rank] = _Search(c, rank, totals[c])
-    while open_ones := [s for s in searches.values() if s.value is None]:
-        small = [s for s in open_ones if s.inside <= buffer_rows]
-        if small:
-            row = df.selectExpr(*[
-                f"percentile({s.window()}, {number((s.rank - s.below) / max(s.inside - 1, 1))})" for s in small
-            ]).first()
-            for s, value in zip(small, row):
-                s.value = value
-        large = [s for s in open_ones if s.inside > buffer_rows]
-        if large:
-            _bracket(df, large, accuracy)
-    return {
-        c: [_interpolate(searches, c, p * (totals[c] - 1)) if totals[c] else None for p in probs]
-        for c, probs in wanted.items()
-    }
-
-
-def _bracket(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """One round: searches in the same interval share a sketch, equal proposals share their counts."""
-    slack = 2.0 / accuracy
-    aims: dict[str, set[float]] = {}
-    for s in searches:
-        aim = (s.rank - s.below) / (s.inside - 1)
-        s.aims = max(0.0, aim - slack), min(1.0, aim + slack)
-        aims.setdefault(s.window(), set()).update(s.aims)
-    shares = {w: sorted(found) for w, found in aims.items()}
-    row = df.selectExpr(*[
-        f"percentile_approx({w}, array({', '.join(number(p) for p in found)}), {accuracy})" for w, found in shares.items()
-    ]).first()
-    proposed = {(w, p): v for (w, found), values in zip(shares.items(), row) for p, v in zip(found, values)}
-    ends = {s: tuple(proposed[s.window(), p] for p in s.aims) for s in searches}
-    tests = list(dict.fromkeys((s.column, op, end) for s in searches for end in ends[s] for op in ("<", "<=")))
-    counted = dict(zip(tests, df.selectExpr(*[
-        f"count(if({as_double(c)} {op} {number(end)}, 1, null))" for c, op, end in tests]).first()))
-    for s in searches:
-        a, b = ends[s]
-        s.narrow(a, b, *[counted[s.column, op, end] for end in (a, b) for op in ("<", "<=")])
-
-
-def _interpolate(searches: Mapping[tuple[str, int], _Search], column: str, position: float) -> float:
-    low, high = math.floor(position), math.ceil(position)
-    a, b = searches[column, low].value, searches[column, high].value
-    return a if low == high else (high - position) * a + (position - low) * b
-
-
-def quantile_aggregates(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], guards: Guards | None = None,
-    max_distinct: int | None = None,
-) -> dict[str, str]:
-    """Per column an array-valued aggregate of its quantiles, to use in one `selectExpr` or `agg`.
-
-    Columns the guard finds small stay lazy; the others are searched now and enter as
-    literals.
+def order_statistics(
+    df: DataFrame, ranks: Mapping[str, Iterable[int]], ends: Ends, intervals: int = INTERVALS, max_values: int = MAX_VALUES,
+    slack: float = 0.0,
+) -> dict[tuple[str, int], float]:
+    """The `rank`-th smallest (from 0) known values of columns; with `slack`, one of about that rank.
+
+    `slack` is the share of a column's rows that the rank found may be off.
     """
-    limit = MAX_DISTINCT_IN_BUFFER if max_distinct is None else max_distinct
-    guards = guard_columns(df, list(wanted)) if guards is None else guards
-    big = {c: p for c, p in wanted.items() if guards[c][1] > limit}
-    found = search_quantiles(df, big, {c: guards[c][0] for c in big})
-    out = {}
-    for c, probs in wanted.items():
-        if c in found:
-            out[c] = "array(" + ", ".join(number(v) for v in found[c]) + ")"
-        else:
-            out[c] = f"percentile({as_double(c)}, array({', '.join(number(float(p)) for p in probs)}))"
-    return out
+    df = finite(df)
+    at = {(c, r): _Span(c, ends[c][1], ends[c][2], ends[c][0]) for c, wanted in ranks.items() for r in wanted}
+
+    def done(span: _Span) -> bool:
+        return span.low == span.high or span.rows <= slack * ends[span.column][0]
+
+    while spans := list(dict.fromkeys(s for s in at.values() if not done(s))):
+        found = _counts(df, spans, intervals, max_values)
+        at = {(c, r): s if done(s) else s.part(found[s], r) for (c, r), s in at.items()}
+    return {key: s.low for key, s in at.items()}
+
+
+def _counts(df: DataFrame, spans: list[_Span], intervals: int, max_values: int) -> dict[_Span, list[tuple[float, float, int]]]:
+    """Least value, greatest value and rows of every interval of each span, or of every value of a small one; one pass."""
+    columns = list(dict.fromkeys(s.column for s in spans))
+    place = {c: f"x{i}" for i, c in enumerate(columns)}
+    codes: dict[str, list[str]] = {c: [] for c in columns}
+    for i, s in enumerate(spans):
+        x = place[s.column]
+        # A negative code says that each value is counted on its own.
+        code = f"{-1 - i}L" if s.rows <= max_values else f"{i * intervals}L + {s.slot(x, intervals)}"
+        codes[s.column].append(f"when {x} between {number(s.low)} and {number(s.high)} then {code}")
+    values = df.selectExpr(*[f"{as_double(c)} as {x}" for c, x in place.items()])
+    pairs = ", ".join(f"case {' '.join(codes[c])} end, {place[c]}" for c in columns)
+    long = values.selectExpr(f"stack({len(columns)}, {pairs}) as (code, x)").filter("code is not null")
+    counted = long.groupBy("code", F.expr("if(code < 0, x, null) as value")).agg(F.expr("min(x) as low"), F.expr("max(x) as high"), F.expr("count(1) as n"))
+    found: dict[_Span, list[tuple[float, float, int]]] = {s: [] for s in spans}
+    for r in counted.collect():  # at most `intervals` or `max_values` rows a span
+        found[spans[-1 - r["code"] if r["code"] < 0 else r["code"] // intervals]].append((r["low"], r["high"], r["n"]))
+    return {s: sorted(rows) for s, rows in found.items()}
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], guards: Guards | None = None,
-    max_distinct: int | None = None,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], ends: Ends | None = None, intervals: int = INTERVALS,
+    max_values: int = MAX_VALUES, slack: float = 0.0,
 ) -> dict[str, list[float | None]]:
-    """The same quantiles as driver-side numbers (a few per column)."""
+    """Linear-interpolated quantiles of columns as numbers; None for a column without known values."""
     if not wanted:
         return {}
-    aggregates = quantile_aggregates(df, wanted, guards, max_distinct)
-    row = df.selectExpr("count(1)", *aggregates.values()).first()[1:]
-    return {c: list(v) if v is not None else [None] * len(wanted[c]) for (c, v) in zip(aggregates, row)}
+    df = finite(df)
+    ends = value_ends(df, list(wanted)) if ends is None else ends
+    known = {c: [p * (ends[c][0] - 1) for p in probs] for c, probs in wanted.items() if ends[c][0]}
+    ranks = {c: sorted({r for x in positions for r in (math.floor(x), math.ceil(x))}) for c, positions in known.items()}
+    values = order_statistics(df, ranks, ends, intervals, max_values, slack)
+
+    def between(column: str, position: float) -> float:
+        low, high = math.floor(position), math.ceil(position)
+        a, b = values[column, low], values[column, high]
+        return a if low == high else (high - position) * a + (position - low) * b
+
+    return {c: [between(c, x) for x in known[c]] if c in known else [None] * len(probs) for c, probs in wanted.items()}
+
+
+def quartiles(df: DataFrame, columns: Sequence[str], ends: Ends | None = None, slack: float = 0.0) -> dict[str, list[float | None]]:
+    """First quartile, median and third quartile of columns: found once for outlier bounds, summary and box."""
+    return exact_quantiles(df, {c: QUARTILES for c in columns}, ends, slack=slack)

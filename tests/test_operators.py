@@ -5,9 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import dedup, impute, outliers, standardize, types
+from tablewright.operators import dedup, impute, outliers, quantiles, standardize, types
 from tablewright.operators.fill import fill_ordered
-from tablewright.operators.quantiles import exact_quantiles, search_quantiles
 from tablewright.operators.types import DateReading
 
 
@@ -184,24 +183,69 @@ def test_ordered_fill_needs_an_order(spark):
 
 # --- quantiles, outliers -----------------------------------------------------------
 
-@pytest.mark.parametrize("kind", ["smooth", "hot", "two", "constant"])
-def test_quantile_search_is_exact(spark, kind):
+def _column(kind):
     rng = np.random.default_rng(3)
-    x = {
+    return {
         "smooth": rng.lognormal(size=5000), "hot": np.where(rng.random(5000) < 0.4, 7.0, rng.normal(size=5000) * 9),
         "two": rng.integers(0, 2, 5000).astype(float), "constant": np.full(5000, 3.0),
+        "wide": np.concatenate([[-1.7e308, 1.7e308, 5e-324, -0.0, 0.0], rng.normal(size=3000), rng.normal(size=500) * 1e-200, rng.normal(size=500) * 1e200]),
+        "near": 1e15 + rng.integers(0, 5, 4000) * 0.125,
     }[kind]
+
+
+@pytest.mark.parametrize("kind", ["smooth", "hot", "two", "constant", "wide", "near"])
+@pytest.mark.parametrize(("intervals", "max_values"), [(1024, 4096), (16, 30), (3, 0)])
+def test_quantiles_are_exact(spark, kind, intervals, max_values):
+    x = _column(kind)
     df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(4)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = search_quantiles(df, {"x": probs}, {"x": len(x)}, buffer_rows=40, accuracy=50)["x"]
-    assert np.allclose(got, np.quantile(x, probs))
-    assert np.allclose(exact_quantiles(df, {"x": probs}, max_distinct=10)["x"], np.quantile(x, probs))
+    if intervals == 3:
+        probs = [0.25, 0.999]
+    with np.errstate(over="ignore"):
+        want = np.quantile(x, probs, method="inverted_cdf" if kind == "wide" else "linear")
+    if kind == "wide":  # the ranks themselves: interpolation between such ends overflows
+        ranks = [max(0, int(np.ceil(p * len(x))) - 1) for p in probs]
+        found = quantiles.order_statistics(df, {"x": ranks}, quantiles.value_ends(df, ["x"]), intervals, max_values)
+        assert [found["x", r] for r in ranks] == want.tolist()
+    else:
+        assert np.allclose(quantiles.exact_quantiles(df, {"x": probs}, intervals=intervals, max_values=max_values)["x"], want, rtol=1e-15)
+
+
+def test_quantiles_of_several_columns_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    a = pd.DataFrame({"a": rng.normal(size=9000), "b": rng.integers(0, 9, 9000).astype(float), "c d.e": rng.exponential(size=9000)})
+    a.loc[::3, "a"], a.loc[::7, "c d.e"] = np.nan, np.inf
+    found = quantiles.quartiles(spark.createDataFrame(a), list(a.columns))
+    for c in a.columns:
+        assert np.allclose(found[c], np.quantile(a[c][np.isfinite(a[c])], quantiles.QUARTILES))
 
 
 def test_quantiles_of_nothing(spark):
-    df = spark.createDataFrame([(None,)], "x double")
-    assert exact_quantiles(df, {"x": [0.5]}) == {"x": [None]}
-    assert search_quantiles(df, {"x": [0.5]}, {"x": 0}) == {"x": [None]}
+    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert quantiles.exact_quantiles(df, {"x": [0.5]}) == {"x": [None]}
+    assert quantiles.exact_quantiles(df, {}) == {}
+
+
+def test_slack_in_rank(spark):
+    df = spark.range(100_000).selectExpr("cast(id * id as double) as x").repartition(5)
+    (middle,) = quantiles.exact_quantiles(df, {"x": [0.5]}, slack=0.01)["x"]
+    assert abs(middle**0.5 - 50_000) <= 1000
+
+
+def test_counts_per_interval_do_not_meet_in_one_task(spark, monkeypatch):
+    """Rows that any reducer reads are bounded by the intervals it is dealt, however many tasks there are."""
+    df = spark.range(200_000).selectExpr("cast(rand(3) as double) as x").repartition(64)
+    spans = [quantiles._Span("x", low, high, n) for c, (n, low, high) in quantiles.value_ends(df, ["x"]).items()]
+    seen = {}
+    plan_of = type(df).collect
+
+    def collect(self):
+        seen["plan"] = self._jdf.queryExecution().toString()
+        return plan_of(self)
+
+    monkeypatch.setattr(type(df), "collect", collect)
+    quantiles._counts(df, spans, 256, 10)
+    assert "SinglePartition" not in seen["plan"] and "hashpartitioning(code" in seen["plan"]
 
 
 def test_iqr_outliers_and_their_treatment(spark):
