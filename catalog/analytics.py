@@ -122,6 +122,11 @@ def stat_skew(spark, folder):
 _PROBS = (0.05, 0.25, 0.5, 0.75, 0.99)
 
 
+@query("stat_nan", with_tables("readings_known") + " union all ".join(_stats("readings_known", c, i) for i, c in enumerate(("price", "quantity"))))
+def stat_nan(spark, folder):
+    return A.statistical_summary(table(spark, folder, "d_readings"))
+
+
 @query("stat_quant", " union all ".join(
     f"select '{c}' as \"column\", cast({p} as double) as p, {rs(f'quantile_cont({c}, {p})', 4)} as q from lineitem"
     for c in ("l_extendedprice", "l_quantity") for p in _PROBS))

@@ -235,6 +235,18 @@ def imp_mean(spark, folder):
     return handle_missing(standard(spark, folder, "d_employee", *_EMP), numeric="mean")[0]
 
 
+@query("imp_nan", _filled({c: _stat(f"quantile_cont({c}, 0.5)", "readings_std") for c in ("price", "quantity", "charge")}, "line", "readings_std"))
+def imp_nan(spark, folder):
+    readings = table(spark, folder, "d_readings")
+    return handle_missing(convert(readings, fit_types(readings)))[0]
+
+
+@query("imp_nan_mean", _filled({c: _stat(f"avg({c})", "readings_std") for c in ("price", "quantity", "charge")}, "line", "readings_std"))
+def imp_nan_mean(spark, folder):
+    readings = table(spark, folder, "d_readings")
+    return handle_missing(convert(readings, fit_types(readings)), numeric="mean")[0]
+
+
 @query("imp_zero", _filled({"salary": "0", "experience_yrs": "0"}, "emp_id", "employee_std"))
 def imp_zero(spark, folder):
     return handle_missing(standard(spark, folder, "d_employee", *_EMP), numeric="zero")[0]
@@ -247,6 +259,18 @@ def imp_ffill(spark, folder):
     return handle_missing(gaps, numeric="forward_fill", order_by=["event_id"])[0]
 
 
+_HOT = "case when event_id % 3 = 0 then 0 else user_id end"
+
+
+@query("imp_ffill_hot", with_tables("d_gaps") + f"""select event_id, grp, coalesce(last_value(reading ignore nulls) over w, first_value(reading ignore nulls) over (
+ partition by grp order by event_id rows between current row and unbounded following)) as reading
+ from (select event_id, {_HOT} as grp, reading from d_gaps) window w as (partition by grp order by event_id rows unbounded preceding)""")
+def imp_ffill_hot(spark, folder):
+    """One group holds a third of all rows; buckets are short, so that it spans many of them."""
+    gaps = table(spark, folder, "d_gaps").selectExpr("event_id", f"{_HOT} as grp", "reading")
+    return fill_ordered(gaps, ["reading"], ["event_id"], ["grp"], rows_per_bucket=500)
+
+
 @query("imp_drop", with_tables("employee_std") + """select emp_id, department, salary, experience_yrs, location,
  (select count(*) from employee_std where department is null) as dropped_department,
  (select count(*) from employee_std where department is not null and salary is null) as dropped_salary,
@@ -370,6 +394,14 @@ def out_z(spark, folder):
     return outlier_table(items, detect_outliers(items, "zscore") + detect_outliers(employees, "zscore")).drop("seq")
 
 
+@query("out_nan", with_tables("readings_std") + _bounds("readings_std", ("price", "quantity", "charge")) + " union all "
+       + _bounds("readings_std", ("price", "quantity", "charge"), zscore=True))
+def out_nan(spark, folder):
+    readings = table(spark, folder, "d_readings")
+    numbers = convert(readings, fit_types(readings))
+    return outlier_table(numbers, detect_outliers(numbers) + detect_outliers(numbers, "zscore")).drop("seq")
+
+
 _LIMITS = f""", b as (select {r2('q1 - 1.5 * (q3 - q1)')} as lo, {r2('q3 + 1.5 * (q3 - q1)')} as hi from (
  select quantile_cont(salary, 0.25) as q1, quantile_cont(salary, 0.75) as q3 from employee_std))"""
 

@@ -66,12 +66,21 @@ _GAPS = """
 select event_id, user_id, event_type, case when event_id % 5 = 0 then null else ts end as seen_at,
  case when event_id % 5 = 0 then null else value end as reading from events
 """
+# Readings that are no numbers: NaN, infinite, beyond any double, or missing.
+_READINGS = """
+select concat(cast(l_orderkey as {S}), '-', cast(l_linenumber as {S})) as line,
+ case cast(l_orderkey % 11 as int) when 1 then {nan} when 2 then {inf} when 3 then -{inf} when 4 then null else cast(l_extendedprice as double) end as price,
+ case cast(l_orderkey % 13 as int) when 1 then {nan} else cast(l_quantity as double) end as quantity,
+ case cast(l_orderkey % 7 as int) when 1 then '1e400' when 2 then '-1e999' when 3 then null
+  else cast(cast(floor(l_extendedprice) as bigint) as {S}) end as charge
+ from lineitem
+"""
 _SPARK = {
-    "S": "string", "q": "`", "iso": "date_format(l_shipdate,'yyyy-MM-dd')", "dmy": "date_format(l_shipdate,'dd/MM/yyyy')",
+    "S": "string", "q": "`", "nan": "double('NaN')", "inf": "double('Infinity')", "iso": "date_format(l_shipdate,'yyyy-MM-dd')", "dmy": "date_format(l_shipdate,'dd/MM/yyyy')",
     "mdy": "date_format(l_shipdate,'MM-dd-yyyy')", "verb": "date_format(l_shipdate,'MMM dd, yyyy')",
 }
 _DUCK = {
-    "S": "varchar", "q": '"', "iso": "strftime(l_shipdate,'%Y-%m-%d')", "dmy": "strftime(l_shipdate,'%d/%m/%Y')",
+    "S": "varchar", "q": '"', "nan": "'nan'::double", "inf": "'inf'::double", "iso": "strftime(l_shipdate,'%Y-%m-%d')", "dmy": "strftime(l_shipdate,'%d/%m/%Y')",
     "mdy": "strftime(l_shipdate,'%m-%d-%Y')", "verb": "strftime(l_shipdate,'%b %d, %Y')",
 }
 
@@ -80,7 +89,7 @@ def _texts(engine: dict[str, str]) -> dict[str, str]:
     sales = _SALES.format(**engine)
     return {
         "d_sales": sales, "d_customer": _CUSTOMER.format(**engine), "d_employee": _EMPLOYEE.format(**engine),
-        "d_ledger": _LEDGER.format(**engine), "d_gaps": _GAPS,
+        "d_ledger": _LEDGER.format(**engine), "d_gaps": _GAPS, "d_readings": _READINGS.format(**engine),
         "d_sales_twice": _SALES_TWICE.format(sales=sales, sales_base=sales),
     }
 
@@ -89,7 +98,7 @@ DUCK = _texts(_DUCK)
 _SPARK_TEXTS = _texts(_SPARK)
 _BASE = {
     "d_sales": "lineitem", "d_sales_twice": "lineitem", "d_customer": "customer", "d_employee": "customer",
-    "d_ledger": "orders", "d_gaps": "events",
+    "d_ledger": "orders", "d_gaps": "events", "d_readings": "lineitem",
 }
 
 

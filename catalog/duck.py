@@ -29,6 +29,7 @@ COLUMNS = {
                  "Tax Rate %": True, "Report Status": True},
 }
 COLUMNS["d_sales_twice"] = COLUMNS["d_sales"]
+COLUMNS["readings_known"] = {"line": True, "price": False, "quantity": False, "charge": True}
 
 
 def r2(x: str) -> str:
@@ -196,6 +197,11 @@ TABLES = {
  case when order_date is not null then concat(year(order_date), 'Q', quarter(order_date)) end as order_quarter,
  strftime(order_date, '%Y-%m') as order_month_year, dayname(order_date) as order_day_name,
  coalesce(isodow(order_date) >= 6, false) as order_is_weekend, {r2('quantity * unit_price')} as revenue from sales_fill)) """,
+    # Only finite numbers are known ones.
+    "readings_known": """select line, case when isfinite(price) then price end as price, case when isfinite(quantity) then quantity end as quantity,
+ charge from d_readings """,
+    "readings_std": """select line, price, quantity, case when isfinite(c) then c end as charge
+ from (select *, try_cast(charge as double) as c from readings_known) """,
     "employee_std": f"""select "Emp ID" as emp_id, {title(nulled('"Department"'))} as department,
  abs({number('"Salary"')}) as salary, abs("Experience (Yrs)") as experience_yrs, {title(nulled('"Location"'))} as location from d_employee """,
     "employee_fill": f"""select emp_id, coalesce(department, {mode_of('employee_std', 'department')}) as department,

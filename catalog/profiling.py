@@ -36,6 +36,19 @@ def prof_misstot(spark, folder):
     return P.dataset_profile(table(spark, folder, "d_sales"), duplicates=0).select("total_missing", "total_missing_pct")
 
 
+@query("prof_nan", _counts("readings_known", '"column", n as "rows", missing_count, missing_pct, unique_count, negative_count'))
+def prof_nan(spark, folder):
+    return P.column_profile(table(spark, folder, "d_readings"), samples=False).select(
+        "column", "rows", "missing_count", "missing_pct", "unique_count", "negative_count")
+
+
+@query("prof_nan_score", with_tables("readings_known") + f"""select total_missing, total_missing_pct, duplicate_count, {rs('c', 1)} as completeness,
+ {rs('v', 1)} as validity, score as quality_score from ({scores('readings_known')})""")
+def prof_nan_score(spark, folder):
+    return P.dataset_profile(table(spark, folder, "d_readings")).select(
+        "total_missing", "total_missing_pct", "duplicate_count", "completeness", "validity", "quality_score")
+
+
 @query("prof_dup", f"""select n as total_rows, n - d as duplicate_count, {rs('(n - d) / n * 100')} as duplicate_pct from (
  select (select count(*) from documents) as n, (select count(*) from (select distinct text, lang, source from documents)) as d)""")
 def prof_dup(spark, folder):

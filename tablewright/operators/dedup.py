@@ -4,7 +4,7 @@ Grouping whole rows shuffles the whole table. Both operators therefore first cou
 64-bit row hashes (eight bytes a row cross the network): a row whose hash is unique
 cannot be a duplicate. Only rows that share a hash are compared column by column, so
 the answer stays exact. When too many hashes repeat for a safe broadcast, the plain
-whole-row grouping is used.
+whole-row grouping is used. NaN and infinite numbers are missing ones, equal to NULL.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import pct2
 from tablewright.functions.sql import q
+from tablewright.operators.entry import finite
 
 _HASH = "__row_hash"
 # A broadcast of this many 8-byte hashes stays well under 100 MB on every executor.
@@ -66,12 +67,14 @@ def duplicate_count(df: DataFrame) -> int:
     """Rows minus distinct rows, NULL equal to NULL."""
     if not df.columns:
         return 0
+    df = finite(df)
     found = repeated_hashes(df)
     return _copies(df, found).first()[0] if found.repeated else 0
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """One row: total_rows, duplicate_count, duplicate_pct."""
+    df = finite(df)
     found = repeated_hashes(df)
     return _copies(df, found).selectExpr(
         f"cast({found.rows} as bigint) as total_rows", "duplicate_count",
@@ -83,6 +86,7 @@ def remove_duplicates(df: DataFrame, found: RepeatedHashes | None = None) -> Dat
     """One row of every group of equal rows."""
     if not df.columns:
         return df
+    df = finite(df)
     found = repeated_hashes(df) if found is None else found
     if not found.repeated:
         return df

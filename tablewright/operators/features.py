@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tablewright.functions.names import date_prefix, find_column
 from tablewright.functions.numbers import as_double, bin_right, round2
 from tablewright.functions.sql import is_numeric, q, time_columns
+from tablewright.operators.entry import finite
 
 # Keyword lists by priority.
 QUANTITY_KEYS = ("quantity", "qty", "units_sold", "volume")
@@ -93,7 +94,7 @@ class _Builder:
 
 def derive_features(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Every feature the columns allow, and a note per feature. Existing columns are not overwritten."""
-    b = _Builder(df)
+    b = _Builder(finite(df))
     for date in time_columns(df):
         prefix = date_prefix(date)
         parts = {p: e for p, e in calendar_parts(date).items() if b.missing(prefix + p)}

@@ -1,103 +1,93 @@
 """Forward fill then backward fill along an explicit order, without one giant window.
 
-Rows are cut into buckets along the whole sort key (fill groups first, then the order
-columns), so neither an un-partitioned table nor a group that holds a third of all rows
-lands in one task. Each bucket fills itself with an ordinary window; the values that
-must cross bucket borders are a table of one row per bucket.
+Rows are dealt to buckets by their whole sort key (fill groups, the order columns, and what
+tells equal keys apart), so neither an un-partitioned table nor a group or a key that holds a
+third of all rows lands in one task. The dealt table is staged with its bucket; each bucket
+fills itself with an ordinary window, and the values that must cross borders come from one
+scan over a table of one row per bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.sql import q
+from tablewright.operators.entry import finite
+from tablewright.sources.staging import stage
 
 ROWS_PER_BUCKET = 2_000_000
-_SAMPLES_PER_BUCKET = 40
-_KEY, _BUCKET, _GROUP = "__fill_key", "__fill_bucket", "__fill_group"
-
-
-def _borders(keyed: DataFrame, rows: int, rows_per_bucket: int) -> list:
-    """Sort keys that cut the table into about even buckets. They steer work, not results."""
-    buckets = -(-rows // rows_per_bucket)
-    if buckets <= 1:
-        return []
-    sample = keyed.select(_KEY)
-    wanted = buckets * _SAMPLES_PER_BUCKET
-    if rows > wanted:
-        sample = sample.sample(fraction=min(1.0, wanted / rows), seed=7)
-    ranked = [r[0] for r in sample.orderBy(_KEY).collect()]
-    cuts = [ranked[len(ranked) * i // buckets] for i in range(1, buckets)] if ranked else []
-    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
-
-
-def _bucket_of(borders: list, key_type: str) -> Column:
-    """Number of borders at or below the key, by binary search over a literal array."""
-    if not borders:
-        return F.lit(0)
-    size = 1
-    while size <= len(borders):
-        size *= 2
-    cells = [F.struct(*[F.lit(v) for v in border]).cast(key_type) for border in borders]
-    table = F.array(*cells, *[F.lit(None).cast(key_type)] * (size - len(borders)))
-    steps = [size >> k for k in range(1, size.bit_length())]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, step: F.when(F.element_at(table, at + step) <= F.col(_KEY), at + step).otherwise(at),
-    )
+# The table of borders is broadcast: beyond so many buckets they get longer, not more.
+MAX_BUCKETS = 65_536
+_ROW, _BUCKET, _GROUP, _KEY = "__fill_row", "__fill_bucket", "__fill_group", "__fill_key"
 
 
 def fill_ordered(
     df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     partition_by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Forward fill `columns`, then backward fill what is left at the start of each group."""
+    """Forward fill `columns`, then backward fill what is left at the start of each group.
+
+    Rows with equal `order_by` follow each other by a hash of the row, so the result does not
+    depend on how the table is partitioned. NULL keys come first.
+    """
     if not order_by:
         raise ValueError("forward_fill needs order_by: rows have no inherent order")
+    df = finite(df)
+    # Read once; the number of a row only splits rows that are equal throughout.
+    rows = stage(df.withColumn(_ROW, F.monotonically_increasing_id()), "fill-rows")
+    dealt, buckets = _dealt(rows, [*partition_by, *order_by], df.columns, rows_per_bucket)
     group = "struct(" + ", ".join([*(q(c) for c in partition_by), "0 as all_rows"]) + ")"
-    key = "struct(" + ", ".join(f"{q(c)} as k{i}" for i, c in enumerate([*partition_by, *order_by])) + ")"
-    keyed = df.selectExpr("*", f"{key} as {_KEY}", f"{group} as {_GROUP}")
-    key_type = keyed.schema[_KEY].dataType.simpleString()
-    borders = _borders(keyed, df.count(), rows_per_bucket)
-    bucketed = keyed.withColumn(_BUCKET, _bucket_of(borders, key_type))
+    key = _sort_key([*partition_by, *order_by], df.columns)
+    keyed = dealt.selectExpr("*", f"{group} as {_GROUP}", f"{key} as {_KEY}")
 
     # What a row still misses after the forward fill lies before the first known value of its
     # group, so the backward fill is that value: a frame over the whole group, computed once,
     # where a frame from each row to the end would be quadratic.
     local = f"partition by {_BUCKET}, {_GROUP} order by {_KEY} rows between unbounded preceding"
-    filled = bucketed.selectExpr("*", *[
+    filled = keyed.selectExpr("*", *[
         e for i, c in enumerate(columns) for e in (
             f"last_value({q(c)}) ignore nulls over ({local} and current row) as __last{i}",
             f"first_value({q(c)}) ignore nulls over ({local} and unbounded following) as __next{i}")
     ])
-    if borders:
-        # One row per bucket.
-        filled = filled.join(F.broadcast(_carries(bucketed, columns)), _BUCKET, "left")
-        across = [
-            (f"if({_GROUP} = __first, __back{i}, null)", f"if({_GROUP} = __final, __ahead{i}, null)")
-            for i in range(len(columns))
-        ]
-    else:
-        across = [("null", "null")] * len(columns)
-    new = {
-        c: f"coalesce(__last{i}, {across[i][0]}, __next{i}, {across[i][1]})" for i, c in enumerate(columns)
-    }
+    new = {c: f"coalesce(__last{i}, __next{i})" for i, c in enumerate(columns)}
+    if buckets > 1:
+        # One row per bucket, at most MAX_BUCKETS.
+        filled = filled.join(F.broadcast(_carries(keyed, columns)), _BUCKET, "left")
+        new = {
+            c: f"coalesce(__last{i}, if({_GROUP} = __first, __back{i}, null), __next{i}, if({_GROUP} = __final, __ahead{i}, null))"
+            for i, c in enumerate(columns)
+        }
     return filled.selectExpr(*[f"{new.get(c, q(c))} as {q(c)}" for c in df.columns])
 
 
-def _carries(bucketed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _sort_key(keys: Sequence[str], columns: Sequence[str]) -> str:
+    own = [f"{q(c)} as k{i}" for i, c in enumerate(keys)]
+    return f"struct({', '.join(own)}, xxhash64({', '.join(q(c) for c in columns)}) as h, {_ROW} as r)"
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """The rows with the number of their bucket, and how many there are; buckets follow the order of the sort key."""
+    n = rows.count()
+    buckets = -(-n // max(rows_per_bucket, -(-n // MAX_BUCKETS), 1))
+    if buckets <= 1:
+        return rows.withColumn(_BUCKET, F.lit(0)), 1
+    ranged = rows.selectExpr("*", f"{_sort_key(keys, columns)} as {_KEY}").repartitionByRange(buckets, _KEY).drop(_KEY)
+    return stage(ranged.withColumn(_BUCKET, F.spark_partition_id()), "fill-buckets"), buckets
+
+
+def _carries(keyed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per bucket the last known value before it and the next one after it, within the same group.
 
     A value crosses borders only for the group that touches them, so the edge groups of
     each bucket are all there is to look at.
     """
-    edge_groups = bucketed.groupBy(_BUCKET).agg(
+    edge_groups = keyed.groupBy(_BUCKET).agg(
         F.expr(f"min_by({_GROUP}, {_KEY}) as __first"), F.expr(f"max_by({_GROUP}, {_KEY}) as __final"))
-    at_edges = bucketed.select(_BUCKET, _GROUP, _KEY, *[q(c) for c in columns]).join(F.broadcast(edge_groups), _BUCKET)
-    edges = at_edges.groupBy(_BUCKET, "__first", "__final").agg(*[
+    at_edges = keyed.select(_BUCKET, _GROUP, _KEY, *[q(c) for c in columns]).join(F.broadcast(edge_groups), _BUCKET)
+    edges = at_edges.where(f"{_GROUP} = __first or {_GROUP} = __final").groupBy(_BUCKET, "__first", "__final").agg(*[
         F.expr(e) for i, c in enumerate(columns) for e in (
             f"max_by({q(c)}, {_KEY}) filter (where {q(c)} is not null and {_GROUP} = __final) as __tail{i}",
             f"min_by({q(c)}, {_KEY}) filter (where {q(c)} is not null and {_GROUP} = __first) as __head{i}")

@@ -19,6 +19,7 @@ from tablewright.functions.numbers import NOT_NUMERIC_CHARS, looks_money_percent
 from tablewright.functions.sql import any_of, is_nested, is_numeric, is_text, is_time, q, rows_of, sql_map, text
 from tablewright.functions.text import PROFILE_BOOL_TOKENS, trim_text
 from tablewright.operators.dedup import duplicate_count
+from tablewright.operators.entry import finite
 
 # Semantic type names and the shares of values that earn them.
 EMPTY_TEXT, NUMERIC_TEXT = "empty_text", "numeric_string (currency/formatted)"
@@ -81,7 +82,8 @@ def _counts(field: T.StructField, i: int) -> str:
 
 
 def column_counts(df: DataFrame) -> DataFrame:
-    """One row per column, from one pass over the table."""
+    """One row per column, from one pass over the table; NaN and infinite numbers are missing ones."""
+    df = finite(df)
     fields = df.schema.fields
     inputs = [f"{q(f.name)} as x{i}" for i, f in enumerate(fields)]
     inputs += [f"{trim_text(q(f.name))} as t{i}" for i, f in enumerate(fields) if is_text(f.dataType)]
@@ -134,6 +136,7 @@ def _value(field: T.StructField) -> str:
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) of non-null values; `columns` must be of one kind."""
+    df = finite(df)
     named = df.selectExpr(*[f"{_value(df.schema[c])} as v{i}" for i, c in enumerate(columns)])
     long = named.unpivot([], [f"v{i}" for i in range(len(columns))], "at", "value")
     names = sql_map((f"v{i}", c) for i, c in enumerate(columns))
@@ -147,6 +150,7 @@ def cardinality(df: DataFrame, samples: bool = True) -> DataFrame:
     The sample comes from a limited ranking: Spark cuts every task's rows to five per
     column before they are shuffled.
     """
+    df = finite(df)
     kinds: dict[str, list[str]] = {}
     for f in df.schema.fields:
         kinds.setdefault(_value_kind(f.dataType), []).append(f.name)
@@ -168,6 +172,7 @@ def cardinality(df: DataFrame, samples: bool = True) -> DataFrame:
 
 
 def column_profile(df: DataFrame, samples: bool = True) -> DataFrame:
+    df = finite(df)
     joined = column_counts(df).join(cardinality(df, samples), "column", "left")
     sample = ["coalesce(sample_values, cast(array() as array<string>)) as sample_values"] if samples else []
     return joined.selectExpr("* except (unique_count)", "coalesce(unique_count, 0L) as unique_count").selectExpr(
@@ -179,6 +184,7 @@ def column_profile(df: DataFrame, samples: bool = True) -> DataFrame:
 
 def approx_cardinality(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
     """Sketched distinct counts: one pass, no shuffle of values."""
+    df = finite(df)
     row = df.selectExpr(*[f"approx_count_distinct({q(c)}, {relative_error}) as u{i}" for i, c in enumerate(df.columns)])
     return row.selectExpr(rows_of(f"struct({text(c)} as column, u{i} as unique_count)" for i, c in enumerate(df.columns)))
 
@@ -202,6 +208,7 @@ def dataset_profile(
     if not df.columns:
         row = (0, 0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "N/A", True)
         return df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
+    df = finite(df)
     counts = column_counts(df) if counts is None else counts
     duplicates = duplicate_count(df) if duplicates is None else duplicates
     sums = counts.selectExpr(
@@ -249,6 +256,7 @@ def issues(
     """Ordered issue sentences of a table."""
     if not df.columns:
         return df.sparkSession.createDataFrame([(1, EMPTY_ISSUE)], "seq int, issue string")
+    df = finite(df)
     profile = column_profile(df, samples=False) if profile is None else profile
     duplicates = duplicate_count(df) if duplicates is None else duplicates
     facts = profile.selectExpr("*", f"{_blank(blank_compat)} as blanks").selectExpr(

@@ -12,6 +12,7 @@ from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, look
 from tablewright.functions.numbers import looks_money_percent, parse_money_percent
 from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS, parse_boolean, trim_text
+from tablewright.operators.entry import finite_value
 
 # Shares of non-null values that make a column change type.
 PERCENT_SHARE, NUMBER_SHARE, DATE_LIKE_SHARE, DATE_PARSED_SHARE, BOOL_SHARE = 0.5, 0.75, 0.6, 0.5, 0.85
@@ -94,7 +95,7 @@ def convert(df: DataFrame, kinds: Mapping[str, str], dates: DateReading = DateRe
         x = q(field.name)
         kind = kinds.get(field.name)
         if kind == "number":
-            new[field.name] = parse_money_percent(x)
+            new[field.name] = finite_value(parse_money_percent(x))
         elif kind == "timestamp":
             new[field.name] = parse_timestamp(x, dates.day_first, dates.pivot)
         elif kind == "boolean":

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.operators.dedup import remove_duplicates, repeated_hashes
+from tablewright.operators.entry import finite, marked
 from tablewright.operators.impute import Fill, apply_missing, fit_missing
 from tablewright.operators.insights import CleaningFacts
 from tablewright.operators.outliers import (
@@ -75,7 +76,7 @@ class CleaningPlan:
 
     def standardized(self, df: DataFrame) -> DataFrame:
         """Names, types, signs and categories: row-wise, so also fit for a stream."""
-        typed = self.typed(df)
+        typed = self.typed(finite(df))
         if self.options.fix_negatives:
             typed = absolute_values(typed)
         return standardize_categories(typed, self.options.custom_mappings) if self.options.standardize_cats else typed
@@ -92,6 +93,7 @@ class CleaningPlan:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Clean another table of the same layout with the fitted values."""
+        df = finite(df)
         rows = remove_duplicates(df) if self.options.remove_dups else df
         return self.finished(self.standardized(rows))
 
@@ -140,6 +142,7 @@ class CleaningResult:
 
 def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningResult:
     """Fit and apply: names, duplicates, types, signs, categories, missing, outliers."""
+    df = finite(df)
     opts = options or CleanOptions()
     plan = CleaningPlan(opts)
     if not df.columns or df.isEmpty():
@@ -191,7 +194,7 @@ def _stage_standardized(typed: DataFrame, opts: CleanOptions) -> tuple[DataFrame
         out = take_standard_values(out)
     if opts.fix_negatives:
         out = absolute_values(out)
-    staged = stage(out, "standardized")
+    staged = marked(stage(out, "standardized"))
     counted = seen.get
     found = [counted[f"n{i}"] for i in range(len(counters))]
     return (

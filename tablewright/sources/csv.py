@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tablewright.functions.numbers import looks_numeric, round_scalar
 from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.operators.dedup import duplicate_count
+from tablewright.operators.entry import finite, finite_value
 
 # Text a delimited file uses for "missing".
 NA_TOKENS = (
@@ -89,15 +90,9 @@ def surplus_row(reader: DataFrameReader, raw: DataFrame, path: str, delimiter: s
 
 
 def na_tokens_to_null(df: DataFrame) -> DataFrame:
-    """File null tokens and floating NaN both become NULL; other columns pass through."""
-    new = {}
-    for field in df.schema.fields:
-        x = q(field.name)
-        if isinstance(field.dataType, T.StringType):
-            new[field.name] = f"case when {x} not in {any_of(NA_TOKENS)} then {x} end"
-        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            new[field.name] = f"case when not isnan({x}) then {x} end"
-    return replace_columns(df, new)
+    """File null tokens, floating NaN and infinity become NULL; other columns pass through."""
+    texts = {c: f"case when {q(c)} not in {any_of(NA_TOKENS)} then {q(c)} end" for c in text_columns(df)}
+    return replace_columns(finite(df), texts)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -117,7 +112,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             kinds[name] = "bigint" if complete and seen[f"i{i}"] == known else "double"
         elif known and complete and seen[f"b{i}"] == known:
             kinds[name] = "boolean"
-    return replace_columns(df, {c: f"cast(trim({q(c)}) as {k})" for c, k in kinds.items()})
+    typed = {c: f"cast(trim({q(c)}) as {k})" for c, k in kinds.items()}
+    return replace_columns(df, {c: finite_value(x) if kinds[c] == "double" else x for c, x in typed.items()})
 
 
 def load_table(

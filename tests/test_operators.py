@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import dedup, impute, outliers, quantiles, standardize, types
+from tablewright.operators import dedup, fill, impute, outliers, quantiles, standardize, types
 from tablewright.operators.fill import fill_ordered
 from tablewright.operators.types import DateReading
 
@@ -176,6 +176,22 @@ def test_ordered_fill_matches_brute_force(spark, rows_per_bucket, groups):
     assert np.allclose(got["x"].astype(float), want.astype(float), equal_nan=True) and list(got.columns) == ["i", "g", "x"]
 
 
+@pytest.mark.parametrize("identical", [False, True])
+def test_a_key_with_a_third_of_the_rows_is_spread(spark, identical):
+    """Rows of one sort key, even rows that are equal throughout, go to many buckets and come out right."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 3 = 0, 7, id) as t", f"if(id % 3 = 0 and {str(identical).lower()}, 0, id) as i",
+        "if(id = 1 or id % 1000 = 999, cast(id as double), null) as x").repartition(4)
+    numbered = rows.withColumn(fill._ROW, F.monotonically_increasing_id())
+    dealt, _ = fill._dealt(numbered, ["t"], rows.columns, 300)
+    sizes = [r["count"] for r in dealt.groupBy(fill._BUCKET).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 900
+    got = fill_ordered(rows, ["x"], ["t"], rows_per_bucket=300)
+    assert got.count() == 6000 and got.where("x is null").isEmpty()
+    again = fill_ordered(rows.repartition(9), ["x"], ["t"], rows_per_bucket=450)
+    assert rows_of(got) == rows_of(again)
+
+
 def test_ordered_fill_needs_an_order(spark):
     with pytest.raises(ValueError):
         fill_ordered(spark.range(3), ["id"], [])
