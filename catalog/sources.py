@@ -9,7 +9,7 @@ from catalog.duck import COLUMNS, quoted, with_tables
 from catalog.registry import query
 from tablewright.operators.views import head, page, page_info, search
 from tablewright.sources.csv import (
-    SourceError, infer_types, load_metadata, load_status, load_table, na_tokens_to_null, read_delimited, sniff_delimiter,
+    NA_TOKENS, SourceError, infer_types, load_metadata, load_status, load_table, na_tokens_to_null, read_delimited, sniff_delimiter,
 )
 from tablewright.sources.sinks import as_text, sanitize_for_sheet, write_table
 from tablewright.sources.staging import new_path
@@ -28,6 +28,17 @@ def src_csv(spark, folder):
     return read_delimited(spark, path, delimiter=",", encoding="UTF-8")
 
 
+@query("src_multi", f"""select cast(doc_id as varchar) as doc_id, case when text in ({", ".join(f"'{t}'" for t in NA_TOKENS)}) then null else text end as text,
+ source from documents""")
+def src_multi(spark, folder):
+    """Texts with line breaks and quotes in two exports whose columns come in another order."""
+    home = new_path(spark, "csv")
+    docs = table(spark, folder, "documents")
+    write_table(docs.where("doc_id % 2 = 0").select("doc_id", "text", "source"), f"{home}/even", "csv")
+    write_table(docs.where("doc_id % 2 = 1").select("source", "text", "doc_id"), f"{home}/odd", "csv")
+    return read_delimited(spark, f"{home}/*").select("doc_id", "text", "source")
+
+
 @query("src_nulls", with_tables("d_customer") + """select "Customer ID", "First Name",
  case when "Gender" in ('', 'NA', 'N/A', 'n/a', 'NULL', 'null', 'NaN', 'nan', 'None', '<NA>', '#N/A') then null else "Gender" end as "Gender",
  "Account Status" from d_customer""")

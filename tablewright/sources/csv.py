@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+import csv
+from collections.abc import Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +15,8 @@ from tablewright.functions.numbers import looks_numeric, round_scalar
 from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.operators.dedup import duplicate_count
 from tablewright.operators.entry import finite, finite_value
+from tablewright.sources.records import decoded, ends_inside, fields_of, lines_of, records_of
+from tablewright.sources.staging import stage
 
 # Text a delimited file uses for "missing".
 NA_TOKENS = (
@@ -27,18 +34,44 @@ class SourceError(Exception):
     """The input cannot be read as a table."""
 
 
+@dataclass(frozen=True)
+class Scan:
+    """What one pass over all lines has found: votes for separators, valid text, records that may cross lines."""
+
+    facts: DataFrame  # file, place (of the separator), n (separators on a line), lines, fields, opens, invalid
+
+    def encoding(self) -> str:
+        """UTF-8 unless some line is no valid UTF-8, then ISO-8859-1."""
+        return "UTF-8" if self.facts.where("invalid").isEmpty() else "ISO-8859-1"
+
+    def delimiter(self) -> str:
+        """Separator with the same non-zero count on the most lines; `,` if none."""
+        counts = self.facts.groupBy("place", "n").agg(F.sum("lines").alias("lines"))
+        usual = counts.groupBy("place").agg(F.max(F.struct("lines", "n")).alias("top")).select("place", "top.*")
+        scored = [(row["lines"], -row["place"]) for row in usual.collect() if row["n"]]
+        return SEPARATORS[-max(scored)[1]] if scored else ","
+
+
+def scan(spark: SparkSession, path: str, separators: Sequence[str] = SEPARATORS) -> Scan:
+    """One pass over the lines, split as any text; what is kept is a few rows a file."""
+    lines = lines_of(spark, path).selectExpr("file", "not is_valid_utf8(value) as invalid", "regexp_replace(value, '\\r$', '') as line").where("length(line) > 0")
+    lines = lines.selectExpr("file", "line", "invalid", "contains(line, '\"') as quoted").selectExpr(
+        "*", """if(quoted, regexp_replace(line, '"[^"]*"', ''), line) as bare""")
+    votes = lines.selectExpr("file", "invalid", rows_of(
+        f"struct({i} as place, length(bare) - length(replace(bare, {text(s)}, '')) as n, {fields_of('line', s)} as fields, "
+        f"if(quoted, line rlike {text(ends_inside(s))}, false) as opens)" for i, s in enumerate(separators)))
+    return Scan(stage(votes.groupBy("file", "place", "n").agg(
+        F.expr("count(1) as lines"), F.expr("max(fields) as fields"), F.expr("max(opens) as opens"), F.expr("max(invalid) as invalid")), "csv-scan"))
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Separator with the same non-zero count on the most lines of the whole file; `,` if none."""
-    unquoted = spark.read.text(path).filter("length(value) > 0").selectExpr("""regexp_replace(value, '"[^"]*"', '') as x""")
-    counts = unquoted.selectExpr(rows_of(f"struct({i} as place, length(x) - length(replace(x, {text(s)}, '')) as n)" for i, s in enumerate(SEPARATORS)))
-    usual = counts.groupBy("place", "n").count().groupBy("place").agg(F.max(F.struct("count", "n")).alias("top")).select("place", "top.*")
-    scored = [(row["count"], -row["place"]) for row in usual.collect() if row["n"]]
-    return SEPARATORS[-max(scored)[1]] if scored else ","
+    return scan(spark, path).delimiter()
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line is no valid UTF-8, then ISO-8859-1."""
-    return "UTF-8" if spark.read.text(path).filter("not is_valid_utf8(value)").isEmpty() else "ISO-8859-1"
+    return scan(spark, path).encoding()
 
 
 def read_delimited(
@@ -47,46 +80,91 @@ def read_delimited(
     delimiter: str | None = None,
     encoding: str | None = None,
 ) -> DataFrame:
-    """Header row, every column as text, null tokens as NULL.
+    """Header row, every column as text, null tokens as NULL; files are read in splits.
 
-    Rows with more fields than the header, and files of one folder with different headers, are a SourceError;
-    missing fields at a row's end are NULL.
+    Files of a folder are matched by the names in their headers, in any order; other names are a
+    SourceError, and so are rows with more fields than the header. Missing fields at a row's end are NULL.
     """
     if path.lower().endswith(EXCEL_SUFFIXES):
         raise SourceError("spreadsheets are not read; land them as CSV or Parquet first")
     try:
-        encoding = encoding or detect_encoding(spark, path)
-        delimiter = delimiter or sniff_delimiter(spark, path)
-        # Where there are several files, the header of each is held against the first's.
-        several = spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
-        reader = (
-            spark.read.option("header", True).option("sep", delimiter)
-            .option("encoding", encoding).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).option("enforceSchema", not several)
-        )
-        raw = reader.csv(path)
-        surplus = surplus_row(reader, raw, path, delimiter)
+        found = scan(spark, path, [delimiter] if delimiter else SEPARATORS)
+        encoding = encoding or found.encoding()
+        delimiter = delimiter or found.delimiter()
+        place = 0 if len(found.facts.select("place").distinct().limit(2).collect()) == 1 else SEPARATORS.index(delimiter)
+        facts = found.facts.where(f"place = {place}")
+        crossing = not facts.where("opens").isEmpty()
+        raw = _crossing_records(spark, path, delimiter, encoding) if crossing else _plain_lines(spark, path, delimiter, encoding, facts)
+    except SourceError:
+        raise
     except Exception as error:
         raise SourceError(f"Failed to load dataset: {error}") from error
-    if surplus is not None:
-        raise SourceError(f"a row has more fields than the header's {len(raw.columns)}: {surplus[:200]}")
     return na_tokens_to_null(raw)
 
 
-def surplus_row(reader: DataFrameReader, raw: DataFrame, path: str, delimiter: str) -> str | None:
-    """A row with text in more fields than `raw` has columns, if there is one; one pass over all rows."""
-    if not raw.columns:
-        return None
-    # Only rows whose number of fields is not the header's have their record here; short ones have too few separators.
-    record, mark = "__record", f"\\Q{delimiter}\\E"
-    schema = T.StructType([*raw.schema.fields, T.StructField(record, T.StringType())])
-    odd = (reader.option("columnNameOfCorruptRecord", record).option("columnPruning", False).schema(schema).csv(path)
-           .select(F.col(record), F.xxhash64(*[F.col(q(c)) for c in raw.columns]).alias("row")).where(F.col(record).isNotNull()))
-    bare = F.regexp_replace(record, f'(^|{mark})"(?:[^"]|"")*"', "$1x")
-    kept = F.regexp_replace(bare, f"(?:{mark}[ \\r\\n]*)+$", "")
-    found = odd.where(F.size(F.split(kept, mark, -1)) > len(raw.columns)).select(record, "row").first()
-    return None if found is None else found[0]
+def _options(delimiter: str, encoding: str) -> dict[str, object]:
+    return {"header": True, "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+
+
+def _names(header: str, delimiter: str) -> list[str]:
+    return next(csv.reader([header], delimiter=delimiter), [])
+
+
+def _grouped(headers: list[Row], delimiter: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their headers, in the order they have there; other names are an error."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(headers, key=lambda r: r["file"]):
+        groups.setdefault(tuple(_names(r["header"], delimiter)), []).append(r["file"])
+    first = next(iter(groups), ())
+    for names, files in groups.items():
+        if sorted(names) != sorted(first) or len(groups) > 1 and len(set(names)) < len(names):
+            raise SourceError(f"{files[0]} has the header {list(names)}, others have {list(first)}")
+    return groups
+
+
+def _plain_lines(spark: SparkSession, path: str, delimiter: str, encoding: str, facts: DataFrame) -> DataFrame:
+    """No record crosses a line, so the reader may cut files anywhere."""
+    reader = spark.read.options(**_options(delimiter, encoding))
+    widest = [r for r in facts.groupBy("file").agg(F.max("fields").alias("fields")).collect()]
+    groups = {(): []}
+    if len(widest) > 1:
+        groups = _grouped(_first_lines(spark, path, encoding).collect(), delimiter)
+    tables = [reader.csv([unquote(f) for f in files] if len(groups) > 1 else path) for files in groups.values()]
+    out, width = tables[0], len(tables[0].columns)
+    for r in widest:
+        if r["fields"] > width:
+            raise SourceError(f"a row of {r['file']} has {r['fields']} fields, more than the header's {width}")
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _first_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """file and header of every file."""
+    lines = lines_of(spark, path).withColumn("row", F.monotonically_increasing_id()).where("block = 0 and trim(value) <> ''")
+    first = lines.groupBy("file").agg(F.expr("min_by(value, row) as value"))
+    return first.selectExpr("file", f"{decoded("regexp_replace(value, '\\r$', '')", encoding)} as header")
+
+
+def _crossing_records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
+    """Some record holds line breaks: records are put together before they are parsed."""
+    lines = lines_of(spark, path).selectExpr(f"{decoded('value', encoding)} as value", "file", "block")
+    records = records_of(lines, delimiter)
+    headers = records.where("first").select("file", F.regexp_replace("record", "^\ufeff", "").alias("header")).collect()
+    groups, rows = _grouped(headers, delimiter), records.where("not first")
+    options = {k: str(v) for k, v in _options(delimiter, encoding).items() if k not in ("header", "encoding")}
+    out = None
+    for names, files in groups.items():
+        own = rows if len(groups) == 1 else rows.join(F.broadcast(spark.createDataFrame([(f,) for f in files], "file string")), "file", "left_semi")
+        surplus = own.where(f"{fields_of('record', delimiter)} > {len(names)}").select("file", "record").first()
+        if surplus is not None:
+            raise SourceError(f"a row of {surplus['file']} has more fields than the header's {len(names)}: {surplus['record'][:200]}")
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        shown = [n or f"_c{i}" for i, n in enumerate(names)]
+        table = own.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*").toDF(*shown)
+        out = table if out is None else out.unionByName(table)
+    return out
 
 
 def na_tokens_to_null(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import csv as plain_csv
+import random
+
 import pytest
 
-from tablewright.sources import csv, sinks
+from tablewright.sources import csv, records, sinks
 from tablewright.sources.staging import shared_folder, spread, stage
 
 
@@ -99,11 +102,68 @@ def test_surplus_fields_and_other_headers_are_errors(spark, tmp_path):
             csv.read_delimited(spark, put(tmp_path, "s.csv", "a,b\n" + rows), ",")
     fine = put(tmp_path, "f.csv", 'a,b\n"x,y","1\n2"\n3\n5,6,\n')
     assert sorted(map(tuple, csv.read_delimited(spark, fine, ",").collect())) == [("3", None), ("5", "6"), ("x,y", "1\n2")]
-    for name, header in (("same", "a,b"), ("other", "b,a")):
+
+
+def test_files_are_matched_by_their_headers(spark, tmp_path):
+    for name, header in (("same", "a,b"), ("turned", "b,a"), ("other", "b,c"), ("turned twice", '"b",a')):
         folder = tmp_path / name
         folder.mkdir()
-        put(folder, "1.csv", "a,b\n1,2\n")
-        put(folder, "2.csv", header + "\n3,4\n")
-    assert csv.read_delimited(spark, str(tmp_path / "same"), ",").count() == 2
-    with pytest.raises(csv.SourceError):
+        put(folder, "1 st.csv", "a,b\n1,2\n")
+        put(folder, "2.csv", header + "\r\n3,4\r\n")
+    assert sorted(map(tuple, csv.read_delimited(spark, str(tmp_path / "same"), ",").collect())) == [("1", "2"), ("3", "4")]
+    for name in ("turned", "turned twice"):
+        assert sorted(map(tuple, csv.read_delimited(spark, str(tmp_path / name), ",").collect())) == [("1", "2"), ("4", "3")]
+    with pytest.raises(csv.SourceError, match="2.csv"):
         csv.read_delimited(spark, str(tmp_path / "other"), ",")
+    put(tmp_path / "turned", "3.csv", 'b,a\n"x\ny",5\n')
+    assert sorted(map(tuple, csv.read_delimited(spark, str(tmp_path / "turned"), ",").collect())) == [("1", "2"), ("4", "3"), ("5", "x\ny")]
+    put(tmp_path / "turned", "4.csv", 'b,a\n"x\ny",5,6\n')
+    with pytest.raises(csv.SourceError, match="4.csv"):
+        csv.read_delimited(spark, str(tmp_path / "turned"), ",")
+
+
+def _quoted_rows(seed, n):
+    draw = random.Random(seed)
+    bits = ["a", "bc", " ", ",", ";", '"', '""', "\n", "\n\n", "é", "'", "x" * 40]
+    return [["".join(draw.choice(bits) for _ in range(draw.randrange(1, 9))) + "." for _ in range(3)] for _ in range(n)]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+@pytest.mark.parametrize(("ending", "split"), [("\n", 64), ("\r\n", 997), ("\n", 1 << 20)])
+def test_records_that_cross_splits(spark, tmp_path, encoding, ending, split):
+    """Splits of a few bytes begin and end inside quotes, some lie wholly inside a field."""
+    rows = _quoted_rows(split, 40) + [["long", "y\n" * 200, 'plain 5" pipe']]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        with open(folder / f"{k}.csv", "w", encoding=encoding, newline="") as out:
+            writer = plain_csv.writer(out, lineterminator=ending)
+            writer.writerows([["p", "q", "r"], *rows[k::3]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        found = csv.read_delimited(spark, str(folder))
+        assert found.columns == ["p", "q", "r"]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_quote_counts_only_where_a_field_begins(spark, tmp_path):
+    path = put(tmp_path, "q.csv", 'size,n\n5" pipe,1\n6" pipe,2\n"a ""b"" c",3\n')
+    assert sorted(map(tuple, csv.read_delimited(spark, path).collect())) == [('5" pipe', "1"), ('6" pipe', "2"), ('a "b" c', "3")]
+    after = records._line_reader(",")
+    assert [after(x, False) for x in ('5" pipe,1', '"open', 'a,"open, still', '"a""', '"a"', 'a"b,"c"', '"a"x"y,"z')] == [False, True, True, True, False, False, True]
+    assert [after(x, True) for x in ("still", 'done"', 'done",a', 'done","again', 'a""b', 'a""b"c,"d"')] == [True, False, False, True, True, False]
+
+
+def test_one_pass_over_the_source(spark, tmp_path):
+    """Plain lines are read by the splittable reader; nothing asks for whole files."""
+    path = put(tmp_path, "plain.csv", "a,b\n" + "".join(f"{i},x{i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = csv.read_delimited(spark, path)
+        assert found.rdd.getNumPartitions() > 8 and found.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
