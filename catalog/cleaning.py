@@ -16,7 +16,7 @@ from tablewright.operators.outliers import detect_outliers, handle_outliers, out
 from tablewright.operators.standardize import (
     absolute_values, category_changes, clean_names, cleaned_text, negative_counts, standardize_categories, trimmed,
 )
-from tablewright.operators.types import conversions, convert, fit_types, type_shares
+from tablewright.operators.types import conversions, convert, day_first_columns, fit_types, type_shares
 
 
 def typed(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -84,6 +84,33 @@ def cl_date(spark, folder):
     return typed(spark, folder, "d_sales", "order_id", "order_date")
 
 
+_DAY, _AT = "date_trunc('day', o_orderdate)::timestamp", "interval 10 hour + interval 30 minute"
+
+
+def _turned(day_first: bool) -> str:
+    """`dd/MM/yyyy`: the month is read first where the day could be one."""
+    swapped = "make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 10, 30, 0)"
+    return f"{_DAY} + {_AT}" if day_first else f"case when day(o_orderdate) <= 12 then {swapped} else {_DAY} + {_AT} end"
+
+
+def _layouts(day_first: bool) -> str:
+    return f"""select o_orderkey as order_key, case cast(o_orderkey % 8 as int) when 0 then {_DAY} + interval 15 hour
+ when 3 then date_trunc('month', o_orderdate)::timestamp when 4 then date_trunc('month', o_orderdate)::timestamp
+ when 5 then {_DAY} + {_AT} + interval 1 second + interval 123456 microsecond when 7 then {_turned(day_first)} else {_DAY} end as seen from orders"""
+
+
+@query("cl_date_layouts", _layouts(False))
+def cl_date_layouts(spark, folder):
+    return convert(table(spark, folder, "d_dates"), {"seen": "timestamp"})
+
+
+@query("cl_date_order", _layouts(True))
+def cl_date_order(spark, folder):
+    """The column's own values say that the day comes first."""
+    rows = table(spark, folder, "d_dates")
+    return convert(rows, {"seen": "day_first_timestamp" if day_first_columns(rows, ["seen"]) else "timestamp"})
+
+
 @query("cl_bool", with_tables("d_customer") + f'select "Customer ID" as customer_id, {boolean(chr(34) + "Opted In" + chr(34))} as opted_in from d_customer')
 def cl_bool(spark, folder):
     return typed(spark, folder, "d_customer", "customer_id", "opted_in")

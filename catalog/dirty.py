@@ -66,6 +66,12 @@ _GAPS = """
 select event_id, user_id, event_type, case when event_id % 5 = 0 then null else ts end as seen_at,
  case when event_id % 5 = 0 then null else value end as reading from events
 """
+# One date a row, in the layouts people write it in.
+_DATES = """
+select o_orderkey as order_key, case cast(o_orderkey % 8 as int) when 0 then concat({verb_o}, ' 3:00 PM') when 1 then {short_o} when 2 then {week_o}
+ when 3 then {month_o} when 4 then {year_month_o} when 5 then concat({iso_o}, ' 10:30:01.123456789') when 6 then {compact_o}
+ else concat({dmy_o}, ' 10:30') end as seen from orders
+"""
 # Readings that are no numbers: NaN, infinite, beyond any double, or missing.
 _READINGS = """
 select concat(cast(l_orderkey as {S}), '-', cast(l_linenumber as {S})) as line,
@@ -79,10 +85,17 @@ _SPARK = {
     "S": "string", "q": "`", "nan": "double('NaN')", "inf": "double('Infinity')", "iso": "date_format(l_shipdate,'yyyy-MM-dd')", "dmy": "date_format(l_shipdate,'dd/MM/yyyy')",
     "mdy": "date_format(l_shipdate,'MM-dd-yyyy')", "verb": "date_format(l_shipdate,'MMM dd, yyyy')",
 }
+_LAYOUTS = {
+    "verb_o": ("MMM dd, yyyy", "%b %d, %Y"), "short_o": ("dd-MMM-yy", "%d-%b-%y"), "week_o": ("EEE, dd MMM yyyy", "%a, %d %b %Y"),
+    "month_o": ("MMM yyyy", "%b %Y"), "year_month_o": ("yyyy-MM", "%Y-%m"), "iso_o": ("yyyy-MM-dd", "%Y-%m-%d"),
+    "compact_o": ("yyyyMMdd", "%Y%m%d"), "dmy_o": ("dd/MM/yyyy", "%d/%m/%Y"),
+}
+_SPARK |= {k: f"date_format(o_orderdate, '{v}')" for k, (v, _) in _LAYOUTS.items()}
 _DUCK = {
     "S": "varchar", "q": '"', "nan": "'nan'::double", "inf": "'inf'::double", "iso": "strftime(l_shipdate,'%Y-%m-%d')", "dmy": "strftime(l_shipdate,'%d/%m/%Y')",
     "mdy": "strftime(l_shipdate,'%m-%d-%Y')", "verb": "strftime(l_shipdate,'%b %d, %Y')",
 }
+_DUCK |= {k: f"strftime(o_orderdate, '{v}')" for k, (_, v) in _LAYOUTS.items()}
 
 
 def _texts(engine: dict[str, str]) -> dict[str, str]:
@@ -90,6 +103,7 @@ def _texts(engine: dict[str, str]) -> dict[str, str]:
     return {
         "d_sales": sales, "d_customer": _CUSTOMER.format(**engine), "d_employee": _EMPLOYEE.format(**engine),
         "d_ledger": _LEDGER.format(**engine), "d_gaps": _GAPS, "d_readings": _READINGS.format(**engine),
+        "d_dates": _DATES.format(**engine),
         "d_sales_twice": _SALES_TWICE.format(sales=sales, sales_base=sales),
     }
 
@@ -98,7 +112,7 @@ DUCK = _texts(_DUCK)
 _SPARK_TEXTS = _texts(_SPARK)
 _BASE = {
     "d_sales": "lineitem", "d_sales_twice": "lineitem", "d_customer": "customer", "d_employee": "customer",
-    "d_ledger": "orders", "d_gaps": "events", "d_readings": "lineitem",
+    "d_ledger": "orders", "d_gaps": "events", "d_readings": "lineitem", "d_dates": "orders",
 }
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, looks_like_date, parse_timestamp
+from tablewright.functions.dates import CENTURY_PIVOT, CLEAN_DATE_PATTERNS, looks_like_date, order_evidence, parse_timestamp, wall_clock
 from tablewright.functions.numbers import looks_money_percent, parse_money_percent
 from tablewright.functions.sql import any_of, q, replace_columns, rows_of, text, text_columns
 from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS, parse_boolean, trim_text
@@ -20,14 +20,23 @@ PERCENT_SHARE, NUMBER_SHARE, DATE_LIKE_SHARE, DATE_PARSED_SHARE, BOOL_SHARE = 0.
 CONVERSION_LABELS = {
     "number": "Float (Cleaned from Currency/Formatted Text)",
     "timestamp": "Datetime (Parsed multi-format dates)",
+    "day_first_timestamp": "Datetime (Parsed multi-format dates)",
     "boolean": "Boolean (Standardized yes/no/1/0)",
 }
 
 
 @dataclass(frozen=True)
 class DateReading:
-    day_first: bool = False
+    """How text such as `5/8/2026` is read.
+
+    `day_first` None lets each column's own values decide: day-first where more of them can only
+    be day-first than only month-first. `zone` is where the clock stands whose time is kept of
+    timestamps that have a zone.
+    """
+
+    day_first: bool | None = False
     pivot: int = CENTURY_PIVOT
+    zone: str = "UTC"
 
 
 def type_shares(df: DataFrame, keep_text: Collection[str] = ()) -> DataFrame:
@@ -53,12 +62,20 @@ def type_shares(df: DataFrame, keep_text: Collection[str] = ()) -> DataFrame:
 
 
 def date_shares(df: DataFrame, columns: Collection[str], dates: DateReading = DateReading()) -> dict[str, float]:
-    """Share of known values that parse as dates."""
+    """Share of known values that parse as dates; the order of day and month does not change it."""
     row = df.selectExpr(*[
-        f"count({parse_timestamp(q(c), dates.day_first, dates.pivot)}) / count({q(c)})" for c in columns]).first()
+        f"count({parse_timestamp(q(c), bool(dates.day_first), dates.pivot)}) / count({q(c)})" for c in columns]).first()
     return dict(zip(columns, row))
 
 
+def day_first_columns(df: DataFrame, columns: Collection[str]) -> set[str]:
+    """Columns with more values that can only be day-first than only month-first."""
+    if not columns:
+        return set()
+    row = df.selectExpr(*[f"count_if({test})" for c in columns for test in order_evidence(q(c))]).first()
+    return {c for i, c in enumerate(columns) if row[2 * i] > row[2 * i + 1]}
+
+
 def fit_types(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading = DateReading()) -> dict[str, str]:
     """Column -> target type, for the columns that change.
 
@@ -73,10 +90,12 @@ def fit_types(df: DataFrame, keep_text: Collection[str] = (), dates: DateReading
         elif r["date_like"] / r["known"] >= DATE_LIKE_SHARE:
             candidates.append(r["column"])
     parsed = date_shares(df, candidates, dates) if candidates else {}
+    found = [c for c in candidates if parsed[c] >= DATE_PARSED_SHARE]
+    turned = day_first_columns(df, found) if dates.day_first is None else set()
     for r in seen:
         name = r["column"]
-        if parsed.get(name, 0) >= DATE_PARSED_SHARE:
-            kinds[name] = "timestamp"
+        if name in found:
+            kinds[name] = "day_first_timestamp" if name in turned else "timestamp"
         elif name not in kinds and r["booleans"] / r["known"] >= BOOL_SHARE:
             kinds[name] = "boolean"
     return {r["column"]: kinds[r["column"]] for r in seen if r["column"] in kinds}
@@ -89,17 +108,17 @@ def conversions(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 
 
 def convert(df: DataFrame, kinds: Mapping[str, str], dates: DateReading = DateReading()) -> DataFrame:
-    """Apply fitted conversions; zoned timestamps lose their zone and keep wall-clock."""
+    """Apply fitted conversions; zoned timestamps lose their zone and keep the wall-clock of `dates.zone`."""
     new = {}
     for field in df.schema.fields:
         x = q(field.name)
         kind = kinds.get(field.name)
         if kind == "number":
             new[field.name] = finite_value(parse_money_percent(x))
-        elif kind == "timestamp":
-            new[field.name] = parse_timestamp(x, dates.day_first, dates.pivot)
+        elif kind in ("timestamp", "day_first_timestamp"):
+            new[field.name] = parse_timestamp(x, bool(dates.day_first) or kind == "day_first_timestamp", dates.pivot)
         elif kind == "boolean":
             new[field.name] = parse_boolean(x)
         elif isinstance(field.dataType, T.TimestampType):
-            new[field.name] = f"cast({x} as timestamp_ntz)"
+            new[field.name] = wall_clock(x, dates.zone)
     return replace_columns(df, new) if new else df

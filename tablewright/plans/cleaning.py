@@ -59,10 +59,15 @@ class CleanOptions:
     outlier_threshold: float = DEFAULT_THRESHOLD
     symbol_words: bool = False
     keep_text: Sequence[str] = field(default_factory=list)
-    day_first: bool = False
+    day_first: bool | None = False  # None: each column's own values decide
+    zone: str = "UTC"
     order_by: Sequence[str] = field(default_factory=list)
     partition_by: Sequence[str] = field(default_factory=list)
 
+    @property
+    def dates(self) -> DateReading:
+        return DateReading(self.day_first, zone=self.zone)
+
 
 @dataclass
 class CleaningPlan:
@@ -84,7 +89,7 @@ class CleaningPlan:
     def typed(self, df: DataFrame) -> DataFrame:
         if self.options.standardize_names:
             df, _ = clean_names(df, self.options.symbol_words)
-        return convert(df, self.kinds, DateReading(self.options.day_first)) if self.options.convert_types else df
+        return convert(df, self.kinds, self.options.dates) if self.options.convert_types else df
 
     def finished(self, standardized: DataFrame) -> DataFrame:
         """Missing values and outliers of a standardised table."""
@@ -158,9 +163,9 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
         if found.repeated:  # later passes should not repeat the comparison of copies
             rows = stage(remove_duplicates(named, found), "deduplicated")
     if opts.convert_types:
-        plan.kinds = fit_types(rows, opts.keep_text, DateReading(opts.day_first))
+        plan.kinds = fit_types(rows, opts.keep_text, opts.dates)
 
-    typed = convert(rows, plan.kinds, DateReading(opts.day_first)) if opts.convert_types else rows
+    typed = convert(rows, plan.kinds, opts.dates) if opts.convert_types else rows
     staged, negatives, changes, n_kept = _stage_standardized(typed, opts)
 
     if opts.handle_missing:

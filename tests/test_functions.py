@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tablewright.functions.dates import looks_like_date, parse_timestamp
+from tablewright.functions.dates import looks_like_date, parse_timestamp, wall_clock
 from tablewright.functions.names import date_prefix, find_column, is_nonstandard, snake_names
 from tablewright.functions.numbers import bin_right, looks_money_percent, parse_money_percent, round2, round_scalar
 from tablewright.functions.text import map_values, null_tokens_to_null, parse_boolean, title_case, trim_text
@@ -73,6 +73,36 @@ def test_dates_of_many_layouts(spark):
     assert column(spark, list(cases), parse_timestamp("x")) == list(cases.values())
 
 
+LAYOUTS = {
+    "Aug 15, 2024 3:00 PM": dt.datetime(2024, 8, 15, 15), "15-Aug-24": dt.datetime(2024, 8, 15), "Thu, 15 Aug 2024": dt.datetime(2024, 8, 15),
+    "Thursday, August 15, 2024": dt.datetime(2024, 8, 15), "Aug 2024": dt.datetime(2024, 8, 1), "2024-08": dt.datetime(2024, 8, 1),
+    "2024/08": dt.datetime(2024, 8, 1), "08/2024": dt.datetime(2024, 8, 1), "Aug-2024": dt.datetime(2024, 8, 1), "Aug 15 24": dt.datetime(2024, 8, 15),
+    "2024-08-15 10:30:01.123456789": dt.datetime(2024, 8, 15, 10, 30, 1, 123456), "20240815": dt.datetime(2024, 8, 15),
+    "20240815103000": dt.datetime(2024, 8, 15, 10, 30), "15/08/2024 10:30": dt.datetime(2024, 8, 15, 10, 30), "15.08.2024": dt.datetime(2024, 8, 15),
+    "15th of Aug 2024": dt.datetime(2024, 8, 15), "15Aug2024": dt.datetime(2024, 8, 15), "5/8/24 7 pm": dt.datetime(2024, 5, 8, 19),
+    "1/2/2024 12:15 am": dt.datetime(2024, 1, 2, 0, 15), "15 Aug 2024 0:30 AM": dt.datetime(2024, 8, 15, 0, 30), "2024-08-15T10": dt.datetime(2024, 8, 15, 10),
+    "2024-08-15 10:30 UTC": dt.datetime(2024, 8, 15, 10, 30), "2024-08-15 10:30:00 +0530": dt.datetime(2024, 8, 15, 10, 30),
+    "2024-08-15T23:30:00Z": dt.datetime(2024, 8, 15, 23, 30), "2024-03-10 02:30": dt.datetime(2024, 3, 10, 2, 30),
+    "15 Aug 2024 13:00 PM": None, "Aug 45, 2024": None, "2024-13": None, "Monday": None, "10:30": None, "Aug": None, "2024": None,
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_dates_do_not_depend_on_the_session(spark, zone):
+    """Among them a clock time that the session's zone skips."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert column(spark, list(LAYOUTS), f"cast({parse_timestamp('x')} as string)") == [
+            None if d is None else str(d) for d in LAYOUTS.values()]
+        instants = spark.range(1).selectExpr("timestamp_micros(1710055800123456) as t")  # 2024-03-10 07:30:00.123456 UTC
+        for clock, want in (("UTC", "2024-03-10 07:30:00.123456"), ("Asia/Tokyo", "2024-03-10 16:30:00.123456")):
+            assert instants.selectExpr(f"cast({wall_clock('t', clock)} as string) as w").first()["w"] == want
+        assert instants.selectExpr(f"{wall_clock('t')} as w").dtypes == [("w", "timestamp_ntz")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_day_first_option(spark):
     assert column(spark, ["08-03-2024"], parse_timestamp("x", day_first=True)) == [dt.datetime(2024, 3, 8)]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import dedup, fill, impute, outliers, quantiles, standardize, types
 from tablewright.operators.fill import fill_ordered
 from tablewright.operators.types import DateReading
+from tablewright.plans.cleaning import CleaningPlan, CleanOptions, clean_data
 
 
 def rows_of(df):
@@ -106,6 +107,18 @@ def test_negative_amounts(spark):
     assert {r[0]: r[1] for r in standardize.negative_counts(df).collect()} == {"quantity": 1, "unit_price": 1}
 
 
+def test_a_columns_own_values_decide_the_order(spark):
+    rows = [("05/08/2024", "05/08/2024", "x")] * 3 + [("25/08/2024", "08/25/2024", "x"), ("26.08.24", "8/26/24", "x")]
+    df = spark.createDataFrame(rows, "eu string, us string, t string")
+    dates = DateReading(day_first=None)
+    kinds = types.fit_types(df, dates=dates)
+    assert kinds == {"eu": "day_first_timestamp", "us": "timestamp"}
+    first = types.convert(df, kinds, dates).where("t = 'x'").select("eu", "us").distinct().collect()
+    assert {(r.eu.month, r.us.month) for r in first} == {(8, 5), (8, 8)}
+    plan = clean_data(df, CleanOptions(day_first=None)).plan
+    assert CleaningPlan.from_json(plan.to_json()).kinds == kinds
+
+
 # --- missing values ----------------------------------------------------------------
 
 def test_median_and_mode(spark):
