@@ -29,6 +29,7 @@ COLUMNS = {
                  "Tax Rate %": True, "Report Status": True},
 }
 COLUMNS["d_sales_twice"] = COLUMNS["d_sales"]
+COLUMNS["employee_fill"] = {"emp_id": True, "department": True, "salary": False, "experience_yrs": False, "location": True}
 COLUMNS["readings_known"] = {"line": True, "price": False, "quantity": False, "charge": True}
 
 

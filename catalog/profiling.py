@@ -193,34 +193,39 @@ def dq_issues(spark, folder):
 
 
 @query("dq_coltable", _counts("d_customer", """cast(seq as int) as seq, "column" as column_name, missing_count as raw_missing_count,
- concat(missing_pct, '%') as missing_pct, unique_count as unique_values, coalesce(inferred_type, 'standard') as inferred_semantic_type"""))
+ concat(missing_pct, '%') as missing_pct, unique_count as unique_values, coalesce(inferred_type, 'standard') as inferred_semantic_type,
+ (select case data_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(data_type) end
+  from (describe select * from d_customer) as d(own, data_type, x, y, z, w) where own = "column") as original_data_type"""))
 def dq_coltable(spark, folder):
     profile = P.column_profile(table(spark, folder, "d_customer"), samples=False)
-    return P.diagnostics(profile).drop("original_data_type")
-
-
-@query("dq_before_after", with_tables("d_employee", "employee_fill") + f""", s as ({scores('d_employee')}),
- f as (select count(*) as n, count(*) filter (where salary is null) as z,
-  (select count(*) from employee_fill) - (select count(*) from (select distinct * from employee_fill)) as d from employee_fill)
-select cast(seq as int) as seq, metric, before, after from (
- select 1 as seq, 'Total Rows' as metric, cast(total_rows as varchar) as before, cast(f.n as varchar) as after from s, f
- union all select 2, 'Total Columns', cast(total_columns as varchar), '5' from s
- union all select 3, 'Missing Values', cast(total_missing as varchar), cast(f.z as varchar) from s, f
- union all select 4, 'Duplicate Rows', cast(duplicate_count as varchar), cast(f.d as varchar) from s, f
- union all select 5, 'Health Score', concat(score, '/100 [', {GRADE}, ']'), '100.0/100 [A+ (Excellent)]' from s)""")
+    return P.diagnostics(profile)
+
+
+@query("dq_before_after", with_tables("d_employee", "employee_fill") + f""", s as ({scores('d_employee')}), t as ({scores('employee_fill')}),
+ p as (select s.total_rows as r0, s.total_columns as c0, s.total_missing as m0, s.duplicate_count as d0, s.score as s0,
+  t.total_rows as r1, t.total_columns as c1, t.total_missing as m1, t.duplicate_count as d1, t.score as s1,
+  (select {GRADE} from s) as g0, (select {GRADE} from t) as g1 from s, t)
+select cast(seq as int) as seq, metric, before, after, change from (
+ select 1 as seq, 'Total Rows' as metric, cast(r0 as varchar) as before, cast(r1 as varchar) as after, format('-{{}} dups', r0 - r1) as change from p
+ union all select 2, 'Total Columns', cast(c0 as varchar), cast(c1 as varchar), format('{{}}{{}} cols', case when c1 >= c0 then '+' else '-' end, abs(c1 - c0)) from p
+ union all select 3, 'Missing Values', cast(m0 as varchar), cast(m1 as varchar), case when m1 = 0 then 'Resolved 100%' else format('{{}} Remaining', m1) end from p
+ union all select 4, 'Duplicate Rows', cast(d0 as varchar), cast(d1 as varchar), format('{{}} Duplicates Remaining', d1) from p
+ union all select 5, 'Health Score', concat(s0, '/100 [', g0, ']'), concat(s1, '/100 [', g1, ']'), format('{{}}{{:.1f}} pts', case when s1 >= s0 then '+' else '-' end, abs(s1 - s0)) from p)""")
 def dq_before_after(spark, folder):
     raw, result = table(spark, folder, "d_employee"), cleaned(spark, folder, "d_employee")
-    rows = P.before_after(P.dataset_profile(raw), P.dataset_profile(result.table), result.duplicates_removed)
-    return rows.select("seq", "metric", "before", "after")
+    return P.before_after(P.dataset_profile(raw), P.dataset_profile(result.table), result.duplicates_removed)
 
 
 @query("dq_rawclean", with_tables("d_employee", "employee_fill") + f""", c as ({column_counts('d_employee')})
 select cast(seq as int) as seq, case seq when 0 then 'emp_id' when 1 then 'department' when 2 then 'salary'
  when 3 then 'experience_yrs' else 'location' end as column_name, missing_count as raw_missing_count,
- concat(missing_pct, '%') as raw_missing_pct, cast(0 as bigint) as clean_missing_count, coalesce(inferred_type, 'standard') as inferred_type from c""")
+ concat(missing_pct, '%') as raw_missing_pct, (select case seq when 0 then count(*) - count(emp_id) when 1 then count(*) - count(department)
+  when 2 then count(*) - count(salary) when 3 then count(*) - count(experience_yrs) else count(*) - count(location) end from employee_fill) as clean_missing_count,
+ coalesce(inferred_type, 'standard') as inferred_type, (select case seq when 2 then lower(typeof(any_value(salary))) when 3 then lower(typeof(any_value(experience_yrs)))
+  else 'string' end from employee_fill) as clean_data_type from c""")
 def dq_rawclean(spark, folder):
     result = cleaned(spark, folder, "d_employee")
     renames = {new: old for old, new in result.plan.renames}
-    return P.raw_vs_clean(table(spark, folder, "d_employee"), result.table, renames).drop("clean_data_type")
+    return P.raw_vs_clean(P.column_counts(table(spark, folder, "d_employee")), P.column_counts(result.table), renames)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from catalog.dirty import table
 from catalog.duck import COLUMNS, quoted, with_tables
 from catalog.registry import query
-from tablewright.operators.views import head, page, page_info, search
+from tablewright.operators.views import head, page_directory, page_info, search
 from tablewright.sources.csv import (
     NA_TOKENS, SourceError, infer_types, load_metadata, load_status, load_table, na_tokens_to_null, read_delimited, sniff_delimiter,
 )
@@ -116,9 +116,9 @@ def snk_san(spark, folder):
 
 
 @query("snk_strfall", """select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus,
- cast(o_totalprice as varchar) as o_totalprice, o_orderpriority from orders""")
+ cast(o_totalprice as varchar) as o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority from orders""")
 def snk_strfall(spark, folder):
-    return as_text(table(spark, folder, "orders").drop("o_orderdate"))
+    return as_text(table(spark, folder, "orders"))
 
 
 @query("view_head", "select c_custkey, c_name, c_acctbal from customer order by c_custkey limit 20")
@@ -140,5 +140,5 @@ def view_search(spark, folder):
 def view_page(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
     info = page_info(parts, 4)
-    return page(parts, 4, ["p_partkey"]).select(
+    return page_directory(parts, ["p_partkey"], rows_per_range=50).page(4).select(
         "*", info.select("pages").scalar().alias("pages"), info.select("label").scalar().alias("label"))

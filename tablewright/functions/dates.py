@@ -27,7 +27,7 @@ MONTHS = (
 CENTURY_PIVOT = 76
 
 _BLANK = r"[\s\xa0]*"
-_WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+_WEEKDAY = r"(?i)(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 _MONTH = r"(0?[1-9]|1[0-2])"
 _DAY = r"(0?[1-9]|[12]\d|3[01])"
 _LATE_DAY = r"(?:1[3-9]|2\d|3[01])"
@@ -37,7 +37,7 @@ _NUMBER = r"(\d{1,2})(?:st|nd|rd|th)?"
 _YEAR = r"(\d{4}|\d{2})"
 # Hour, minute, second, fraction (digits beyond a microsecond are cut), half of the day; then a zone.
 _CLOCK = (
-    r"[\sT,]+(?=\d{1,2}(?::|\s*[ap]\.?m))(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?(?:[.,](\d{1,6})\d*)?(?:\s*([ap])\.?m\.?)?"
+    r"[\sTt,]+(?=\d{1,2}(?::|\s*[AaPp]\.?[Mm]))(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?(?:[.,](\d{1,6})\d*)?(?:\s*([AaPp])\.?[Mm]\.?)?"
     r"(?:\s*(?:Z|UTC|GMT)?(?:[+-]\d{2}(?::?\d{2})?)?)?"
 )
 
@@ -56,12 +56,12 @@ def order_evidence(x: str) -> tuple[str, str]:
 
 
 def _whole(body: str) -> str:
-    return text(f"(?i)^{_BLANK}{_WEEKDAY}{body}(?:{_CLOCK})?{_BLANK}$")
+    return text(f"^{_BLANK}{body}(?:{_CLOCK})?{_BLANK}$")
 
 
 def _clock(x: str) -> str:
     """` 15:00:00.5` of the time behind a date, nothing without one, NULL for an hour that does not exist."""
-    pattern = text(f"(?i)^.*?{_CLOCK}{_BLANK}$")
+    pattern = text(f"^.*?{_CLOCK}{_BLANK}$")
 
     def part(i: int) -> str:
         return f"regexp_extract({x}, {pattern}, {i})"
@@ -98,24 +98,33 @@ def parse_timestamp(x: str, day_first: bool = False, pivot: int = CENTURY_PIVOT)
     orders = [(f"{_MONTH}{_SEP}{_DAY}{_SEP}", "$1-$2"), (f"{_DAY}{_SEP}{_MONTH}{_SEP}", "$2-$1")]
     if day_first:
         orders.reverse()
-    layouts = [replaced(rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})", "$1-$2-$3")]
-    layouts += [replaced(rf"{head}(\d{{4}})", f"$3-{rest}") for head, rest in orders]
+    day_month = [replaced(rf"{head}(\d{{4}})", f"$3-{rest}") for head, rest in orders]
     for head, rest in orders:
         pattern, year_last = replaced(rf"{head}(\d{{2}})", f"$3-{rest}")
-        layouts.append((pattern, f"concat(if(cast(regexp_extract({x}, {pattern}, 3) as int) < {pivot}, '20', '19'), {year_last})"))
-    layouts += [
-        named(rf"{_NAME}\s+{_NUMBER},?\s+{_YEAR}", 3, 1, 2),
-        named(rf"{_NUMBER}(?:\s+of)?[\s-]*{_NAME}[\s,-]*{_YEAR}", 3, 2, 1),
-        named(rf"{_NAME}[\s,-]+(\d{{4}})", 2, 1, None),
-        replaced(r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
-        replaced(r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})", "$1-$2-$3 $4:$5:$6"),
-        replaced(rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})[\sT]+(\d{{1,2}})", "$1-$2-$3 $4:00"),
-        replaced(r"(\d{4})[-/](\d{1,2})", "$1-$2-1"),
-        replaced(r"(\d{1,2})[-/](\d{4})", "$2-$1-1"),
+        day_month.append((pattern, f"concat(if(cast(regexp_extract({x}, {pattern}, 3) as int) < {pivot}, '20', '19'), {year_last})"))
+    # What a value begins with leaves a few layouts to try.
+    families = [
+        (rf"^{_BLANK}\d{{4}}", [
+            replaced(rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})", "$1-$2-$3"),
+            replaced(r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+            replaced(r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})", "$1-$2-$3 $4:$5:$6"),
+            replaced(rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})[\sTt]+(\d{{1,2}})", "$1-$2-$3 $4:00"),
+            replaced(r"(\d{4})[-/](\d{1,2})", "$1-$2-1"),
+        ]),
+        (rf"^{_BLANK}\d{{1,2}}{_SEP}\d", [*day_month, replaced(r"(\d{1,2})[-/](\d{4})", "$2-$1-1")]),
+        (r"\d{2}", [
+            named(rf"{_WEEKDAY}{_NAME}\s+{_NUMBER},?\s+{_YEAR}", 3, 1, 2),
+            named(rf"{_WEEKDAY}{_NUMBER}(?:\s+of)?[\s-]*{_NAME}[\s,-]*{_YEAR}", 3, 2, 1),
+            named(rf"{_WEEKDAY}{_NAME}[\s,-]+(\d{{4}})", 2, 1, None),
+        ]),
     ]
-    date = f"case {' '.join(f'when {x} rlike {pattern} then {value}' for pattern, value in layouts)} end"
+
+    def first_of(layouts: list[tuple[str, str]]) -> str:
+        return f"case {' '.join(f'when {x} rlike {pattern} then {value}' for pattern, value in layouts)} end"
+
+    date = f"case {' '.join(f'when {x} rlike {text(sign)} then {first_of(layouts)}' for sign, layouts in families)} end"
     # Most dates have no time: its pattern is tried only where there is a sign of one.
-    return f"try_cast(concat({date}, if({x} rlike '(?i):|[ap][.]?m', {_clock(x)}, '')) as timestamp_ntz)"
+    return f"try_cast(concat({date}, if({x} rlike ':|[AaPp][.]?[Mm]', {_clock(x)}, '')) as timestamp_ntz)"
 
 
 def wall_clock(x: str, zone: str = "UTC") -> str:

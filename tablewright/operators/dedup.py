@@ -12,14 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import pct2
 from tablewright.functions.sql import q
-from tablewright.operators.entry import finite
+from tablewright.operators.entry import finite, marked
+from tablewright.sources.staging import stage
 
-_HASH = "__row_hash"
+_HASH, _SUSPECT = "__row_hash", "__may_repeat"
 # A broadcast of this many 8-byte hashes stays well under 100 MB on every executor.
 MAX_BROADCAST_HASHES = 1_000_000
 
@@ -46,9 +47,12 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 
 def repeated_hashes(df: DataFrame) -> RepeatedHashes:
+    """One read of the table; the few hashes that repeat are staged, so that nothing reads it again for them."""
     per_hash = df.selectExpr(f"{row_hash(df)} as {_HASH}").groupBy(_HASH).agg(F.expr("count(1) as n"))
-    seen = per_hash.selectExpr("coalesce(sum(n), 0) as total", "count_if(n > 1) as repeated").first()
-    return RepeatedHashes(seen["total"], seen["repeated"], per_hash.filter("n > 1").select(_HASH))
+    seen = Observation()
+    counted = per_hash.observe(seen, F.expr("coalesce(sum(n), 0L) as total"), F.expr("count_if(n > 1) as repeated"))
+    hashes = stage(counted.filter("n > 1").select(_HASH), "repeated-hashes")
+    return RepeatedHashes(seen.get["total"], seen.get["repeated"], hashes)
 
 
 def _suspects(df: DataFrame, found: RepeatedHashes) -> DataFrame:
@@ -63,12 +67,12 @@ def _copies(df: DataFrame, found: RepeatedHashes) -> DataFrame:
     return groups.selectExpr("cast(coalesce(sum(__n - 1), 0) as bigint) as duplicate_count")
 
 
-def duplicate_count(df: DataFrame) -> int:
+def duplicate_count(df: DataFrame, found: RepeatedHashes | None = None) -> int:
     """Rows minus distinct rows, NULL equal to NULL."""
     if not df.columns:
         return 0
     df = finite(df)
-    found = repeated_hashes(df)
+    found = repeated_hashes(df) if found is None else found
     return _copies(df, found).first()[0] if found.repeated else 0
 
 
@@ -92,8 +96,11 @@ def remove_duplicates(df: DataFrame, found: RepeatedHashes | None = None) -> Dat
         return df
     if not found.broadcastable:
         return df.dropDuplicates()
-    unique = _hashed(df).join(F.broadcast(found.hashes), _HASH, "left_anti").drop(_HASH)
-    return unique.unionByName(_suspects(df, found).dropDuplicates())
+    # Staged with the mark, the table is read once more and not once for each half.
+    known = found.hashes.withColumn(_SUSPECT, F.lit(True))
+    told = stage(_hashed(df).join(F.broadcast(known), _HASH, "left").drop(_HASH), "hashed")
+    unique = told.where(f"{_SUSPECT} is null").drop(_SUSPECT)
+    return marked(unique.unionByName(told.where(_SUSPECT).drop(_SUSPECT).dropDuplicates()))
 
 
 def keep_first(df: DataFrame, subset: Sequence[str], order_by: Sequence[str]) -> DataFrame:

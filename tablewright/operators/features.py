@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.functions.names import date_prefix, find_column
 from tablewright.functions.numbers import as_double, bin_right, round2
 from tablewright.functions.sql import is_numeric, q, time_columns
 from tablewright.operators.entry import finite
+from tablewright.operators.impute import CATEGORIES
 
 # Keyword lists by priority.
 QUANTITY_KEYS = ("quantity", "qty", "units_sold", "volume")
@@ -86,9 +88,9 @@ class _Builder:
     def missing(self, *names: str) -> bool:
         return not set(names) & set(self.df.columns)
 
-    def add(self, new: dict[str, str], notes: dict[str, str]) -> None:
-        named = {**{c: q(c) for c in self.df.columns}, **new}
-        self.df = self.df.selectExpr(*[f"{e} as {q(n)}" for n, e in named.items()])
+    def add(self, new: dict[str, str], notes: dict[str, str], order: tuple[str, ...] = ()) -> None:
+        """`order` lists the values of new ordered categories, least first; it stays with the columns."""
+        self.df = self.df.select("*", *[F.expr(e).alias(n, metadata={CATEGORIES: list(order)} if order else {}) for n, e in new.items()])
         self.notes |= notes
 
 
@@ -126,9 +128,9 @@ def derive_features(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     credit = b.find(CREDIT_KEYS, numeric=True)
     if credit and b.missing("credit_tier"):
         b.add({"credit_tier": credit_tier(as_double(credit))},
-              {"credit_tier": f"Binned '{credit}' into standardized credit rating tiers"})
+              {"credit_tier": f"Binned '{credit}' into standardized credit rating tiers"}, CREDIT_LABELS)
     experience = b.find(EXPERIENCE_KEYS, numeric=True)
     if experience and b.missing("experience_level"):
         b.add({"experience_level": experience_level(as_double(experience))},
-              {"experience_level": f"Binned '{experience}' into professional experience levels"})
+              {"experience_level": f"Binned '{experience}' into professional experience levels"}, EXPERIENCE_LABELS)
     return b.df, b.notes

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from tablewright.functions.numbers import as_double
 from tablewright.functions.sql import number, numeric_columns, q, replace_columns
 from tablewright.operators.entry import finite
-from tablewright.operators.quantiles import quartiles
+from tablewright.operators.quantiles import Ends, quartiles
 
 # Columns with fewer values, or at most two distinct ones, are skipped.
 MIN_VALUES = 5
@@ -47,11 +47,12 @@ class Bounds:
 
 def detect_outliers(
     df: DataFrame, method: str = "iqr", threshold: float = DEFAULT_THRESHOLD, columns: Sequence[str] | None = None,
-    known: Mapping[str, Sequence[float | None]] | None = None,
+    known: Mapping[str, Sequence[float | None]] | None = None, ends: Ends | None = None,
 ) -> list[Bounds]:
     """Column-pruned passes for spread, quartiles and counts. Only per-column numbers reach the driver.
 
-    `known` are quartiles of columns that have been found already. NaN and infinite values are missing ones.
+    `known` are quartiles of columns that have been found already, `ends` their known values, least and greatest
+    one. NaN and infinite values are missing ones.
     """
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown outlier method: {method}")
@@ -61,13 +62,16 @@ def detect_outliers(
         return []
     rule = ["avg({0}) as m{1}", "stddev_samp({0}) as s{1}"] if method == "zscore" else []
     wanted = ["count({0}) as n{1}", "min({0}) as lo{1}", "max({0}) as hi{1}", *rule]
-    spread = df.selectExpr(*[e.format(as_double(c), i) for i, c in enumerate(names) for e in wanted]).first()
+    if ends is not None and not rule and all(c in ends for c in names):
+        spread = {f"{k}{i}": v for i, c in enumerate(names) for k, v in zip(("n", "lo", "hi"), ends[c])}
+    else:
+        spread = df.selectExpr(*[e.format(as_double(c), i) for i, c in enumerate(names) for e in wanted]).first()
     usable = [(i, c) for i, c in enumerate(names) if spread[f"n{i}"] >= MIN_VALUES]
     limits: dict[str, tuple[float, float, str]] = {}
     if method == "iqr":
         known = known or {}
-        ends = {c: (spread[f"n{i}"], spread[f"lo{i}"], spread[f"hi{i}"]) for i, c in usable if c not in known}
-        found = quartiles(df, list(ends), ends) | dict(known)
+        own = {c: (spread[f"n{i}"], spread[f"lo{i}"], spread[f"hi{i}"]) for i, c in usable if c not in known}
+        found = quartiles(df, list(own), own) | dict(known)
         for _, c in usable:
             q1, _, q3 = found[c]
             if q3 != q1:

@@ -301,11 +301,11 @@ def diagnostics(profile: DataFrame) -> DataFrame:
 def raw_vs_clean(raw: DataFrame, clean: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     """Raw against clean column facts, matched through the rename map (new name -> raw name).
 
-    Both sides hold one row per column, so the join is between two tiny tables.
+    Both are column profiles (or counts) of one row per column, so the join is between two tiny tables.
     """
-    before = column_counts(raw).selectExpr(
+    before = raw.selectExpr(
         "column as raw_column", "missing_count as raw_missing", "missing_pct as raw_pct", "inferred_type")
-    after = column_counts(clean).selectExpr(
+    after = clean.selectExpr(
         "seq", "column as column_name", "missing_count as clean_missing_count", "dtype as clean_data_type",
         f"coalesce(try_element_at({sql_map(renames.items())}, column), column) as raw_column")
     return after.join(before, "raw_column", "left").selectExpr(

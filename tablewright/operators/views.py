@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.functions.sql import literal, q, text
+from tablewright.sources.staging import stage
 
 HEAD_ROWS = 20
 PAGE_ROWS = 15
+# Rows of a range of a page directory: what is sorted for a page.
+RANGE_ROWS = 1_000_000
+_RANGE = "__page_range"
 
 
 def head(df: DataFrame, order_by: Sequence[str], rows: int = HEAD_ROWS) -> DataFrame:
@@ -24,9 +30,42 @@ def search(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(" or ".join(f"coalesce(cast({q(c)} as string) rlike {regex}, false)" for c in df.columns))
 
 
+@dataclass(frozen=True)
+class PageDirectory:
+    """A table cut along an order into ranges, staged, and how many rows lie before each range.
+
+    Any page, however deep, reads the ranges that hold its rows: no task sorts what precedes it.
+    """
+
+    ranges: DataFrame
+    starts: DataFrame  # range, first (rows before it), rows
+    keys: tuple[str, ...]
+    columns: tuple[str, ...]
+
+    def page(self, number: int, size: int = PAGE_ROWS) -> DataFrame:
+        """Rows of one page, in order."""
+        first = (number - 1) * size
+        holding = self.starts.where(f"first < {first + size} and first + rows > {first}").orderBy("range").collect()
+        skipped = first - holding[0]["first"] if holding else 0
+        here = self.ranges.where(F.col(_RANGE).isin([r["range"] for r in holding]))
+        return here.orderBy(*[F.expr(k) for k in self.keys]).offset(skipped).limit(size).select(*[q(c) for c in self.columns])
+
+
+def page_directory(df: DataFrame, order_by: Sequence[str], rows_per_range: int = RANGE_ROWS) -> PageDirectory:
+    """Rows dealt to ranges by `order_by` and, where that is equal, by a hash of the row."""
+    row = f"xxhash64({', '.join(q(c) for c in df.columns)})"
+    keys = (*[q(c) for c in order_by], row)
+    ranges = max(1, -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(ranges, *[F.expr(k) for k in keys]).withColumn(_RANGE, F.spark_partition_id())
+    dealt = stage(dealt, "page-ranges")
+    counts = dealt.groupBy(_RANGE).agg(F.count("*").alias("rows"))  # one row a range
+    starts = counts.selectExpr(f"{_RANGE} as range", "rows", f"sum(rows) over (order by {_RANGE}) - rows as first")
+    return PageDirectory(dealt, stage(starts, "page-starts"), keys, tuple(df.columns))
+
+
 def page(df: DataFrame, number: int, order_by: Sequence[str], size: int = PAGE_ROWS) -> DataFrame:
-    """Rows of one page in an explicit order."""
-    return df.orderBy(*[q(c) for c in order_by]).offset((number - 1) * size).limit(size)
+    """Rows of one page in an explicit order; for several pages, or a deep one, keep a `page_directory`."""
+    return page_directory(df, order_by).page(number, size)
 
 
 def page_after(df: DataFrame, last: Mapping[str, object], order_by: Sequence[str], size: int = PAGE_ROWS) -> DataFrame:

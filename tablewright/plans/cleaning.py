@@ -5,27 +5,34 @@ that say what happens to each column. `apply` turns a plan into one lazy project
 so a plan fitted on one batch can clean the next one, batch or stream.
 
 Passes of a run over the source: row hashes, type shares, and one write of the typed
-and standardised table to the shared folder; where copies were found, the rows without
-them are written first. The counters of the audit are observed during the write. What follows (medians, modes, outlier bounds)
-reads single columns of the staged table.
+and standardised table to the shared folder; where copies were found, the rows are written
+with a mark first, so that the source is read twice for them. The counters of the audit are
+observed during the write. What follows reads single columns of the staged table, and each
+question is asked for all steps at once: one look at what is missing also serves the outlier
+bounds, medians and quartiles are found by the same passes, although quartiles are those of
+the filled table, and the last pass counts outliers.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.operators.dedup import remove_duplicates, repeated_hashes
+from tablewright.operators.dedup import RepeatedHashes, remove_duplicates, repeated_hashes
 from tablewright.operators.entry import finite, marked
-from tablewright.operators.impute import Fill, apply_missing, fit_missing
+from tablewright.operators.impute import Fill, MissingFacts, apply_missing, check_strategies, choose_fills, look_at_missing
 from tablewright.operators.insights import CleaningFacts
 from tablewright.operators.outliers import (
-    DEFAULT_THRESHOLD, Bounds, detect_outliers, handle_outliers, outlier_action_counts, outlier_table,
+    DEFAULT_THRESHOLD, MIN_VALUES, Bounds, detect_outliers, handle_outliers, outlier_action_counts, outlier_table,
 )
+from tablewright.operators.quantiles import QUARTILES, Ends, order_statistics
 from tablewright.operators.standardize import (
     absolute_values, change_aggregates, clean_names, negative_aggregates, standardize_categories, take_standard_values,
     with_standard_values,
@@ -59,11 +66,19 @@ class CleanOptions:
     outlier_threshold: float = DEFAULT_THRESHOLD
     symbol_words: bool = False
     keep_text: Sequence[str] = field(default_factory=list)
+    categories: Mapping[str, Sequence[str]] = field(default_factory=dict)  # cleaned name -> values, least first
     day_first: bool | None = False  # None: each column's own values decide
     zone: str = "UTC"
     order_by: Sequence[str] = field(default_factory=list)
     partition_by: Sequence[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        check_strategies(self.numeric_missing_strategy, self.categorical_missing_strategy, self.date_missing_strategy)
+        for kind, name, known in (("outlier method", self.outlier_method, ("iqr", "zscore")),
+                                  ("outlier action", self.outlier_action, ("keep", "cap", "remove"))):
+            if name not in known:
+                raise ValueError(f"unknown {kind} {name!r}; one of {', '.join(known)}")
+
     @property
     def dates(self) -> DateReading:
         return DateReading(self.day_first, zone=self.zone)
@@ -132,6 +147,8 @@ class CleaningResult:
     negatives_fixed: dict[str, int] = field(default_factory=dict)
     category_changes: dict[str, int] = field(default_factory=dict)
     outlier_actions: dict[str, int] = field(default_factory=dict)
+    # Quartiles of the table's numeric columns, where the run has found them.
+    quartiles: dict[str, Sequence[float | None]] = field(default_factory=dict)
 
     @property
     def facts(self) -> CleaningFacts:
@@ -145,35 +162,47 @@ class CleaningResult:
         return self.table.sparkSession.createDataFrame(_audit_rows(self), AUDIT_SCHEMA)
 
 
-def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningResult:
-    """Fit and apply: names, duplicates, types, signs, categories, missing, outliers."""
+def clean_data(df: DataFrame, options: CleanOptions | None = None, found: RepeatedHashes | None = None) -> CleaningResult:
+    """Fit and apply: names, duplicates, types, signs, categories, missing, outliers.
+
+    `found` are the repeated row hashes of `df`, where they are known already.
+    """
     df = finite(df)
     opts = options or CleanOptions()
     plan = CleaningPlan(opts)
-    if not df.columns or df.isEmpty():
+    if df.columns and opts.remove_dups and found is None:
+        found = repeated_hashes(df)
+    if not df.columns or (df.isEmpty() if found is None else not found.rows):
         return CleaningResult(df, plan, status="empty_dataset", initial_shape=(0, len(df.columns)),
                               final_shape=(0, len(df.columns)))
     named = df
     if opts.standardize_names:
         named, plan.renames = clean_names(df, opts.symbol_words)
+        marked(named)
     rows, n_before = named, None
     if opts.remove_dups:
-        found = repeated_hashes(named)
         n_before = found.rows
-        if found.repeated:  # later passes should not repeat the comparison of copies
-            rows = stage(remove_duplicates(named, found), "deduplicated")
+        rows = remove_duplicates(named, found)
     if opts.convert_types:
         plan.kinds = fit_types(rows, opts.keep_text, opts.dates)
 
     typed = convert(rows, plan.kinds, opts.dates) if opts.convert_types else rows
     staged, negatives, changes, n_kept = _stage_standardized(typed, opts)
 
+    known, ends = {}, None
     if opts.handle_missing:
-        plan.fills = fit_missing(
+        facts = look_at_missing(
             staged, opts.numeric_missing_strategy, opts.categorical_missing_strategy,
-            opts.date_missing_strategy, opts.custom_col_strategies)
+            opts.date_missing_strategy, opts.custom_col_strategies, opts.categories)
+        if opts.outlier_method == "iqr" and facts.row_by_row and all(
+                isinstance(f.dataType, (T.DoubleType, T.FloatType, T.IntegralType)) for f in facts.fields if f.name in facts.numeric):
+            plan.fills, known, ends = _fills_and_quartiles(facts)
+        else:
+            plan.fills = choose_fills(facts)
     filled = apply_missing(staged, plan.fills, opts.order_by, opts.partition_by)
-    plan.bounds = detect_outliers(filled, opts.outlier_method, opts.outlier_threshold)
+    if not any(f.action == "drop" for f in plan.fills):
+        marked(filled)
+    plan.bounds = detect_outliers(filled, opts.outlier_method, opts.outlier_threshold, known=known, ends=ends)
     table = handle_outliers(filled, plan.bounds, opts.outlier_action)
 
     n_before = n_kept if n_before is None else n_before
@@ -184,9 +213,62 @@ def clean_data(df: DataFrame, options: CleanOptions | None = None) -> CleaningRe
         duplicates_removed=n_before - n_kept,
         negatives_fixed=negatives, category_changes=changes,
         outlier_actions=outlier_action_counts(filled, plan.bounds, opts.outlier_action),
+        quartiles=known if opts.outlier_action == "keep" or not plan.bounds else {},
     )
 
 
+def _fills_and_quartiles(facts: MissingFacts) -> tuple[list[Fill], dict[str, list[float | None]], Ends]:
+    """Fills, and quartiles and ends of the table they leave, from the same passes over the known values.
+
+    With `n` known values and `z` copies of a fill, the k-th value of the filled column is the fill,
+    held between the known values of rank k - z and k.
+    """
+    columns = {c: (*facts.ends(c), facts.missing(c)) for c in facts.numeric}
+    wanted: dict[str, set[int]] = {}
+    for c, (n, _, _, z) in columns.items():
+        places = [(n - 1) / 2] if c in facts.for_median() else []
+        ranks = {r for x in places for r in (math.floor(x), math.ceil(x))}
+        if n + z >= MIN_VALUES:
+            ranks |= {k - off for p in QUARTILES for k in _around(p * (n + z - 1)) for off in (0, z)}
+        wanted[c] = {r for r in ranks if 0 <= r < n}
+    values = order_statistics(facts.table, {c: sorted(r) for c, r in wanted.items() if r}, {c: v[:3] for c, v in columns.items()})
+    medians = {c: _between(lambda r: values[c, r], (columns[c][0] - 1) / 2) if columns[c][0] else None for c in facts.for_median()}
+    fills = choose_fills(facts, medians)
+    filled = {f.column: _as_stored(f.value, facts.table.schema[f.column].dataType) for f in fills if f.column in columns}
+    known, ends = {}, {}
+    for c, (n, low, high, z) in columns.items():
+        fill = filled.get(c)
+
+        def at(k: int) -> float:
+            least = values[c, k - z] if k >= z else -math.inf
+            return min(max(fill, least), values[c, k]) if k < n else max(fill, least)
+
+        if fill is None:
+            at = lambda k: values[c, k]
+        ends[c] = (n + z, low, high) if fill is None else (n + z, *sorted(x for x in (fill, low, high) if x is not None)[::max(1, 2 if n else 1)])
+        if n == 0:
+            ends[c] = (n + z, fill, fill) if fill is not None else (0, None, None)
+        if n + z >= MIN_VALUES:
+            known[c] = [_between(at, p * (n + z - 1)) if n + z and (n or fill is not None) else None for p in QUARTILES]
+    return fills, known, ends
+
+
+def _around(position: float) -> tuple[int, int]:
+    return math.floor(position), math.ceil(position)
+
+
+def _between(at, position: float) -> float:
+    low, high = _around(position)
+    return at(low) if low == high else (high - position) * at(low) + (position - low) * at(high)
+
+
+def _as_stored(value: float | None, dtype: T.DataType) -> float | None:
+    """A fill as the column holds it."""
+    if value is None:
+        return None
+    return struct.unpack("f", struct.pack("f", value))[0] if isinstance(dtype, T.FloatType) else float(value)
+
+
 def _stage_standardized(typed: DataFrame, opts: CleanOptions) -> tuple[DataFrame, dict[str, int], dict[str, int], int]:
     """Fix signs and categories and write the result; what changed is counted during the write."""
     negatives = negative_aggregates(typed) if opts.fix_negatives else {}

@@ -1,14 +1,19 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright import (
     CleaningPlan, CleanOptions, all_insights, breakdowns, clean_data, column_profile, dataset_profile, derive_features, issues,
-    kpi_table, statistical_summary,
+    kpi_table, load_table, run_pipeline, statistical_summary,
 )
 from tablewright.operators import chartdata, profile, views
 from tablewright.operators.analytics import period_growth, top_category
+from tablewright.operators.outliers import detect_outliers
+from tablewright.plans.cleaning import refit
+from tablewright.streaming.apply import clean_stream
 
 
 # --- profile -----------------------------------------------------------------------
@@ -120,19 +125,75 @@ def test_plan_survives_json_and_cleans_another_batch(sales):
 
 
 def test_plan_on_a_stream(sales, spark, tmp_path):
-    from tablewright.streaming.apply import clean_stream
-
     plan = clean_data(sales).plan
     folder = str(tmp_path / "in")
     flat = sales.toDF(*[f"c{i}" for i in range(len(sales.columns))])
     flat.write.parquet(folder)
     stream = spark.readStream.schema(flat.schema).parquet(folder).toDF(*sales.columns)
+    with pytest.raises(ValueError, match="event_time"):
+        clean_stream(stream, plan)
+    plan = refit(plan, remove_dups=False)
     run = clean_stream(stream, plan).writeStream.format("memory").queryName("cleaned_stream").trigger(availableNow=True).start()
     run.awaitTermination(120)
     got = spark.table("cleaned_stream")
     assert got.count() == 5 and got.filter("revenue = 2401.0 and region = 'North'").count() == 1
 
 
+def test_copies_on_a_stream_go_across_batches(sales, spark, tmp_path):
+    """The same row in two files, read as two batches; a later row that differs in one value stays."""
+    plan, folder = clean_data(sales).plan, str(tmp_path / "in")
+    names = [f"c{i}" for i in range(len(sales.columns))]
+    for day, rows in ((1, sales), (1, sales.where("`Order ID` <> 'A-1'")), (2, sales.where("`Order ID` = 'A-2'"))):
+        rows.toDF(*names).withColumn("seen_at", F.expr(f"timestamp'2026-01-0{day} 00:00:00'")).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).toDF(*sales.columns, "Seen At")
+    cleaned = clean_stream(stream, plan, event_time="Seen At", delay="1 day")
+    run = cleaned.writeStream.format("memory").queryName("stream_copies").trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    got = [r["order_id"] for r in spark.table("stream_copies").collect()]
+    assert sorted(got) == ["A-1", "A-2", "A-2", "A-3", "A-4"]
+
+
+def test_options_are_checked():
+    for wrong in ({"numeric_missing_strategy": "nonsense"}, {"categorical_missing_strategy": "nonsense"},
+                  {"date_missing_strategy": "forwardfill"}, {"outlier_method": "x"}, {"outlier_action": "x"}):
+        with pytest.raises(ValueError):
+            CleanOptions(**wrong)
+
+
+def test_a_strategy_for_one_column_is_checked(sales):
+    with pytest.raises(ValueError, match="nonsense"):
+        clean_data(sales, CleanOptions(custom_col_strategies={"region": "nonsense"}))
+
+
+def test_quartiles_of_the_filled_table_come_from_the_known_values(spark):
+    rng = np.random.default_rng(2)
+    for share, strategy in ((0.1, "median"), (0.45, "mean"), (0.7, "zero"), (0.0, "median")):
+        values = pd.DataFrame({"a": rng.normal(size=500) * 10, "b": rng.integers(0, 9, 500).astype(float), "c": np.full(500, np.nan)})
+        values = values.mask(rng.random(values.shape) < share)
+        df = spark.createDataFrame(values).withColumn("d", F.expr("cast(a as float)")).withColumn("e", F.expr("if(isnan(b), null, cast(b as int))"))
+        result = clean_data(df, CleanOptions(numeric_missing_strategy=strategy, fix_negatives=False, remove_dups=False))
+        table = result.table.toPandas()
+        for c, known in result.quartiles.items():
+            assert np.allclose(known, np.quantile(table[c].astype(float), [0.25, 0.5, 0.75])), (c, strategy)
+        assert result.plan.bounds == detect_outliers(result.table)
+        assert statistical_summary(result.table, known=result.quartiles).collect() == statistical_summary(result.table).collect()
+
+
+def test_whole_run(sales, tmp_path):
+    run = run_pipeline(sales, export=str(tmp_path / "out"))
+    apart = clean_data(sales)
+    table = derive_features(apart.table)[0]
+    assert sorted(map(tuple, run.table.collect()), key=repr) == sorted(map(tuple, table.collect()), key=repr)
+    assert run.raw_profile.collect() == dataset_profile(sales).collect() and run.clean_profile.collect() == dataset_profile(table).collect()
+    assert run.raw_issues.collect() == issues(sales).collect() and run.kpis.collect() == kpi_table(table).collect()
+    assert run.summary.collect() == statistical_summary(table).collect()
+    assert {r["metric"]: r["change"] for r in run.scorecard.collect()}["Total Rows"] == "-1 dups"
+    assert run.insights.where("section = 'recommendations'").count() >= 3 and set(run.breakdowns) == {"by_category", "by_region", "by_period"}
+    assert run.columns.count() == len(run.table.columns) and run.audit.count() == apart.audit().count() and run.diagnostics.count() == 9
+    assert load_table(sales.sparkSession, run.exported).count() == 4
+
+
 # --- features ----------------------------------------------------------------------
 
 def test_features(spark):
@@ -231,6 +292,18 @@ def test_narrative(sales):
 
 # --- views -------------------------------------------------------------------------
 
+def test_deep_pages_read_only_their_ranges(spark):
+    df = spark.range(5000).selectExpr("id % 700 as k", "id").repartition(6)
+    directory = views.page_directory(df, ["k"], rows_per_range=200)
+    assert directory.starts.count() >= 20
+    want = [r["k"] for r in df.orderBy("k").collect()]
+    for number, size in ((1, 15), (7, 15), (120, 37), (334, 15), (335, 15), (2, 1700)):
+        found = [r["k"] for r in directory.page(number, size).collect()]
+        assert found == want[(number - 1) * size:number * size], number
+    pages = [r["id"] for n in range(1, 11) for r in directory.page(n, 500).collect()]
+    assert sorted(pages) == list(range(5000))  # equal keys fall on one page only
+
+
 def test_search_and_pages(spark):
     df = spark.range(40).selectExpr("id", "concat('Row ', id) as name", "cast(null as string) as gap")
     assert views.search(df, "ROW 3[0-2]").count() == 3 and views.search(df, "").count() == 40
