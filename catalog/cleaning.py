@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.dirty import table
-from catalog.duck import account, boolean, date, gender, mode_of, nulled, number, r2, region, rs, title, trim, with_tables
+from catalog.duck import COLUMNS, account, boolean, date, gender, mode_of, nulled, number, quoted, r2, region, rs, title, trim, with_tables
 from catalog.registry import query
 from catalog.shared import cleaned
 from tablewright.operators.dedup import keep_first, remove_duplicates, removal_summary
@@ -17,6 +17,8 @@ from tablewright.operators.standardize import (
     absolute_values, category_changes, clean_names, cleaned_text, negative_counts, standardize_categories, trimmed,
 )
 from tablewright.operators.types import conversions, convert, day_first_columns, fit_types, type_shares
+from tablewright.plans.pipeline import run_pipeline
+from tablewright.sources.staging import new_path
 
 
 def typed(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -470,22 +472,70 @@ def pipe_clean(spark, folder):
     return cleaned(spark, folder, "d_sales_twice").table
 
 
-_FILLED = [("region", "mode_or_unknown"), ("product_category", "mode_or_unknown"), ("quantity", "median"),
-           ("unit_price", "median"), ("discount", "median")]
-
-
-@query("pipe_audit", with_tables("sales_fill", "d_sales_twice") + """select 'duplicates' as step, cast(null as varchar) as "column",
- (select count(*) from d_sales_twice) - (select count(*) from (select distinct * from d_sales_twice)) as affected, cast(null as varchar) as fill_value
- union all select 'negatives', 'quantity', count(*) filter (where "Quantity" < 0), null from d_sales
- union all select 'negatives', 'unit_price', count(*) filter (where trim("Unit Price") like '-%'), null from d_sales
- union all select 'missing', 'order_date', count(*) filter (where order_date is null), null from sales_std
-""" + "".join(
-    f""" union all select 'missing', '{c}', (select count(*) filter (where {c} is null) from sales_std),
- cast({mode_of('sales_std', c) if how == 'mode_or_unknown' else f"(select {r2(f'quantile_cont({c}, 0.5)')} from sales_std)"} as varchar)"""
-    for c, how in _FILLED))
+_FILLED = {"region": "mode_or_unknown", "product_category": "mode_or_unknown", "quantity": "median", "unit_price": "median", "discount": "median"}
+_LABELS = {"timestamp": "Datetime (Parsed multi-format dates)", "number": "Float (Cleaned from Currency/Formatted Text)"}
+
+
+def _audit_sql() -> str:
+    """Every step of a run over the sales table that holds copies, in order: k is the place, then the place within the step."""
+    names = list(COLUMNS["d_sales"])
+    clean = dict(zip(names, ("order_id", "order_date", "region", "product_category", "quantity", "unit_price", "discount")))
+    parts: dict[str, list[str]] = {}
+
+    def row(step: str, source: str, column="null", action="null", affected="null", fill="null", lower="null", upper="null", text="null") -> None:
+        parts.setdefault(step, []).append(
+            f"select {len(parts)} as k, {len(parts[step]) if step in parts else 0} as j, '{step}' as step, cast({column} as varchar) as \"column\", "
+            f"cast({action} as varchar) as action, cast({affected} as bigint) as affected, cast({fill} as varchar) as fill_value, "
+            f"cast({lower} as double) as lower, cast({upper} as double) as upper, cast({text} as varchar) as description {source}")
+
+    def summed(step: str, text: str, groups: str = "count(*)", label: bool = True) -> None:
+        """The sentence before the rows of a step, over those rows."""
+        own = " union all ".join(parts[step])
+        total = "sum(affected)" if label else "count(*)"
+        parts[step].insert(0, f"select any_value(k), -1, '{step}', null, null, cast({total} as bigint), null, null, null, {text} from ({own}) having count(*) > 0")
+
+    n, d = "(select count(*) from d_sales_twice)", "(select count(*) from (select distinct * from d_sales_twice))"
+    row("initial_shape", "", affected=n, text=f"format('{{}} x {len(names)}', {n})")
+    for old in names:
+        row("names", f"from (describe d_sales_twice) as x(own, t, a, b, c, e) where own = '{old}'", column=f"'{clean[old]}'", action="'renamed'", text="own")
+    summed("names", "format('Standardized {} column headers to snake_case.', count(*))", label=False)
+    row("duplicates", f"where {n} > {d}", affected=f"{n} - {d}", text=f"format('Removed {{}} duplicate rows ({{}} rows remaining).', {n} - {d}, {d})")
+    for old, known in COLUMNS["d_sales"].items():
+        if known:
+            x = quoted(old)
+            numbers = f"count(case when {x} like '%\\%' escape '\\' then {number(x)} else try_cast(regexp_replace({x}, '[$₹€£¥,\\s]', '', 'g') as double) end)"
+            row("types", f"from (select case when {numbers} / count({x}) >= 0.75 then 'number' when count({date(x)}) / count({x}) >= 0.5 then 'timestamp' end as kind "
+                f"from d_sales) where kind is not null", column=f"'{clean[old]}'", action="kind",
+                text="case kind when 'number' then '{number}' else '{timestamp}' end".format(**_LABELS))
+    summed("types", "format('Parsed and converted data types for {} columns.', count(*))", label=False)
+    for c, test in (("quantity", '"Quantity" < 0'), ("unit_price", f"{number(chr(34) + 'Unit Price' + chr(34))} < 0")):
+        row("negatives", f"from (select count(*) filter (where {test}) as m from d_sales) where m > 0", f"'{c}'", "'absolute'", "m")
+    summed("negatives", "format('Corrected {} negative values across {} numeric fields.', sum(affected), count(*))")
+    for c, after in (("region", region('"Region"')), ("product_category", title(nulled('"Product Category"')))):
+        before = nulled(quoted({v: k for k, v in clean.items()}[c]))
+        row("categories", f"from (select count(*) filter (where {before} is distinct from {after} or {before} is null) as m from d_sales) where m > 0",
+            f"'{c}'", "'standardized'", "m")
+    summed("categories", "format('Standardized casing and text domains across {} categorical columns ({} values adjusted).', count(*), sum(affected))")
+    for c in clean.values():
+        fill = "null" if c not in _FILLED else mode_of("sales_std", c) if _FILLED[c] == "mode_or_unknown" else f"(select {r2(f'quantile_cont({c}, 0.5)')} from sales_std)"
+        row("missing", f"from (select count(*) filter (where {c} is null) as m from sales_std) where m > 0", f"'{c}'",
+            f"'{_FILLED.get(c, 'retained NaT (safe date handling)')}'", "m", fill)
+    summed("missing", "format('Handled missing values across {} columns using intelligent imputation strategies.', count(*))", label=False)
+    for c in ("quantity", "unit_price", "discount"):
+        row("outliers", f"from ({_bounds('sales_fill', (c,))})", f"'{c}'", "method", "outlier_count", lower="lower_bound", upper="upper_bound")
+    row("final_shape", "", affected="(select count(*) from sales_fill)", text=f"format('{{}} x {len(names)}', (select count(*) from sales_fill))")
+    stacked = " union all ".join(p for group in parts.values() for p in group)
+    return with_tables("sales_fill", "d_sales_twice") + (
+        f"select cast(row_number() over (order by k, j) as int) as seq, step, \"column\", action, affected, fill_value, lower, upper, description from ({stacked})")
+
+
+@query("pipe_audit", _audit_sql())
 def pipe_audit(spark, folder):
-    audit = cleaned(spark, folder, "d_sales_twice").audit()
-    return audit.filter("step = 'duplicates' or (step in ('negatives', 'missing') and column is not null)").select(
-        "step", "column", "affected", "fill_value")
+    return cleaned(spark, folder, "d_sales_twice").audit()
 
 
+@query("pipe_run", with_tables("sales_feat") + "select * from sales_feat")
+def pipe_run(spark, folder):
+    """The enriched table of a whole run, read back from its export."""
+    run = run_pipeline(table(spark, folder, "d_sales_twice"), export=new_path(spark, "export"), file_format="parquet")
+    return spark.read.parquet(run.exported)
