@@ -15,10 +15,11 @@ from tablewright.operators.profile import dataset_profile
 
 @query("ch_missing", with_tables("d_sales_twice", "sales_fill") + "select * from (" + " union all ".join(
     f"""select '{c}' as "column", count(*) filter (where {quoted(c)} is null) as raw_missing,
- cast({"(select count(*) filter (where order_date is null) from sales_fill)" if c == "Order Date" else "0"} as bigint) as clean_missing from d_sales_twice"""
-    for c in COLUMNS["d_sales"]) + ") where raw_missing > 0 order by raw_missing desc, 1 limit 10")
+ (select count(*) filter (where {new} is null) from sales_fill) as clean_missing from d_sales_twice"""
+    for c, new in zip(COLUMNS["d_sales"], ("order_id", "order_date", "region", "product_category", "quantity", "unit_price", "discount"))) + ") where raw_missing > 0 order by raw_missing desc, 1 limit 10")
 def ch_missing(spark, folder):
-    return C.missing_chart(table(spark, folder, "d_sales_twice"), cleaned(spark, folder, "d_sales_twice").table)
+    result = cleaned(spark, folder, "d_sales_twice")
+    return C.missing_chart(table(spark, folder, "d_sales_twice"), result.table, renames=result.plan.renames)
 
 
 @query("ch_trend", with_tables("sales_feat") + """select order_month_year, round(sum(net_revenue), 2) as net_revenue from sales_feat

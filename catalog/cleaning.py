@@ -330,6 +330,18 @@ def imp_categ(spark, folder):
     return handle_missing(tiers.select("customer_id", "credit_tier"), categorical="mode")[0]
 
 
+_SIZE = "case cast(c_custkey % 6 as int) when 0 then 'Small' when 1 then 'Small' when 2 then 'Medium' when 3 then 'Medium' when 4 then 'Large' end"
+
+
+@query("imp_categ_order", f"""with t as (select c_custkey, {_SIZE} as size from customer)
+select c_custkey, coalesce(size, (select size from t where size is not null group by 1
+ order by count(*) desc, case size when 'Small' then 1 when 'Medium' then 2 else 3 end limit 1)) as size from t""")
+def imp_categ_order(spark, folder):
+    """Sizes have an order that is not the alphabet's; it decides between equally frequent ones."""
+    sizes = table(spark, folder, "customer").selectExpr("c_custkey", f"{_SIZE} as size")
+    return handle_missing(sizes, categorical="mode", categories={"size": ["Small", "Medium", "Large"]})[0]
+
+
 @query("imp_mode", _filled({"region": mode_of("sales_std", "region"), "product_category": mode_of("sales_std", "product_category")},
                            "order_id", "sales_std"))
 def imp_mode(spark, folder):

@@ -115,10 +115,9 @@ def prof_card(spark, folder):
 @query("prof_sample", "\nunion all ".join(
     f"""select '{c}' as "column", (select string_agg(v, '|' order by k) from (
  select distinct {c} as k, cast({c} as varchar) as v from orders order by k limit 5)) as samples"""
-    for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def prof_sample(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return P.cardinality(orders).selectExpr("column", "array_join(sample_values, '|') as samples")
+    return P.cardinality(table(spark, folder, "orders")).selectExpr("column", "array_join(sample_values, '|') as samples")
 
 
 @query("prof_const", """select 'country' as "column", count(distinct country) as unique_count from (

@@ -17,6 +17,7 @@ from tablewright.operators.analytics import total
 from tablewright.operators.entry import finite
 from tablewright.operators.profile import column_counts
 from tablewright.operators.quantiles import quartiles, value_ends
+from tablewright.operators.standardize import clean_names
 
 # Column preferences of the charts, first present wins.
 TREND_TIME_COLUMNS = ("order_month_year", "month_year", "order_date", "signup_date", "fiscal_quarter")
@@ -40,14 +41,14 @@ def chart_value_column(df: DataFrame) -> str | None:
     return first_present(df, CHART_VALUE_COLUMNS, numeric=True) or next(iter(numeric_columns(df)), None)
 
 
-def missing_chart(raw: DataFrame, clean: DataFrame, top: int = 10) -> DataFrame:
-    """Raw columns with most missing values beside the matching clean column's count."""
-    match = {}
-    for name in raw.columns:
-        key = name.strip().lower().replace(" ", "_")
-        match[name] = next((c for c in clean.columns if key in c), "")
+def missing_chart(raw: DataFrame, clean: DataFrame, top: int = 10, renames: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Raw columns with most missing values beside the count of the clean column each became.
+
+    `renames` are the cleaning plan's (raw name, clean name); by default what it makes of the raw headers.
+    """
+    pairs = clean_names(raw)[1] if renames is None else renames
     worst = column_counts(raw).filter("missing_count > 0").orderBy(F.desc("missing_count"), "seq").limit(top).selectExpr(
-        "column", "missing_count as raw_missing", f"element_at({sql_map(match.items())}, column) as clean_column")
+        "column", "missing_count as raw_missing", f"try_element_at({sql_map(pairs)}, column) as clean_column")
     after = column_counts(clean).selectExpr("column as clean_column", "missing_count as clean_missing")
     return worst.join(after, "clean_column", "left").selectExpr(
         "column", "raw_missing", "coalesce(clean_missing, 0L) as clean_missing").orderBy(F.desc("raw_missing"), "column")

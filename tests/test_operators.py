@@ -137,6 +137,16 @@ def test_mode_ties_take_the_smallest_and_wide_columns_take_unknown(spark):
     assert impute.fit_missing(wide, categorical="mode")[0].value == "v0"
 
 
+def test_ordered_categories_take_the_least_of_equal_modes(spark):
+    df = spark.createDataFrame([("S", "x"), ("M", "x"), ("M", "y"), ("S", "y"), ("odd", None), (None, None)], "size string, t string")
+    fills = {f.column: (f.strategy, f.value) for f in impute.fit_missing(df, categories={"size": ["S", "M", "L"]})}
+    assert fills == {"size": ("categorical_mode", "S"), "t": ("mode_or_unknown", "x")}
+    tagged = df.withColumn("size", F.col("size").alias("size", metadata={impute.CATEGORIES: ["M", "S"]}))
+    assert {f.column: f.value for f in impute.fit_missing(tagged)}["size"] == "M"
+    nothing = df.where("size is null")
+    assert impute.fit_missing(nothing, categories={"size": ["S"]})[0].value == "Unknown"
+
+
 def test_all_null_columns(spark):
     df = spark.createDataFrame([(None, None, None)], "n double, c string, b boolean")
     out, fills = impute.handle_missing(df)
