@@ -125,21 +125,22 @@ def weights(files: DataFrame) -> DataFrame:
     words = sorted({w for _, _, own, _, _ in templates_in_words() for w in own})
     vocabulary = files.sparkSession.createDataFrame([(w,) for w in words], "term string")
     held = files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*[F.lit(w) for w in words]))).alias("term"))
-    total = files.agg(F.count("text").alias("files"))
+    total = files.agg(F.count("text")).scalar()
     counts = held.groupBy("term").agg(F.count("*").alias("held"))
-    return (vocabulary.join(counts, "term", "left").crossJoin(F.broadcast(total))
+    return (vocabulary.join(counts, "term", "left").withColumn("files", total)
             .select("term", (F.log((1 + F.col("files")) / (1 + F.coalesce("held", F.lit(0)))) + 1).alias("idf"), "files"))
 
 
-def notices(files: DataFrame) -> DataFrame:
+def notices(files: DataFrame, idf: DataFrame) -> DataFrame:
     """path, at, until, licence, score, sentence: the best template of every stretch, laid around the words that licences are named by.
 
+    `files` has each path once, `idf` comes from `weights`.
+
     A stretch is a run of a template's number of words, anywhere in the text, whatever lines and comment signs it crosses, with the
     anchor where the template has it. The cosine is over sparse TF-IDF vectors; terms outside the templates weigh as
     much as the rarest term. An SPDX identifier is taken as it stands.
     """
     spark = files.sparkSession
-    idf = stage(weights(files), "licence-idf")
     rarest = F.log(1 + F.col("files")) + 1
     own = template_terms(spark)
     shapes = F.broadcast(own.select("anchor", "before", "size").distinct())
@@ -150,7 +151,7 @@ def notices(files: DataFrame) -> DataFrame:
                .select("path", "anchor", "place", "before", "size", begin.alias("at"), F.slice("words", begin + 1, F.col("size") + F.col("place") - F.col("before") - begin).alias("words")))
     key = ["path", "anchor", "place", "before", "size"]
     counted = stretch.select(*key, "at", (F.col("at") + F.size("words")).alias("until"), F.explode("words").alias("term")).groupBy(*key, "at", "until", "term").agg(F.count("*").alias("count"))
-    weighed = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(idf.agg(F.max("files").alias("files"))))
+    weighed = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("files", idf.agg(F.max("files")).scalar())
     weighed = weighed.withColumn("weight", F.col("count") * F.coalesce("idf", rarest))
     templates = own.join(F.broadcast(idf.select("term", "idf")), "term").withColumn("own", F.col("count") * F.col("idf"))
     norms = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"), F.sum("needed").alias("needs"))
@@ -182,10 +183,15 @@ def scan(files: DataFrame) -> DataFrame:
     A file's own notice (sentences before bare titles, then the most similar; ties: the first in the text) counts before an inherited one. A
     licence file gives its licence to all files below its directory that have none of their own, the nearest
     directory first; of several licence files in a directory the one with the smallest path counts. Files with a
-    NULL path are left out; of repeated paths the largest text counts; a NULL text has no notice.
+    NULL path are left out; of repeated paths the longest text counts (of equally long ones that with the largest digest),
+    while the term weights count every row; a NULL text has no notice. Very long texts are looked at whole; other columns
+    are ignored. Of all texts only those that name a licence are shuffled.
     """
-    files = stage(files.where("path is not null").groupBy("path").agg(F.max("text").alias("text")).select("path", "text"), "licence-files")
-    found = stage(notices(files), "licence-notices")
+    rows = files.where("path is not null").select("path", "text", F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), F.xxhash64("text").alias("digest"))
+    paths = stage(rows.groupBy("path").agg(F.max(F.struct("chars", "digest")).alias("x")).select("path", "x.*"), "licence-paths")
+    telling = rows.where(F.col("text").rlike(NAMED) | F.col("text").rlike(SPDX)).dropDuplicates(["path", "chars", "digest"])
+    files = stage(telling.join(paths, ["path", "chars", "digest"]).select("path", "text"), "licence-files")
+    found = stage(notices(files, stage(weights(rows), "licence-idf")), "licence-notices")
     # Words that notices cover, each counted once.
     covered = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "until"))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
                           lambda a, x: F.struct((a["n"] + F.greatest(x["until"] - F.greatest(x["at"], a["reach"]), F.lit(0))).alias("n"), F.greatest(a["reach"], x["until"]).alias("reach")))["n"]
@@ -196,7 +202,7 @@ def scan(files: DataFrame) -> DataFrame:
     given = stage(licence_files.groupBy(parent(F.col("path")).alias("directory")).agg(F.min(F.struct("path", "licence")).alias("given"))
                   .select("directory", F.col("given.path").alias("inherited_from"), F.col("given.licence").alias("inherited")), "licence-given")
     # Inheritance is found once a directory; its files then join their own directory.
-    placed = files.select("path").withColumn("home", parent(F.col("path")))
+    placed = paths.select("path").withColumn("home", parent(F.col("path")))
     homes = placed.select("home").distinct()
     parts = F.split("home", "/")
     above = homes.select("home", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn(
