@@ -87,9 +87,9 @@ def contaminated(documents: DataFrame, items: DataFrame, threshold: float = THRE
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """`documents` without those that hold a test item; rows with a NULL id or text stay."""
+    """`documents` without those that hold a test item; rows with a NULL id or text, and columns of any other name, stay."""
     dirty = stage(contaminated(documents, items, **how).select("doc_id").distinct(), "decontaminate-dirty")
-    return documents.join(dirty.withColumnRenamed("doc_id", "dirty_id"), F.col("doc_id") == F.col("dirty_id"), "left_anti")
+    return documents.join(dirty.withColumnRenamed("doc_id", "__dirty_doc"), F.col("doc_id") == F.col("__dirty_doc"), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import column, read
 from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
-from tablewright.sources.staging import stage
+from tablewright.operators.dedup import remove_duplicates
+from tablewright.sources.staging import discard, drop_finished_shuffles, stage
+
+_DROPPED = "__jaccard_dropped"
 
 WIDTH = 4
 #: Similarity as a fraction of whole numbers, so that the comparison is exact.
@@ -106,6 +109,7 @@ def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     """
     before = F.sum(F.col("frequent").cast("int")).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     ranked = stage(shared.withColumn("place", F.col("at") - F.coalesce(before, F.lit(0))), "jaccard-ranked")
+    drop_finished_shuffles(shared.sparkSession)
     hits = ranked.where("frequent").groupBy("id", "n").agg(F.count("*").alias("hits"))
     prefix = F.expr(f"n - cast(ceil({percent} * n / 100) as long) + 1")
     pool = F.least(F.col("n"), F.floor(prefix * 9 / 8) + 4)
@@ -292,7 +296,9 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     pools = leads.select("id", "n", F.posexplode("pool").alias("at", "bucket"))
     counts = stage(pools.groupBy("bucket").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
                    .select("bucket", (F.col("n_sets") > FREQUENT).alias("frequent")), "jaccard-counts")
+    drop_finished_shuffles(documents.sparkSession)
     shared = stage(pools.join(counts, "bucket"), "jaccard-shared")
+    drop_finished_shuffles(documents.sparkSession)
     prefix, short = frequent_last(shared, percent)
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     # Where frequent shingles fill the pool, the whole set is put into the global order.
@@ -304,6 +310,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
         rest = ordered.withColumn("rank", rank).where(F.expr(f"rank <= n - cast(ceil({percent} * n / 100) as long) + 1")).select("id", "bucket")
         prefix = prefix.join(few, "id", "left_anti").unionByName(rest)
     buckets = shared_buckets(prefix, "jaccard")
+    discard(shared)
     linked = link(buckets, trie_test(texts, leads, width, percent), block_test(texts, leads, width, percent), "jaccard")
     linked = stage(linked, "jaccard-linked")
     place = member.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component_id"))
@@ -313,10 +320,13 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
-    """`documents` with only the lowest doc_id of each component; rows with a NULL id stay."""
+    """`documents` with only the lowest doc_id of each component, and fully repeated rows once; rows with a NULL id stay.
+
+    Columns of any other name are kept as they are.
+    """
     place = jaccard_components(documents, **how)
-    drop = stage(place.where("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "jaccard-dropped")
-    return documents.join(drop, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    drop = stage(place.where("component_id < doc_id").select(F.col("doc_id").alias(_DROPPED)).distinct(), "jaccard-dropped")
+    return remove_duplicates(documents.join(drop, F.col("doc_id") == F.col(_DROPPED), "left_anti"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

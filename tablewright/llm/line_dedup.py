@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import chunks, column, read, texts_of
 from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
-from tablewright.sources.staging import stage
+from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Characters of a shingle; a shorter line is one shingle.
 CHARS = 5
 PERCENT = 80
 #: Signature: BANDS bands of ROWS minima each. Lines with a similarity of 0.8 share a band with a chance of 0.998, of 0.3 with 0.09.
 BANDS, ROWS = 12, 4
-#: Keys that are broadcast at most when lines are read again; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Different lines a task remembers to have signed; beyond, it signs some again.
+KNOWN_LINES = 5_000_000
+#: Shingles by which sizes and overlaps of hashed sets may be off: what they rule out is ruled out for certain.
+SLACK = 3
+#: Pairs whose hashed sets are compared at once.
+PAIRS = 2000
+_DOC, _TEXT, _LOST = "__lines_doc", "__lines_text", "__lines_lost"
 #: Rows of small pairs of blocks that one call takes.
 LOT_ROWS = 1024
 
@@ -30,7 +35,7 @@ def _factors() -> np.ndarray:
 
 
 def shingle_hashes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all lines' shingles, line by line, and where each line begins.
+    """64-bit hashes of all lines' shingles, line by line, and where each line begins.
 
     Runs of doubled length are hashed from two halves that may overlap; a shorter line is filled up to one shingle.
     """
@@ -50,12 +55,47 @@ def shingle_hashes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray
     for i in range(1, chars):
         inside[ends - i] = False
     counts = lengths - (chars - 1)
-    return (value[inside[:len(value)]] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))[:-1]
+    return value[inside[:len(value)]], np.concatenate(([0], np.cumsum(counts)))[:-1]
+
+
+def hashed_sets(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit hashes of the different shingles of each line, line by line, and where each line begins (one more at the end).
+
+    Shingles that share a hash count once: sizes and overlaps may be a little off, see `SLACK`.
+    """
+    values, first = shingle_hashes(lines, chars)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(values))))
+    keys = (owner << np.uint64(40)) | (values >> np.uint64(24))
+    keys.sort()
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    return keys & np.uint64((1 << 40) - 1), np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(40))
+
+
+def may_be_similar(left: list[str], right: list[str], chars: int, percent: int) -> np.ndarray:
+    """Which pairs of lines may have similar shingle sets; none that has is left out."""
+    place: dict[str, int] = {}
+    a = np.array([place.setdefault(x, len(place)) for x in left])
+    b = np.array([place.setdefault(x, len(place)) for x in right])
+    values, at = hashed_sets(list(place), chars)
+    size = np.diff(at)
+
+    def of_pairs(rows: np.ndarray) -> np.ndarray:
+        """Hashes of one side of every pair, each with the pair's number before it."""
+        n = size[rows]
+        begin = np.repeat(at[rows] - np.concatenate(([0], np.cumsum(n)))[:-1], n)
+        return (np.repeat(np.arange(len(rows), dtype=np.uint64), n) << np.uint64(40)) | values[begin + np.arange(n.sum())]
+
+    both = np.concatenate((of_pairs(a), of_pairs(b)))
+    both.sort()
+    shared = both[1:][both[1:] == both[:-1]] >> np.uint64(40)
+    common = np.bincount(shared.astype(np.int64), minlength=len(a))
+    return 100 * (common + SLACK) >= percent * (size[a] + size[b] - common - SLACK)
 
 
 def signatures(lines: list[str], chars: int = CHARS) -> np.ndarray:
     """Band keys (lines x BANDS) of non-empty lines."""
     values, first = shingle_hashes(lines, chars)
+    values = (values >> np.uint64(32)).astype(np.uint32)
     keys = np.zeros((BANDS, len(lines)), dtype=np.uint64)
     mixed = np.empty_like(values)
     for i, factor in enumerate(_factors()):
@@ -66,68 +106,74 @@ def signatures(lines: list[str], chars: int = CHARS) -> np.ndarray:
 
 
 def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
-    """doc_id, line (from 0), id (64-bit hash of the stripped line), bands; of every line that is not blank."""
+    """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, content of every line that is not blank.
+
+    Band keys and text are given where a task meets a line first, and NULL where it comes again.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            docs, texts = column(batch, "doc_id").to_pylist(), texts_of(batch)
+            docs, digests, texts = column(batch, "doc_id").to_pylist(), column(batch, "text_id").to_pylist(), texts_of(batch)
             for lo, hi in chunks(texts, 400_000):
-                owners, places, lines = [], [], []
-                for doc, text in zip(docs[lo:hi], texts[lo:hi]):
+                owners, versions, places, lines = [], [], [], []
+                for doc, digest, text in zip(docs[lo:hi], digests[lo:hi], texts[lo:hi]):
                     for k, line in enumerate(text.split("\n")):
                         if own := line.strip(" \t\r"):
                             owners.append(doc)
+                            versions.append(digest)
                             places.append(k)
                             lines.append(own)
                 if not lines:
                     continue
-                ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), dtype=np.uint64, count=len(lines))
-                keys = signatures(lines, chars)
+                ids = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines]
+                if len(known) > KNOWN_LINES:
+                    known.clear()  # then some lines are given again
+                new = [i for i, own in enumerate(ids) if not (own in known or known.add(own))]
+                first = [lines[i] for i in new]
+                keys = signatures(first, chars) if first else np.zeros((0, BANDS), np.uint64)
+                at = np.full(len(lines), -1)
+                at[new] = np.arange(len(new))
+                take = pa.array(at, mask=at < 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners, pa.int64()), pa.array(places, pa.int32()), pa.array(ids.view(np.int64)),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                    names=["doc_id", "line", "id", "bands"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, line int, id long, bands array<long>")
-
+                    [pa.array(owners, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
+                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())).take(take),
+                     pa.array(first, pa.string()).take(take)],
+                    names=["doc_id", "text_id", "line", "id", "bands", "content"])
 
-def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the lines in `ids`, each once."""
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("raw")).select(F.trim(F.col("raw"), F.lit(" \t\r")).alias("content"))
-    lines = lines.where("content <> ''").select(F.xxhash64("content").alias("id"), "content")
-    sought = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    return lines.join(sought, "id", "left_semi").dropDuplicates(["id"])
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, content string")
 
 
-def shingle_set(text: str, chars: int) -> set[str]:
-    return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
+def with_sizes(lines: DataFrame, chars: int) -> DataFrame:
+    """id, n (size of the shingle set, up to `SLACK`), bands (16 bits of each key), content of lines (id, bands, content)."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = column(batch, "content").to_pylist()
+            sizes = [np.diff(hashed_sets(lines[lo:hi], chars)[1]) for lo, hi in chunks(lines, 400_000)]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(np.concatenate(sizes).astype(np.int32)) if sizes else pa.array([], pa.int32()),
+                                              column(batch, "bands"), column(batch, "content")], names=["id", "n", "bands", "content"])
 
-def line_facts(lines: DataFrame, chars: int) -> DataFrame:
-    """id, size of the shingle set and band keys of lines (id, content)."""
+    return lines.select("id", "bands", "content").mapInArrow(count, "id long, n int, bands array<short>, content string")
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = column(batch, "id"), column(batch, "content").to_pylist()
-            for lo, hi in chunks(texts, 400_000):
-                keys = signatures(texts[lo:hi], chars).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(shingle_set(x, chars)) for x in texts[lo:hi]], pa.int32()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["id", "n", "bands"])
 
-    return lines.mapInArrow(look, "id long, n int, bands array<long>")
+def shingle_set(text: str, chars: int) -> set[str]:
+    return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
 
 
-def jaccard_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
+def jaccard_test(facts: DataFrame, chars: int, percent: int):
     """The pairs (a, b) of line ids whose shingle sets are similar; texts are compared, not signatures."""
 
-    sizes = facts.select("id", "n")
+    sizes, lines = facts.select("id", "n"), facts.select("id", "content")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
         for batch in batches:
-            kept = []
-            for i, (a, b) in enumerate(zip(column(batch, "a_text").to_pylist(), column(batch, "b_text").to_pylist())):
+            kept, left, right = [], column(batch, "a_text").to_pylist(), column(batch, "b_text").to_pylist()
+            likely = [may_be_similar(left[k:k + PAIRS], right[k:k + PAIRS], chars, percent) for k in range(0, len(left), PAIRS)]
+            for i in np.flatnonzero(np.concatenate(likely)).tolist() if likely else ():
+                a, b = left[i], right[i]
                 if a != last:
                     last, last_set = a, shingle_set(a, chars)
                 other = shingle_set(b, chars)
@@ -139,13 +185,13 @@ def jaccard_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
     def test(pairs: DataFrame) -> DataFrame:
         left, right = lines.toDF("a", "a_text"), lines.toDF("b", "b_text")
         near = (pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
-                .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b"))
+                .where(100 * (F.least("a_n", "b_n") + SLACK) >= percent * (F.greatest("a_n", "b_n") - SLACK)).select("a", "b"))
         return near.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
     return test
 
 
-def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
+def block_test(facts: DataFrame, chars: int, percent: int):
     """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far.
 
     Of a pair of blocks, lines that share a band and may be similar by their sizes are compared.
@@ -156,7 +202,7 @@ def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
         alone = group["i"][0] == group["j"][0]
         left, right = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         n, part = group["n"].astype(np.int64), group["part"]
-        near = 100 * np.minimum(n[left, None], n[right]) >= percent * np.maximum(n[left, None], n[right])
+        near = 100 * (np.minimum(n[left, None], n[right]) + SLACK) >= percent * (np.maximum(n[left, None], n[right]) - SLACK)
         near &= part[left, None] != part[right]
         if alone:
             near = np.triu(near, 1)
@@ -165,9 +211,14 @@ def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
             return []
         x, y, bands = left[x], right[y], np.stack(group["bands"])
         share = (bands[x] == bands[y]).any(axis=1)
+        x, y, texts = x[share], y[share], group["content"]
+        likely = [may_be_similar(texts[x[k:k + PAIRS]].tolist(), texts[y[k:k + PAIRS]].tolist(), chars, percent) for k in range(0, len(x), PAIRS)]
+        if not likely:
+            return []
+        likely = np.concatenate(likely)
         top, join = united(part.tolist())
-        ids, texts, sets, found = group["id"].tolist(), group["content"], {}, []
-        for a, b in zip(x[share].tolist(), y[share].tolist()):
+        ids, sets, found = group["id"].tolist(), {}, []
+        for a, b in zip(x[likely].tolist(), y[likely].tolist()):
             if top(int(part[a])) == top(int(part[b])):
                 continue
             own, other = (sets[k] if k in sets else sets.setdefault(k, shingle_set(texts[k], chars)) for k in (a, b))
@@ -178,28 +229,38 @@ def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
         return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        return per_pair(blocks(groups, "lines"), [facts, lines], meet, "a long, b long", LOT_ROWS, "lines")
+        return per_pair(blocks(groups, "lines"), [facts], meet, "a long, b long", LOT_ROWS, "lines")
 
     return rest
 
 
 def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All non-blank lines (doc_id, line, id) and those of them to drop, with their component.
+    """All non-blank lines (doc_id, text_id, line, id) and those of them to drop, with their component.
 
-    Of each component of equal or similar lines the first by doc_id, then by place, stays.
+    Of each component of equal or similar lines the first by doc_id, then by place, stays. Rows that share a
+    doc_id are told apart by a hash of their texts.
     """
-    signed = stage(sign_lines(documents, chars), "lines-signed")
-    buckets = shared_buckets(signed.select("id", F.explode("bands").alias("bucket")), "lines")
-    texts = stage(line_texts(documents, stage(buckets.select("id").distinct(), "lines-involved")), "lines-texts")
-    facts = stage(line_facts(texts, chars), "lines-facts")
-    parts = stage(link(buckets, jaccard_test(texts, facts, chars, percent), block_test(texts, facts, chars, percent), "lines"), "lines-components")
-    classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    whole = stage(sign_lines(documents, chars), "lines-signed", "zstd")
+    known = whole.where("bands is not null")
+    signed = stage(whole.select("doc_id", "text_id", "line", "id"), "lines-placed")
+    buckets = shared_buckets(known.select("id", F.explode("bands").alias("bucket")), "lines")
+    involved = stage(buckets.select("id").distinct(), "lines-involved")
+    drop_finished_shuffles(documents.sparkSession)
+    # Enough of a band's key to tell which lines of a block may share it.
+    short = F.transform("bands", lambda x: F.shiftright(x, 48).cast("short"))
+    one_each = known.select("id", short.alias("bands"), "content").join(involved, "id", "left_semi").dropDuplicates(["id"])
+    facts = stage(with_sizes(one_each, chars), "lines-facts", "zstd")
+    # From here on only the places of lines are needed besides.
+    discard(whole)
+    drop_finished_shuffles(documents.sparkSession)
+    parts = stage(link(buckets, jaccard_test(facts, chars, percent), block_test(facts, chars, percent), "lines"), "lines-components")
+    classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("first"), F.count("*").alias("n"))
     classes = stage(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
                     .select("id", F.coalesce("component", "id").alias("component"), "first"), "lines-classes")
     keep = stage(classes.groupBy("component").agg(F.min("first").alias("keep")), "lines-keep")
     places = stage(classes.join(keep, "component").select("id", "component", "keep"), "lines-places")
-    repeated = signed.select("doc_id", "line", "id").join(places, "id")
-    drop = repeated.where(~F.struct("doc_id", "line").eqNullSafe(F.col("keep"))).select("doc_id", "line", "component")
+    repeated = signed.join(places, "id")
+    drop = repeated.where(~F.struct("doc_id", "line", "text_id").eqNullSafe(F.col("keep"))).select("doc_id", "text_id", "line", "component")
     return signed, drop
 
 
@@ -207,26 +268,30 @@ def dedup_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCENT
     """`documents` without repeated or similar lines; documents that lose every line go, too.
 
     Lines end at newlines and are compared without the blanks around them; blank lines stay, and so do
-    documents that have no other lines, NULL texts and rows with a NULL id. Rows that repeat a doc_id lose the
-    lines with the numbers that any of them is to lose. n_chars, where present, follows the text.
+    documents that have no other lines, NULL texts and rows with a NULL id. Rows that share a doc_id are documents
+    of their own unless their texts are equal, too: fully repeated rows lose the same lines. A very long line is
+    one line. Columns of any other name are kept as they are; n_chars, where present, follows the text.
     """
-    usable = documents.where("doc_id is not null")
-    _, drop = dropped_lines(usable, chars, percent)
-    lost = stage(drop.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set("line").alias("lost")), "lines-lost")
-    joined = documents.join(lost, F.col("doc_id").cast("long") == F.col("lost_id"), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lost", i))
-    new = joined.withColumn("text", F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    new = new.where(F.col("lost").isNull() | (F.trim(F.col("text"), F.lit(" \t\r\n")) != "")).drop("lost", "lost_id")
+    _, drop = dropped_lines(documents.where("doc_id is not null"), chars, percent)
+    lost = stage(drop.groupBy(F.col("doc_id").alias(_DOC), F.col("text_id").alias(_TEXT)).agg(F.collect_set("line").alias(_LOST)), "lines-lost")
+    joined = documents.join(lost, (F.col("doc_id").cast("long") == F.col(_DOC)) & (F.xxhash64("text") == F.col(_TEXT)), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(_LOST, i))
+    new = joined.withColumn("text", F.when(F.col(_LOST).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    new = new.where(F.col(_LOST).isNull() | (F.trim(F.col("text"), F.lit(" \t\r\n")) != ""))
     if "n_chars" in documents.columns:
         new = new.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return new.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op2_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, lines (not blank), kept, dropped (their numbers), of every document with a line."""
-    signed, drop = dropped_lines(read(spark, folder, "documents").where("doc_id is not null"))
-    marked = signed.groupBy("doc_id").agg(F.count("*").alias("lines"))
-    lost = drop.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    return marked.join(lost, "doc_id", "left").select(
+    """doc_id, lines (not blank), kept, dropped (their numbers), of every document; repeated ids once for each text."""
+    documents = read(spark, folder, "documents").where("doc_id is not null")
+    signed, drop = dropped_lines(documents)
+    key = ["doc_id", "text_id"]
+    every = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id")).distinct()
+    marked = signed.select(*key, "line").distinct().groupBy(*key).agg(F.count("*").alias("lines"))
+    lost = drop.groupBy(*key).agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    found = every.join(marked, key, "left").join(lost, key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    return found.select(
         "doc_id", "lines", (F.col("lines") - F.coalesce(F.size("dropped"), F.lit(0))).alias("kept"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

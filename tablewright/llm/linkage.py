@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.sources.staging import stage
+from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Items of a block; two blocks meet in one task.
 BLOCK = 256
@@ -28,13 +28,20 @@ def shared_buckets(keys: DataFrame, label: str) -> DataFrame:
     what copies were made from does, so that few items stay unlinked to it. Counting combines before the shuffle, and its result is staged, so that a frequent bucket's
     rows may be split in the join.
     """
-    several = stage(keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-                    .where("first < last").select("bucket", "n"), f"{label}-buckets")
-    rows = stage(keys.join(several, "bucket").distinct(), f"{label}-rows")
-    met = stage(rows.groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
+    spark = keys.sparkSession
+    several = stage(keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                    .where("first < last").select("bucket"), f"{label}-buckets")
+    drop_finished_shuffles(spark)
+    whole = rows = stage(keys.join(several, "bucket").distinct(), f"{label}-rows")
+    drop_finished_shuffles(spark)
+    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")), f"{label}-sizes")
+    met = stage(rows.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
     rows = rows.join(met, "id").select("bucket", "id", "met")
     hubs = stage(rows.groupBy("bucket").agg(F.max(F.struct("met", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub")), f"{label}-hub-of")
-    return stage(rows.join(hubs, "bucket"), f"{label}-shared")
+    shared = stage(rows.join(hubs, "bucket"), f"{label}-shared")
+    discard(several, whole, sizes, met, hubs)
+    drop_finished_shuffles(spark)
+    return shared
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -132,12 +139,16 @@ def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callab
     """
     pairs = shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     links = stage(test(pairs), f"{label}-links")
+    drop_finished_shuffles(links.sparkSession)
     parts = stage(components(links, label), f"{label}-parts")
     member = shared.select("hub", "id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "hub", "id", F.coalesce("component", "id").alias("part"))
     member = stage(member.where("id <> hub"), f"{label}-member")
     mixed = stage(member.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub"), f"{label}-mixed")
+    # What has run meanwhile is known to be finished by now.
+    drop_finished_shuffles(links.sparkSession)
     more = stage(rest(member.join(mixed, "hub")), f"{label}-more")
+    drop_finished_shuffles(more.sparkSession)
     if more.isEmpty():
         return parts
     return stage(components(parts.toDF("a", "b").unionByName(more), label), f"{label}-parts")

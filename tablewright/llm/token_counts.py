@@ -171,7 +171,9 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
                      pa.array([x[1] for x in leaves], pa.list_(pa.int32()))], names=["doc_id", "text", "edits", "chars", "tokens"])
 
     edits = "array<struct<at:int,drop:int,put:string>>"
-    named = documents if "edits" in documents.columns else documents.withColumn("edits", F.lit(None).cast(edits))
+    # A column of that name that holds no edits is another one.
+    own = dict(documents.dtypes).get("edits", "")
+    named = documents if own.startswith("array<struct<at:") else documents.withColumn("edits", F.lit(None).cast(edits))
     return (named.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(edits).alias("edits"))
             .mapInArrow(build, f"doc_id long, text string, edits {edits}, chars array<int>, tokens array<int>"))
 
@@ -207,9 +209,9 @@ def apply_edits(counted: DataFrame, path: str | None = None) -> DataFrame:
 
 def with_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """`documents` with their edits from a table (doc_id, turn, at, drop, put), in the order of turn."""
-    listed = edits.groupBy(F.col("doc_id").alias("edited_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "at", "drop", "put"))).alias("own"))
-    return (documents.join(listed, F.col("doc_id") == F.col("edited_id"), "left")
-            .withColumn("edits", F.transform("own", lambda x: F.struct(x["at"].alias("at"), x["drop"].alias("drop"), x["put"].alias("put")))).drop("own", "edited_id"))
+    listed = edits.groupBy(F.col("doc_id").alias("__edited_doc")).agg(F.sort_array(F.collect_list(F.struct("turn", "at", "drop", "put"))).alias("__edits"))
+    return (documents.join(listed, F.col("doc_id") == F.col("__edited_doc"), "left")
+            .withColumn("edits", F.transform("__edits", lambda x: F.struct(x["at"].alias("at"), x["drop"].alias("drop"), x["put"].alias("put")))).drop("__edits", "__edited_doc"))
 
 
 def op8_edit_token_counts(spark: SparkSession, folder: str) -> DataFrame:

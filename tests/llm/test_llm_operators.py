@@ -309,3 +309,53 @@ def test_pipeline_stages_take_odd_rows(spark, docs, tmp_path):
     kept = {r.doc_id for r in rows}
     assert {1, 7, 8, 12} <= kept and not kept & {2, 4, 5, 6, 9, 10, 11}
     assert [r.doc_id for r in rows if r.doc_id == 7] and {r.length for r in rows if r.doc_id == 8} == {3}
+
+
+def test_hashed_sets_rule_out_nothing_similar():
+    draw = random.Random(4)
+    lines = ["".join(draw.choice("abcdef ") for _ in range(draw.randrange(1, 90))) for _ in range(300)]
+    edited = ["".join(c if draw.random() > 0.03 else draw.choice("xyz") for c in x) for x in lines]
+    for right in (edited, lines[::-1]):
+        likely = line_dedup.may_be_similar(lines, right, 5, 80)
+        for a, b, kept in zip(lines, right, likely):
+            x, y = line_dedup.shingle_set(a, 5), line_dedup.shingle_set(b, 5)
+            similar = 100 * len(x & y) >= 80 * len(x | y)
+            assert kept or not similar
+    values, at = line_dedup.hashed_sets(lines, 5)
+    assert np.diff(at).tolist() == [len(line_dedup.shingle_set(x, 5)) for x in lines]
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, lost string, lost_id string, line int, dropped_id int, dirty_id int, own int, edits string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "l", "i", 1, 2, 3, 4, "e") for i, t in rows], CLASH)
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark, docs):
+    shared = "some shared boilerplate line that many documents have in common"
+    rows = [(1, shared), (2, shared + "\nown line of the first text with this number, quite long"),
+            (2, "totally unique sentence that must never be lost\nsecond line of it, which is also its own"), (3, "alone"), (4, ""), (5, None)]
+    df = clashing(spark, rows)
+    kept = line_dedup.dedup_lines(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id < 5").collect()) == sorted(
+        [rows[0], (2, rows[1][1].split("\n")[1]), rows[2], rows[3], rows[4]])
+    assert kept.where("doc_id = 5").count() == 1
+
+
+def test_repeated_rows_are_one_document(spark, docs):
+    rows = [(7, text(21, 60))] * 3 + [(8, text(22, 60)), (9, text(22, 60))] + [(10, None)] * 2
+    left = jaccard_join.one_of_each(line_dedup.dedup_lines(clashing(spark, rows)))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([rows[0], rows[3], (10, None)], key=lambda x: x[0])
+
+
+def test_columns_of_clashing_names_pass_through(spark, docs):
+    df = clashing(spark, [(1, text(31, 90)), (2, text(32, 90)), (3, text(31, 90) + " " + text(33, 40)), (None, "x")])
+    items = spark.createDataFrame([(1, text(33, 40))], "item_id long, text string")
+    clean = decontamination.decontaminate(df, items)
+    assert clean.columns == df.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 1, 2]
+    assert jaccard_join.one_of_each(df).count() == 4 and line_dedup.dedup_lines(df).columns == df.columns
+    assert token_counts.count_tokens(df).count() == 4
+    edits = spark.createDataFrame([(1, 1, 0, 1, "Z")], "doc_id long, turn int, at int, drop int, put string")
+    assert token_counts.apply_edits(token_counts.count_tokens(token_counts.with_edits(df, edits))).where("encoded > 0").count() == 1
