@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATH = "_tablewright_path"
+# Spark's listeners hold what a finished query refers to for a moment.
+SETTLE_SECONDS = 0.5
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a local one only where that is unset and Spark runs in one process."""
@@ -24,16 +30,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write as Parquet and read back: short lineage, columnar re-reads, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     names = df.columns
     # Positional names on disk: raw headers may hold characters Parquet rejects.
-    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
-    return spark.read.schema(
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.option("compression", compression).parquet(path)
+    staged = spark.read.schema(
         df.toDF(*[f"c{i}" for i in range(len(names))]).schema
     ).parquet(path).toDF(*names)
+    setattr(staged, _PATH, path)
+    return staged
+
+
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are staged.
+
+    Spark does so when the driver's JVM collects what referred to them, which a long job with a large
+    heap may not come to before disks are full. For steps that shuffle as much as the input or more.
+    """
+    gc.collect()
+    time.sleep(SETTLE_SECONDS)
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes tables that `stage` has returned and nothing reads any more, wherever the shared folder is."""
+    for df in staged:
+        spark, path = df.sparkSession, getattr(df, _PATH)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
