@@ -23,6 +23,8 @@ BANDS, ROWS = 12, 4
 KNOWN_LINES = 5_000_000
 #: Shingles by which sizes and overlaps of hashed sets may be off: what they rule out is ruled out for certain.
 SLACK = 3
+#: Minima of BANDS * ROWS that two lines of a block share at least to be compared: at a similarity of 0.8 fewer come once in 50,000 pairs.
+AGREE = 26
 #: Pairs whose hashed sets are compared at once.
 PAIRS = 2000
 _DOC, _TEXT, _LOST = "__lines_doc", "__lines_text", "__lines_lost"
@@ -92,23 +94,26 @@ def may_be_similar(left: list[str], right: list[str], chars: int, percent: int)
     return 100 * (common + SLACK) >= percent * (size[a] + size[b] - common - SLACK)
 
 
-def signatures(lines: list[str], chars: int = CHARS) -> np.ndarray:
-    """Band keys (lines x BANDS) of non-empty lines."""
+def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (lines x BANDS) and sketches (lines x BANDS * ROWS: a byte of each minimum) of non-empty lines."""
     values, first = shingle_hashes(lines, chars)
     values = (values >> np.uint64(32)).astype(np.uint32)
     keys = np.zeros((BANDS, len(lines)), dtype=np.uint64)
+    sketch = np.empty((len(lines), BANDS * ROWS), dtype=np.uint8)
     mixed = np.empty_like(values)
     for i, factor in enumerate(_factors()):
         np.multiply(values, factor, out=mixed)
         band = i // ROWS
-        keys[band] = (keys[band] ^ np.minimum.reduceat(mixed, first)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
-    return np.ascontiguousarray(keys.T)
+        least = np.minimum.reduceat(mixed, first)
+        sketch[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        keys[band] = (keys[band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+    return np.ascontiguousarray(keys.T), sketch
 
 
 def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
-    """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, content of every line that is not blank.
+    """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, sketch, content of every line that is not blank.
 
-    Band keys and text are given where a task meets a line first, and NULL where it comes again.
+    Band keys, sketch and text are given where a task meets a line first, and NULL where it comes again.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,31 +136,31 @@ def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
                     known.clear()  # then some lines are given again
                 new = [i for i, own in enumerate(ids) if not (own in known or known.add(own))]
                 first = [lines[i] for i in new]
-                keys = signatures(first, chars) if first else np.zeros((0, BANDS), np.uint64)
+                keys, sketch = signatures(first, chars) if first else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8))
                 at = np.full(len(lines), -1)
                 at[new] = np.arange(len(new))
                 take = pa.array(at, mask=at < 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(owners, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
                      pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())).take(take),
-                     pa.array(first, pa.string()).take(take)],
-                    names=["doc_id", "text_id", "line", "id", "bands", "content"])
+                     pa.array([x.tobytes() for x in sketch], pa.binary()).take(take), pa.array(first, pa.string()).take(take)],
+                    names=["doc_id", "text_id", "line", "id", "bands", "sketch", "content"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, content string")
+    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, sketch binary, content string")
 
 
 def with_sizes(lines: DataFrame, chars: int) -> DataFrame:
-    """id, n (size of the shingle set, up to `SLACK`), bands (16 bits of each key), content of lines (id, bands, content)."""
+    """id, n (size of the shingle set, up to `SLACK`), sketch, content of lines (id, sketch, content)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = column(batch, "content").to_pylist()
             sizes = [np.diff(hashed_sets(lines[lo:hi], chars)[1]) for lo, hi in chunks(lines, 400_000)]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(np.concatenate(sizes).astype(np.int32)) if sizes else pa.array([], pa.int32()),
-                                              column(batch, "bands"), column(batch, "content")], names=["id", "n", "bands", "content"])
+                                              column(batch, "sketch"), column(batch, "content")], names=["id", "n", "sketch", "content"])
 
-    return lines.select("id", "bands", "content").mapInArrow(count, "id long, n int, bands array<short>, content string")
+    return lines.select("id", "sketch", "content").mapInArrow(count, "id long, n int, sketch binary, content string")
 
 
 def shingle_set(text: str, chars: int) -> set[str]:
@@ -194,10 +199,12 @@ def jaccard_test(facts: DataFrame, chars: int, percent: int):
 def block_test(facts: DataFrame, chars: int, percent: int):
     """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far.
 
-    Of a pair of blocks, lines that share a band and may be similar by their sizes are compared.
+    A first pass over the blocks, with sizes and sketches, finds the lines that a line of another part may be
+    similar to; only those meet again with their texts.
     """
 
-    def meet(group: dict[str, np.ndarray]) -> list[tuple]:
+    def candidates(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of the two blocks (or of the one) from different parts that may be similar."""
         side = group["side"]
         alone = group["i"][0] == group["j"][0]
         left, right = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -206,12 +213,17 @@ def block_test(facts: DataFrame, chars: int, percent: int):
         near &= part[left, None] != part[right]
         if alone:
             near = np.triu(near, 1)
+        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(side), -1)
+        near &= sum((sketch[left, k][:, None] == sketch[right, k]).astype(np.uint8) for k in range(sketch.shape[1])) >= AGREE
         x, y = np.nonzero(near)
-        if not len(x):
-            return []
-        x, y, bands = left[x], right[y], np.stack(group["bands"])
-        share = (bands[x] == bands[y]).any(axis=1)
-        x, y, texts = x[share], y[share], group["content"]
+        return left[x], right[y]
+
+    def hope(group: dict[str, np.ndarray]) -> list[tuple]:
+        places = np.unique(np.concatenate(candidates(group)))
+        return list(zip(group["hub"][places].tolist(), group["id"][places].tolist(), group["part"][places].tolist()))
+
+    def meet(group: dict[str, np.ndarray]) -> list[tuple]:
+        (x, y), texts, part = candidates(group), group["content"], group["part"]
         likely = [may_be_similar(texts[x[k:k + PAIRS]].tolist(), texts[y[k:k + PAIRS]].tolist(), chars, percent) for k in range(0, len(x), PAIRS)]
         if not likely:
             return []
@@ -229,7 +241,11 @@ def block_test(facts: DataFrame, chars: int, percent: int):
         return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        return per_pair(blocks(groups, "lines"), [facts], meet, "a long, b long", LOT_ROWS, "lines")
+        small = facts.select("id", "n", "sketch")
+        open_rows = per_pair(blocks(groups, "lines"), [small], hope, "hub long, id long, part long", LOT_ROWS, "lines")
+        open_rows = stage(open_rows.distinct(), "lines-open")
+        drop_finished_shuffles(facts.sparkSession)
+        return per_pair(blocks(open_rows, "lines"), [facts], meet, "a long, b long", LOT_ROWS, "lines")
 
     return rest
 
@@ -246,9 +262,7 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     buckets = shared_buckets(known.select("id", F.explode("bands").alias("bucket")), "lines")
     involved = stage(buckets.select("id").distinct(), "lines-involved")
     drop_finished_shuffles(documents.sparkSession)
-    # Enough of a band's key to tell which lines of a block may share it.
-    short = F.transform("bands", lambda x: F.shiftright(x, 48).cast("short"))
-    one_each = known.select("id", short.alias("bands"), "content").join(involved, "id", "left_semi").dropDuplicates(["id"])
+    one_each = known.select("id", "sketch", "content").join(involved, "id", "left_semi").dropDuplicates(["id"])
     facts = stage(with_sizes(one_each, chars), "lines-facts", "zstd")
     # From here on only the places of lines are needed besides.
     discard(whole)
