@@ -299,6 +299,14 @@ def test_iqr_outliers_and_their_treatment(spark):
     assert outliers.outlier_action_counts(df, bounds, "remove") == {"salary": 1}
 
 
+def test_action_counts_of_a_column_without_outliers(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(10)] + [(None,)], "salary double")
+    assert outliers.detect_outliers(df) == [] and outliers.outlier_action_counts(df, [], "cap") == {}
+    assert outliers.outlier_action_counts(df, [], "cap", columns=["salary"]) == {"salary": 1}
+    assert outliers.outlier_action_counts(df, [], "cap", null_is_change=False, columns=["salary"]) == {"salary": 0}
+    assert outliers.outlier_action_counts(df, [], "remove", columns=["salary"]) == {"salary": 0}
+
+
 def test_columns_without_outlier_rule(spark):
     df = spark.createDataFrame([(1.0, float(i % 2), 5.0 if i < 9 else 6.0 + i) for i in range(10)], "c double, two double, flat double")
     assert outliers.detect_outliers(df) == []
