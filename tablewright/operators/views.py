@@ -13,9 +13,11 @@ from tablewright.sources.staging import stage
 
 HEAD_ROWS = 20
 PAGE_ROWS = 15
-# Rows of a range of a page directory: what is sorted for a page.
+# Rows of a range of a page directory: what is sorted for a page. A task deals out that many, in one or more ranges.
 RANGE_ROWS = 1_000_000
-_RANGE = "__page_range"
+_RANGE, _AT = "__page_range", "__page_at"
+# `monotonically_increasing_id` holds the task above this bit, the row's place in it below.
+_TASK_BIT = 33
 
 
 def head(df: DataFrame, order_by: Sequence[str], rows: int = HEAD_ROWS) -> DataFrame:
@@ -47,19 +49,29 @@ class PageDirectory:
         first = (number - 1) * size
         holding = self.starts.where(f"first < {first + size} and first + rows > {first}").orderBy("range").collect()
         skipped = first - holding[0]["first"] if holding else 0
-        here = self.ranges.where(F.col(_RANGE).isin([r["range"] for r in holding]))
+        here = self.ranges.where(F.col(_RANGE).between(holding[0]["range"], holding[-1]["range"]) if holding else F.lit(False))
         return here.orderBy(*[F.expr(k) for k in self.keys]).offset(skipped).limit(size).select(*[q(c) for c in self.columns])
 
 
 def page_directory(df: DataFrame, order_by: Sequence[str], rows_per_range: int = RANGE_ROWS) -> PageDirectory:
-    """Rows dealt to ranges by `order_by` and, where that is equal, by a hash of the row."""
+    """Rows dealt to ranges by `order_by` and, where that is equal, by a hash of the row.
+
+    The number of tasks goes by `RANGE_ROWS`, however short the ranges are: each task sorts its rows and cuts
+    them, so what the driver hears of samples and tasks does not grow with the number of ranges.
+    """
     row = f"xxhash64({', '.join(q(c) for c in df.columns)})"
     keys = (*[q(c) for c in order_by], row)
-    ranges = max(1, -(-df.count() // rows_per_range))
-    dealt = df.repartitionByRange(ranges, *[F.expr(k) for k in keys]).withColumn(_RANGE, F.spark_partition_id())
+    tasks = max(1, -(-df.count() // max(RANGE_ROWS, rows_per_range)))
+    in_order = [F.expr(k) for k in keys]
+    placed = df.repartitionByRange(tasks, *in_order).sortWithinPartitions(*in_order).withColumn(_AT, F.monotonically_increasing_id())
+    task, place = f"shiftright({_AT}, {_TASK_BIT})", f"({_AT} & {(1 << _TASK_BIT) - 1}L)"
+    dealt = placed.selectExpr("*", f"shiftleft({task}, {_TASK_BIT}) + {place} div {rows_per_range} as {_RANGE}").drop(_AT)
     dealt = stage(dealt, "page-ranges")
-    counts = dealt.groupBy(_RANGE).agg(F.count("*").alias("rows"))  # one row a range
-    starts = counts.selectExpr(f"{_RANGE} as range", "rows", f"sum(rows) over (order by {_RANGE}) - rows as first")
+    counts = stage(dealt.groupBy(_RANGE).agg(F.count("*").alias("rows")), "page-counts")  # one row a range
+    counts = counts.selectExpr(f"{_RANGE} as range", "rows", f"shiftright({_RANGE}, {_TASK_BIT}) as task")
+    per_task = counts.groupBy("task").agg(F.sum("rows").alias("n")).selectExpr("task", "sum(n) over (order by task) - n as before")
+    starts = counts.join(F.broadcast(per_task), "task").selectExpr(
+        "range", "rows", f"before + (range & {(1 << _TASK_BIT) - 1}L) * {rows_per_range} as first")
     return PageDirectory(dealt, stage(starts, "page-starts"), keys, tuple(df.columns))
 
 

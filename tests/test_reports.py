@@ -304,6 +304,22 @@ def test_deep_pages_read_only_their_ranges(spark):
     assert sorted(pages) == list(range(5000))  # equal keys fall on one page only
 
 
+def test_short_ranges_take_no_tasks_of_their_own(spark):
+    df = spark.range(5000).selectExpr("id % 700 as k", "id").repartition(6)
+    directory = views.page_directory(df, ["k"], rows_per_range=10)
+    assert directory.starts.count() == 500 and len(directory.ranges.inputFiles()) == 1
+    assert directory.page(400, 7).collect() == df.selectExpr("*", "xxhash64(k, id) as h").orderBy("k", "h").drop("h").collect()[2793:2800]
+
+
+def test_ranges_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "RANGE_ROWS", 1000)
+    df = spark.range(5000).selectExpr("id % 700 as k", "id").repartition(6)
+    directory = views.page_directory(df, ["k"], rows_per_range=30)
+    want = df.selectExpr("*", "xxhash64(k, id) as h").orderBy("k", "h").drop("h").collect()
+    for number, size in ((1, 15), (66, 15), (67, 15), (3, 1000), (334, 15), (400, 15)):
+        assert directory.page(number, size).collect() == want[(number - 1) * size:number * size], number
+
+
 def test_search_and_pages(spark):
     df = spark.range(40).selectExpr("id", "concat('Row ', id) as name", "cast(null as string) as gap")
     assert views.search(df, "ROW 3[0-2]").count() == 3 and views.search(df, "").count() == 40
