@@ -5,7 +5,7 @@ import pytest
 from tablewright.functions.dates import looks_like_date, parse_timestamp, wall_clock
 from tablewright.functions.names import date_prefix, find_column, is_nonstandard, snake_names
 from tablewright.functions.numbers import bin_right, looks_money_percent, parse_money_percent, round2, round_scalar
-from tablewright.functions.text import map_values, null_tokens_to_null, parse_boolean, title_case, trim_text
+from tablewright.functions.text import is_token, map_values, null_tokens_to_null, parse_boolean, title_case, trim_text
 
 
 def column(spark, values, expression, dtype="string"):
@@ -120,3 +120,12 @@ def test_rounding(spark):
 
 def test_bins_are_right_closed(spark):
     assert column(spark, [2.0, 2.1, 9.0, None], bin_right("x", (2, 5), ("a", "b", "c")), "double") == ["a", "b", "c", None]
+
+
+def test_first_characters_rule_out_no_number(spark):
+    starts = [" ", "\t", "\x0b", "\xa0", " ", " ", "$", "₹", ",", "%", "+", "-", ".", "7", ""]
+    assert column(spark, [s + "5" for s in starts] + ["x5", "", None, "Kk"], looks_money_percent("x")) == [True] * 15 + [False, False, None, False]
+
+
+def test_tokens_by_length(spark):
+    assert column(spark, ["FALSE", "falsely", "T", "", None], is_token("x", ("true", "t", "false"))) == [True, False, True, False, None]

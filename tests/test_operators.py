@@ -320,3 +320,29 @@ def test_zscore(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     (found,) = outliers.detect_outliers(df, "zscore")
     assert found.outlier_count == 1 and found.upper == round(np.mean(xs) + 1.5 * np.std(xs, ddof=1), 2)
+
+
+# --- scale of a cleaning run -------------------------------------------------------
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_a_run_reads_its_source_once_and_keeps_one_of_equal_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "MAX_BROADCAST_HASHES", most)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            reads.add(1)
+            yield r
+
+    rows = [(i % 40, f"${i % 40}.5", None if i % 4 else "a") for i in range(60)]
+    source = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).mapPartitions(seen), "id int, price string, kind string")
+    result = clean_data(source)
+    assert reads.value == 60
+    assert result.table.count() == 40 and result.duplicates_removed == 20 and result.initial_shape == (60, 3)
+    assert reads.value == 60
+
+
+def test_long_methods_are_allowed_again_after_a_run(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    clean_data(spark.createDataFrame([(1, "a")], "id int, kind string"))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
