@@ -327,3 +327,13 @@ def test_search_and_pages(spark):
     assert [r["id"] for r in third] == list(range(30, 40))
     assert [r["id"] for r in views.page_after(df, {"id": 29}, ["id"]).collect()] == list(range(30, 40))
     assert views.page_info(df, 3).first() == (40, 3, "Showing rows 31 to 40 of 40 rows")
+
+
+def test_missing_chart_looks_at_nothing_but_missing_values(spark):
+    from tablewright.operators.chartdata import missing_chart
+
+    raw = spark.createDataFrame([("a", None, float("nan")), (None, None, 1.0), ("b", "x", 2.0)], "A string, `B c` string, d double")
+    clean = spark.createDataFrame([("a", "u", 0.0), (None, "u", 1.0), ("b", "x", 2.0)], "a string, b_c string, d double")
+    chart = missing_chart(raw, clean)
+    assert [tuple(r) for r in chart.collect()] == [("B c", 2, 0), ("A", 1, 1), ("d", 1, 0)]
+    assert "RLIKE" not in chart._jdf.queryExecution().toString()
