@@ -9,6 +9,7 @@ from catalog.registry import query
 from catalog.shared import enriched
 from tablewright.functions.names import find_column
 from tablewright.functions.numbers import bin_right
+from tablewright.functions.sql import q, rows_of
 from tablewright.operators import features as FE
 from tablewright.operators.analytics import CATEGORY_KEYS, REVENUE_KEYS
 
@@ -159,14 +160,16 @@ def fe_all(spark, folder):
  union all select 'price', 'unit_price', count("Unit Price") from d_sales
  union all select 'quantity', 'quantity', count("Quantity") from d_sales""")
 def find_col(spark, folder):
+    """Types are fitted and values counted once a table, for all roles looked for in it."""
     out = None
-    for name, role, keys in (
-        ("d_ledger", "revenue", REVENUE_KEYS), ("d_ledger", "category", CATEGORY_KEYS), ("d_sales", "category", CATEGORY_KEYS),
-        ("d_sales", "price", FE.PRICE_KEYS), ("d_sales", "quantity", FE.QUANTITY_KEYS),
+    for name, roles in (
+        ("d_ledger", {"revenue": REVENUE_KEYS, "category": CATEGORY_KEYS}),
+        ("d_sales", {"category": CATEGORY_KEYS, "price": FE.PRICE_KEYS, "quantity": FE.QUANTITY_KEYS}),
     ):
         rows = typed(spark, folder, name)
-        column = find_column(rows.columns, keys)
-        part = rows.selectExpr(f"'{role}' as role", f"'{column}' as column", f"{column} as x").groupBy("role", "column").agg({"x": "count"})
-        part = part.withColumnRenamed("count(x)", "known")
+        found = {role: find_column(rows.columns, keys) for role, keys in roles.items()}
+        counted = rows.selectExpr(*[f"count({q(column)}) as {role}" for role, column in found.items()])
+        part = counted.selectExpr(rows_of(
+            f"struct('{role}' as role, '{column}' as column, {role} as known)" for role, column in found.items()))
         out = part if out is None else out.unionByName(part)
     return out

@@ -97,3 +97,18 @@ def test_no_numeric_columns(spark):
     df = spark.createDataFrame([("a",)], "x string")
     assert statistical_summary(df).count() == 0
     assert statistical_summary(df).columns == statistical_summary(df.selectExpr("1 as n")).columns
+
+
+def test_find_col_fits_the_types_of_a_table_once(spark, monkeypatch):
+    from catalog import features
+
+    seen = []
+    rows = {
+        "d_ledger": spark.createDataFrame([(1.0, "a"), (None, "b")], "gross_revenue double, business_unit string"),
+        "d_sales": spark.createDataFrame([("a", 1.0, 2.0), (None, None, 1.0)], "product_category string, quantity double, unit_price double"),
+    }
+    monkeypatch.setattr(features, "typed", lambda spark, folder, name: seen.append(name) or rows[name])
+    found = sorted(map(tuple, features.find_col(spark, "").collect()))
+    assert found == [("category", "business_unit", 2), ("category", "product_category", 1), ("price", "unit_price", 2),
+                     ("quantity", "quantity", 1), ("revenue", "gross_revenue", 1)]
+    assert seen == ["d_ledger", "d_sales"]
