@@ -101,8 +101,8 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("id", "text").mapInArrow(whole, "id long, shingles array<long>")
 
 
-def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows (id, bucket) under the order that puts frequent shingles last, and ids whose pool is too short for it.
+def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prefix rows (id, bucket) under the order that puts frequent shingles last, ids whose pool is too short for it, and the staged table of both.
 
     `shared` (id, n, at, bucket, frequent) has a row for each pool shingle that several sets have;
     `at` is its place among the set's hashes, so that the others need no row to be counted.
@@ -114,7 +114,7 @@ def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     prefix = F.expr(f"n - cast(ceil({percent} * n / 100) as long) + 1")
     pool = F.least(F.col("n"), F.floor(prefix * 9 / 8) + 4)
     short = hits.where(pool - F.col("hits") < prefix).select("id")
-    return ranked.where(~F.col("frequent") & (F.col("place") < prefix)).select("id", "bucket"), short
+    return ranked.where(~F.col("frequent") & (F.col("place") < prefix)).select("id", "bucket"), short, ranked
 
 
 class Trie:
@@ -176,6 +176,11 @@ class Trie:
         return found
 
 
+def compact(pools: DataFrame) -> DataFrame:
+    """id, n and the first 31 bits of the pool's hashes: a third of the bytes, in the same order."""
+    return pools.select("id", "n", F.transform("pool", lambda x: F.shiftright(x, 32).cast("int")).alias("pool"))
+
+
 def hopeful(pairs: DataFrame, pools: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose pools do not rule a link out, with a's number of them left.
 
@@ -209,13 +214,16 @@ def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
         ids = stage(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "jaccard-ids")
         sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingles = stage(sets(texts.join(sought, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
+        drop_finished_shuffles(texts.sparkSession)
         counts = stage(left.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).alias("tries")), "jaccard-counts")
         near = left.join(shingles.toDF("b", "shingles"), "b")
         members = near.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tries")).alias("trie"), "shingles")
         probes = counts.join(shingles.toDF("a", "probe"), "a").select(
             "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("trie"), "probe")
-        return (probes.groupBy("a", "trie").cogroup(members.groupBy("a", "trie")).applyInPandas(search, "a long, b long")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        found = stage(probes.groupBy("a", "trie").cogroup(members.groupBy("a", "trie")).applyInPandas(search, "a long, b long")
+                      .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-found")
+        discard(left, ids, shingles, counts)
+        return found
 
     return test
 
@@ -223,8 +231,9 @@ def trie_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
 def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
     """Links that connect what is linked inside groups (hub, id, part).
 
-    A first pass over the blocks, with pools, finds the ids that any other part's id might be linked with; a
-    second one meets their sets in tries and returns links that join parts not joined so far.
+    A first pass over the blocks, with compact pools, finds the ids that any other part's id might be linked with; a
+    second one meets their sets in tries and returns links that join parts not joined so far. Hashes that
+    are equal in a compact pool, or equal to its last, only raise the overlap that is held possible.
     """
 
     def hope(group: dict[str, np.ndarray]) -> list[tuple]:
@@ -232,15 +241,16 @@ def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
         ids, parts, sizes, arrays = (group[c][order].tolist() for c in ("id", "part", "n", "pool"))
         sides = group["side"][order].tolist() if group["i"][0] != group["j"][0] else range(len(ids))
         ends, pool, open_to = [p[-1] for p in arrays], [set(p.tolist()) for p in arrays], [False] * len(ids)
+        twice = [len(p) - len(s) for p, s in zip(arrays, pool)]
         for x in range(len(ids)):
             for y in range(x + 1, len(ids)):
                 if 100 * sizes[x] < percent * sizes[y]:
                     break
                 if parts[x] == parts[y] or sides[x] == sides[y] or (open_to[x] and open_to[y]):
                     continue
-                common = len(pool[x] & pool[y])
+                common = len(pool[x] & pool[y]) + min(twice[x], twice[y])
                 last = min(ends[x], ends[y])
-                most = common + min(sizes[x] - int(np.searchsorted(arrays[x], last, side="right")), sizes[y] - int(np.searchsorted(arrays[y], last, side="right")))
+                most = common + min(sizes[x] - int(np.searchsorted(arrays[x], last)), sizes[y] - int(np.searchsorted(arrays[y], last)))
                 if 100 * most >= percent * (sizes[x] + sizes[y] - most):
                     open_to[x] = open_to[y] = True
         hub = int(group["hub"][0])
@@ -262,12 +272,16 @@ def block_test(texts: DataFrame, pools: DataFrame, width: int, percent: int):
         return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        hopeful = per_pair(blocks(groups, "jaccard"), [pools], hope, "hub long, id long, part long", LOT_ROWS, "jaccard")
+        small = stage(compact(pools).join(groups.select("id").distinct(), "id", "left_semi"), "jaccard-small")
+        hopeful = per_pair(blocks(groups, "jaccard"), [small], hope, "hub long, id long, part long", LOT_ROWS, "jaccard")
         hopeful = stage(hopeful.distinct(), "jaccard-open")
+        discard(small)
         ids = stage(hopeful.select("id").distinct(), "jaccard-ids")
         sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingles = stage(sets(texts.join(sought, "id", "left_semi").dropDuplicates(["id"]), width), "jaccard-sets")
-        return per_pair(blocks(hopeful, "jaccard"), [shingles], meet, "a long, b long", LOT_ROWS, "jaccard")
+        found = per_pair(blocks(hopeful, "jaccard"), [shingles], meet, "a long, b long", LOT_ROWS, "jaccard")
+        discard(ids, shingles)
+        return found
 
     return rest
 
@@ -299,7 +313,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     drop_finished_shuffles(documents.sparkSession)
     shared = stage(pools.join(counts, "bucket"), "jaccard-shared")
     drop_finished_shuffles(documents.sparkSession)
-    prefix, short = frequent_last(shared, percent)
+    prefix, short, ranked = frequent_last(shared, percent)
+    discard(shared)
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     # Where frequent shingles fill the pool, the whole set is put into the global order.
     few = stage(short, "jaccard-short")
@@ -309,10 +324,11 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
         rank = F.row_number().over(Window.partitionBy("id").orderBy("frequent", "bucket"))
         rest = ordered.withColumn("rank", rank).where(F.expr(f"rank <= n - cast(ceil({percent} * n / 100) as long) + 1")).select("id", "bucket")
         prefix = prefix.join(few, "id", "left_anti").unionByName(rest)
-    buckets = shared_buckets(prefix, "jaccard")
-    discard(shared)
+    buckets = shared_buckets([prefix], "jaccard")
+    discard(ranked)
     linked = link(buckets, trie_test(texts, leads, width, percent), block_test(texts, leads, width, percent), "jaccard")
     linked = stage(linked, "jaccard-linked")
+    discard(buckets)
     place = member.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component_id"))
     place = stage(place.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "jaccard-place")
     return signed.select("doc_id", "n_shingles").join(place, "doc_id", "left").select(

@@ -259,7 +259,7 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     whole = stage(sign_lines(documents, chars), "lines-signed", "zstd")
     known = whole.where("bands is not null")
     signed = stage(whole.select("doc_id", "text_id", "line", "id"), "lines-placed")
-    buckets = shared_buckets(known.select("id", F.explode("bands").alias("bucket")), "lines")
+    buckets = shared_buckets([known.select("id", F.explode("bands").alias("bucket"))], "lines")
     involved = stage(buckets.select("id").distinct(), "lines-involved")
     drop_finished_shuffles(documents.sparkSession)
     one_each = known.select("id", "sketch", "content").join(involved, "id", "left_semi").dropDuplicates(["id"])

@@ -9,6 +9,7 @@ component are done, the others are compared across components, block by block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,27 +20,32 @@ from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Items of a block; two blocks meet in one task.
 BLOCK = 256
+#: Rows of blocks that one round moves at least; more rounds are made beyond that and the number of items.
+ROUND_ROWS = 100_000
 
 
-def shared_buckets(keys: DataFrame, label: str) -> DataFrame:
+def shared_buckets(keys: list[DataFrame], label: str) -> DataFrame:
     """Rows (bucket, id, met, hub) of `keys` (id, bucket) whose bucket has two ids at least; staged.
 
+    Tables of `keys` have no bucket in common; they are shuffled one after the other, so that the disk holds one at a time.
     `met` says how many rows share buckets with the id; a bucket's hub is the one that meets most, as
     what copies were made from does, so that few items stay unlinked to it. Counting combines before the shuffle, and its result is staged, so that a frequent bucket's
     rows may be split in the join.
     """
-    spark = keys.sparkSession
-    several = stage(keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-                    .where("first < last").select("bucket"), f"{label}-buckets")
-    drop_finished_shuffles(spark)
-    whole = rows = stage(keys.join(several, "bucket").distinct(), f"{label}-rows")
-    drop_finished_shuffles(spark)
+    spark, whole = keys[0].sparkSession, []
+    for part in keys:
+        several = stage(part.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                        .where("first < last").select("bucket"), f"{label}-buckets")
+        whole.append(stage(part.join(several, "bucket").distinct(), f"{label}-rows"))
+        discard(several)
+        drop_finished_shuffles(spark)
+    rows = reduce(DataFrame.unionByName, whole)
     sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")), f"{label}-sizes")
     met = stage(rows.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
     rows = rows.join(met, "id").select("bucket", "id", "met")
     hubs = stage(rows.groupBy("bucket").agg(F.max(F.struct("met", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub")), f"{label}-hub-of")
     shared = stage(rows.join(hubs, "bucket"), f"{label}-shared")
-    discard(several, whole, sizes, met, hubs)
+    discard(*whole, sizes, met, hubs)
     drop_finished_shuffles(spark)
     return shared
 
@@ -105,7 +111,9 @@ def per_pair(dealt: DataFrame, facts: list[DataFrame], meet: Callable[[dict[str,
     """`meet` on the columns of every pair of blocks (hub, i, j) in `dealt` with its ids' `facts`.
 
     Pairs are handed over in lots of about `rows` rows: most have a few rows, so that a call for each would
-    cost more than its work.
+    cost more than its work. A large group's ids are in many pairs; lots are met in rounds whose rows
+    are no more than there are ids, so that their facts take no more disk than the input does, however
+    groups grow. Its rows are staged.
     """
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
@@ -122,10 +130,19 @@ def per_pair(dealt: DataFrame, facts: list[DataFrame], meet: Callable[[dict[str,
         return pd.DataFrame(found, columns=names, dtype="int64")
 
     dealt = stage(dealt, f"{label}-dealt")
-    lots = dealt.count() // rows + 1
-    for fact in facts:
-        dealt = dealt.join(fact, "id")
-    return dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(lots))).groupBy("lot").applyInPandas(lot, schema)
+    spark, counts = dealt.sparkSession, dealt.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    lots = counts["rows"] // rows + 1
+    rounds = counts["rows"] // max(ROUND_ROWS, counts["ids"]) + 1
+    numbered, met = dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(lots))), []
+    for k in range(rounds):
+        own = numbered.where(F.pmod("lot", F.lit(rounds)) == k)
+        for fact in facts:
+            own = own.join(fact, "id")
+        met.append(stage(own.groupBy("lot").applyInPandas(lot, schema), f"{label}-met"))
+        if rounds > 1:
+            drop_finished_shuffles(spark)
+    discard(dealt)
+    return reduce(DataFrame.unionByName, met)
 
 
 def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
@@ -148,6 +165,7 @@ def link(shared: DataFrame, test: Callable[[DataFrame], DataFrame], rest: Callab
     # What has run meanwhile is known to be finished by now.
     drop_finished_shuffles(links.sparkSession)
     more = stage(rest(member.join(mixed, "hub")), f"{label}-more")
+    discard(member, mixed)
     drop_finished_shuffles(more.sparkSession)
     if more.isEmpty():
         return parts

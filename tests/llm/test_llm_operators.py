@@ -8,7 +8,7 @@ import pytest
 import zlib
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, jaccard_join, language, licences, line_dedup, neighbours, packing, surrogates, token_counts, toxicity
+from tablewright.llm import decontamination, jaccard_join, language, licences, line_dedup, linkage, neighbours, packing, surrogates, token_counts, toxicity
 from tablewright.llm.common import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, id string, part string"
@@ -109,6 +109,25 @@ def test_jaccard_group_beyond_a_block(spark):
     assert found == brute_components(rows, 4, 85)
 
 
+def test_blocks_of_a_large_group_meet_in_rounds(spark, monkeypatch):
+    """Where ids are in many pairs of blocks, their facts are moved in rounds, with the same components."""
+    staged, stage = [], linkage.stage
+    monkeypatch.setattr(linkage, "ROUND_ROWS", 100)
+    monkeypatch.setattr(linkage, "BLOCK", 128)
+    monkeypatch.setattr(linkage, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    draw, rows = random.Random(3), []
+    base = text(77, 40).split()
+    for k in range(400):
+        words = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            words[draw.randrange(40)] = f"e{draw.randrange(30)}"
+        rows.append((k, " ".join(words)))
+    ship(spark)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_components(rows, 4, 85)
+    assert staged.count("jaccard-met") > 3  # one of counts, one for each of two passes at least
+
+
 def test_trie_search_equals_sets():
     draw = np.random.default_rng(1)
     for _ in range(40):
