@@ -25,6 +25,12 @@ KNOWN_LINES = 5_000_000
 SLACK = 3
 #: Minima of BANDS * ROWS that two lines of a block share at least to be compared: at a similarity of 0.8 fewer come once in 50,000 pairs.
 AGREE = 26
+#: The same for a line and the hub of a bucket: at a similarity of 0.8 fewer agree once in 900 million pairs.
+AGREE_HUB = 20
+#: Bands whose keys are shuffled at once.
+BANDS_AT_ONCE = 3
+#: Ids that are broadcast at most when lines are read again; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Pairs whose hashed sets are compared at once.
 PAIRS = 2000
 _DOC, _TEXT, _LOST = "__lines_doc", "__lines_text", "__lines_lost"
@@ -65,12 +71,16 @@ def hashed_sets(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
 
     Shingles that share a hash count once: sizes and overlaps may be a little off, see `SLACK`.
     """
-    values, first = shingle_hashes(lines, chars)
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(values))))
+    return distinct_hashes(*shingle_hashes(lines, chars))
+
+
+def distinct_hashes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`hashed_sets` of lines whose shingles are hashed already."""
+    owner = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(values))))
     keys = (owner << np.uint64(40)) | (values >> np.uint64(24))
     keys.sort()
     keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
-    return keys & np.uint64((1 << 40) - 1), np.searchsorted(keys, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(40))
+    return keys & np.uint64((1 << 40) - 1), np.searchsorted(keys, np.arange(len(first) + 1, dtype=np.uint64) << np.uint64(40))
 
 
 def may_be_similar(left: list[str], right: list[str], chars: int, percent: int) -> np.ndarray:
@@ -94,9 +104,10 @@ def may_be_similar(left: list[str], right: list[str], chars: int, percent: int)
     return 100 * (common + SLACK) >= percent * (size[a] + size[b] - common - SLACK)
 
 
-def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (lines x BANDS) and sketches (lines x BANDS * ROWS: a byte of each minimum) of non-empty lines."""
+def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (lines x BANDS), sketches (lines x BANDS * ROWS: a byte of each minimum) and sizes of non-empty lines."""
     values, first = shingle_hashes(lines, chars)
+    sizes = np.diff(distinct_hashes(values, first)[1])
     values = (values >> np.uint64(32)).astype(np.uint32)
     keys = np.zeros((BANDS, len(lines)), dtype=np.uint64)
     sketch = np.empty((len(lines), BANDS * ROWS), dtype=np.uint8)
@@ -107,13 +118,18 @@ def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.nda
         least = np.minimum.reduceat(mixed, first)
         sketch[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         keys[band] = (keys[band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
-    return np.ascontiguousarray(keys.T), sketch
+    return np.ascontiguousarray(keys.T), sketch, sizes
+
+
+def line_id(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
 
 
 def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
-    """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, sketch, content of every line that is not blank.
+    """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, sketch, n of every line that is not blank.
 
-    Band keys, sketch and text are given where a task meets a line first, and NULL where it comes again.
+    Band keys, sketch and n (size of the shingle set, up to `SLACK`) are given where a task meets a line first, and
+    NULL where it comes again.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,46 +147,66 @@ def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
                             lines.append(own)
                 if not lines:
                     continue
-                ids = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines]
+                ids = [line_id(x) for x in lines]
                 if len(known) > KNOWN_LINES:
                     known.clear()  # then some lines are given again
                 new = [i for i, own in enumerate(ids) if not (own in known or known.add(own))]
                 first = [lines[i] for i in new]
-                keys, sketch = signatures(first, chars) if first else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8))
+                keys, sketch, sizes = signatures(first, chars) if first else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8), np.zeros(0))
                 at = np.full(len(lines), -1)
                 at[new] = np.arange(len(new))
                 take = pa.array(at, mask=at < 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(owners, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
                      pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())).take(take),
-                     pa.array([x.tobytes() for x in sketch], pa.binary()).take(take), pa.array(first, pa.string()).take(take)],
-                    names=["doc_id", "text_id", "line", "id", "bands", "sketch", "content"])
+                     pa.array([x.tobytes() for x in sketch], pa.binary()).take(take), pa.array(sizes.astype(np.int32)).take(take)],
+                    names=["doc_id", "text_id", "line", "id", "bands", "sketch", "n"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, sketch binary, content string")
+    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, sketch binary, n int")
+
 
+def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, content of the lines of `documents` that `ids` (id, no two equal) names, each once; staged.
 
-def with_sizes(lines: DataFrame, chars: int) -> DataFrame:
-    """id, n (size of the shingle set, up to `SLACK`), sketch, content of lines (id, sketch, content)."""
+    Texts are cut into lines again, which costs little beside keeping every line on disk until it is known which are compared.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            lines = column(batch, "content").to_pylist()
-            sizes = [np.diff(hashed_sets(lines[lo:hi], chars)[1]) for lo, hi in chunks(lines, 400_000)]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(np.concatenate(sizes).astype(np.int32)) if sizes else pa.array([], pa.int32()),
-                                              column(batch, "sketch"), column(batch, "content")], names=["id", "n", "sketch", "content"])
+            texts = texts_of(batch)
+            for lo, hi in chunks(texts, 400_000):
+                if len(known) > KNOWN_LINES:
+                    known.clear()
+                new = {}
+                for text in texts[lo:hi]:
+                    for line in text.split("\n"):
+                        if (own := line.strip(" \t\r")) and (key := line_id(own)) not in known:
+                            known.add(key)
+                            new[key] = own
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(new, np.uint64, len(new)).view(np.int64)), pa.array(list(new.values()), pa.string())], names=["id", "content"])
 
-    return lines.select("id", "sketch", "content").mapInArrow(count, "id long, n int, sketch binary, content string")
+    sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    lines = documents.select("text").mapInArrow(cut, "id long, content string").join(sought, "id", "left_semi")
+    return stage(lines.dropDuplicates(["id"]), "lines-texts", "zstd")
 
 
 def shingle_set(text: str, chars: int) -> set[str]:
     return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
 
 
-def jaccard_test(facts: DataFrame, chars: int, percent: int):
-    """The pairs (a, b) of line ids whose shingle sets are similar; texts are compared, not signatures."""
+def jaccard_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int):
+    """The pairs (a, b) of line ids whose shingle sets are similar.
 
-    sizes, lines = facts.select("id", "n"), facts.select("id", "content")
+    Sizes and sketches tell which pairs cannot be, so that few lines' texts are fetched; those are compared, not signatures.
+    """
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(column(batch, n).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for n in ("a_sketch", "b_sketch"))
+            near = pa.array((left == right).sum(axis=1) >= AGREE_HUB)
+            yield pa.RecordBatch.from_arrays([column(batch, n).filter(near) for n in ("a", "b")], names=["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
@@ -188,15 +224,23 @@ def jaccard_test(facts: DataFrame, chars: int, percent: int):
             yield pa.RecordBatch.from_arrays([column(batch, n).take(pa.array(kept, pa.int32())) for n in ("a", "b")], names=["a", "b"])
 
     def test(pairs: DataFrame) -> DataFrame:
+        spark = facts.sparkSession
+        both = pairs.join(facts.toDF("a", "a_n", "a_sketch"), "a").join(facts.toDF("b", "b_n", "b_sketch"), "b")
+        both = both.where(100 * (F.least("a_n", "b_n") + SLACK) >= percent * (F.greatest("a_n", "b_n") - SLACK))
+        near = stage(both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long"), "lines-near")
+        drop_finished_shuffles(spark)
+        ids = stage(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "lines-ids")
+        lines = line_texts(documents, ids)
+        drop_finished_shuffles(spark)
         left, right = lines.toDF("a", "a_text"), lines.toDF("b", "b_text")
-        near = (pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
-                .where(100 * (F.least("a_n", "b_n") + SLACK) >= percent * (F.greatest("a_n", "b_n") - SLACK)).select("a", "b"))
-        return near.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
+        found = stage(near.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"), "lines-found")
+        discard(near, ids, lines)
+        return found
 
     return test
 
 
-def block_test(facts: DataFrame, chars: int, percent: int):
+def block_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int):
     """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far.
 
     A first pass over the blocks, with sizes and sketches, finds the lines that a line of another part may be
@@ -241,11 +285,14 @@ def block_test(facts: DataFrame, chars: int, percent: int):
         return found
 
     def rest(groups: DataFrame) -> DataFrame:
-        small = facts.select("id", "n", "sketch")
-        open_rows = per_pair(blocks(groups, "lines"), [small], hope, "hub long, id long, part long", LOT_ROWS, "lines")
+        open_rows = per_pair(blocks(groups, "lines"), [facts], hope, "hub long, id long, part long", LOT_ROWS, "lines")
         open_rows = stage(open_rows.distinct(), "lines-open")
+        ids = stage(open_rows.select("id").distinct(), "lines-ids")
+        lines = line_texts(documents, ids)
         drop_finished_shuffles(facts.sparkSession)
-        return per_pair(blocks(open_rows, "lines"), [facts], meet, "a long, b long", LOT_ROWS, "lines")
+        found = per_pair(blocks(open_rows, "lines"), [facts, lines], meet, "a long, b long", LOT_ROWS, "lines")
+        discard(open_rows, ids, lines)
+        return found
 
     return rest
 
@@ -259,15 +306,16 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     whole = stage(sign_lines(documents, chars), "lines-signed", "zstd")
     known = whole.where("bands is not null")
     signed = stage(whole.select("doc_id", "text_id", "line", "id"), "lines-placed")
-    buckets = shared_buckets([known.select("id", F.explode("bands").alias("bucket"))], "lines")
+    bands = [known.select("id", F.explode(F.slice("bands", k, BANDS_AT_ONCE)).alias("bucket")) for k in range(1, BANDS + 1, BANDS_AT_ONCE)]
+    buckets = shared_buckets(bands, "lines")
     involved = stage(buckets.select("id").distinct(), "lines-involved")
     drop_finished_shuffles(documents.sparkSession)
-    one_each = known.select("id", "sketch", "content").join(involved, "id", "left_semi").dropDuplicates(["id"])
-    facts = stage(with_sizes(one_each, chars), "lines-facts", "zstd")
+    facts = stage(known.select("id", "n", "sketch").join(involved, "id", "left_semi").dropDuplicates(["id"]), "lines-facts")
     # From here on only the places of lines are needed besides.
-    discard(whole)
+    discard(whole, involved)
     drop_finished_shuffles(documents.sparkSession)
-    parts = stage(link(buckets, jaccard_test(facts, chars, percent), block_test(facts, chars, percent), "lines"), "lines-components")
+    parts = stage(link(buckets, jaccard_test(documents, facts, chars, percent), block_test(documents, facts, chars, percent), "lines"), "lines-components")
+    discard(buckets, facts)
     classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("first"), F.count("*").alias("n"))
     classes = stage(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
                     .select("id", F.coalesce("component", "id").alias("component"), "first"), "lines-classes")

@@ -344,6 +344,20 @@ def test_hashed_sets_rule_out_nothing_similar():
     assert np.diff(at).tolist() == [len(line_dedup.shingle_set(x, 5)) for x in lines]
 
 
+def test_similar_lines_agree_in_sketches_without_texts(spark, docs):
+    """What is kept of every line rules out no similar pair and holds no text."""
+    draw = random.Random(6)
+    lines = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(40, 120))) for _ in range(1500)]
+    edited = ["".join(c if draw.random() > 0.02 else draw.choice("xyz") for c in x) for x in lines]
+    (_, left, sizes), (_, right, _) = line_dedup.signatures(lines), line_dedup.signatures(edited)
+    agree = (left == right).sum(axis=1)
+    sets = [(line_dedup.shingle_set(a, 5), line_dedup.shingle_set(b, 5)) for a, b in zip(lines, edited)]
+    similar = [100 * len(x & y) >= 80 * len(x | y) for x, y in sets]
+    assert sum(similar) > 200 and agree[np.array(similar)].min() >= line_dedup.AGREE_HUB
+    assert sizes.tolist() == [len(x) for x, _ in sets]
+    assert line_dedup.sign_lines(docs, 5).columns == ["doc_id", "text_id", "line", "id", "bands", "sketch", "n"]
+
+
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, lost string, lost_id string, line int, dropped_id int, dirty_id int, own int, edits string"
 
 
