@@ -11,24 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import chunks, column, read, texts_of
-from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
+from tablewright.llm.linkage import blocks, link, per_pair, united, with_hubs
 from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Characters of a shingle; a shorter line is one shingle.
 CHARS = 5
 PERCENT = 80
-#: Signature: BANDS bands of ROWS minima each. Lines with a similarity of 0.8 share a band with a chance of 0.998, of 0.3 with 0.09.
-BANDS, ROWS = 12, 4
+#: Signature: MINIMA minima, and BANDS bands that take ROWS of them each; bands overlap. Lines with a similarity of 0.8 share
+#: a band with a chance of 0.998, of 0.3 with 0.02, of 0.1 with 0.00003: what shares one grows with the near copies, not with all pairs.
+MINIMA, BANDS, ROWS = 64, 32, 6
 #: Different lines a task remembers to have signed; beyond, it signs some again.
 KNOWN_LINES = 5_000_000
 #: Shingles by which sizes and overlaps of hashed sets may be off: what they rule out is ruled out for certain.
 SLACK = 3
-#: Minima of BANDS * ROWS that two lines of a block share at least to be compared: at a similarity of 0.8 fewer come once in 50,000 pairs.
-AGREE = 26
-#: The same for a line and the hub of a bucket: at a similarity of 0.8 fewer agree once in 900 million pairs.
-AGREE_HUB = 20
+#: Minima that two lines of a block share at least to be compared: at a similarity of 0.8 fewer come once in 70,000 pairs.
+AGREE = 37
+#: The same for a line and the hub of a bucket: at a similarity of 0.8 fewer agree once in a billion pairs.
+AGREE_HUB = 30
 #: Bands whose keys are shuffled at once.
-BANDS_AT_ONCE = 3
+BANDS_AT_ONCE = 8
+#: Keys that a task packs before it hands them on, and that one task looks through.
+PACKED_KEYS, PART_KEYS = 1_000_000, 1_500_000
+#: Ranges of keys at most: they are numbered in 16 bits.
+MOST_PARTS = 1 << 16
+#: Characters signed at once: their hashes stay in a core's cache.
+SIGN_CHARS = 100_000
+#: Ids whose first halves are carried to every task that cuts texts (4 bytes each); of more, all lines go to the join.
+CARRIED_IDS = 8_000_000
 #: Ids that are broadcast at most when lines are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Pairs whose hashed sets are compared at once.
@@ -39,7 +48,16 @@ LOT_ROWS = 1024
 
 
 def _factors() -> np.ndarray:
-    return np.random.default_rng(17).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1
+    return np.random.default_rng(17).integers(1, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1
+
+
+def band_minima() -> list[np.ndarray]:
+    """Which minima each band takes: each deal of all minima makes as many bands as it can, so that all are used alike."""
+    draw, taken = np.random.default_rng(5), []
+    while len(taken) < BANDS:
+        dealt = draw.permutation(MINIMA)
+        taken.extend(dealt[i:i + ROWS] for i in range(0, MINIMA - ROWS + 1, ROWS))
+    return taken[:BANDS]
 
 
 def shingle_hashes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +103,11 @@ def distinct_hashes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 def may_be_similar(left: list[str], right: list[str], chars: int, percent: int) -> np.ndarray:
     """Which pairs of lines may have similar shingle sets; none that has is left out."""
+    return compared(left, right, chars, percent)[0]
+
+
+def compared(left: list[str], right: list[str], chars: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of lines may have similar shingle sets, and which of them have for certain."""
     place: dict[str, int] = {}
     a = np.array([place.setdefault(x, len(place)) for x in left])
     b = np.array([place.setdefault(x, len(place)) for x in right])
@@ -101,24 +124,125 @@ def may_be_similar(left: list[str], right: list[str], chars: int, percent: int)
     both.sort()
     shared = both[1:][both[1:] == both[:-1]] >> np.uint64(40)
     common = np.bincount(shared.astype(np.int64), minlength=len(a))
-    return 100 * (common + SLACK) >= percent * (size[a] + size[b] - common - SLACK)
+    least, most = size[a] + size[b] - common - SLACK, size[a] + size[b] - common + 3 * SLACK
+    return 100 * (common + SLACK) >= percent * least, 100 * (common - SLACK) >= percent * most
 
 
 def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys (lines x BANDS), sketches (lines x BANDS * ROWS: a byte of each minimum) and sizes of non-empty lines."""
+    """Of non-empty lines' minima one byte for the bands, another one for the sketch (lines x MINIMA each), and sizes."""
     values, first = shingle_hashes(lines, chars)
     sizes = np.diff(distinct_hashes(values, first)[1])
     values = (values >> np.uint64(32)).astype(np.uint32)
-    keys = np.zeros((BANDS, len(lines)), dtype=np.uint64)
-    sketch = np.empty((len(lines), BANDS * ROWS), dtype=np.uint8)
+    both = np.empty((2, len(lines), MINIMA), dtype=np.uint8)
     mixed = np.empty_like(values)
     for i, factor in enumerate(_factors()):
         np.multiply(values, factor, out=mixed)
-        band = i // ROWS
-        least = np.minimum.reduceat(mixed, first)
-        sketch[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
-        keys[band] = (keys[band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
-    return np.ascontiguousarray(keys.T), sketch, sizes
+        least = np.minimum.reduceat(mixed, first) * np.uint32(0x9E3779B1)
+        both[0, :, i] = least >> np.uint32(16)
+        both[1, :, i] = least >> np.uint32(24)
+    return both[0], both[1], sizes
+
+
+def band_keys(bands: np.ndarray, sketch: np.ndarray, which: range) -> np.ndarray:
+    """64-bit keys (lines x bands) of the bands `which`, from both bytes of the minima."""
+    minima = np.ascontiguousarray(((bands.astype(np.uint16) << 8) | sketch).T)
+    keys, taken = np.empty((len(which), len(bands)), dtype=np.uint64), band_minima()
+    for own, band in zip(keys, which):
+        own[:] = band
+        for i in taken[band]:
+            own ^= minima[i]
+            own *= np.uint64(0x9E3779B97F4A7C15)
+            own ^= own >> np.uint64(29)
+    return keys.T
+
+
+def fixed(array: pa.Array, width: int) -> np.ndarray:
+    """Bytes (rows x width) of an array of binaries of that width, none of them NULL."""
+    array = array.cast(pa.binary())
+    begin = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset] if len(array) else 0
+    return np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8)[begin:begin + len(array) * width].reshape(len(array), width)
+
+
+def shared_sets(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (bucket, id) of the keys that several ids have, once for all keys that the same ids have.
+
+    A bucket is named by a sum over its ids. Should two sets have the same sum, their ids are one bucket, and none is lost.
+    """
+    if not len(keys):
+        return keys.view(np.int64), ids
+    order = np.argsort(keys)
+    ranked = keys[order]
+    again = ranked[1:] == ranked[:-1]
+    kept = np.concatenate((again, [False])) | np.concatenate(([False], again))
+    keys, ids = ranked[kept], ids[order[kept]]
+    for sums in (False, True):
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))) if len(keys) else np.zeros(0, dtype=bool)
+        keys, ids = keys[new], ids[new]
+        if sums or not len(keys):
+            return keys.view(np.int64), ids
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        count = np.diff(np.append(begin, len(keys)))
+        several = np.repeat(count > 1, count)
+        keys, ids = np.repeat(np.add.reduceat(mixed, begin), count)[several], ids[several]
+    return keys, ids
+
+
+def band_buckets(known: DataFrame, which: range, parts: int) -> DataFrame:
+    """Rows (bucket, id) of the lines in `known` (id, bands, sketch) that share one of the bands `which` with others.
+
+    Keys are packed by ranges before they are shuffled, and a task looks through one range as arrays: most keys are had by one
+    line only, and as rows of their own would cost far more than the search.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(x) for x in zip(*held))
+            part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")  # numbers this short are sorted by digits
+            keys, ids, found = keys[order], ids[order], np.searchsorted(part[order], np.arange(parts + 1))
+            some = [k for k in range(parts) if found[k] < found[k + 1]]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), *(pa.array([x[found[k]:found[k + 1]].tobytes() for k in some], pa.binary()) for x in (keys, ids))], names=["part", "keys", "ids"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(fixed(column(batch, "bands"), MINIMA), fixed(column(batch, "sketch"), MINIMA), which)
+                held.append((keys.ravel(), np.repeat(column(batch, "id").to_numpy(), len(which))))
+                if sum(len(x) for x, _ in held) >= PACKED_KEYS:
+                    yield packed()
+        if held:
+            yield packed()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {"keys": [], "ids": []}
+        for batch in batches:
+            for name, found in held.items():
+                found.extend(column(batch, name).to_pylist())
+        buckets, ids = shared_sets(np.frombuffer(b"".join(held["keys"]), dtype=np.uint64), np.frombuffer(b"".join(held["ids"]), dtype=np.int64))
+        for k in range(0, len(ids), PACKED_KEYS):
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[k:k + PACKED_KEYS]), pa.array(ids[k:k + PACKED_KEYS])], names=["bucket", "id"])
+
+    packs = known.select("id", "bands", "sketch").mapInArrow(pack, "part int, keys binary, ids binary")
+    return packs.repartitionById(parts, "part").mapInArrow(search, "bucket long, id long")
+
+
+def line_buckets(known: DataFrame) -> DataFrame:
+    """Rows (bucket, id, met, hub) of lines that share bands with others; staged. Bands go in turns, so that the disk holds the keys of a few."""
+    spark, whole = known.sparkSession, []
+    keys = known.where("n is not null").count() * BANDS_AT_ONCE
+    parts = min(max(spark.sparkContext.defaultParallelism, keys // PART_KEYS + 1), MOST_PARTS)
+    for k in range(0, BANDS, BANDS_AT_ONCE):
+        whole.append(stage(band_buckets(known, range(k, min(BANDS, k + BANDS_AT_ONCE)), parts), "lines-rows"))
+        drop_finished_shuffles(spark)
+    return with_hubs(whole, "lines")
 
 
 def line_id(line: str) -> int:
@@ -128,15 +252,15 @@ def line_id(line: str) -> int:
 def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
     """doc_id, text_id (hash of the text), line (from 0), id (64-bit hash of the stripped line), bands, sketch, n of every line that is not blank.
 
-    Band keys, sketch and n (size of the shingle set, up to `SLACK`) are given where a task meets a line first, and
-    NULL where it comes again.
+    Bands and sketch (a byte of each of the minima) and n (size of the shingle set, up to `SLACK`) are given where a task
+    meets a line first, and NULL where it comes again.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
             docs, digests, texts = column(batch, "doc_id").to_pylist(), column(batch, "text_id").to_pylist(), texts_of(batch)
-            for lo, hi in chunks(texts, 400_000):
+            for lo, hi in chunks(texts, SIGN_CHARS):
                 owners, versions, places, lines = [], [], [], []
                 for doc, digest, text in zip(docs[lo:hi], digests[lo:hi], texts[lo:hi]):
                     for k, line in enumerate(text.split("\n")):
@@ -152,25 +276,36 @@ def sign_lines(documents: DataFrame, chars: int) -> DataFrame:
                     known.clear()  # then some lines are given again
                 new = [i for i, own in enumerate(ids) if not (own in known or known.add(own))]
                 first = [lines[i] for i in new]
-                keys, sketch, sizes = signatures(first, chars) if first else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8), np.zeros(0))
+                bands, sketch, sizes = signatures(first, chars) if first else (*[np.zeros((0, MINIMA), np.uint8)] * 2, np.zeros(0))
                 at = np.full(len(lines), -1)
                 at[new] = np.arange(len(new))
                 take = pa.array(at, mask=at < 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(owners, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())).take(take),
-                     pa.array([x.tobytes() for x in sketch], pa.binary()).take(take), pa.array(sizes.astype(np.int32)).take(take)],
+                     *(pa.array([x.tobytes() for x in own], pa.binary()).take(take) for own in (bands, sketch)), pa.array(sizes.astype(np.int32)).take(take)],
                     names=["doc_id", "text_id", "line", "id", "bands", "sketch", "n"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands array<long>, sketch binary, n int")
+    return rows.mapInArrow(sign, "doc_id long, text_id long, line int, id long, bands binary, sketch binary, n int")
 
 
 def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """id, content of the lines of `documents` that `ids` (id, no two equal) names, each once; staged.
 
     Texts are cut into lines again, which costs little beside keeping every line on disk until it is known which are compared.
+    The first halves of the ids go with the tasks, so that few lines besides those sought leave them.
     """
+    spark, count = ids.sparkSession, ids.count()
+    carried = None
+    if count <= CARRIED_IDS:
+        heads = ids.select(F.shiftright("id", 32).cast("int").alias("head")).toArrow()["head"].to_numpy()
+        carried = spark.sparkContext.broadcast(np.unique(heads.view(np.uint32)))
+
+    def sought_at(keys: np.ndarray) -> np.ndarray:
+        if carried is None:
+            return np.arange(len(keys))
+        heads, own = carried.value, (keys >> np.uint64(32)).astype(np.uint32)
+        return np.flatnonzero(heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own) if len(heads) else np.zeros(0, dtype=np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -179,15 +314,16 @@ def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
             for lo, hi in chunks(texts, 400_000):
                 if len(known) > KNOWN_LINES:
                     known.clear()
+                lines = [own for text in texts[lo:hi] for line in text.split("\n") if (own := line.strip(" \t\r"))]
+                keys = np.fromiter(map(line_id, lines), dtype=np.uint64, count=len(lines))
                 new = {}
-                for text in texts[lo:hi]:
-                    for line in text.split("\n"):
-                        if (own := line.strip(" \t\r")) and (key := line_id(own)) not in known:
-                            known.add(key)
-                            new[key] = own
+                for k in sought_at(keys).tolist():
+                    if (key := int(keys[k])) not in known:
+                        known.add(key)
+                        new[key] = lines[k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(new, np.uint64, len(new)).view(np.int64)), pa.array(list(new.values()), pa.string())], names=["id", "content"])
 
-    sought = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sought = F.broadcast(ids) if count <= BROADCAST_IDS else ids
     lines = documents.select("text").mapInArrow(cut, "id long, content string").join(sought, "id", "left_semi")
     return stage(lines.dropDuplicates(["id"]), "lines-texts", "zstd")
 
@@ -196,10 +332,10 @@ def shingle_set(text: str, chars: int) -> set[str]:
     return {text[i:i + chars] for i in range(max(1, len(text) - chars + 1))}
 
 
-def jaccard_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int):
+def jaccard_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
     """The pairs (a, b) of line ids whose shingle sets are similar.
 
-    Sizes and sketches tell which pairs cannot be, so that few lines' texts are fetched; those are compared, not signatures.
+    Sizes and sketches tell which pairs cannot be, so that few texts are moved; those are compared, not signatures.
     """
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +348,10 @@ def jaccard_test(documents: DataFrame, facts: DataFrame, chars: int, percent: in
         last, last_set = None, set()
         for batch in batches:
             kept, left, right = [], column(batch, "a_text").to_pylist(), column(batch, "b_text").to_pylist()
-            likely = [may_be_similar(left[k:k + PAIRS], right[k:k + PAIRS], chars, percent) for k in range(0, len(left), PAIRS)]
-            for i in np.flatnonzero(np.concatenate(likely)).tolist() if likely else ():
+            looked = [compared(left[k:k + PAIRS], right[k:k + PAIRS], chars, percent) for k in range(0, len(left), PAIRS)]
+            likely, certain = (np.concatenate(x) for x in zip(*looked)) if looked else (np.zeros(0, dtype=bool),) * 2
+            kept.extend(np.flatnonzero(certain).tolist())
+            for i in np.flatnonzero(likely & ~certain).tolist():
                 a, b = left[i], right[i]
                 if a != last:
                     last, last_set = a, shingle_set(a, chars)
@@ -229,18 +367,15 @@ def jaccard_test(documents: DataFrame, facts: DataFrame, chars: int, percent: in
         both = both.where(100 * (F.least("a_n", "b_n") + SLACK) >= percent * (F.greatest("a_n", "b_n") - SLACK))
         near = stage(both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long"), "lines-near")
         drop_finished_shuffles(spark)
-        ids = stage(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "lines-ids")
-        lines = line_texts(documents, ids)
-        drop_finished_shuffles(spark)
         left, right = lines.toDF("a", "a_text"), lines.toDF("b", "b_text")
         found = stage(near.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"), "lines-found")
-        discard(near, ids, lines)
+        discard(near)
         return found
 
     return test
 
 
-def block_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int):
+def block_test(lines: DataFrame, facts: DataFrame, chars: int, percent: int):
     """Links that connect similar lines inside groups (hub, id, part), between parts not connected so far.
 
     A first pass over the blocks, with sizes and sketches, finds the lines that a line of another part may be
@@ -257,10 +392,13 @@ def block_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int)
         near &= part[left, None] != part[right]
         if alone:
             near = np.triu(near, 1)
-        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(side), -1)
-        near &= sum((sketch[left, k][:, None] == sketch[right, k]).astype(np.uint8) for k in range(sketch.shape[1])) >= AGREE
         x, y = np.nonzero(near)
-        return left[x], right[y]
+        x, y = left[x], right[y]
+        if not len(x):
+            return x, y
+        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(side), -1)
+        agree = np.concatenate([(sketch[x[k:k + PAIRS]] == sketch[y[k:k + PAIRS]]).sum(axis=1) >= AGREE for k in range(0, len(x), PAIRS)])
+        return x[agree], y[agree]
 
     def hope(group: dict[str, np.ndarray]) -> list[tuple]:
         places = np.unique(np.concatenate(candidates(group)))
@@ -268,18 +406,19 @@ def block_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int)
 
     def meet(group: dict[str, np.ndarray]) -> list[tuple]:
         (x, y), texts, part = candidates(group), group["content"], group["part"]
-        likely = [may_be_similar(texts[x[k:k + PAIRS]].tolist(), texts[y[k:k + PAIRS]].tolist(), chars, percent) for k in range(0, len(x), PAIRS)]
-        if not likely:
+        looked = [compared(texts[x[k:k + PAIRS]].tolist(), texts[y[k:k + PAIRS]].tolist(), chars, percent) for k in range(0, len(x), PAIRS)]
+        if not looked:
             return []
-        likely = np.concatenate(likely)
+        likely, certain = (np.concatenate(x) for x in zip(*looked))
         top, join = united(part.tolist())
         ids, sets, found = group["id"].tolist(), {}, []
-        for a, b in zip(x[likely].tolist(), y[likely].tolist()):
+        for a, b, sure in zip(x[likely].tolist(), y[likely].tolist(), certain[likely].tolist()):
             if top(int(part[a])) == top(int(part[b])):
                 continue
-            own, other = (sets[k] if k in sets else sets.setdefault(k, shingle_set(texts[k], chars)) for k in (a, b))
-            common = len(own & other)
-            if 100 * common >= percent * (len(own) + len(other) - common):
+            if not sure:
+                own, other = (sets[k] if k in sets else sets.setdefault(k, shingle_set(texts[k], chars)) for k in (a, b))
+                common = len(own & other)
+            if sure or 100 * common >= percent * (len(own) + len(other) - common):
                 join(int(part[a]), int(part[b]))
                 found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
         return found
@@ -288,10 +427,10 @@ def block_test(documents: DataFrame, facts: DataFrame, chars: int, percent: int)
         open_rows = per_pair(blocks(groups, "lines"), [facts], hope, "hub long, id long, part long", LOT_ROWS, "lines")
         open_rows = stage(open_rows.distinct(), "lines-open")
         ids = stage(open_rows.select("id").distinct(), "lines-ids")
-        lines = line_texts(documents, ids)
+        few = stage(lines.join(ids, "id", "left_semi"), "lines-few", "zstd")
         drop_finished_shuffles(facts.sparkSession)
-        found = per_pair(blocks(open_rows, "lines"), [facts, lines], meet, "a long, b long", LOT_ROWS, "lines")
-        discard(open_rows, ids, lines)
+        found = per_pair(blocks(open_rows, "lines"), [facts, few], meet, "a long, b long", LOT_ROWS, "lines")
+        discard(open_rows, ids, few)
         return found
 
     return rest
@@ -304,18 +443,19 @@ def dropped_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCE
     doc_id are told apart by a hash of their texts.
     """
     whole = stage(sign_lines(documents, chars), "lines-signed", "zstd")
-    known = whole.where("bands is not null")
+    known = whole.where("n is not null")
     signed = stage(whole.select("doc_id", "text_id", "line", "id"), "lines-placed")
-    bands = [known.select("id", F.explode(F.slice("bands", k, BANDS_AT_ONCE)).alias("bucket")) for k in range(1, BANDS + 1, BANDS_AT_ONCE)]
-    buckets = shared_buckets(bands, "lines")
+    buckets = line_buckets(known)
     involved = stage(buckets.select("id").distinct(), "lines-involved")
     drop_finished_shuffles(documents.sparkSession)
     facts = stage(known.select("id", "n", "sketch").join(involved, "id", "left_semi").dropDuplicates(["id"]), "lines-facts")
     # From here on only the places of lines are needed besides.
-    discard(whole, involved)
+    discard(whole)
+    drop_finished_shuffles(documents.sparkSession)
+    lines = line_texts(documents, involved)
     drop_finished_shuffles(documents.sparkSession)
-    parts = stage(link(buckets, jaccard_test(documents, facts, chars, percent), block_test(documents, facts, chars, percent), "lines"), "lines-components")
-    discard(buckets, facts)
+    parts = stage(link(buckets, jaccard_test(lines, facts, chars, percent), block_test(lines, facts, chars, percent), "lines"), "lines-components")
+    discard(buckets, facts, involved, lines)
     classes = signed.groupBy("id").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("first"), F.count("*").alias("n"))
     classes = stage(classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
                     .select("id", F.coalesce("component", "id").alias("component"), "first"), "lines-classes")
@@ -348,12 +488,12 @@ def dedup_lines(documents: DataFrame, chars: int = CHARS, percent: int = PERCENT
 def op2_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, lines (not blank), kept, dropped (their numbers), of every document; repeated ids once for each text."""
     documents = read(spark, folder, "documents").where("doc_id is not null")
-    signed, drop = dropped_lines(documents)
+    _, drop = dropped_lines(documents)
     key = ["doc_id", "text_id"]
-    every = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id")).distinct()
-    marked = signed.select(*key, "line").distinct().groupBy(*key).agg(F.count("*").alias("lines"))
+    marked = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")).cast("long")
+    every = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.when(F.col("text").isNull(), 0).otherwise(marked).alias("lines")).distinct()
     lost = drop.groupBy(*key).agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    found = every.join(marked, key, "left").join(lost, key, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    found = every.join(lost, key, "left")
     return found.select(
         "doc_id", "lines", (F.col("lines") - F.coalesce(F.size("dropped"), F.lit(0))).alias("kept"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

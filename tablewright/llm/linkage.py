@@ -28,25 +28,34 @@ def shared_buckets(keys: list[DataFrame], label: str) -> DataFrame:
     """Rows (bucket, id, met, hub) of `keys` (id, bucket) whose bucket has two ids at least; staged.
 
     Tables of `keys` have no bucket in common; they are shuffled one after the other, so that the disk holds one at a time.
-    `met` says how many rows share buckets with the id; a bucket's hub is the one that meets most, as
-    what copies were made from does, so that few items stay unlinked to it. Counting combines before the shuffle, and its result is staged, so that a frequent bucket's
-    rows may be split in the join.
+    Counting combines before the shuffle, and its result is staged, so that a frequent bucket's rows may be split in the join.
     """
-    spark, whole = keys[0].sparkSession, []
+    whole = []
     for part in keys:
         several = stage(part.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                         .where("first < last").select("bucket"), f"{label}-buckets")
-        whole.append(stage(part.join(several, "bucket").distinct(), f"{label}-rows"))
+        whole.append(stage(part.join(several, "bucket"), f"{label}-rows"))
         discard(several)
-        drop_finished_shuffles(spark)
-    rows = reduce(DataFrame.unionByName, whole)
-    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")), f"{label}-sizes")
-    met = stage(rows.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
-    rows = rows.join(met, "id").select("bucket", "id", "met")
+        drop_finished_shuffles(part.sparkSession)
+    return with_hubs(whole, label)
+
+
+def with_hubs(whole: list[DataFrame], label: str) -> DataFrame:
+    """Rows (bucket, id, met, hub) of the staged tables `whole` (bucket, id), which are deleted; staged.
+
+    `met` says how many rows share buckets with the id; a bucket's hub is the one that meets most, as
+    what copies were made from does, so that few items stay unlinked to it.
+    """
+    spark = whole[0].sparkSession
+    once = stage(reduce(DataFrame.unionByName, whole).distinct(), f"{label}-once")
+    discard(*whole)
+    sizes = stage(once.groupBy("bucket").agg(F.count("*").alias("n")), f"{label}-sizes")
+    met = stage(once.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("met")), f"{label}-met")
+    rows = once.join(met, "id").select("bucket", "id", "met")
     hubs = stage(rows.groupBy("bucket").agg(F.max(F.struct("met", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub")), f"{label}-hub-of")
     drop_finished_shuffles(spark)
     shared = stage(rows.join(hubs, "bucket"), f"{label}-shared")
-    discard(*whole, sizes, met, hubs)
+    discard(once, sizes, met, hubs)
     drop_finished_shuffles(spark)
     return shared
 

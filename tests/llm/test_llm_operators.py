@@ -169,6 +169,49 @@ def test_line_dedup_equals_brute_force(spark):
     assert found == {i for i, k in enumerate(lead) if i == k} and 1 not in found
 
 
+def test_lines_that_are_not_alike_do_not_meet(spark, docs, monkeypatch):
+    """Lines with a passage in common share few buckets, and texts are cut a second time once."""
+    staged, stage = {}, line_dedup.stage
+
+    def counted(df, label, *how):
+        out = stage(df, label, *how)
+        staged.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    passage = text(40, 8)
+    lines = [passage + " " + text(100 + k, 24) for k in range(300)] + [text(100, 20), text(100, 20) + " x"]
+    table = spark.createDataFrame([(i, x, "en", "s", len(x), "", "", "") for i, x in enumerate(lines)], DOCS)
+    assert sorted(r.doc_id for r in line_dedup.dedup_lines(table).collect()) == list(range(301))
+    assert staged["lines-involved"][0] < 100 and len(staged["lines-texts"]) == 1
+
+
+def test_shared_sets_equal_a_dictionary():
+    draw = np.random.default_rng(3)
+    keys, ids = draw.integers(0, 400, 2000, dtype=np.uint64) * np.uint64(1 << 40), draw.integers(-30, 30, 2000)
+    have = {}
+    for k, i in zip(keys.tolist(), ids.tolist()):
+        have.setdefault(k, set()).add(i)
+    found = {}
+    for b, i in zip(*(x.tolist() for x in line_dedup.shared_sets(keys, ids))):
+        found.setdefault(b, []).append(i)
+    assert sorted(tuple(sorted(x)) for x in found.values()) == sorted({tuple(sorted(x)) for x in have.values() if len(x) > 1})
+    assert [len(x) for x in line_dedup.shared_sets(keys[:0], ids[:0])] == [0, 0]
+
+
+def test_band_keys_find_similar_lines_in_any_part(spark, docs):
+    """Lines that share a band share a bucket, whatever number of tasks the keys are dealt to."""
+    line = text(60, 20)
+    rows = [(1, line), (2, line + " x"), (3, text(61, 20)), (4, text(62, 20) + " " + line)]
+    known = line_dedup.sign_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).where("n is not null")
+    ids = {x: np.uint64(line_dedup.line_id(x)).astype(np.int64) for _, x in rows}
+    for parts in (1, 7):
+        found = {}
+        for r in line_dedup.band_buckets(known, range(line_dedup.BANDS), parts).collect():
+            found.setdefault(r.bucket, set()).add(r.id)
+        assert {ids[line], ids[line + " x"]} in found.values() and not any(ids[rows[2][1]] in x for x in found.values())
+
+
 def test_decontamination(spark, docs, nothing):
     passage = text(2, 80).split()
     items = spark.createDataFrame([(1, " ".join(passage[10:30]).upper() + "!"), (2, text(99, 30)), (3, "one two"), (4, None), (None, text(2, 80)), (5, "")], "item_id long, text string")
