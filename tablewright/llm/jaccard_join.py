@@ -12,8 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import column, read
-from tablewright.llm.linkage import blocks, link, per_pair, shared_buckets, united
+from tablewright.llm.common import chunks, column, read, texts_of
+from tablewright.llm.linkage import (
+    PACKED, PACKED_KEYS, blocks, carried, link, packed, per_pair, places_of, ranges, shared_buckets, united, unpacked,
+)
 from tablewright.operators.dedup import remove_duplicates
 from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
@@ -28,35 +30,67 @@ FREQUENT = 24
 TRIE_SETS = 256
 #: Rows of small pairs of blocks that one call takes.
 LOT_ROWS = 256
+#: Characters whose words are hashed at once; their arrays stay in a core's cache.
+SHINGLE_CHARS = 40_000
 #: Ids that are broadcast at most when texts are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-KNOWN_WORDS = 400_000
+#: Places in a word with byte codes of their own; beyond, they come again under other factors.
+PLACES = 64
 
 
 class Shingler:
-    """Sorted distinct 63-bit hashes of a text's word shingles; words are ASCII-lower-cased runs of non-blank bytes."""
+    """Sorted distinct 63-bit hashes of texts' word shingles; words are ASCII-lower-cased runs of non-blank bytes.
+
+    Many texts are hashed at once, as arrays: a word's hash is the sum of random codes of its bytes at their places.
+    """
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
+        self.codes = np.random.default_rng(29).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64)
+        self.codes[:, 65:91] = self.codes[:, 97:123]
+        self.blank = np.zeros(256, dtype=bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """The hashes of every text."""
+        found: list[np.ndarray] = []
+        for lo, hi in chunks(texts, SHINGLE_CHARS):
+            found.extend(self._some([x.encode("utf-8", "surrogatepass") for x in texts[lo:hi]]))
+        return found
+
+    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+        at = np.flatnonzero(~self.blank[data])
+        if not len(at):
+            return [np.zeros(0, dtype=np.int64) for _ in texts]
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+        lengths = np.diff(np.append(begins, len(at)))
+        place = np.arange(len(at)) - np.repeat(begins, lengths)
+        coded = self.codes[place % PLACES, data[at]]
+        if len(lengths) and lengths.max() > PLACES:
+            coded *= (2 * (place // PLACES) + 1).astype(np.uint64)
+        word = np.add.reduceat(coded, begins)
+        word ^= word >> np.uint64(32)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        bounds = np.concatenate(([0], np.searchsorted(at[begins], ends)))
+        return [self._shingles(word[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _shingles(self, word: np.ndarray) -> np.ndarray:
+        if not len(word):
             return np.zeros(0, dtype=np.int64)
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = {w for w in words if w not in known}
-        for w in new:
-            known[w] = xxhash.xxh64_intdigest(w)
-        at = np.fromiter([known[w] for w in words], dtype=np.uint64, count=len(words))
-        runs = max(1, len(words) - self.width + 1)
-        value = np.full(runs, min(len(words), self.width), dtype=np.uint64)
-        for i in range(min(len(words), self.width)):
-            value = (value ^ at[i:i + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        runs = max(1, len(word) - self.width + 1)
+        value = np.full(runs, min(len(word), self.width), dtype=np.uint64)
+        for i in range(min(len(word), self.width)):
+            value ^= word[i:i + runs]
+            value *= np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
         value *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(value >> np.uint64(1)).view(np.int64)
+        value >>= np.uint64(1)
+        value.sort()
+        return value[np.concatenate(([True], value[1:] != value[:-1]))].view(np.int64)
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -71,8 +105,7 @@ def sketch(documents: DataFrame, width: int, percent: int) -> DataFrame:
         own = Shingler(width)
         for batch in batches:
             sizes, s1, s2, pools = [], [], [], []
-            for text in column(batch, "text"):
-                found = own(text.as_py() or "")
+            for found in own.all(texts_of(batch)):
                 digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 sizes.append(len(found))
                 s1.append(int(digest[0]))
@@ -95,12 +128,64 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [column(rows, "id"), pa.array([own(x.as_py() or "") for x in column(rows, "text")], pa.list_(pa.int64()))],
+                    [column(rows, "id"), pa.array(own.all(texts_of(rows)), pa.list_(pa.int64()))],
                     names=["id", "shingles"])
 
     return documents.select("id", "text").mapInArrow(whole, "id long, shingles array<long>")
 
 
+def pool_counts(pools: DataFrame, parts: int) -> DataFrame:
+    """Rows (bucket, frequent) of the hashes that the pools (`pool`) of several sets have.
+
+    A task adds up what is equal before it hands hashes on, so that one that all sets have is a row for each task.
+    """
+
+    def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+        return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(column(batch, "pool").flatten().to_numpy(zero_copy_only=False))
+            count += len(held[-1])
+            if count >= PACKED_KEYS:
+                yield packed(*summed(np.concatenate(held), np.ones(count, dtype=np.int64)), parts)
+                held, count = [], 0
+        if count:
+            yield packed(*summed(np.concatenate(held), np.ones(count, dtype=np.int64)), parts)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(*unpacked(batches, np.int64, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > 1]), pa.array(counts[counts > 1] > FREQUENT)], names=["bucket", "frequent"])
+
+    return pools.select("pool").mapInArrow(pack, PACKED).repartitionById(parts, "part").mapInArrow(total, "bucket long, frequent boolean")
+
+
+def shared_hashes(pools: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (id, n, at, bucket, frequent) of the pools' hashes that `counts` (bucket, frequent) names; `at` is the place in the pool.
+
+    The first halves of those hashes go with the tasks, so that few rows besides them leave the pools.
+    """
+    heads = carried(counts, "bucket", counts.count())
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, lists = column(batch, "id").to_numpy(), column(batch, "n").to_numpy(), column(batch, "pool")
+            keys, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(len(ids)), lengths)
+            at = np.arange(len(keys)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths)
+            k = places_of(keys, heads)
+            for part in range(0, len(k), PACKED_KEYS):
+                few = k[part:part + PACKED_KEYS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own[few]]), pa.array(sizes[own[few]]), pa.array(at[few].astype(np.int32)), pa.array(keys[few])], names=["id", "n", "at", "bucket"])
+
+    return pools.select("id", "n", "pool").mapInArrow(chosen, "id long, n long, at int, bucket long").join(counts, "bucket")
+
+
 def frequent_last(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prefix rows (id, bucket) under the order that puts frequent shingles last, ids whose pool is too short for it, and the staged table of both.
 
@@ -307,11 +392,11 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
         rows = rows.withColumn("k", key).groupBy("doc_id").agg(F.max_by("pool", "k").alias("pool"), F.max("k").alias("k")).select("doc_id", "k.*", "pool")
     leads = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     leads = leads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "pool")
-    pools = leads.select("id", "n", F.posexplode("pool").alias("at", "bucket"))
-    counts = stage(pools.groupBy("bucket").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
-                   .select("bucket", (F.col("n_sets") > FREQUENT).alias("frequent")), "jaccard-counts")
-    drop_finished_shuffles(documents.sparkSession)
-    shared = stage(pools.join(counts, "bucket"), "jaccard-shared")
+    spark = documents.sparkSession
+    parts = ranges(spark, signed.agg(F.sum(F.size("pool"))).first()[0] or 0)
+    counts = stage(pool_counts(leads, parts), "jaccard-counts")
+    drop_finished_shuffles(spark)
+    shared = stage(shared_hashes(leads, counts).select("id", "n", "at", "bucket", "frequent"), "jaccard-shared")
     drop_finished_shuffles(documents.sparkSession)
     prefix, short, ranked = frequent_last(shared, percent)
     discard(shared)

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import chunks, column, read, texts_of
-from tablewright.llm.linkage import blocks, link, per_pair, united, with_hubs
+from tablewright.llm.linkage import (
+    PACKED, PACKED_KEYS, blocks, carried, link, packed, per_pair, places_of, ranges, united, unpacked, with_hubs,
+)
 from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -30,14 +32,8 @@ AGREE = 37
 AGREE_HUB = 30
 #: Bands whose keys are shuffled at once.
 BANDS_AT_ONCE = 8
-#: Keys that a task packs before it hands them on, and that one task looks through.
-PACKED_KEYS, PART_KEYS = 1_000_000, 1_500_000
-#: Ranges of keys at most: they are numbered in 16 bits.
-MOST_PARTS = 1 << 16
 #: Characters signed at once: their hashes stay in a core's cache.
 SIGN_CHARS = 100_000
-#: Ids whose first halves are carried to every task that cuts texts (4 bytes each); of more, all lines go to the join.
-CARRIED_IDS = 8_000_000
 #: Ids that are broadcast at most when lines are read again; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Pairs whose hashed sets are compared at once.
@@ -196,49 +192,36 @@ def shared_sets(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def band_buckets(known: DataFrame, which: range, parts: int) -> DataFrame:
     """Rows (bucket, id) of the lines in `known` (id, bands, sketch) that share one of the bands `which` with others.
 
-    Keys are packed by ranges before they are shuffled, and a task looks through one range as arrays: most keys are had by one
-    line only, and as rows of their own would cost far more than the search.
+    Keys are packed by ranges before they are shuffled, and a task looks through one range as arrays.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed() -> pa.RecordBatch:
-            keys, ids = (np.concatenate(x) for x in zip(*held))
-            part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")  # numbers this short are sorted by digits
-            keys, ids, found = keys[order], ids[order], np.searchsorted(part[order], np.arange(parts + 1))
-            some = [k for k in range(parts) if found[k] < found[k + 1]]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), *(pa.array([x[found[k]:found[k + 1]].tobytes() for k in some], pa.binary()) for x in (keys, ids))], names=["part", "keys", "ids"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        keys, ids, count = [], [], 0
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(fixed(column(batch, "bands"), MINIMA), fixed(column(batch, "sketch"), MINIMA), which)
-                held.append((keys.ravel(), np.repeat(column(batch, "id").to_numpy(), len(which))))
-                if sum(len(x) for x, _ in held) >= PACKED_KEYS:
-                    yield packed()
-        if held:
-            yield packed()
+                own = band_keys(fixed(column(batch, "bands"), MINIMA), fixed(column(batch, "sketch"), MINIMA), which)
+                keys.append(own.ravel())
+                ids.append(np.repeat(column(batch, "id").to_numpy(), len(which)))
+                count += own.size
+                if count >= PACKED_KEYS:
+                    yield packed(np.concatenate(keys), np.concatenate(ids), parts)
+                    keys, ids, count = [], [], 0
+        if keys:
+            yield packed(np.concatenate(keys), np.concatenate(ids), parts)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {"keys": [], "ids": []}
-        for batch in batches:
-            for name, found in held.items():
-                found.extend(column(batch, name).to_pylist())
-        buckets, ids = shared_sets(np.frombuffer(b"".join(held["keys"]), dtype=np.uint64), np.frombuffer(b"".join(held["ids"]), dtype=np.int64))
+        buckets, ids = shared_sets(*unpacked(batches, np.uint64, np.int64))
         for k in range(0, len(ids), PACKED_KEYS):
             yield pa.RecordBatch.from_arrays([pa.array(buckets[k:k + PACKED_KEYS]), pa.array(ids[k:k + PACKED_KEYS])], names=["bucket", "id"])
 
-    packs = known.select("id", "bands", "sketch").mapInArrow(pack, "part int, keys binary, ids binary")
+    packs = known.select("id", "bands", "sketch").mapInArrow(pack, PACKED)
     return packs.repartitionById(parts, "part").mapInArrow(search, "bucket long, id long")
 
 
 def line_buckets(known: DataFrame) -> DataFrame:
     """Rows (bucket, id, met, hub) of lines that share bands with others; staged. Bands go in turns, so that the disk holds the keys of a few."""
     spark, whole = known.sparkSession, []
-    keys = known.where("n is not null").count() * BANDS_AT_ONCE
-    parts = min(max(spark.sparkContext.defaultParallelism, keys // PART_KEYS + 1), MOST_PARTS)
+    parts = ranges(spark, known.count() * BANDS_AT_ONCE)
     for k in range(0, BANDS, BANDS_AT_ONCE):
         whole.append(stage(band_buckets(known, range(k, min(BANDS, k + BANDS_AT_ONCE)), parts), "lines-rows"))
         drop_finished_shuffles(spark)
@@ -295,17 +278,8 @@ def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     Texts are cut into lines again, which costs little beside keeping every line on disk until it is known which are compared.
     The first halves of the ids go with the tasks, so that few lines besides those sought leave them.
     """
-    spark, count = ids.sparkSession, ids.count()
-    carried = None
-    if count <= CARRIED_IDS:
-        heads = ids.select(F.shiftright("id", 32).cast("int").alias("head")).toArrow()["head"].to_numpy()
-        carried = spark.sparkContext.broadcast(np.unique(heads.view(np.uint32)))
-
-    def sought_at(keys: np.ndarray) -> np.ndarray:
-        if carried is None:
-            return np.arange(len(keys))
-        heads, own = carried.value, (keys >> np.uint64(32)).astype(np.uint32)
-        return np.flatnonzero(heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own) if len(heads) else np.zeros(0, dtype=np.int64)
+    count = ids.count()
+    heads = carried(ids, "id", count)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -317,7 +291,7 @@ def line_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
                 lines = [own for text in texts[lo:hi] for line in text.split("\n") if (own := line.strip(" \t\r"))]
                 keys = np.fromiter(map(line_id, lines), dtype=np.uint64, count=len(lines))
                 new = {}
-                for k in sought_at(keys).tolist():
+                for k in places_of(keys, heads).tolist():
                     if (key := int(keys[k])) not in known:
                         known.add(key)
                         new[key] = lines[k]

@@ -8,20 +8,73 @@ component are done, the others are compared across components, block by block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import column
 from tablewright.sources.staging import discard, drop_finished_shuffles, stage
 
 #: Items of a block; two blocks meet in one task.
 BLOCK = 256
 #: Rows of blocks that one round moves at least; more rounds are made beyond that and the number of items.
 ROUND_ROWS = 100_000
+#: Keys that a task packs before it hands them on, and that one task looks through.
+PACKED_KEYS, PART_KEYS = 1_000_000, 1_500_000
+#: Ranges of keys at most: they are numbered in 16 bits.
+MOST_PARTS = 1 << 16
+#: Keys whose first halves are carried to every task that looks for them (4 bytes each); of more, all rows go to the join.
+CARRIED_KEYS = 8_000_000
+PACKED = "part int, keys binary, others binary"
+
+
+def ranges(spark: SparkSession, keys: int) -> int:
+    """Into how many ranges so many 64-bit keys are packed."""
+    return min(max(spark.sparkContext.defaultParallelism, keys // PART_KEYS + 1), MOST_PARTS)
+
+
+def packed(keys: np.ndarray, others: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys with what belongs to each, as one row for each of the ranges that has any.
+
+    Most keys are had once only; as rows of their own they would cost far more than the search for those that are not.
+    """
+    part = (((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")  # numbers this short are sorted by digits
+    keys, others, found = keys[order], others[order], np.searchsorted(part[order], np.arange(parts + 1))
+    some = [k for k in range(parts) if found[k] < found[k + 1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), *(pa.array([x[found[k]:found[k + 1]].tobytes() for k in some], pa.binary()) for x in (keys, others))], names=["part", "keys", "others"])
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], key: type, other: type) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a range, and what belongs to them."""
+    keys, others = [], []
+    for batch in batches:
+        keys.extend(column(batch, "keys").to_pylist())
+        others.extend(column(batch, "others").to_pylist())
+    return np.frombuffer(b"".join(keys), dtype=key), np.frombuffer(b"".join(others), dtype=other)
+
+
+def carried(keys: DataFrame, name: str, count: int) -> Broadcast | None:
+    """The first halves of `count` 64-bit keys in a column, for `places_of`; none where they are too many to carry."""
+    if count > CARRIED_KEYS:
+        return None
+    heads = keys.select(F.shiftright(name, 32).cast("int").alias("head")).toArrow()["head"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(np.unique(heads.view(np.uint32)))
+
+
+def places_of(keys: np.ndarray, heads: Broadcast | None) -> np.ndarray:
+    """Places of the keys that may be among those carried: of all that are, and of few others."""
+    if heads is None:
+        return np.arange(len(keys))
+    known, own = heads.value, (keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own) if len(known) else np.zeros(0, dtype=np.int64)
 
 
 def shared_buckets(keys: list[DataFrame], label: str) -> DataFrame:

@@ -138,6 +138,32 @@ def test_trie_search_equals_sets():
             assert set(trie.search(probe, 85)) == {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 85 * len(np.union1d(probe, s))}
 
 
+def test_shingles_are_hashed_for_many_texts_at_once(monkeypatch):
+    """Word runs of any bytes, cut into chunks anywhere, are the sets that words as text make."""
+    texts = ["", " \t\n", "A b", "a B", "\u00dcn\u00ef x\x0by\x0cz", "\x85a\xa0b c\x1cd", "w" * 300 + " x y", "w" * 236 + "x" + "w" * 63 + " x y", "one", "a " * 50, text(4, 300), text(4, 299)]
+    words = [tuple(x.encode().lower().split()) for x in texts]
+    whole = [{w[k:k + 3] for k in range(max(1, len(w) - 2))} if w else set() for w in words]
+    for limit in (1, 40, 40_000):
+        monkeypatch.setattr(jaccard_join, "SHINGLE_CHARS", limit)
+        found = jaccard_join.Shingler(3).all(texts)
+        assert all((np.diff(x) > 0).all() and (len(x) == 0 or x[0] >= 0) for x in found)
+        for (a, s), (b, t) in itertools.product(zip(found, whole), repeat=2):
+            assert len(a) == len(s) and len(np.intersect1d(a, b)) == len(s & t)
+
+
+def test_pool_hashes_are_counted_in_ranges(spark, docs, monkeypatch):
+    draw = np.random.default_rng(11)
+    pools = [(i, 9, np.unique(draw.integers(-(1 << 62), 1 << 62, 40)[:6]).tolist() + [5, -7 - i % 20]) for i in range(60)]
+    table = spark.createDataFrame(pools, "id long, n long, pool array<long>").repartition(3)
+    for parts in (1, 9):
+        counts = jaccard_join.pool_counts(table, parts)
+        assert {(r.bucket, r.frequent) for r in counts.collect()} == {(5, True), *((-7 - k, False) for k in range(20))}
+    for limit in (0, 1000):  # without and with the hashes carried to the tasks
+        monkeypatch.setattr(linkage, "CARRIED_KEYS", limit)
+        rows = {(r.id, r.n, r["at"], r.bucket, r.frequent) for r in jaccard_join.shared_hashes(table, counts).collect()}
+        assert rows == {(i, 9, len(p) - 2 + k, p[len(p) - 2 + k], k == 0) for i, _, p in pools for k in (0, 1)}
+
+
 def test_line_dedup(spark, docs, nothing):
     line = text(9, 12)
     more = spark.createDataFrame([(50, line + "\nown words here only", "l", "s", 0, "", "", ""), (51, line.replace("quick", "quack", 1) + "!\nother, longer words there", "l", "s", 0, "", "", "")], DOCS)
