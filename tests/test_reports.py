@@ -12,6 +12,7 @@ from tablewright import (
 from tablewright.operators import chartdata, profile, views
 from tablewright.operators.analytics import period_growth, top_category
 from tablewright.operators.outliers import detect_outliers
+from tablewright.operators.types import date_shares
 from tablewright.plans.cleaning import refit
 from tablewright.streaming.apply import clean_stream
 
@@ -194,6 +195,32 @@ def test_whole_run(sales, tmp_path):
     assert load_table(sales.sparkSession, run.exported).count() == 4
 
 
+def test_whole_run_reads_its_source_once(spark, sales):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    run = run_pipeline(sales.mapInArrow(counted, sales.schema))
+    assert run.table.count() == 4 and run.cleaning.duplicates_removed == 1 and seen.value == 5
+
+
+def test_text_is_matched_once_a_value(spark):
+    """Counts by value are those by row, also where values repeat, are blank, missing or negative."""
+    values = ["-5", "$1,200", "10%", "yes", " No ", "", "  ", None, "2026-01-15", "Jan 3, 2026", "x", "-0", "(3)", "a-1"]
+    rows = [(values[i % 14], values[i * i % 14], values[i // 40], "-7" if i % 3 else "12", float(i % 5 - 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "`Unit Price` string, b string, quantity string, amount string, price double")
+    by_row = {r["column"]: r for r in profile.column_counts(df).collect()}
+    for r in column_profile(df, samples=False).collect():
+        assert {c: r[c] for c in ("inferred_type", "negative_count", "blank_count", "missing_count", "rows")} == {
+            c: by_row[r["column"]][c] for c in ("inferred_type", "negative_count", "blank_count", "missing_count", "rows")}
+        assert r["unique_count"] == df.select(r["column"]).na.drop().distinct().count()
+    values = spark.createDataFrame([("2026-01-15", None)] * 3 + [("no date", "no")] * 2 + [(None, "Jan 3, 2026")], "a string, b string")
+    assert date_shares(values, ["a", "b"]) == {"a": 0.6, "b": 1 / 3}
+
+
 # --- features ----------------------------------------------------------------------
 
 def test_features(spark):
